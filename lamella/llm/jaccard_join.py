@@ -2,9 +2,11 @@
 
 1. Every text becomes the set of its distinct five-word shingles (64-bit
    hashes), a digest of the set and a bitmap of the set.
-2. A set of ``n`` shingles is entered under its first ``n - ceil(0.75 n) + 1``
-   shingles in one global order, common shingles last.  Two sets at 0.75 or
-   more share one of these, so every link lies inside the block of a shingle.
+2. A set of ``n`` shingles is entered under its first ``n - ceil(0.75 n) +
+   margin(n)`` shingles in one global order, common shingles last.  Two sets at
+   0.75 or more share at least ``margin`` of the smaller size of these, so every
+   link lies inside blocks of one shingle, and a set that shares fewer of its
+   own with all others than ``margin(ceil(0.75 n))`` has no link and drops out.
 3. In each block all sets are compared with its leader; the links found are
    joined to components.  A component needs no further links inside itself.
 4. Blocks still holding several components are searched by signature trees:
@@ -62,8 +64,13 @@ def bitmap(s: np.ndarray, bits: int = BITS) -> np.ndarray:
     return np.packbits(out)
 
 
+def margin(n: int) -> int:
+    """Shingles that linked sets share in their prefixes, at least, by the smaller set's size."""
+    return 1 + n // 20
+
+
 def prefix_length(n: int, percent: int = PERCENT) -> int:
-    return n - -(-percent * n // 100) + 1 if n else 0
+    return n - -(-percent * n // 100) + margin(n) if n else 0
 
 
 def common_shingles(docs: DataFrame, text: str, k: int = K) -> np.ndarray:
@@ -154,10 +161,19 @@ def _shared_blocks(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], ["h", "digest", "leader"])
 
 
-def entries_of(prof: DataFrame) -> DataFrame:
-    """``h, digest, leader`` of every block in which two different sets meet; written once."""
-    rows = prof.select(F.explode("prefix").alias("h"), "digest").repartition("h").sortWithinPartitions("h", "digest")
-    return materialize(rows.mapInArrow(_shared_blocks, "h long, digest long, leader long"), "blocks")
+def entries_of(prof: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``h, digest, leader`` of every block in which two different sets that can link meet; written once."""
+
+    def shared(rows: DataFrame, label: str) -> DataFrame:
+        rows = rows.repartition("h").sortWithinPartitions("h", "digest")
+        return materialize(rows.mapInArrow(_shared_blocks, "h long, digest long, leader long"), label)
+
+    rows = shared(prof.select(F.explode("prefix").alias("h"), "digest"), "blocks")
+    counts = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("shared"))
+    sizes = prof.filter("n > 0").groupBy("digest").agg(F.min("n").alias("n"))
+    least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / 20)
+    strong = counts.join(sizes, "digest").filter(F.col("shared") >= least).select("digest")
+    return shared(rows.join(strong, "digest").select("h", "digest"), "blocks")
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -361,7 +377,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     small_batches(spark)
     prof = profiles(docs, id_col, text, k, percent)
     reps = prof.filter("n > 0").groupBy("digest").agg(F.min(_key(F.col("doc_id"))).alias("key"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    entries = entries_of(prof)
+    entries = entries_of(prof, percent)
     reps = materialize(reps.join(entries.select("digest").distinct(), "digest", "left_semi"), "reps")
     stars = entries.filter("leader <> digest").select(F.col("leader").alias("a"), F.col("digest").alias("b")).distinct()
     links = verified(docs, id_col, text, materialize(plausible(stars, reps), "pairs"), reps, k)
