@@ -7,16 +7,19 @@
    0.75 or more share at least ``margin`` of the smaller size of these, so every
    link lies inside blocks of one shingle, and a set that shares fewer of its
    own with all others than ``margin(ceil(0.75 n))`` has no link and drops out.
-3. In each block all sets are compared with its leader; the links found are
-   joined to components.  A component needs no further links inside itself.
-4. Blocks still holding several components are searched by signature trees:
+3. In each block all sets are compared by size and bitmap with the block's
+   leader; what may link joins to provisional families.
+4. Blocks that still hold several families are searched by signature trees:
    nodes hold the OR of their sets' bitmaps and their size range; two trees are
    walked together and a pair of nodes is dropped when the largest overlap its
-   bitmaps allow is below the least overlap its sizes need.  Blocks of over
-   ``SHARD`` sets are cut into shards and every pair of shards is a task.
-5. Pairs that survive are verified on the full sets, and components are joined
-   again.  Sets are 64-bit hashes, so a false equality inside a pair has odds
-   of about 1e-12.
+   bitmaps allow is below the least overlap its sizes need.  What may link joins
+   families; a block gives a spanning forest, not its pairs.
+5. In each family the full sets meet, each once a shard: signature trees with
+   wide bitmaps propose pairs, pairs already connected are skipped, the others
+   are intersected, and again a spanning forest of true links comes out.  Blocks
+   and families of over ``SHARD`` sets are cut into shards, and every pair of
+   shards is a task.  Sets are 64-bit hashes, so a false equality inside a pair
+   has odds of about 1e-12.
 
 The order of shingles only steers speed: the common ones are those seen in
 ``COMMON`` or more documents of a fixed sample.  Equal texts meet as one digest.
@@ -29,6 +32,8 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,7 +45,7 @@ from ._words import as_bytes, shingles
 
 K = 5
 PERCENT = 75
-BITS = 2048
+BITS, WIDE = 2048, 8192
 SHARD = 512
 LEAF, FAN = 8, 4
 SAMPLE, COMMON, COMMON_MOST = 16, 6, 1 << 17
@@ -197,10 +202,11 @@ def _plausible(batches, percent: int = PERCENT):
         yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], ["a", "b"])
 
 
-def plausible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def plausible(pairs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs that sizes and bitmaps allow to link."""
     a = reps.select(F.col("digest").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
     b = reps.select(F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(_plausible, "a long, b long")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(lambda batches: _plausible(batches, percent), "a long, b long")
 
 
 class Tree:
@@ -222,7 +228,7 @@ class Tree:
 
 
 def traverse(x: Tree, y: Tree, percent: int = PERCENT):
-    """Digest pairs from ``x`` and ``y`` that no bound excludes and whose components differ."""
+    """Places (in ``x``, in ``y``) of pairs that no bound excludes and whose components differ, a part at a time."""
     a, b = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
     lx, ly = len(x.levels) - 1, len(y.levels) - 1
     while True:
@@ -250,7 +256,7 @@ def traverse(x: Tree, y: Tree, percent: int = PERCENT):
         i, j = a[k : k + (1 << 15)], b[k : k + (1 << 15)]
         sx, sy = x.sig[i], y.sig[j]
         ok = _allowed([sx, x.n[i], x.n[i], x.n[i] - _popcount(sx), x.comp[i], x.comp[i]], [sy, y.n[j], y.n[j], y.n[j] - _popcount(sy), y.comp[j], y.comp[j]], percent)
-        yield x.digest[i[ok]], y.digest[j[ok]]
+        yield i[ok], j[ok]
 
 
 def _allowed(A, B, percent):
@@ -266,86 +272,135 @@ def _down(a, b, fan, most):
     return a[ok], b[ok]
 
 
-def _searched(batches):
-    """Rows sorted by (h, i, j) with ``side`` 0 or 1 to candidate pairs, block by block."""
+class Forest:
+    """Union-find over any keys."""
+
+    def __init__(self) -> None:
+        self.up: dict = {}
+
+    def root(self, x):
+        up = self.up
+        top = x
+        while (y := up.get(top, top)) != top:
+            top = y
+        while (y := up.get(x, x)) != top:
+            up[x], x = top, y
+        return top
+
+    def join(self, x, y) -> bool:
+        """Whether the two were apart."""
+        x, y = self.root(x), self.root(y)
+        if x == y:
+            return False
+        self.up[x] = y
+        return True
+
+
+def _grouped(batches, n_cols: int, work):
+    """Rows sorted by (group, i, j) to ``work(i == j, rows of side 0, rows of side 1)``, whose (a, b) pairs are given out."""
+
+    def run(key, rows):
+        left, right = [r[1:] for r in rows if r[0] == 0], [r[1:] for r in rows if r[0] == 1]
+        if key[1] != key[2] and not (left and right):
+            return
+        if pairs := work(key[1] == key[2], left, right):
+            a, b = zip(*pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
     held, key = [], None
     for b in batches:
-        cols = [b.column(c).to_numpy(zero_copy_only=False) if c != 6 else b.column(c).to_pylist() for c in range(8)]
-        for row in zip(*cols):
+        for row in zip(*[b.column(c).to_pylist() for c in range(n_cols)]):
             if row[:3] != key:
                 if held:
-                    yield from _block(key, held)
+                    yield from run(key, held)
                 held, key = [], row[:3]
             held.append(row[3:])
     if held:
-        yield from _block(key, held)
+        yield from run(key, held)
+
+
+def sharded(rows: DataFrame, group: str, columns: list[str]) -> DataFrame:
+    """``rows`` with ``members`` (rows of their group) dealt to pairs of shards of at most about ``SHARD`` rows, sorted for :func:`_grouped`."""
+    shards = F.ceil(F.col("members") / SHARD).cast("int")
+    r = rows.withColumn("own", F.pmod(F.xxhash64("digest"), shards).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), shards - 1)))
+    r = r.select(F.col(group).alias("g"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), *columns)
+    return r.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+
 
+def _plausible_forest(same: bool, left, right, percent: int = PERCENT) -> list:
+    """Block work on rows (digest, n, sig, comp)."""
 
-def _block(key, rows):
     def tree(part):
-        side, digest, n, sig, comp = zip(*part)
+        digest, n, sig, comp = zip(*part)
         return Tree(np.array(n, dtype=np.int64), np.frombuffer(b"".join(sig), dtype=np.uint64).reshape(len(n), -1), np.array(comp), np.array(digest))
 
-    left, right = [r for r in rows if r[0] == 0], [r for r in rows if r[0] == 1]
-    if key[1] == key[2]:
-        x = y = tree(left)
-    elif left and right:
-        x, y = tree(left), tree(right)
-    else:
-        return
-    found = set()
-    for a, b in traverse(x, y):
-        found.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
-    if found:
-        a, b = zip(*found)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-
-def searched(blocks: DataFrame, reps: DataFrame) -> DataFrame:
-    """Candidate pairs of ``blocks`` (``h, digest, comp, members``) by dual traversal of signature trees."""
-    r = blocks.join(reps.select("digest", "n", "sig"), "digest")
-    shards = F.ceil(F.col("members") / SHARD).cast("int")
-    own = F.pmod(F.xxhash64("digest"), shards).cast("int")
-    r = r.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), shards - 1)))
-    r = r.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "digest", "n", "sig", "comp")
-    r = r.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
-    return r.mapInArrow(_searched, "a long, b long").distinct()
+    x = tree(left)
+    y = x if same else tree(right)
+    forest, out = Forest(), []
+    for i, j in traverse(x, y, percent):
+        for a, b, c, d in zip(x.digest[i].tolist(), y.digest[j].tolist(), x.comp[i].tolist(), y.comp[j].tolist()):
+            if forest.join(c, d):
+                out.append((a, b))
+    return out
 
 
-def sets_of(docs: DataFrame, id_col: str, text: str, digests: DataFrame, reps: DataFrame, k: int = K) -> DataFrame:
-    """``digest, items``: the full sets of some digests, from one document each; written once."""
-    ids = materialize(reps.join(digests, "digest").select("key").distinct(), "needed")
+def searched(blocks: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """A spanning forest of what may link in ``blocks`` (``h, digest, comp, members``), by dual traversal of signature trees."""
+    rows = sharded(blocks.join(reps.select("digest", "n", "sig"), "digest"), "h", ["digest", "n", "sig", "comp"])
+    return rows.mapInArrow(lambda batches: _grouped(batches, 8, partial(_plausible_forest, percent=percent)), "a long, b long").distinct()
 
-    def emit(batches):
-        for b in batches:
-            sets = [shingle_set(data, k) for data in as_bytes(b.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array([digest_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "items"])
 
-    rows = docs.select(_key(F.col(id_col)).alias("key"), F.col(text).alias("t")).join(small_side(ids), "key").select("t")
-    return materialize(rows.mapInArrow(emit, "digest long, items binary").dropDuplicates(["digest"]), "sets")
+def _true_forest(percent: int):
+    """Family work on rows (digest, items)."""
+
+    def tree(part):
+        part = sorted(dict(part).items())
+        sets = [np.frombuffer(x, dtype=np.uint64) for _, x in part]
+        sig = np.stack([bitmap(x, WIDE) for x in sets]).view(np.uint64)
+        digest = np.array([d for d, _ in part])
+        return Tree(np.array([len(x) for x in sets], dtype=np.int64), sig, digest, digest), dict(zip(digest.tolist(), sets))
+
+    def work(same: bool, left, right) -> list:
+        x, sets = tree(left)
+        y = x
+        if not same:
+            y, more = tree(right)
+            sets = sets | more
+        forest, out = Forest(), []
+        for i, j in traverse(x, y, percent):
+            for a, b in zip(x.digest[i].tolist(), y.digest[j].tolist()):
+                if forest.root(a) != forest.root(b):
+                    s, t = sets[a], sets[b]
+                    both = len(np.intersect1d(s, t, assume_unique=True))
+                    if 100 * both >= percent * (len(s) + len(t) - both):
+                        forest.join(a, b)
+                        out.append((a, b))
+        return out
+
+    return work
 
 
 def _key(c):
     return F.coalesce(c.cast("long"), F.lit(-(1 << 63)))
 
 
-def _verified(batches, percent: int = PERCENT):
-    for b in batches:
-        x, y = (b.column(c).to_pylist() for c in (2, 3))
-        ok = []
-        for s, t in zip(x, y):
-            s, t = np.frombuffer(s, dtype=np.uint64), np.frombuffer(t, dtype=np.uint64)
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            ok.append(100 * both >= percent * (len(s) + len(t) - both))
-        yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok, pa.bool_())), b.column(1).filter(pa.array(ok, pa.bool_()))], ["a", "b"])
+def linked(docs: DataFrame, id_col: str, text: str, families: DataFrame, reps: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
+    """A spanning forest of the true links in each of ``families`` (``digest, comp``); written once."""
+    sizes = families.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
+    wanted = materialize(families.join(sizes, "comp").join(reps.select("digest", "key"), "digest").select("key", "digest", "comp", "members"), "needed")
 
+    def emit(batches):
+        for b in batches:
+            want = b.column(0).to_pylist()
+            sets = [shingle_set(data, k) for data in as_bytes(b.column(3))]
+            ok = pa.array([digest_of(s) == d for s, d in zip(sets, want)], pa.bool_())
+            items = pa.array([s.tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([x.filter(ok) for x in (b.column(0), b.column(1), b.column(2), items)], ["digest", "comp", "members", "items"])
 
-def verified(docs: DataFrame, id_col: str, text: str, pairs: DataFrame, reps: DataFrame, k: int = K) -> DataFrame:
-    """The pairs that link, by their full sets; written once."""
-    members = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
-    sets = sets_of(docs, id_col, text, members, reps, k)
-    a, b = (sets.select(F.col("digest").alias(c), F.col("items").alias(f"{c}s")) for c in "ab")
-    return materialize(pairs.join(a, "a").join(b, "b").select("a", "b", "as", "bs").mapInArrow(_verified, "a long, b long"), "links")
+    rows = docs.select(_key(F.col(id_col)).alias("key"), F.col(text).alias("t")).join(small_side(wanted), "key").select("digest", "comp", "members", "t")
+    rows = sharded(rows.mapInArrow(emit, "digest long, comp long, members long, items binary"), "comp", ["digest", "items"])
+    work = _true_forest(percent)
+    return materialize(rows.mapInArrow(lambda batches: _grouped(batches, 6, work), "a long, b long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -380,14 +435,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     entries = entries_of(prof, percent)
     reps = materialize(reps.join(entries.select("digest").distinct(), "digest", "left_semi"), "reps")
     stars = entries.filter("leader <> digest").select(F.col("leader").alias("a"), F.col("digest").alias("b")).distinct()
-    links = verified(docs, id_col, text, materialize(plausible(stars, reps), "pairs"), reps, k)
-    comps = materialize(components(links), "components")
-    placed = entries.select("h", "digest").join(comps, "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
+    edges = materialize(plausible(stars, reps, percent), "pairs")
+    placed = entries.select("h", "digest").join(components(edges), "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
+    placed = materialize(placed, "placed")
     mixed = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo <> hi").select("h", "members")
-    pairs = materialize(searched(placed.join(mixed, "h"), reps), "pairs")
-    more = verified(docs, id_col, text, pairs, reps, k)
-    if not more.isEmpty():
-        comps = materialize(components(links.union(more)), "components")
+    more = materialize(searched(placed.join(mixed, "h"), reps, percent), "pairs")
+    families = materialize(components(edges.union(more)), "families")
+    comps = components(linked(docs, id_col, text, families, reps, k, percent))
     return membership(prof, comps)
 
 
