@@ -46,6 +46,8 @@ from ._words import as_bytes, shingles
 K = 5
 PERCENT = 75
 BITS, WIDE = 2048, 8192
+#: Shingles from which a set's bitmap is doubled, and doubled again at each doubling of its size.
+BITS_FOR = 1024
 SHARD = 512
 LEAF, FAN = 8, 4
 SAMPLE, COMMON, COMMON_MOST = 16, 6, 1 << 17
@@ -64,11 +66,22 @@ def digest_of(s: np.ndarray) -> int:
 
 
 def bitmap(s: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """A bit for each hash modulo ``bits``, as bytes."""
     out = np.zeros(bits, dtype=bool)
     out[(s % np.uint64(bits)).astype(np.int64)] = True
     return np.packbits(out)
 
 
+def level_of(n: int) -> int:
+    """How often the bitmap of a set of ``n`` is doubled; sets two levels apart are too unequal to link."""
+    return (n // BITS_FOR).bit_length()
+
+
+def folded(sig: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps brought to ``words`` 64-bit words: the bitmap of the same sets at that width."""
+    return np.bitwise_or.reduce(sig.reshape(len(sig), -1, words), axis=1)
+
+
 def margin(n: int) -> int:
     """Shingles that linked sets share in their prefixes, at least, by the smaller set's size."""
     return 1 + n // 20
@@ -117,7 +130,7 @@ def profiles(docs: DataFrame, id_col: str, text: str, k: int = K, percent: int =
                     seen.add(d)
                 digests.append(d)
                 sizes.append(len(s))
-                sigs.append(bitmap(s).tobytes() if len(s) else b"")
+                sigs.append(bitmap(s, BITS << level_of(len(s))).tobytes() if len(s) else b"")
                 prefixes.append(first.view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32)
             values = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
@@ -194,11 +207,15 @@ def _plausible(batches, percent: int = PERCENT):
     """Pairs whose sizes and bitmaps allow a link."""
     for b in batches:
         na, nb = b.column(2).to_numpy().astype(np.int64), b.column(4).to_numpy().astype(np.int64)
-        if not len(na):
-            continue
-        sa, sb = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint64).reshape(len(na), -1) for c in (3, 5))
-        spare = np.minimum(na - _popcount(sa), nb - _popcount(sb))
-        ok = (_popcount(sa & sb) + spare >= needed(na, nb, percent)) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+        sa, sb = b.column(3).to_pylist(), b.column(5).to_pylist()
+        ok = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
+        widths = np.array([(len(x), len(y)) for x, y in zip(sa, sb)], dtype=np.int64).reshape(-1, 2)
+        for w in np.unique(widths[ok], axis=0):
+            at = np.flatnonzero(ok & (widths == w).all(axis=1))
+            words = int(w.min()) // 8
+            x, y = (folded(np.frombuffer(b"".join([c[i] for i in at]), dtype=np.uint64).reshape(len(at), -1), words) for c in (sa, sb))
+            spare = np.minimum(na[at] - _popcount(x), nb[at] - _popcount(y))
+            ok[at] = _popcount(x & y) + spare >= needed(na[at], nb[at], percent)
         yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], ["a", "b"])
 
 
@@ -330,17 +347,32 @@ def sharded(rows: DataFrame, group: str, columns: list[str]) -> DataFrame:
 def _plausible_forest(same: bool, left, right, percent: int = PERCENT) -> list:
     """Block work on rows (digest, n, sig, comp)."""
 
-    def tree(part):
-        digest, n, sig, comp = zip(*part)
-        return Tree(np.array(n, dtype=np.int64), np.frombuffer(b"".join(sig), dtype=np.uint64).reshape(len(n), -1), np.array(comp), np.array(digest))
+    def levels(part) -> dict[int, tuple]:
+        by: dict[int, list] = {}
+        for row in part:
+            by.setdefault(level_of(row[1]), []).append(row)
+        out = {}
+        for level, rows in by.items():
+            digest, n, sig, comp = zip(*rows)
+            out[level] = np.array(n, dtype=np.int64), np.frombuffer(b"".join(sig), dtype=np.uint64).reshape(len(n), -1), np.array(comp), np.array(digest)
+        return out
+
+    def tree(x: tuple, level: int) -> Tree:
+        return Tree(x[0], folded(x[1], (BITS << level) // 64), *x[2:])
 
-    x = tree(left)
-    y = x if same else tree(right)
+    a_side = levels(left)
+    b_side = a_side if same else levels(right)
     forest, out = Forest(), []
-    for i, j in traverse(x, y, percent):
-        for a, b, c, d in zip(x.digest[i].tolist(), y.digest[j].tolist(), x.comp[i].tolist(), y.comp[j].tolist()):
-            if forest.join(c, d):
-                out.append((a, b))
+    for k, part in a_side.items():
+        for m in (k, k + 1) if same else (k - 1, k, k + 1):
+            if m not in b_side:
+                continue
+            x = tree(part, min(k, m))
+            y = x if same and m == k else tree(b_side[m], min(k, m))
+            for i, j in traverse(x, y, percent):
+                for a, b, c, d in zip(x.digest[i].tolist(), y.digest[j].tolist(), x.comp[i].tolist(), y.comp[j].tolist()):
+                    if forest.join(c, d):
+                        out.append((a, b))
     return out
 
 
@@ -353,18 +385,19 @@ def searched(blocks: DataFrame, reps: DataFrame, percent: int = PERCENT) -> Data
 def _true_forest(percent: int):
     """Family work on rows (digest, items)."""
 
-    def tree(part):
+    def tree(part, wide):
         part = sorted(dict(part).items())
         sets = [np.frombuffer(x, dtype=np.uint64) for _, x in part]
-        sig = np.stack([bitmap(x, WIDE) for x in sets]).view(np.uint64)
+        sig = np.stack([bitmap(x, wide) for x in sets]).view(np.uint64)
         digest = np.array([d for d, _ in part])
         return Tree(np.array([len(x) for x in sets], dtype=np.int64), sig, digest, digest), dict(zip(digest.tolist(), sets))
 
     def work(same: bool, left, right) -> list:
-        x, sets = tree(left)
+        wide = WIDE << min(5, level_of(max(len(r[1]) // 8 for r in left + right)))
+        x, sets = tree(left, wide)
         y = x
         if not same:
-            y, more = tree(right)
+            y, more = tree(right, wide)
             sets = sets | more
         forest, out = Forest(), []
         for i, j in traverse(x, y, percent):
