@@ -5,8 +5,8 @@
 2. A set of ``n`` shingles is entered under its first ``n - ceil(0.75 n) +
    margin(n)`` shingles in one global order, common shingles last.  Two sets at
    0.75 or more share at least ``margin`` of the smaller size of these, so every
-   link lies inside blocks of one shingle, and a set that shares fewer of its
-   own with all others than ``margin(ceil(0.75 n))`` has no link and drops out.
+   link lies inside blocks of one shingle, and each set leaves the largest
+   ``margin(ceil(0.75 n)) - 1`` of its blocks: at least one shared block stays.
 3. In each block all sets are compared by size and bitmap with the block's
    leader; what may link joins to provisional families.
 4. Blocks that still hold several families are searched by signature trees:
@@ -36,7 +36,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -50,6 +50,8 @@ BITS, WIDE = 2048, 8192
 BITS_FOR = 1024
 SHARD = 512
 LEAF, FAN = 8, 4
+#: Size from which blocks count as equally large.
+LARGE = 1 << 14
 SAMPLE, COMMON, COMMON_MOST = 16, 6, 1 << 17
 ROUNDS = 40
 #: Digests a Python task remembers so that it enters equal texts once.
@@ -141,57 +143,64 @@ def profiles(docs: DataFrame, id_col: str, text: str, k: int = K, percent: int =
 
 
 def _shared_blocks(batches):
-    """Sorted (h, digest) rows to the rows of blocks with two digests or more, with the block's first digest."""
-    last_h = last_d = leader = None
-    told = False
+    """Sorted (h, digest) rows to the rows of blocks with two digests or more, with the block's first digest and its size, at most ``LARGE``."""
+
+    def rows(h, d, lead, size):
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (h, d, lead, size)], ["h", "digest", "leader", "size"])
+
+    def finished(h, d):
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
+        size = np.diff(np.append(first, len(h)))
+        lead, size = np.repeat(d[first], size), np.repeat(size, size)
+        many = size > 1
+        return rows(h[many], d[many], lead[many], np.minimum(size[many], LARGE))
+
+    h, d = np.empty(0, np.int64), np.empty(0, np.int64)
+    large = None  # hash, leader and last digest of a block of which LARGE rows have been given out
     for b in batches:
-        h, d = b.column(0).to_numpy(), b.column(1).to_numpy()
-        if not len(h):
-            continue
+        h, d = np.concatenate([h, b.column(0).to_numpy()]), np.concatenate([d, b.column(1).to_numpy()])
         keep = np.ones(len(h), dtype=bool)
         keep[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-        keep[0] = h[0] != last_h or d[0] != last_d
+        if large and len(h):
+            keep[0] = (h[0], d[0]) != large[::2]
         h, d = h[keep], d[keep]
+        if large and len(h):
+            own = int(np.searchsorted(h, large[0], "right"))
+            if own:
+                yield rows(h[:own], d[:own], np.full(own, large[1]), np.full(own, LARGE))
+                large = *large[:2], d[own - 1]
+                h, d = h[own:], d[own:]
         if not len(h):
             continue
-        new = np.ones(len(h), dtype=bool)
-        new[1:] = h[1:] != h[:-1]
-        goes_on = last_h is not None and h[0] == last_h
-        first = np.flatnonzero(new)
-        run = np.cumsum(new) - 1
-        lead = d[first][run]
-        many = np.diff(np.append(first, len(h)))[run] > 1
-        extra = None
-        if goes_on:
-            own = run == 0
-            lead[own], many[own] = leader, True
-            if not told:
-                extra = (h[0], leader)
-        out = [h[many], d[many], lead[many]]
-        if extra:
-            out = [np.append(x, v) for x, v in zip(out, (extra[0], extra[1], extra[1]))]
-        at = first[-1]
-        if len(first) > 1 or not goes_on:
-            leader, told = d[at], len(h) - at > 1
-        else:
-            told = True
-        last_h, last_d = h[-1], d[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], ["h", "digest", "leader"])
+        open_at = int(np.searchsorted(h, h[-1]))
+        yield finished(h[:open_at], d[:open_at])
+        h, d, large = h[open_at:], d[open_at:], large if not open_at and large and h[0] == large[0] else None
+        if len(h) >= LARGE:
+            yield rows(h, d, np.full(len(h), d[0]), np.full(len(h), LARGE))
+            large = h[0], d[0], d[-1]
+            h, d = h[:0], d[:0]
+    yield finished(h, d)
 
 
 def entries_of(prof: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``h, digest, leader`` of every block in which two different sets that can link meet; written once."""
+    """``h, digest, leader`` of the blocks in which different sets that can link meet; written once.
+
+    Linked sets share ``margin`` prefix shingles of the smaller one, so each set
+    may leave its largest blocks, one fewer than that, by one order of all
+    blocks: what two linked sets leave of their shared blocks is the first of
+    them in that order, never all.
+    """
 
     def shared(rows: DataFrame, label: str) -> DataFrame:
         rows = rows.repartition("h").sortWithinPartitions("h", "digest")
-        return materialize(rows.mapInArrow(_shared_blocks, "h long, digest long, leader long"), label)
+        return materialize(rows.mapInArrow(_shared_blocks, "h long, digest long, leader long, size long"), label)
 
-    rows = shared(prof.select(F.explode("prefix").alias("h"), "digest"), "blocks")
-    counts = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("shared"))
+    rows = shared(prof.select(F.explode("prefix").alias("h"), "digest"), "blocks").drop("leader")
     sizes = prof.filter("n > 0").groupBy("digest").agg(F.min("n").alias("n"))
-    least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / 20)
-    strong = counts.join(sizes, "digest").filter(F.col("shared") >= least).select("digest")
-    return shared(rows.join(strong, "digest").select("h", "digest"), "blocks")
+    spare = F.floor(F.ceil(F.col("n") * percent / 100) / 20)
+    place = F.row_number().over(Window.partitionBy("digest").orderBy(F.desc("size"), "h"))
+    kept = rows.join(sizes, "digest").withColumn("place", place).filter(F.col("place") > spare)
+    return shared(kept.select("h", "digest"), "blocks").drop("size")
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
