@@ -20,6 +20,9 @@ BROADCAST_ROWS = 1_000_000
 #: Rows in an Arrow batch: bounds a Python worker's memory with long texts.
 BATCH_ROWS = 256
 
+#: Whether a statement's shuffle files are removed when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _made: list[str] = []
 _fallback: list[str] = []
 
@@ -47,10 +50,18 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table read back."""
+    """Write ``df`` to the shared folder and return the table read back.
+
+    The shuffle files of the write are given up when it ends: whatever follows reads the table.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
