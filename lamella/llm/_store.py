@@ -65,6 +65,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Remove a table of :func:`materialize` that nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        if any(path.endswith(own.rsplit("/", 1)[1]) for own in _made):
+            _delete(table.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def small_side(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if the counted rows are within ``bound``; else leave the join to shuffle."""
     return F.broadcast(df) if df.count() <= bound else df
@@ -74,9 +86,7 @@ def _clean() -> None:
     spark = SparkSession.getActiveSession()
     for path in _made:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session may have ended first
             break
 

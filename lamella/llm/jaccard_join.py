@@ -40,14 +40,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from ._store import materialize, small_batches, small_side
+from ._store import discard, materialize, small_batches, small_side
 from ._words import as_bytes, shingles
 
 K = 5
 PERCENT = 75
-BITS, WIDE = 2048, 8192
+BITS, WIDE = 512, 2048
 #: Shingles from which a set's bitmap is doubled, and doubled again at each doubling of its size.
-BITS_FOR = 1024
+BITS_FOR = 256
 SHARD = 512
 LEAF, FAN = 8, 4
 #: Size from which blocks count as equally large.
@@ -191,16 +191,18 @@ def entries_of(prof: DataFrame, percent: int = PERCENT) -> DataFrame:
     them in that order, never all.
     """
 
-    def shared(rows: DataFrame, label: str) -> DataFrame:
+    def shared(rows: DataFrame, unused: str) -> DataFrame:
         rows = rows.repartition("h").sortWithinPartitions("h", "digest")
-        return materialize(rows.mapInArrow(_shared_blocks, "h long, digest long, leader long, size long"), label)
+        return materialize(rows.mapInArrow(_shared_blocks, "h long, digest long, leader long, size long").drop(unused), "blocks")
 
-    rows = shared(prof.select(F.explode("prefix").alias("h"), "digest"), "blocks").drop("leader")
+    rows = shared(prof.select(F.explode("prefix").alias("h"), "digest"), "leader")
     sizes = prof.filter("n > 0").groupBy("digest").agg(F.min("n").alias("n"))
     spare = F.floor(F.ceil(F.col("n") * percent / 100) / 20)
     place = F.row_number().over(Window.partitionBy("digest").orderBy(F.desc("size"), "h"))
     kept = rows.join(sizes, "digest").withColumn("place", place).filter(F.col("place") > spare)
-    return shared(kept.select("h", "digest"), "blocks").drop("size")
+    out = shared(kept.select("h", "digest"), "size")
+    discard(rows)
+    return out
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -402,7 +404,7 @@ def _true_forest(percent: int):
         return Tree(np.array([len(x) for x in sets], dtype=np.int64), sig, digest, digest), dict(zip(digest.tolist(), sets))
 
     def work(same: bool, left, right) -> list:
-        wide = WIDE << min(5, level_of(max(len(r[1]) // 8 for r in left + right)))
+        wide = WIDE << min(7, level_of(max(len(r[1]) // 8 for r in left + right)))
         x, sets = tree(left, wide)
         y = x
         if not same:
@@ -472,14 +474,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     """One row a document: ``doc_id, n_shingles, component_id``."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
-    prof = profiles(docs, id_col, text, k, percent)
+    whole = profiles(docs, id_col, text, k, percent)
+    entries = entries_of(whole, percent)
+    prof = materialize(whole.drop("prefix"), "profiles")
+    discard(whole)
     reps = prof.filter("n > 0").groupBy("digest").agg(F.min(_key(F.col("doc_id"))).alias("key"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    entries = entries_of(prof, percent)
     reps = materialize(reps.join(entries.select("digest").distinct(), "digest", "left_semi"), "reps")
     stars = entries.filter("leader <> digest").select(F.col("leader").alias("a"), F.col("digest").alias("b")).distinct()
     edges = materialize(plausible(stars, reps, percent), "pairs")
     placed = entries.select("h", "digest").join(components(edges), "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
     placed = materialize(placed, "placed")
+    discard(entries)
     mixed = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo <> hi").select("h", "members")
     more = materialize(searched(placed.join(mixed, "h"), reps, percent), "pairs")
     families = materialize(components(edges.union(more)), "families")
