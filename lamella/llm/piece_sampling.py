@@ -38,6 +38,9 @@ THETA = 1.0
 SAMPLES = 3
 SEED = 17
 
+#: Ids of an output batch after which the next begins: bounds a Python worker's memory with long texts.
+HELD = 1 << 20
+
 _lattices: dict[str, Lattice] = {}
 
 
@@ -71,6 +74,7 @@ class Lattice:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.pieces[name] = (i, -THETA * math.log(2 + max(0.0, -sp.get_score(i))))
         self.longest = max(map(len, self.pieces))
+        self.starts = {name[:j] for name in self.pieces for j in range(1, len(name) + 1)}
         self.words: dict[str, list] = {}
 
     def prepared(self, text: str) -> str:
@@ -98,7 +102,10 @@ class Lattice:
         for i in range(n - 1, -1, -1):
             edges = []
             for j in range(i + 1, min(n, i + self.longest) + 1):
-                p = self.pieces.get(chunk[i:j])
+                part = chunk[i:j]
+                if part not in self.starts:
+                    break
+                p = self.pieces.get(part)
                 if p:
                     edges.append((j - i, (p[0],), p[1] + total[j]))
             if not any(e[0] == 1 for e in edges):
@@ -167,7 +174,8 @@ def sample(nodes: list, k: int, seed: int) -> list[tuple[list[int], float, float
             drawn = [phi + e[2] + pool.pop() for e in edges]
             top = max(drawn)
             best = drawn.index(top)
-            for e, z in zip(edges, drawn):
+            # a child's maximum exceeds its draw by 30 at most, so here none could be among the largest
+            for e, z in () if len(bests) > k and top + 31 < bests[0] else zip(edges, drawn):
                 if z == top:
                     continue
                 # the maximum of all children is g, so each other child's is cut off there
@@ -201,20 +209,27 @@ def sampled(rows: DataFrame, keys: list[str], text: str = "text", k: int = SAMPL
     names = [f"k{i}" for i in range(len(keys))]
     out_names = [*names, "sample", "ids", "log_p", "perturbed", "inclusion", "decoded_same"]
 
+    def batch(b, at, cols):
+        kept = [b.column(i).take(pa.array(at, pa.int64())) for i in range(len(names))]
+        types = (pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
+        return pa.RecordBatch.from_arrays([*kept, *[pa.array(c, t) for c, t in zip(cols, types)]], out_names)
+
     def emit(batches):
         lat = lattice(path)
         for b in batches:
             own = [b.column(i).to_pylist() for i in range(len(names))]
-            at, cols = [], [[] for _ in range(6)]
+            at, cols, held = [], [[] for _ in range(6)], 0
             for i, t in enumerate(b.column(len(names)).to_pylist()):
+                if held > HELD:
+                    yield batch(b, at, cols)
+                    at, cols, held = [], [[] for _ in range(6)], 0
                 t = t or ""
                 for s, (ids, lp, g, inc) in enumerate(sample(lat.nodes(t), k, seed_of(tuple(c[i] for c in own), seed))):
                     at.append(i)
+                    held += len(ids)
                     for c, v in zip(cols, (s, ids, lp, g, inc, lat.decode(ids) == t)):
                         c.append(v)
-            kept = [b.column(i).take(pa.array(at, pa.int64())) for i in range(len(names))]
-            types = (pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([*kept, *[pa.array(c, t) for c, t in zip(cols, types)]], out_names)
+            yield batch(b, at, cols)
 
     schema = ", ".join([f"{n} {r.schema[n].dataType.simpleString()}" for n in names] + ["sample int, ids array<int>, log_p double, perturbed double, inclusion double, decoded_same boolean"])
     return r.mapInArrow(emit, schema).toDF(*keys, *out_names[len(names) :])

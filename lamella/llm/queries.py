@@ -42,11 +42,20 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (toxicity.fold_of("doc_id") == toxicity.HELD_OUT).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "toxic_spans")
 
 
-def op3_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sampled segmentations of every conversation's every turn."""
-    out = piece_sampling.sampled(table(spark, sf_dir, "conversations"), ["conv_id", "turn"])
+def _piece_samples(rows: DataFrame, keys: list[str]) -> DataFrame:
+    out = piece_sampling.sampled(rows, keys)
     ids = F.array_join(F.transform("ids", lambda x: x.cast("string")), " ")
-    return out.select("conv_id", "turn", "sample", F.size("ids").cast("long").alias("n_pieces"), F.crc32(ids.cast("binary")).alias("ids_crc32"), "log_p", "perturbed", "inclusion", "decoded_same")
+    return out.select(*keys, "sample", F.size("ids").cast("long").alias("n_pieces"), F.crc32(ids.cast("binary")).alias("ids_crc32"), "log_p", "perturbed", "inclusion", "decoded_same")
+
+
+def op3_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled segmentations of every document's whole text; registered as ``op3_piece_sampling``."""
+    return _piece_samples(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def op3_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled segmentations of every conversation's every turn; registered as ``op3_conversation_turns``."""
+    return _piece_samples(table(spark, sf_dir, "conversations"), ["conv_id", "turn"])
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,8 +121,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_chat_formatting, op2_toxicity, op3_piece_sampling, op4_token_counts, op5_fingerprints, op6_quality_rules, op7_warc, op8_jaccard_join, op9_best_fit, op10_token_ids, pipeline)
-    return {f.__name__: f for f in own}
+    named = {"op3_documents": "op3_piece_sampling", "op3_piece_sampling": "op3_conversation_turns"}
+    own = (op1_chat_formatting, op2_toxicity, op3_documents, op3_piece_sampling, op4_token_counts, op5_fingerprints, op6_quality_rules, op7_warc, op8_jaccard_join, op9_best_fit, op10_token_ids, pipeline)
+    return {named.get(f.__name__, f.__name__): f for f in own}
 
 
 _WORDS = r"list_filter(string_split_regex(coalesce({t}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
