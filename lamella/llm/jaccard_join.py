@@ -16,7 +16,8 @@
    families; a block gives a spanning forest, not its pairs.
 5. In each family the full sets meet, each once a shard: signature trees with
    wide bitmaps propose pairs, pairs already connected are skipped, the others
-   are intersected, and again a spanning forest of true links comes out.  Blocks
+   are intersected, and again a spanning forest of true links comes out;
+   :func:`jaccard_links` skips none and counts every link.  Blocks
    and families of over ``SHARD`` sets are cut into shards, and every pair of
    shards is a task.  Sets are 64-bit hashes, so a false equality inside a pair
    has odds of about 1e-12.
@@ -393,45 +394,62 @@ def searched(blocks: DataFrame, reps: DataFrame, percent: int = PERCENT) -> Data
     return rows.mapInArrow(lambda batches: _grouped(batches, 8, partial(_plausible_forest, percent=percent)), "a long, b long").distinct()
 
 
-def _true_forest(percent: int):
-    """Family work on rows (digest, items)."""
+def _family_pairs(left, right, same: bool, percent: int, skip):
+    """Digests of the true links in family rows (digest, items, ...), without the pairs that ``skip`` holds for."""
 
     def tree(part, wide):
-        part = sorted(dict(part).items())
+        part = sorted({r[0]: r[1] for r in part}.items())
         sets = [np.frombuffer(x, dtype=np.uint64) for _, x in part]
         sig = np.stack([bitmap(x, wide) for x in sets]).view(np.uint64)
         digest = np.array([d for d, _ in part])
         return Tree(np.array([len(x) for x in sets], dtype=np.int64), sig, digest, digest), dict(zip(digest.tolist(), sets))
 
-    def work(same: bool, left, right) -> list:
-        wide = WIDE << min(7, level_of(max(len(r[1]) // 8 for r in left + right)))
-        x, sets = tree(left, wide)
-        y = x
-        if not same:
-            y, more = tree(right, wide)
-            sets = sets | more
-        forest, out = Forest(), []
-        for i, j in traverse(x, y, percent):
-            for a, b in zip(x.digest[i].tolist(), y.digest[j].tolist()):
-                if forest.root(a) != forest.root(b):
-                    s, t = sets[a], sets[b]
-                    both = len(np.intersect1d(s, t, assume_unique=True))
-                    if 100 * both >= percent * (len(s) + len(t) - both):
-                        forest.join(a, b)
-                        out.append((a, b))
-        return out
+    wide = WIDE << min(7, level_of(max(len(r[1]) // 8 for r in left + right)))
+    x, sets = tree(left, wide)
+    y = x
+    if not same:
+        y, more = tree(right, wide)
+        sets = sets | more
+    for i, j in traverse(x, y, percent):
+        for a, b in zip(x.digest[i].tolist(), y.digest[j].tolist()):
+            if not skip(a, b):
+                s, t = sets[a], sets[b]
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                if 100 * both >= percent * (len(s) + len(t) - both):
+                    yield a, b
+
+
+def _true_forest(same: bool, left, right, percent: int = PERCENT) -> list:
+    """Family work on rows (digest, items): a spanning forest."""
+    forest, out = Forest(), []
+    for a, b in _family_pairs(left, right, same, percent, lambda a, b: forest.root(a) == forest.root(b)):
+        forest.join(a, b)
+        out.append((a, b))
+    return out
+
 
-    return work
+def _true_counts(same: bool, left, right, percent: int = PERCENT) -> list:
+    """Family work on rows (digest, items, copies): every link, counted for each digest by the other one's copies."""
+    copies = {r[0]: r[2] for r in left + right}
+    out: dict = {}
+    for a, b in _family_pairs(left, right, same, percent, lambda a, b: False):
+        out[a] = out.get(a, 0) + copies[b]
+        out[b] = out.get(b, 0) + copies[a]
+    return list(out.items())
 
 
 def _key(c):
     return F.coalesce(c.cast("long"), F.lit(-(1 << 63)))
 
 
-def linked(docs: DataFrame, id_col: str, text: str, families: DataFrame, reps: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """A spanning forest of the true links in each of ``families`` (``digest, comp``); written once."""
+def _in_families(docs: DataFrame, id_col: str, text: str, families: DataFrame, reps: DataFrame, k: int, work, copies: DataFrame | None = None) -> DataFrame:
+    """The pairs ``a, b`` that ``work`` gives for each of ``families`` (``digest, comp``); ``copies`` adds that column to its rows."""
     sizes = families.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
-    wanted = materialize(families.join(sizes, "comp").join(reps.select("digest", "key"), "digest").select("key", "digest", "comp", "members"), "needed")
+    more = ["copies"] if copies is not None else []
+    wanted = families.join(sizes, "comp").join(reps.select("digest", "key"), "digest")
+    if more:
+        wanted = wanted.join(copies, "digest")
+    wanted = materialize(wanted.select("key", "digest", "comp", "members", *more), "needed")
 
     def emit(batches):
         for b in batches:
@@ -439,12 +457,18 @@ def linked(docs: DataFrame, id_col: str, text: str, families: DataFrame, reps: D
             sets = [shingle_set(data, k) for data in as_bytes(b.column(3))]
             ok = pa.array([digest_of(s) == d for s, d in zip(sets, want)], pa.bool_())
             items = pa.array([s.tobytes() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([x.filter(ok) for x in (b.column(0), b.column(1), b.column(2), items)], ["digest", "comp", "members", "items"])
+            cols = [b.column(0), b.column(1), b.column(2), items, *[b.column(4 + c) for c in range(len(more))]]
+            yield pa.RecordBatch.from_arrays([x.filter(ok) for x in cols], ["digest", "comp", "members", "items", *more])
+
+    rows = docs.select(_key(F.col(id_col)).alias("key"), F.col(text).alias("t")).join(small_side(wanted), "key").select("digest", "comp", "members", "t", *more)
+    rows = sharded(rows.mapInArrow(emit, "digest long, comp long, members long, items binary" + "".join(f", {c} long" for c in more)), "comp", ["digest", "items", *more])
+    n_cols = 6 + len(more)
+    return rows.mapInArrow(lambda batches: _grouped(batches, n_cols, work), "a long, b long")
+
 
-    rows = docs.select(_key(F.col(id_col)).alias("key"), F.col(text).alias("t")).join(small_side(wanted), "key").select("digest", "comp", "members", "t")
-    rows = sharded(rows.mapInArrow(emit, "digest long, comp long, members long, items binary"), "comp", ["digest", "items"])
-    work = _true_forest(percent)
-    return materialize(rows.mapInArrow(lambda batches: _grouped(batches, 6, work), "a long, b long"), "links")
+def linked(docs: DataFrame, id_col: str, text: str, families: DataFrame, reps: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
+    """A spanning forest of the true links in each of ``families`` (``digest, comp``); written once."""
+    return materialize(_in_families(docs, id_col, text, families, reps, k, partial(_true_forest, percent=percent)), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -470,8 +494,8 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("digest"), F.col("v").alias("comp")).union(roots)
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
-    """One row a document: ``doc_id, n_shingles, component_id``."""
+def _families_of(docs: DataFrame, id_col: str, text: str, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Profiles, a document for each digest that may link, and the families of those digests (``digest, comp``)."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     whole = profiles(docs, id_col, text, k, percent)
@@ -487,11 +511,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     discard(entries)
     mixed = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo <> hi").select("h", "members")
     more = materialize(searched(placed.join(mixed, "h"), reps, percent), "pairs")
-    families = materialize(components(edges.union(more)), "families")
+    return prof, reps, materialize(components(edges.union(more)), "families")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
+    """One row a document: ``doc_id, n_shingles, component_id``."""
+    prof, reps, families = _families_of(docs, id_col, text, k, percent)
     comps = components(linked(docs, id_col, text, families, reps, k, percent))
     return membership(prof, comps)
 
 
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
+    """One row a document: ``doc_id, n_shingles, n_links``, the other rows that it links with directly.
+
+    All plausible pairs inside the families are verified, none skipped; equal
+    sets are one digest and count by their copies, repeated rows each.
+    """
+    prof, reps, families = _families_of(docs, id_col, text, k, percent)
+    copies = materialize(prof.filter("n > 0").groupBy("digest").agg(F.count(F.lit(1)).alias("copies")), "copies")
+    counts = _in_families(docs, id_col, text, families, reps, k, partial(_true_counts, percent=percent), copies)
+    counts = counts.groupBy(F.col("a").alias("digest")).agg(F.sum("b").alias("others"))
+    by_digest = copies.join(counts, "digest", "left").select("digest", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    out = prof.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
+    return out.join(by_digest, "digest", "left").select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def membership(prof: DataFrame, comps: DataFrame) -> DataFrame:
     """Each document with the smallest document id of its component."""
     least = prof.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc")).join(comps, "digest", "left")

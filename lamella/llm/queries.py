@@ -103,6 +103,11 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of direct near-duplicate links of all documents."""
+    return jaccard_join.jaccard_links(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed."""
     return best_fit.packed_documents(table(spark, sf_dir, "documents"))
@@ -122,7 +127,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = {"op3_documents": "op3_piece_sampling", "op3_piece_sampling": "op3_conversation_turns"}
-    own = (op1_chat_formatting, op2_toxicity, op3_documents, op3_piece_sampling, op4_token_counts, op5_fingerprints, op6_quality_rules, op7_warc, op8_jaccard_join, op9_best_fit, op10_token_ids, pipeline)
+    own = (op1_chat_formatting, op2_toxicity, op3_documents, op3_piece_sampling, op4_token_counts, op5_fingerprints, op6_quality_rules, op7_warc, op8_jaccard_join, op8_jaccard_links, op9_best_fit, op10_token_ids, pipeline)
     return {named.get(f.__name__, f.__name__): f for f in own}
 
 
