@@ -54,7 +54,6 @@ LEAF, FAN = 8, 4
 #: Size from which blocks count as equally large.
 LARGE = 1 << 14
 SAMPLE, COMMON, COMMON_MOST = 16, 6, 1 << 17
-ROUNDS = 40
 #: Digests a Python task remembers so that it enters equal texts once.
 SEEN = 200_000
 
@@ -472,14 +471,14 @@ def linked(docs: DataFrame, id_col: str, text: str, families: DataFrame, reps: D
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``digest, comp`` of every linked digest, ``comp`` the smallest in reach; alternating large and small stars.
+    """``digest, comp`` of every linked digest, ``comp`` the smallest in reach; alternating large and small stars until nothing changes.
 
     Each round is written to the shared folder.  Minima are aggregated before
     they are shuffled, so a digest with very many links needs no large group.
     """
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     state = None
-    for _ in range(ROUNDS):
+    while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
