@@ -64,16 +64,22 @@ def gaps(spans: DataFrame, key: str, start: str, end: str, total: str) -> DataFr
     return inner.union(last)
 
 
-def packed(rows: DataFrame, group: str, order: str, tokens: str, budget: int) -> DataFrame:
-    """Greedy packing under a token budget in order, leaving out what doesn't fit and going on."""
+def packed(rows: DataFrame, group: str, order: str, tokens: str, budget: int, short: str | None = None) -> DataFrame:
+    """Greedy packing under a token budget in order, leaving out what doesn't fit and going on.
+
+    With ``short``, the tokens of a row's signature, a row whose full text doesn't
+    fit goes in by its signature if that fits; ``form`` says which, null if neither.
+    """
+    columns = [group, order, tokens, *([short] if short else [])]
 
     def work(pdf):
         pdf = pdf.sort_values([order, tokens], ignore_index=True)
-        left, kept = budget, []
-        for n in pdf[tokens]:
-            kept.append(n <= left)
-            left -= n if kept[-1] else 0
-        return pdf.assign(included=kept)
-
-    t = {c: rows.schema[c].dataType.simpleString() for c in (group, order, tokens)}
-    return rows.select(group, order, tokens).groupBy(group).applyInPandas(work, ", ".join(f"{c} {x}" for c, x in t.items()) + ", included boolean")
+        left, forms = budget, []
+        for n, m in zip(pdf[tokens], pdf[short or tokens]):
+            forms.append("full" if n <= left else "signature" if short and m <= left else None)
+            left -= n if forms[-1] == "full" else m if forms[-1] else 0
+        out = pdf.assign(included=[f is not None for f in forms])
+        return out.assign(form=forms) if short else out
+
+    t = {c: rows.schema[c].dataType.simpleString() for c in columns}
+    return rows.select(*columns).groupBy(group).applyInPandas(work, ", ".join(f"{c} {x}" for c, x in t.items()) + ", included boolean" + ", form string" * bool(short))

@@ -372,7 +372,8 @@ def token_budget(spark, sf_dir):
 
 @query()
 def context_pack(spark, sf_dir):
-    return search.packed(table(spark, sf_dir, "conversations").select("conv_id", "turn", T.token_estimate(F.col("text")).alias("tokens")), "conv_id", "turn", "tokens", 900)
+    sizes = T.token_estimate(F.col("text")).alias("tokens"), T.token_estimate(T.signature(F.col("text"))).alias("short_tokens")
+    return search.packed(table(spark, sf_dir, "conversations").select("conv_id", "turn", *sizes), "conv_id", "turn", "tokens", 900, "short_tokens")
 
 
 @query(rf"""WITH {_LINED}, n AS (SELECT doc_id, len(l) AS n FROM l WHERE len(l) > 8) SELECT doc_id AS file_path, CAST(a AS BIGINT) AS gap_start, CAST(b AS BIGINT) AS gap_end FROM (SELECT doc_id, 1 AS a, 1 AS b FROM n UNION ALL SELECT doc_id, 5, 6 FROM n UNION ALL SELECT doc_id, 9, n FROM n)""")
