@@ -2,14 +2,17 @@
 
 Lineage is cut by writing a Parquet table below ``spark.checkpoint.dir`` and
 reading it again, so a lost executor costs a re-read and not a recomputation.
-Where that setting is absent (local tests) one temporary folder is made.
+Where that setting is absent one temporary folder is made, for a local master
+only: on a cluster executors would each write to a folder of their own.
 """
 
 from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,12 +28,17 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _made: list[str] = []
 _fallback: list[str] = []
+_cleaning: dict[int, tuple[int, str]] = {}
+_lock = threading.Lock()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set."""
+    """The cluster's shared folder; a temporary one only where none is set and the master is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _fallback:
             _fallback.append("file://" + tempfile.mkdtemp(prefix="lamella-"))
         base = _fallback[0]
@@ -49,6 +57,26 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+@contextmanager
+def _shuffle_cleanup(spark: SparkSession):
+    """The session gives up a statement's shuffle files while any write of this module runs in it."""
+    key = id(spark)
+    with _lock:
+        n, before = _cleaning.get(key, (0, spark.conf.get(CLEANUP, "false")))
+        _cleaning[key] = n + 1, before
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            n, before = _cleaning[key]
+            if n > 1:
+                _cleaning[key] = n - 1, before
+            else:
+                del _cleaning[key]
+                spark.conf.set(CLEANUP, before)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back.
 
@@ -56,20 +84,28 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _shuffle_cleanup(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
 
 
 def discard(table: DataFrame) -> None:
-    """Remove a table of :func:`materialize` that nothing reads any more."""
-    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        if any(path.endswith(own.rsplit("/", 1)[1]) for own in _made):
-            _delete(table.sparkSession, path)
+    """Remove a table that :func:`materialize` returned and that nothing reads any more."""
+    path = table._written_at
+    _delete(table.sparkSession, path)
+    _made.remove(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Removes at its end what was written below it, but for tables that ``keep(table)``, its value, names."""
+    before, kept = len(_made), []
+    yield lambda table: kept.append(table._written_at)
+    for path in [p for p in _made[before:] if p not in kept]:
+        _delete(spark, path)
+        _made.remove(path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

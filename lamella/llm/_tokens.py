@@ -42,6 +42,13 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def id_type(path: str) -> str:
+    """The numpy type that holds every id of the tokenizer."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
+
+
 def encoder(path: str) -> Encoder:
     """One encoder for each Python worker and file."""
     if path not in _encoders:

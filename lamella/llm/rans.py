@@ -15,6 +15,9 @@ A reader can start at any checkpoint.  Reading checks every crc32.
 Defined cases: null texts count as empty and hold the end id alone; null ids
 sort first; repeated rows are written each; an empty table gives an empty
 result; other columns are ignored; very long texts span many blocks.
+
+Between the tokenizer and the files an id takes two bytes where the vocabulary
+has at most 65,536 ids, else four.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ from pyspark.sql import functions as F
 
 from ._files import Written, opened
 from ._ranges import bounds, key_of, range_count, range_udf
-from ._store import materialize, new_path, small_batches
-from ._tokens import default_path, encoder
+from ._store import discard, materialize, new_path, small_batches
+from ._tokens import default_path, encoder, id_type
 
 MAGIC = b"LRANS001"
 SCALE_BITS = 20
@@ -41,7 +44,6 @@ LANES = 4096
 LOW = np.uint64(1 << 31)
 RANGE_ROWS = 500_000
 END_ID = 1
-END = struct.pack("<I", END_ID)
 _CHECKPOINT = struct.Struct("<QQIIII")
 _DOC = struct.Struct("<qBQ")
 
@@ -221,25 +223,26 @@ class FileReader:
 
 
 def token_rows(docs: DataFrame, id_col: str, text: str, path: str) -> DataFrame:
-    """``doc_id, key, ids``: little-endian ids of each document with the end id."""
+    """``doc_id, key, ids``: each document's ids with the end id, as :func:`id_type` little-endian integers."""
+    dtype = id_type(path)
 
     def emit(batches):
-        enc = encoder(path)
+        enc, end = encoder(path), np.array([END_ID], dtype=dtype).tobytes()
         for b in batches:
-            ids = [x.tobytes() + END for x in enc.many(b.column(1).to_pylist())]
+            ids = [x.astype(dtype).tobytes() + end for x in enc.many(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(emit, "doc_id long, ids binary")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("t")).mapInArrow(emit, "doc_id long, ids binary")
     return rows.withColumn("key", key_of(F.col("doc_id")))
 
 
-def frequency_table(tokens: DataFrame) -> Table:
+def frequency_table(tokens: DataFrame, dtype: str) -> Table:
     """Counts over all documents; a row a different id reaches the driver, so at most the vocabulary."""
 
     def emit(batches):
         total = np.zeros(1, dtype=np.int64)
         for b in batches:
-            c = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), dtype="<u4"))
+            c = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), dtype=dtype))
             if len(c) > len(total):
                 c[: len(total)] += total
                 total = c
@@ -259,8 +262,10 @@ def write_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str
     """Write ``docs`` to ``folder``; a manifest (``range, file, n_docs, n_tokens``, one row a file) and the table."""
     spark = docs.sparkSession
     small_batches(spark)
-    tokens = materialize(token_rows(docs, id_col, text, path or default_path()), "tokens")
-    table = frequency_table(tokens)
+    path = path or default_path()
+    dtype = id_type(path)
+    tokens = materialize(token_rows(docs, id_col, text, path), "tokens")
+    table = frequency_table(tokens, dtype)
     cuts = bounds(tokens.select("key"), "key", range_count(spark, tokens.count(), RANGE_ROWS))
     freq = spark.sparkContext.broadcast(table.freq)
 
@@ -282,14 +287,17 @@ def write_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str
                     uri = f"{folder}/part-{rng:08d}.rans"
                     now, held = rng, Written(uri)
                     writer = FileWriter(held.__enter__(), own)
-                writer.add(doc, np.frombuffer(ids, dtype="<u4"))
+                writer.add(doc, np.frombuffer(ids, dtype=dtype).astype("<u4"))
         if writer:
             finish()
         cols = list(zip(*done)) or [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["range", "file", "n_docs", "n_tokens"])
 
-    rows = tokens.select(range_udf(cuts)("key").cast("long").alias("range"), "key", "doc_id", "ids").repartition(len(cuts) + 1, "range").sortWithinPartitions("range", "key", "ids").select("range", "doc_id", "ids")
-    return materialize(rows.mapInArrow(emit, "range long, file string, n_docs long, n_tokens long"), "manifest"), table
+    rows = tokens.select(range_udf(cuts)("key").alias("range"), "key", "doc_id", "ids").repartitionById(len(cuts) + 1, "range")
+    rows = rows.sortWithinPartitions("range", "key", "ids").select(F.col("range").cast("long"), "doc_id", "ids")
+    manifest = materialize(rows.mapInArrow(emit, "range long, file string, n_docs long, n_tokens long"), "manifest")
+    discard(tokens)
+    return manifest, table
 
 
 def read_files(manifest: DataFrame, table: Table) -> DataFrame:
