@@ -9,8 +9,9 @@ that both sides are shuffled and adaptive execution splits a hot host.
 
 Defined cases: a null text counts as empty (no words, hence failed); null hosts
 form one host of their own; an empty table gives an empty result; repeated rows
-are measured one by one; columns of the input are kept whatever their names
-(own columns have a ``_q_`` prefix until the end).
+and ties are measured one by one and all kept or all not; a text of any length
+is measured whole in its row; the input's columns stay in one struct, so none
+of their names can clash with a measure.
 """
 
 from __future__ import annotations
@@ -33,54 +34,59 @@ STRENGTH = (2.0, 1e6)
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``_q_<measure>`` columns and the rules' flags.
+def measured(docs: DataFrame, text: str = "text", host: str = "source", keep: list[str] | None = None) -> DataFrame:
+    """``row`` (the columns ``keep`` of ``docs``, all unless given), ``host``, the measures and the rules' flags.
 
     Windows of three words are compared by a 64-bit hash and their position:
     the array of (hash, position) is sorted, neighbours with equal hashes are
     repeats, and the words under them are counted from the gaps between their
     positions.  Everything stays in the document's own row, so nothing is
-    shuffled.
+    shuffled.  ``mark`` is a row number that filters have to read as well: without
+    it the optimizer moves them below the measures and computes these for every
+    word anew.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    d = docs.withColumn("_q_w", F.array_remove(F.split(t, SPACES), ""))
-    n = F.size("_q_w")
-    word = lambda i: F.get(F.col("_q_w"), i)
-    d = d.withColumn("_q_s", F.sort_array(F.transform(F.slice("_q_w", 1, F.greatest(n - 2, F.lit(0))), lambda x, i: F.struct(F.xxhash64(x, word(i + 1), word(i + 2)).alias("h"), i.alias("i")))))
-    hash_at = lambda k: F.get(F.col("_q_s"), k)["h"]
-    twice = F.filter("_q_s", lambda x, k: (x["h"] == hash_at(k - 1)) | (x["h"] == hash_at(k + 1)))
-    d = d.withColumn("_q_p", F.array_sort(F.transform(twice, lambda x: x["i"])))
-    gaps = F.zip_with(F.col("_q_p"), F.slice("_q_p", 2, F.size("_q_p")), lambda a, b: F.least(F.lit(3), b - a))
-    d = d.withColumn("_q_l", F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    d = d.withColumns({
-        "_q_n_words": n.cast("long"),
-        "_q_word_chars": F.length(F.array_join("_q_w", "")).cast("long"),
-        "_q_n_symbols": F.regexp_count(t, F.lit(SYMBOLS)).cast("long"),
-        "_q_n_lines": F.size("_q_l").cast("long"),
-        "_q_n_dup_lines": (F.size("_q_l") - F.size(F.array_distinct("_q_l"))).cast("long"),
-        "_q_n_repeat_words": F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x),
-    }).drop("_q_w", "_q_s", "_q_p", "_q_l")
-    c = lambda x: F.col(f"_q_{x}")
+    col = lambda c: F.col(f"`{c}`")
+    d = docs.select(F.struct(*[col(c) for c in (docs.columns if keep is None else keep)]).alias("row"), col(host).alias("host"), F.coalesce(col(text), F.lit("")).alias("t"))
+    d = d.withColumn("w", F.array_remove(F.split("t", SPACES), ""))
+    n = F.size("w")
+    word = lambda i: F.get(F.col("w"), i)
+    d = d.withColumn("s", F.sort_array(F.transform(F.slice("w", 1, F.greatest(n - 2, F.lit(0))), lambda x, i: F.struct(F.xxhash64(x, word(i + 1), word(i + 2)).alias("h"), i.alias("i")))))
+    hash_at = lambda k: F.get(F.col("s"), k)["h"]
+    twice = F.filter("s", lambda x, k: (x["h"] == hash_at(k - 1)) | (x["h"] == hash_at(k + 1)))
+    d = d.withColumn("p", F.array_sort(F.transform(twice, lambda x: x["i"])))
+    gaps = F.zip_with(F.col("p"), F.slice("p", 2, F.size("p")), lambda a, b: F.least(F.lit(3), b - a))
+    d = d.withColumn("l", F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    d = d.select(
+        "row",
+        "host",
+        F.monotonically_increasing_id().alias("mark"),
+        n.cast("long").alias("n_words"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        F.regexp_count("t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        F.size("l").cast("long").alias("n_lines"),
+        (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
+        F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_repeat_words"),
+    )
     return d.withColumns({
-        "_q_short": c("n_words") < MIN_WORDS,
-        "_q_repetitive": 100 * c("n_repeat_words") > MAX_REPEATED_PERCENT * c("n_words"),
-        "_q_symbols": 100 * c("n_symbols") > MAX_SYMBOL_PERCENT * c("word_chars"),
-        "_q_dup": 100 * c("n_dup_lines") > MAX_DUP_LINES_PERCENT * c("n_lines"),
+        "short": F.col("n_words") < MIN_WORDS,
+        "repetitive": 100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"),
+        "symbols": 100 * F.col("n_symbols") > MAX_SYMBOL_PERCENT * F.col("word_chars"),
+        "dup": 100 * F.col("n_dup_lines") > MAX_DUP_LINES_PERCENT * F.col("n_lines"),
     }).withColumns({
-        "_q_base_failed": F.col("_q_short") | F.col("_q_repetitive"),
-        "_q_any_failed": F.col("_q_short") | F.col("_q_repetitive") | F.col("_q_symbols") | F.col("_q_dup"),
+        "base_failed": F.col("short") | F.col("repetitive"),
+        "any_failed": F.col("short") | F.col("repetitive") | F.col("symbols") | F.col("dup"),
     })
 
 
-def host_table(scored: DataFrame, host: str = "source") -> DataFrame:
+def host_table(scored: DataFrame) -> DataFrame:
     """One row a host: documents, failures of each rule and of any rule."""
-    count = lambda x: F.sum(F.col(f"_q_{x}").cast("long"))
-    return scored.groupBy(F.col(host).alias("_q_host")).agg(F.count(F.lit(1)).alias("_q_docs"), *[count(x).alias(f"_q_host_{x}") for x in ("short", "repetitive", "symbols", "dup", "any_failed")])
+    count = lambda x: F.sum(F.col(x).cast("long"))
+    return scored.groupBy("host").agg(F.count(F.lit(1)).alias("docs"), *[count(x).alias(f"host_{x}") for x in ("short", "repetitive", "symbols", "dup", "any_failed")])
 
 
 def beta_prior(hosts: DataFrame) -> tuple[int, float, float]:
     """Number of hosts, and the beta prior whose mean and variance are those of the hosts' rates."""
-    rate = F.col("_q_host_any_failed") / F.col("_q_docs")
+    rate = F.col("host_any_failed") / F.col("docs")
     n, mean, var = hosts.agg(F.count(F.lit(1)), F.avg(rate), F.var_samp(rate)).first()
     if not n:
         return 0, 1.0, 1.0
@@ -89,24 +95,33 @@ def beta_prior(hosts: DataFrame) -> tuple[int, float, float]:
     return n, mean * strength, (1 - mean) * strength
 
 
-def judged(docs: DataFrame, text: str = "text", host: str = "source", max_host_rate: float = MAX_HOST_RATE, keep_text: bool = True) -> DataFrame:
-    """All rows of ``docs`` with ``_q_`` measures, the host's shrunk rate and ``_q_kept``.
-
-    The measured rows are written once to the shared folder, so that the sums
-    by host and the join both read them instead of measuring twice.
-    """
-    scored = measured(docs, text)
-    scored = materialize(scored if keep_text else scored.drop(text), "quality")
-    hosts = host_table(scored, host)
+def with_verdict(scored: DataFrame, hosts: DataFrame, max_host_rate: float) -> DataFrame:
+    """``scored`` with its host's shrunk ``host_rate`` and ``kept``."""
     n, a, b = beta_prior(hosts)
-    hosts = hosts.select("_q_host", ((F.col("_q_host_any_failed") + F.lit(a)) / (F.col("_q_docs") + F.lit(a + b))).alias("_q_host_rate"))
+    hosts = hosts.select(F.col("host").alias("own"), ((F.col("host_any_failed") + F.lit(a)) / (F.col("docs") + F.lit(a + b))).alias("host_rate"))
     if n <= HOSTS:
         hosts = F.broadcast(hosts)
-    out = scored.join(hosts, scored[host].eqNullSafe(hosts["_q_host"]), "left").drop("_q_host")
-    kept: Column = ~F.col("_q_base_failed") & (F.col("_q_host_rate") <= max_host_rate)
-    return out.withColumn("_q_kept", kept)
+    kept: Column = (F.col("mark") >= 0) & ~F.col("base_failed") & (F.col("host_rate") <= max_host_rate)
+    return scored.join(hosts, F.col("host").eqNullSafe(F.col("own")), "left").withColumn("kept", kept).drop("own", "mark")
+
+
+def judged(docs: DataFrame, text: str = "text", host: str = "source", max_host_rate: float = MAX_HOST_RATE, keep: list[str] | None = None) -> DataFrame:
+    """Every row of ``docs`` as ``row`` (columns ``keep``, all but the text unless given), ``host``, measures, flags, ``host_rate`` and ``kept``.
+
+    The measures are written once to the shared folder, without the text, so
+    that the sums by host and the join both read them instead of measuring twice.
+    """
+    scored = materialize(measured(docs, text, host, [c for c in docs.columns if c != text] if keep is None else keep), "quality")
+    return with_verdict(scored, host_table(scored), max_host_rate)
 
 
-def kept_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that pass, with the columns of ``docs``."""
-    return judged(docs, **options).filter("_q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+def kept_documents(docs: DataFrame, text: str = "text", host: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
+    """The rows of ``docs`` that pass, with the columns of ``docs``.
+
+    Only the hosts' sums are written.  The rows themselves are read and
+    measured once for the sums and once for the verdict, which costs less than
+    writing every text again and leaves nothing behind.
+    """
+    scored = measured(docs, text, host)
+    hosts = materialize(host_table(scored), "hosts")
+    return with_verdict(scored, hosts, max_host_rate).filter("kept").select("row.*")

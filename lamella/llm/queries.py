@@ -21,7 +21,8 @@ CONTROL = "\\### Assistant: </turn> ok"
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation and conversation -7, rendered and read back."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
+    said = [F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(turn).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(CONTROL).alias("text")) for turn, role in enumerate(("user", "assistant"))]
+    extra = spark.range(1).select(F.inline(F.array(*said)))
     rows = chat_format.parsed(chat_format.formatted(chat_format.log_of_turns(turns.unionByName(extra))))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join("loss_texts", "")
@@ -42,20 +43,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (toxicity.fold_of("doc_id") == toxicity.HELD_OUT).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "toxic_spans")
 
 
-def _piece_samples(rows: DataFrame, keys: list[str]) -> DataFrame:
-    out = piece_sampling.sampled(rows, keys)
-    ids = F.array_join(F.transform("ids", lambda x: x.cast("string")), " ")
-    return out.select(*keys, "sample", F.size("ids").cast("long").alias("n_pieces"), F.crc32(ids.cast("binary")).alias("ids_crc32"), "log_p", "perturbed", "inclusion", "decoded_same")
-
-
-def op3_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sampled segmentations of every document's whole text; registered as ``op3_piece_sampling``."""
-    return _piece_samples(table(spark, sf_dir, "documents"), ["doc_id"])
-
-
 def op3_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sampled segmentations of every conversation's every turn; registered as ``op3_conversation_turns``."""
-    return _piece_samples(table(spark, sf_dir, "conversations"), ["conv_id", "turn"])
+    """Sampled segmentations of every document's whole text."""
+    out = piece_sampling.sampled(table(spark, sf_dir, "documents"), ["doc_id"])
+    ids = F.array_join(F.transform("ids", lambda x: x.cast("string")), " ")
+    return out.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.crc32(ids.cast("binary")).alias("ids_crc32"), "log_p", "perturbed", "inclusion", "decoded_same")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,8 +80,8 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    out = quality_rules.judged(docs, keep_text=False)
-    return out.select("doc_id", *[F.col(f"_q_{m}").alias(m) for m in quality_rules.MEASURES], F.col("_q_base_failed").alias("base_failed"), F.col("_q_kept").alias("kept"))
+    out = quality_rules.judged(docs, keep=["doc_id"])
+    return out.select("row.doc_id", *quality_rules.MEASURES, "base_failed", "kept")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,17 +110,9 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.round_trip(table(spark, sf_dir, "documents"))
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole corpus pipeline."""
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = {"op3_documents": "op3_piece_sampling", "op3_piece_sampling": "op3_conversation_turns"}
-    own = (op1_chat_formatting, op2_toxicity, op3_documents, op3_piece_sampling, op4_token_counts, op5_fingerprints, op6_quality_rules, op7_warc, op8_jaccard_join, op8_jaccard_links, op9_best_fit, op10_token_ids, pipeline)
-    return {named.get(f.__name__, f.__name__): f for f in own}
+    own = (op1_chat_formatting, op2_toxicity, op3_piece_sampling, op4_token_counts, op5_fingerprints, op6_quality_rules, op7_warc, op8_jaccard_join, op8_jaccard_links, op9_best_fit, op10_token_ids)
+    return {f.__name__: f for f in own}
 
 
 _WORDS = r"list_filter(string_split_regex(coalesce({t}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"

@@ -8,7 +8,7 @@ def test_rejected_host(spark):
     good = [(i, words(i), f"good{i % 4}") for i in range(80)]
     bad = [(100 + i, words(i) + " " + "#" * 60, "bad") for i in range(99)] + [(199, words(199), "bad")]
     rows = spark.createDataFrame(good + bad, "doc_id long, text string, source string")
-    out = {r["doc_id"]: r for r in quality_rules.judged(rows).collect()}
-    assert not any(r["_q_base_failed"] for r in out.values())
-    assert out[199]["_q_host_rate"] > quality_rules.MAX_HOST_RATE and not out[199]["_q_any_failed"]
-    assert {d for d, r in out.items() if r["_q_kept"]} == set(range(80))
+    out = {r["row"]["doc_id"]: r for r in quality_rules.judged(rows).collect()}
+    assert not any(r["base_failed"] for r in out.values())
+    assert out[199]["host_rate"] > quality_rules.MAX_HOST_RATE and not out[199]["any_failed"]
+    assert {d for d, r in out.items() if r["kept"]} == set(range(80))
