@@ -12,9 +12,12 @@ texts ``\``, ``#`` and ``<`` (in roles ``:`` too) are written ``\b``, ``\h``,
 by plain replacement.
 
 Defined cases: null texts and roles count as empty; messages sort by
-``message_id`` (null first); events of equal ``seq`` sort by kind and text;
-repeated events fold as they come; an unknown kind is an error of the caller and
-is treated as ``delta``; an empty log gives no rows; other columns are ignored.
+``message_id`` (null first); an event delivered twice (all its columns equal)
+counts once; of different events of equal ``seq`` those that start anew come
+first, then they sort by kind and text, and whatever stands before the last one
+that starts anew is replaced; null and unknown kinds are treated as ``delta``; an
+empty log gives no rows; texts of any length are folded whole; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ END = "</turn>\n"
 OPEN = "### "
 AFTER_ROLE = ": "
 RESETS = ("open", "edit", "regenerate")
+DRAFT = 8
 
 
 def escaped(c: Column, role: bool = False) -> Column:
@@ -43,18 +47,15 @@ def unescaped(c: Column) -> Column:
 
 def folded(events: DataFrame) -> DataFrame:
     """One row a message that is not deleted: ``conv_id, message_id, role, text``."""
-    e = events.select("conv_id", "message_id", "seq", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    reset = F.max(F.when(F.col("kind").isin(*RESETS), F.col("seq")))
-    g = e.groupBy("conv_id", "message_id").agg(
-        F.array_sort(F.collect_list(F.struct("seq", F.when(F.col("kind").isin(*RESETS), 0).otherwise(1).alias("rank"), "kind", "text", "role"))).alias("log"),
-        reset.alias("reset"),
-    )
-    live = F.filter("log", lambda x: (F.col("reset").isNull() | (x["seq"] >= F.col("reset"))) & (x["kind"] != "delete"))
+    e = events.select("conv_id", "message_id", "seq", F.coalesce("kind", F.lit("delta")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    starts = F.col("kind").isin(*RESETS)
+    one = F.struct("seq", F.when(starts, 0).otherwise(1).alias("rank"), "kind", "text", "role")
+    g = e.groupBy("conv_id", "message_id").agg(F.array_sort(F.array_distinct(F.collect_list(one))).alias("log"))
+    last = F.array_max(F.transform("log", lambda x, i: F.when(x["rank"] == 0, i).otherwise(-1)))
+    g = g.filter(F.element_at("log", -1)["kind"] != "delete").withColumn("last", last)
+    live = F.filter("log", lambda x, i: (i >= F.col("last")) & (x["kind"] != "delete"))
     roles = F.filter("log", lambda x: x["role"] != "")
-    return (
-        g.filter(F.coalesce(F.element_at("log", -1)["kind"], F.lit("")) != "delete")
-        .select("conv_id", "message_id", F.coalesce(F.get(roles, F.size(roles) - 1)["role"], F.lit("")).alias("role"), F.array_join(F.transform(live, lambda x: x["text"]), "").alias("text"))
-    )
+    return g.select("conv_id", "message_id", F.coalesce(F.get(roles, F.size(roles) - 1)["role"], F.lit("")).alias("role"), F.array_join(F.transform(live, lambda x: x["text"]), "").alias("text"))
 
 
 def rendered(messages: DataFrame, trained: str = "assistant") -> DataFrame:
@@ -97,14 +98,19 @@ def parsed(rows: DataFrame) -> DataFrame:
 
 
 def log_of_turns(turns: DataFrame) -> DataFrame:
-    """A table of whole turns (``conv_id, turn, role, text``) as the event log of a streamed reply.
+    """A table of whole turns (``conv_id, turn, role, text``) as the event log of streamed and revised messages.
 
-    Each row opens a message with the first half of its text and streams the
-    rest as one delta.  Every row is a message of its own, repeated rows too;
-    rows of one turn sort by the hash of role and text.
+    An assistant's message opens with a draft, is regenerated from the first
+    half of its text and streams the rest as one delta, delivered twice; any
+    other one opens with a draft that an edit replaces.  A draft is at most
+    ``DRAFT`` code points of the text, upside down.  Every row is a message of
+    its own, repeated rows too; rows of one turn sort by the hash of role and text.
     """
     text = F.coalesce("text", F.lit(""))
     half = F.floor(F.length(text) / 2).cast("int")
     row = turns.select("conv_id", F.struct("turn", F.xxhash64("role", "text").alias("tie"), F.monotonically_increasing_id().alias("row")).alias("message_id"), "role", text.alias("text"), half.alias("half"))
+    draft, rest = F.reverse(F.substr("text", F.lit(1), F.lit(DRAFT))), F.substr("text", F.col("half") + 1)
     event = lambda seq, kind, part: F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), part.alias("part"))
-    return row.select("conv_id", "message_id", "role", F.inline(F.array(event(0, "open", F.substr("text", F.lit(1), F.col("half"))), event(1, "delta", F.substr("text", F.col("half") + 1))))).withColumnRenamed("part", "text")
+    streamed = F.array(event(0, "open", draft), event(1, "regenerate", F.substr("text", F.lit(1), F.col("half"))), event(2, "delta", rest), event(2, "delta", rest))
+    edited = F.array(event(0, "open", draft), event(1, "edit", F.col("text")))
+    return row.select("conv_id", "message_id", "role", F.inline(F.when(F.col("role") == "assistant", streamed).otherwise(edited))).withColumnRenamed("part", "text")
