@@ -1,21 +1,26 @@
 """Threshold-scaled sketches of texts.
 
 A sketch keeps every five-word shingle hash below 1/``SCALE`` of the hash
-space, and where none is below it the smallest hash, so that a text with words
-never has an empty sketch.  Two sketches merge by set union (a lone hash above
-the threshold goes when others are below it), which gives the sketch of the
-union, whatever the sizes; the containment of one text in another is the share
-of its kept hashes that the other also holds.  ``likeness`` is the containment
-of the smaller sketch in the larger, made for very unequal texts.
+space, whatever the text's length.  Two sketches merge by set union, which gives
+the sketch of the union; the containment of one text in another is the share of
+its kept hashes that the other also holds.  ``likeness`` is the containment of
+the smaller sketch in the larger, made for very unequal texts.
+
+A text with words of which no hash lies below the threshold (odds ``(1 -
+1/SCALE) ** n`` for ``n`` different shingles: 1/16 for four, 1/256 for eight)
+has its smallest hash for a sketch, which is above the threshold.  It tells equal texts apart from others and is never compared with kept hashes, of
+which it knows nothing: its likeness to another sketch is 0 unless they are the
+same.
 
 A fingerprint is the sorted hashes as little-endian bytes in base 64.
 
 Defined cases: null texts count as empty; a text without words has an empty
 fingerprint; two empty fingerprints have likeness 1, an empty and another 0;
 equal texts have equal fingerprints; under five words the whole sequence is the
-one shingle; repeated rows follow one another and are each other's neighbours;
-null ids come last in descending order; an empty table gives no rows; other
-columns are ignored.
+one shingle; texts of any length are hashed whole, a slice at a time; repeated
+rows follow one another and are each other's neighbours, rows of one id sort by
+their text; null ids come last in descending order; an empty table gives no
+rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,34 +38,44 @@ from ._store import small_batches
 from ._words import shingles
 
 K = 5
-SCALE = 8
+SCALE = 2
 RANGE_ROWS = 500_000
 
 
+def limit_of(scale: int = SCALE) -> np.uint64:
+    """Hashes below it are kept."""
+    return np.uint64((1 << 64) // scale) if scale > 1 else np.uint64((1 << 64) - 1)
+
+
 def sketch(text: str, k: int = K, scale: int = SCALE) -> np.ndarray:
     h = shingles(text.encode(), k)
     if not len(h):
         return h
-    low = h[h < np.uint64((1 << 64) // scale)]
+    low = h[h < limit_of(scale)]
     return np.unique(low) if len(low) else h.min(keepdims=True)
 
 
+def lone(s: np.ndarray, scale: int = SCALE) -> bool:
+    """Whether a sketch is of words none of whose hashes is kept."""
+    return len(s) == 1 and bool(s[0] >= limit_of(scale))
+
+
 def merged(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> np.ndarray:
     """The sketch of both texts' shingles together."""
     both = np.union1d(a, b)
-    low = both[both < np.uint64((1 << 64) // scale)]
+    low = both[both < limit_of(scale)]
     return low if len(low) else both[:1]
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
+def containment(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> float:
     """Estimated share of ``a``'s shingles that ``b`` holds."""
-    if not len(a):
-        return 1.0 if not len(b) else 0.0
+    if not len(a) or not len(b) or lone(a, scale) or lone(b, scale):
+        return float(np.array_equal(a, b))
     return len(np.intersect1d(a, b, assume_unique=True)) / len(a)
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    return containment(a, b) if len(a) <= len(b) else containment(b, a)
+def likeness(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> float:
+    return containment(a, b, scale) if len(a) <= len(b) else containment(b, a, scale)
 
 
 def written(s: np.ndarray) -> str:
@@ -86,7 +101,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
             texts = [t or "" for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([written(sketch(t, k, scale)) for t in texts], pa.string())], ["doc_id", "n_chars", "fingerprint"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(emit, "doc_id long, n_chars long, fingerprint string")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("t")).mapInArrow(emit, "doc_id long, n_chars long, fingerprint string")
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, next_doc_id long"
@@ -100,7 +115,8 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: in
     """
     spark = docs.sparkSession
     small_batches(spark)
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), key_of(F.col(id_col)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    own = F.col(f"`{id_col}`")
+    d = docs.select(own.cast("long").alias("doc_id"), key_of(own).alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     keys = d.select("key")
     cuts = bounds(keys, "key", range_count(spark, keys.count(), RANGE_ROWS))
     of = range_udf(cuts)
@@ -121,14 +137,14 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: in
 
     r = d.withColumn("place", F.explode(places("key")))
     r = r.select(F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place")).alias("r"), (F.col("place") < 0).alias("ahead"), "key", "doc_id", "t")
-    r = r.repartition(len(cuts) + 1, "r").sortWithinPartitions("r", "ahead", F.desc("key"), "t")
+    r = r.repartitionById(len(cuts) + 1, "r").sortWithinPartitions("r", "ahead", F.desc("key"), "t")
 
     def pair(pending, following):
         _, doc, t, s = pending
         _, next_doc, u, v = following
         e = edited(t, u)
         es = s if e == t else sketch(e, k, scale)
-        return doc, len(t), hashlib.sha256(e.encode()).hexdigest(), written(s), written(es), likeness(s, es), likeness(s, v), next_doc
+        return doc, len(t), hashlib.sha256(e.encode()).hexdigest(), written(s), written(es), likeness(s, es, scale), likeness(s, v, scale), next_doc
 
     def emit(batches):
         pending, done = None, None
