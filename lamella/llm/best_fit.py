@@ -28,10 +28,10 @@ from ._store import materialize, small_batches
 from ._tokens import default_path, encoder
 
 CAPACITY = 4096
-#: Documents in a bin, and squared tokens: no tighter than the tokens are, so that bins come out as few as can be.
-DOCUMENTS = 4096
+#: Documents in a bin, which binds where they have under 8 tokens on average, and squared tokens, which a full piece uses up.
+DOCUMENTS = 512
 ATTENTION = 4096**2
-WEIGHTS = (1.0, 0.01, 0.01)
+WEIGHTS = (1.0, 0.25, 0.25)
 GROUP_TOKENS = 16 << 20
 GROUP_PIECES = 100_000
 END_ID = 1
