@@ -4,27 +4,37 @@ A text's lattice has a node at every character and an edge for every piece
 that fits; a path's weight is the product of its pieces' weights, which fall
 with the piece's rank in the vocabulary (``-THETA * log(2 + rank)``, byte
 pieces last).  Backward sums give exact conditional odds of each next piece.
-Gumbel top-k without replacement then draws ``k`` distinct paths by an A-star
-search over perturbed partial paths: an open path carries the maximum of its
-completions' perturbed log odds, its children's are drawn conditional on that
-maximum, and the best open path is always extended next.  The first ``k``
-complete paths are the sample, and the next open maximum is the threshold that
-gives each path's inclusion score ``1 - exp(-exp(log p - threshold))``.
 
-The generator is seeded by the row's key, so equal keys and texts give equal
-samples wherever and however often they run.  Decoding is exact.
+Gumbel top-k without replacement then draws ``k`` distinct paths by an A-star
+search over perturbed partial paths.  An open state is a partial path, the node
+that it ends at and the edges barred there; it stands for all its completions
+and carries the maximum of their perturbed log odds.  The state of largest
+maximum is taken; its best completion follows the lattice's odds and is the next
+path of the sample.  What the state stood for besides falls apart into one state
+a node of that path (the path up to there, its next edge barred), whose maxima
+are drawn conditional on the one just taken.  Where the (k+1)-th state would be
+taken is the threshold that gives each path's inclusion score
+``1 - exp(-exp(log p - threshold))``.
+
+Lattices of many texts are built, summed and walked together with numpy, cut
+where no piece crosses.  Every draw is a hash of the row's seed, the path's
+number and the place in the text, so equal keys and texts give equal samples
+wherever and however often they run.  Decoding is exact: a U+2581 of the text,
+which marks spaces in pieces, is written as its bytes.
 
 Defined cases: a null or empty text has one segmentation, without pieces;
 where a text has fewer than ``k`` segmentations all of them are given with
-inclusion 1; repeated rows give equal samples; null keys hash as null; an
-empty table gives no rows; other columns are ignored.
+inclusion 1; repeated rows give equal samples; ties have odds of 2**-53 and go
+to the state nearest the text's beginning; null keys hash as null; an empty
+table gives no rows; a text of any length has its whole lattice, about 200 bytes
+a character, in memory; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +42,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import small_batches
+from ._words import mix
 
 SPACE = "▁"
+#: Stands for a space mark of the text itself, and for the end of a text; no valid text holds them.
+MARK, END = "\ud800", "\ud801"
 THETA = 1.0
 SAMPLES = 3
 SEED = 17
-
-#: Ids of an output batch after which the next begins: bounds a Python worker's memory with long texts.
-HELD = 1 << 20
+#: Characters whose lattices are built together.
+GROUP = 200_000
+#: Characters below this have a column of their own in the table of transitions.
+DENSE = 0x180
+_STEP, _PATH = np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
 
 _lattices: dict[str, Lattice] = {}
 
@@ -56,180 +71,368 @@ def lattice(path: str) -> Lattice:
     return _lattices[path]
 
 
+def seed_of(key: tuple, seed: int = SEED) -> int:
+    text = repr((seed, *key)).encode()
+    return zlib.crc32(text) << 32 | zlib.crc32(text, 1)
+
+
+@dataclass
+class Edges:
+    """Lattices of texts laid end to end, each closed by one place with one edge without pieces."""
+
+    code: np.ndarray  # code points by place
+    row: np.ndarray  # text of a place
+    first: np.ndarray  # first place of a text
+    end: np.ndarray  # end of a place's stretch, which no piece crosses
+    cuts: np.ndarray  # first places of all stretches
+    at: np.ndarray  # first edge of a place
+    count: np.ndarray  # edges of a place
+    piece: np.ndarray  # of an edge: id, -1 for a text's end, -2 for a character's bytes
+    to: np.ndarray
+    p: np.ndarray
+    log_p: np.ndarray
+    cum: np.ndarray  # sums of p up to an edge in its node, the last one over 1
+
+
 class Lattice:
+    """The pieces of a model as a trie, and the lattices of texts."""
+
     def __init__(self, path: str) -> None:
         import sentencepiece
 
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.pieces: dict[str, tuple[int, float]] = {}
-        self.byte_ids = [0] * 256
-        self.byte_of: dict[int, int] = {}
-        self.names = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
-        n = len(self.names)
+        n = sp.get_piece_size()
+        self.byte_ids = np.zeros(256, dtype=np.int32)
+        self.bytes_of: list[bytes] = [b""] * n
+        self.weight = np.zeros(n)
         self.byte_weight = -THETA * math.log(2 + n)
-        for i, name in enumerate(self.names):
+        pieces: dict[str, int] = {}
+        for i in range(n):
+            name = sp.id_to_piece(i)
             if sp.is_byte(i):
-                b = int(name[3:5], 16)
-                self.byte_ids[b], self.byte_of[i] = i, b
+                self.byte_ids[int(name[3:5], 16)] = i
+                self.bytes_of[i] = bytes([int(name[3:5], 16)])
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
-                self.pieces[name] = (i, -THETA * math.log(2 + max(0.0, -sp.get_score(i))))
-        self.longest = max(map(len, self.pieces))
-        self.starts = {name[:j] for name in self.pieces for j in range(1, len(name) + 1)}
-        self.words: dict[str, list] = {}
-
-    def prepared(self, text: str) -> str:
-        return SPACE + text.replace(" ", SPACE) if text else ""
-
-    def chunks(self, s: str) -> list[str]:
-        """The text cut where no piece can cross: before a space mark that follows another character."""
-        out, at = [], 0
-        for i in range(1, len(s)):
-            if s[i] == SPACE and s[i - 1] != SPACE:
-                out.append(s[at:i])
-                at = i
-        if at < len(s):
-            out.append(s[at:])
+                pieces[name] = i
+                self.bytes_of[i] = name.replace(SPACE, " ").encode()
+                self.weight[i] = -THETA * math.log(2 + max(0.0, -sp.get_score(i)))
+        self.sizes = np.array([len(x) for x in self.bytes_of])
+        chars = sorted({c for name in pieces for c in name}, key=lambda c: (ord(c) >= DENSE and c != SPACE, c))
+        self.dense = 1 + sum(ord(c) < DENSE or c == SPACE for c in chars)
+        self.classes = len(chars) + 1
+        self.class_of = np.zeros(0x110000, dtype=np.int32)
+        self.class_of[[ord(c) for c in chars]] = np.arange(1, self.classes)
+        steps: dict[tuple[int, int], int] = {}
+        found = {}
+        for name, i in pieces.items():
+            state = 1
+            for c in name:
+                state = steps.setdefault((state, int(self.class_of[ord(c)])), len(steps) + 2)
+            found[state] = i
+        self.table = np.zeros((len(steps) + 2, self.dense), dtype=np.int32)
+        rare = sorted((s * self.classes + c, t) for (s, c), t in steps.items() if c >= self.dense)
+        self.rare = np.array([k for k, _ in rare] or [-1], dtype=np.int64)
+        self.rare_to = np.array([t for _, t in rare] or [0], dtype=np.int32)
+        for (s, c), t in steps.items():
+            if c < self.dense:
+                self.table[s, c] = t
+        self.piece_of = np.full(len(steps) + 2, -1, dtype=np.int32)
+        self.piece_of[list(found)] = list(found.values())
+
+    def _next(self, state, cls):
+        """The trie's next states, 0 where there is none."""
+        if len(cls) and int(cls.max()) < self.dense:
+            return self.table[state, cls]
+        out = self.table[state, np.where(cls < self.dense, cls, 0)]
+        at = np.flatnonzero(cls >= self.dense)
+        key = (np.broadcast_to(state, cls.shape)[at].astype(np.int64)) * self.classes + cls[at]
+        k = np.minimum(np.searchsorted(self.rare, key), len(self.rare) - 1)
+        out[at] = np.where(self.rare[k] == key, self.rare_to[k], 0)
         return out
 
-    def word(self, chunk: str) -> list:
-        """For each place in ``chunk`` its edges as (length, ids, log odds), from exact backward sums."""
-        known = self.words.get(chunk)
-        if known is not None:
-            return known
-        n = len(chunk)
-        total = [0.0] * (n + 1)
-        nodes: list = [None] * n
-        for i in range(n - 1, -1, -1):
-            edges = []
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                part = chunk[i:j]
-                if part not in self.starts:
-                    break
-                p = self.pieces.get(part)
-                if p:
-                    edges.append((j - i, (p[0],), p[1] + total[j]))
-            if not any(e[0] == 1 for e in edges):
-                raw = chunk[i].encode("utf-8", "surrogatepass")
-                edges.append((1, tuple(self.byte_ids[b] for b in raw), self.byte_weight * len(raw) + total[i + 1]))
-            top = max(e[2] for e in edges)
-            total[i] = top + math.log(sum(math.exp(e[2] - top) for e in edges))
-            nodes[i] = [(e[0], e[1], e[2] - total[i]) for e in edges]
-        if len(self.words) > 100_000:
-            self.words.clear()
-        if n <= 64:
-            self.words[chunk] = nodes
-        return nodes
-
-    def nodes(self, text: str) -> list:
-        out: list = []
-        for chunk in self.chunks(self.prepared(text)):
-            out += self.word(chunk)
-        return out
+    def edges(self, texts: list[str]) -> Edges:
+        """The lattices of ``texts`` with every edge's odds."""
+        whole = [(SPACE + t.replace(SPACE, MARK).replace(" ", SPACE) if t else "") + END for t in texts]
+        sizes = np.array([len(t) for t in whole], dtype=np.int64)
+        code = np.frombuffer("".join(whole).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        n = len(code)
+        cls = self.class_of[code]
+        count = np.zeros(n, dtype=np.int32)
+        reach = np.arange(1, n + 1)
+        starts, lengths, ids, ranks = [], [], [], []
+        pos, state, step = np.arange(n), self._next(1, cls), 1
+        while True:
+            go = np.flatnonzero(state)
+            pos, state = pos[go], state[go]
+            if not len(pos):
+                break
+            piece = self.piece_of[state]
+            hit = np.flatnonzero(piece >= 0)
+            at = pos[hit]
+            starts.append(at)
+            lengths.append(np.full(len(at), step))
+            ids.append(piece[hit])
+            ranks.append(count[at])
+            count[at] += 1
+            reach[at] = at + step
+            if step == 1:
+                single = np.zeros(n, dtype=bool)
+                single[at] = True
+            inside = np.flatnonzero(pos + step < n)
+            pos, state = pos[inside], state[inside]
+            state = self._next(state, cls[pos + step])
+            step += 1
+        at = np.flatnonzero(~single) if starts else np.arange(n)
+        bytes_ = 1 + (code[at] >= 0x80) + (code[at] >= 0x800).astype(np.int64) + (code[at] >= 0x10000)
+        close = code[at] == ord(END)
+        starts.append(at)
+        lengths.append(np.ones(len(at), dtype=np.int64))
+        ids.append(np.where(close, -1, -2).astype(np.int32))
+        ranks.append(count[at])
+        count[at] += 1
+        start, length, piece, rank = (np.concatenate(x) for x in (starts, lengths, ids, ranks))
+        weight = self.weight[np.maximum(piece, 0)]
+        weight[len(weight) - len(at) :] = np.where(close, 0.0, self.byte_weight * bytes_)
+        furthest = np.maximum.accumulate(reach)
+        ends = np.flatnonzero(furthest == np.arange(1, n + 1)) + 1
+        cuts = np.concatenate([[0], ends[:-1]])
+        end = np.repeat(ends, np.diff(np.concatenate([[0], ends])))
+        left = end - np.arange(n)
+        order = np.argsort(left.astype(np.int16) if n and left.max() < 1 << 15 else left, kind="stable")
+        place = np.empty(n, dtype=np.int64)
+        place[order] = np.arange(n)
+        by = count[order]
+        offset = np.concatenate([[0], np.cumsum(by)])
+        slot = offset[place[start]] + rank
+        m = len(slot)
+        e_piece, e_to, e_w, open_ = np.empty(m, np.int32), np.empty(m, np.int64), np.empty(m), np.empty(m)
+        e_piece[slot], e_to[slot], e_w[slot] = piece, start + length, weight
+        open_[slot] = start + length < end[start]
+        total, p, log_p = np.zeros(n + 1), np.empty(m), np.empty(m)
+        levels = np.concatenate([[0], np.flatnonzero(np.diff(left[order])) + 1, [n]])
+        for a, b in zip(levels[:-1].tolist(), levels[1:].tolist()):
+            x, y = int(offset[a]), int(offset[b])
+            v = e_w[x:y] + total[e_to[x:y]] * open_[x:y]
+            if y - x == b - a:
+                total[order[a:b]], p[x:y], log_p[x:y] = v, 1.0, 0.0
+                continue
+            cut, k = offset[a:b] - x, by[a:b]
+            top = np.maximum.reduceat(v, cut)
+            v -= np.repeat(top, k)
+            w = np.exp(v)
+            s = np.add.reduceat(w, cut)
+            log_s = np.log(s)
+            total[order[a:b]] = top + log_s
+            p[x:y] = w / np.repeat(s, k)
+            log_p[x:y] = v - np.repeat(log_s, k)
+        cum = p.copy()
+        for r in range(1, int(by.max(initial=1))):
+            k = offset[:-1][by > r] + r
+            cum[k] += cum[k - 1]
+        cum[offset[1:] - 1] = 2.0
+        first = np.cumsum(sizes) - sizes
+        return Edges(code, np.repeat(np.arange(len(texts)), sizes), first, end, cuts, offset[place], count, e_piece, e_to, p, log_p, cum)
+
+    def ids(self, e: Edges, path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of a path (its edges in order of place) and how many stand before each edge and after the last."""
+        piece = e.piece[path]
+        code = e.code[e.to[path] - 1]
+        size = np.where(piece == -1, 0, np.where(piece == -2, 1 + (code >= 0x80) + (code >= 0x800).astype(np.int64) + (code >= 0x10000), 1))
+        offset = np.concatenate([[0], np.cumsum(size)])
+        out = np.repeat(piece, size)
+        for k in np.flatnonzero(piece == -2).tolist():
+            c = chr(code[k])
+            raw = (SPACE if c == MARK else c).encode("utf-8", "surrogatepass")
+            out[offset[k] : offset[k + 1]] = self.byte_ids[list(raw)]
+        return out, offset
+
+    def joined(self, ids) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids))
 
     def decode(self, ids) -> str:
         """The text of a segmentation."""
-        out, raw = [], bytearray()
-        for i in ids:
-            b = self.byte_of.get(i)
-            if b is not None:
-                raw.append(b)
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            out.append(self.names[i])
-        out.append(raw.decode("utf-8", "replace"))
-        return "".join(out).replace(SPACE, " ")[1:]
-
-
-def seed_of(key: tuple, seed: int = SEED) -> int:
-    return zlib.crc32(repr((seed, *key)).encode())
-
-
-def sample(nodes: list, k: int, seed: int) -> list[tuple[list[int], float, float, float]]:
-    """``k`` distinct paths as (ids, log p, perturbed log p, inclusion), best first."""
-    n = len(nodes)
-    if not n:
-        return [([], 0.0, 0.0, 1.0)]
-    rng = np.random.default_rng(seed)
-    pool: list[float] = []
-    log, exp, log1p = math.log, math.exp, math.log1p
-    open_: list = [(-float(rng.gumbel()), 0, 0, 0.0, None)]
-    bests: list[float] = []  # the k + 1 largest maxima of disjoint sets of paths, as a heap: no smaller one can matter
-    done, serial, threshold = [], 1, None
-    while open_:
-        g, _, at, phi, path = heapq.heappop(open_)
-        g = -g
-        if len(done) == k:
-            threshold = g
-            break
-        while at < n:
-            edges = nodes[at]
-            if len(edges) == 1:
-                step, ids, lp = edges[0]
-                at, phi, path = at + step, phi + lp, (path, ids)
-                continue
-            if len(pool) < len(edges):
-                pool = rng.gumbel(size=4096).tolist()
-            drawn = [phi + e[2] + pool.pop() for e in edges]
-            top = max(drawn)
-            best = drawn.index(top)
-            # a child's maximum exceeds its draw by 30 at most, so here none could be among the largest
-            for e, z in () if len(bests) > k and top + 31 < bests[0] else zip(edges, drawn):
-                if z == top:
-                    continue
-                # the maximum of all children is g, so each other child's is cut off there
-                d = z - top
-                v = g - z + (log1p(-exp(d)) if d < -1e-12 else -30.0)
-                child = g - max(0.0, v) - log1p(exp(-abs(v)))
-                if len(bests) < k + 1:
-                    heapq.heappush(bests, child)
-                elif child > bests[0]:
-                    heapq.heapreplace(bests, child)
-                else:
+        return self.joined(ids).decode("utf-8", "replace")[1:]
+
+
+def uniform(seed: np.ndarray, path: int, place: np.ndarray) -> np.ndarray:
+    """Draws in (0, 1), one for each seed, path and place."""
+    x = mix(seed + np.uint64((path + 1) * _PATH % (1 << 64))) + place.astype(np.uint64) * _STEP
+    return ((mix(x) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+def gumbel(u):
+    return -np.log(-np.log(u))
+
+
+def walk(e: Edges, at: np.ndarray, chosen: np.ndarray, seeds: np.ndarray, path: int) -> None:
+    """Follow the lattices' odds from the places ``at`` to the ends of their stretches; edges go to ``chosen`` by place."""
+    while len(at):
+        edge = e.at[at].copy()
+        many = np.flatnonzero(e.count[at] > 1)
+        if len(many):
+            row = e.row[at[many]]
+            u = uniform(seeds[row], path, at[many] - e.first[row])
+            k = edge[many]
+            more = np.flatnonzero(u >= e.cum[k])
+            while len(more):
+                k[more] += 1
+                more = more[u[more] >= e.cum[k[more]]]
+            edge[many] = k
+        chosen[at] = edge
+        to = e.to[edge]
+        at = to[to < e.end[at]]
+
+
+def _best(values: np.ndarray, cut: np.ndarray, most: int) -> list[np.ndarray]:
+    """Places of the largest ``most`` values of each part, -1 where a part has no more."""
+    values, out = values.copy(), []
+    size = np.diff(np.append(cut, len(values)))
+    for _ in range(most):
+        top = np.maximum.reduceat(values, cut)
+        same = np.flatnonzero(values == np.repeat(top, size))
+        part = np.searchsorted(cut, same, side="right") - 1
+        at = np.full(len(cut), -1, dtype=np.int64)
+        at[part[::-1]] = same[::-1]
+        at[~np.isfinite(top)] = -1
+        values[at[at >= 0]] = -np.inf
+        out.append(at)
+    return out
+
+
+def samples(lat: Lattice, texts: list[str], seeds: list[int], k: int = SAMPLES):
+    """For each of ``k`` paths: (rows that have it, id offsets, ids, log p, perturbed log p, inclusion)."""
+    e = lat.edges(texts)
+    seeds = np.array(seeds, dtype=np.uint64)
+    n, rows = len(e.code), len(texts)
+    which, places = e.row, np.arange(n)
+    starts_row = np.searchsorted(e.cuts, e.first)  # first stretch of a text
+    ends_row = np.append(starts_row[1:], len(e.cuts))
+    roots = uniform(seeds, 0, np.full(rows, (1 << 40) - 1))
+    top = gumbel(roots)
+    open_: list[list] = [[] for _ in texts]  # states: (maximum, path, place, barred edges), in no order
+    chosen: list[np.ndarray] = []
+    done = []
+    alive = np.ones(rows, dtype=bool)
+    dev = np.full(rows, -1, dtype=np.int64)  # the place at which a row's state ends
+    barred: list[tuple] = [()] * rows
+    for s in range(k):
+        mine = np.full(n, -1, dtype=np.int64)
+        if not s:
+            walk(e, e.cuts, mine, seeds, 0)
+        else:
+            parent = np.zeros(rows, dtype=np.int64)
+            at = []
+            for r in range(rows):
+                if not open_[r]:
+                    alive[r] = False
                     continue
-                heapq.heappush(open_, (-child, serial, at + e[0], phi + e[2], (path, e[1])))
-                serial += 1
-            step, ids, lp = edges[best]
-            at, phi, path = at + step, phi + lp, (path, ids)
-        parts = []
-        while path is not None:
-            path, ids = path
-            parts.append(ids)
-        done.append(([i for ids in reversed(parts) for i in ids], phi, g))
-    score = (lambda phi: 1.0) if threshold is None else (lambda phi: -math.expm1(-math.exp(min(700.0, phi - threshold))))
-    return [(ids, phi, g, score(phi)) for ids, phi, g in done]
+                best = max(open_[r], key=lambda x: x[0])
+                open_[r].remove(best)
+                top[r], parent[r], dev[r], barred[r] = best
+                v = int(dev[r])
+                at.append((r, v, _unbarred(e, v, barred[r], float(uniform(seeds[r : r + 1], s, np.array([v - e.first[r]]))[0]))))
+            for q in range(s):
+                keep = alive & (parent == q)
+                if keep.any():
+                    part = keep[which] & (places < dev[which])
+                    mine[part] = chosen[q][part]
+            if at:
+                r_, v_, edge_ = (np.array(x) for x in zip(*at))
+                mine[v_] = edge_
+                to = e.to[edge_]
+                inner = to[to < e.end[v_]]
+                after = np.searchsorted(e.cuts, e.end[v_])
+                last = ends_row[r_]
+                size = np.maximum(last - after, 0)
+                later = e.cuts[np.repeat(after - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+                walk(e, np.concatenate([inner, later]), mine, seeds, s)
+        chosen.append(mine)
+        own = np.flatnonzero(mine >= 0)
+        path = mine[own]
+        row = which[own]
+        live = np.flatnonzero(alive)
+        cut = np.searchsorted(row, live)
+        lp = e.log_p[path]
+        run = np.empty(len(lp))
+        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(lp)]):  # a text's sums don't depend on its neighbours
+            np.cumsum(lp[a:b], out=run[a:b])
+        before = run - lp
+        total = run[np.append(cut[1:], len(lp)) - 1] if len(live) else np.empty(0)
+        ids, offset = lat.ids(e, path)
+        done.append((live, np.append(offset[cut], offset[-1]), ids, total, top[live].copy()))
+        if not len(live):
+            break
+        with np.errstate(divide="ignore"):
+            rest = np.where(e.count[own] > 1, 1.0 - e.p[path], 0.0)
+            mass = before + np.log(np.maximum(rest, 0.0))
+        mass[own <= dev[row]] = -np.inf
+        u = uniform(seeds[row], 1000 + s, own - e.first[row])
+        value = -np.logaddexp(-top[row], -(mass + gumbel(u)))
+        value[~np.isfinite(mass)] = -np.inf
+        for found in _best(value, cut, k - s):
+            for r, j in zip(live.tolist(), found.tolist()):
+                if j >= 0:
+                    open_[r].append((float(value[j]), s, int(own[j]), (int(path[j]),)))
+        if s:  # the state just taken, without the edge that its path took
+            for r in live.tolist():
+                v = int(dev[r])
+                gone = (*barred[r], int(mine[v]))
+                left = 1.0 - sum(e.p[x] for x in gone)
+                if len(gone) < e.count[v] and left > 0:
+                    lead = float(before[np.searchsorted(own, v)])
+                    g = lead + math.log(left) + float(gumbel(uniform(seeds[r : r + 1], 2000 + s, np.array([v - e.first[r]]))[0]))
+                    open_[r].append((-float(np.logaddexp(-top[r], -g)), s, v, gone))
+    threshold = np.array([max((x[0] for x in o), default=-np.inf) for o in open_])
+    for live, offset, ids, total, g in done:
+        gap = np.minimum(700.0, total - threshold[live])
+        yield live, offset, ids, total, g, np.where(np.isfinite(threshold[live]), -np.expm1(-np.exp(gap)), 1.0)
+
+
+def _unbarred(e: Edges, v: int, barred: tuple, u: float) -> int:
+    """An edge of the place ``v`` by the odds of those that aren't barred."""
+    first = int(e.at[v])
+    free = [x for x in range(first, first + int(e.count[v])) if x not in barred]
+    p = e.p[free]
+    return free[min(len(free) - 1, int(np.searchsorted(np.cumsum(p), u * p.sum(), side="right")))]
 
 
 def sampled(rows: DataFrame, keys: list[str], text: str = "text", k: int = SAMPLES, seed: int = SEED, path: str | None = None) -> DataFrame:
     """``keys, sample, ids, log_p, perturbed, inclusion, decoded_same`` of every row, ``sample`` from 0."""
     small_batches(rows.sparkSession)
     path = path or default_path()
-    r = rows.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keys)], F.col(text).alias("_t"))
     names = [f"k{i}" for i in range(len(keys))]
+    r = rows.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keys, names)], F.col(f"`{text}`").alias("t"))
     out_names = [*names, "sample", "ids", "log_p", "perturbed", "inclusion", "decoded_same"]
 
-    def batch(b, at, cols):
-        kept = [b.column(i).take(pa.array(at, pa.int64())) for i in range(len(names))]
-        types = (pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
-        return pa.RecordBatch.from_arrays([*kept, *[pa.array(c, t) for c, t in zip(cols, types)]], out_names)
+    def part(lat, b, at, texts, own):
+        for s, (live, offset, ids, lp, g, inc) in enumerate(samples(lat, texts, own, k)):
+            same = _decoded(lat, [texts[i] for i in live.tolist()], offset, ids)
+            kept = [b.column(i).take(pa.array(at[live], pa.int64())) for i in range(len(names))]
+            cols = [pa.array(np.full(len(live), s, dtype=np.int32)), pa.ListArray.from_arrays(pa.array(offset.astype(np.int32)), pa.array(ids.astype(np.int32))), *map(pa.array, (lp, g, inc, same))]
+            yield pa.RecordBatch.from_arrays([*kept, *cols], out_names)
 
     def emit(batches):
         lat = lattice(path)
         for b in batches:
             own = [b.column(i).to_pylist() for i in range(len(names))]
-            at, cols, held = [], [[] for _ in range(6)], 0
-            for i, t in enumerate(b.column(len(names)).to_pylist()):
-                if held > HELD:
-                    yield batch(b, at, cols)
-                    at, cols, held = [], [[] for _ in range(6)], 0
-                t = t or ""
-                for s, (ids, lp, g, inc) in enumerate(sample(lat.nodes(t), k, seed_of(tuple(c[i] for c in own), seed))):
-                    at.append(i)
-                    held += len(ids)
-                    for c, v in zip(cols, (s, ids, lp, g, inc, lat.decode(ids) == t)):
-                        c.append(v)
-            yield batch(b, at, cols)
+            held, size = [], 0
+            texts = [t or "" for t in b.column(len(names)).to_pylist()]
+            for i, t in enumerate(texts):
+                held.append(i)
+                size += len(t)
+                if size > GROUP or i == len(texts) - 1:
+                    yield from part(lat, b, np.array(held), [texts[j] for j in held], [seed_of(tuple(c[j] for c in own), seed) for j in held])
+                    held, size = [], 0
 
     schema = ", ".join([f"{n} {r.schema[n].dataType.simpleString()}" for n in names] + ["sample int, ids array<int>, log_p double, perturbed double, inclusion double, decoded_same boolean"])
     return r.mapInArrow(emit, schema).toDF(*keys, *out_names[len(names) :])
+
+
+def _decoded(lat: Lattice, texts: list[str], offset: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether each segmentation decodes to its text; all are decoded at once, and one by one where a difference shows."""
+    raw = [t.encode() for t in texts]
+    want = b"".join(b" " + x if x else b"" for x in raw)
+    sizes = np.concatenate([[0], np.cumsum(lat.sizes[ids])])[offset]
+    if np.array_equal(np.diff(sizes), [len(x) + 1 if x else 0 for x in raw]) and lat.joined(ids.tolist()) == want:
+        return np.ones(len(texts), dtype=bool)
+    return np.array([lat.joined(ids[a:b].tolist()) == (b" " + x if x else b"") for a, b, x in zip(offset, offset[1:], raw)], dtype=bool)
