@@ -1,12 +1,13 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names."""
 
+import hashlib
 import io
 import zlib
 
 import numpy as np
 import pytest
 
-from lamella.llm import best_fit, chat_format, fingerprints, jaccard_join, piece_sampling, quality_rules, rans, token_rollups, toxicity, warc_archive
+from lamella.llm import best_fit, chat_format, fingerprints, jaccard_join, quality_rules, rans, token_rollups, toxicity, warc_archive
 
 LONG = " ".join(f"w{i}" for i in range(9000))
 WORDS = " ".join(f"common{i}" for i in range(80))
@@ -27,10 +28,10 @@ def labels(spark):
 def test_quality(docs):
     n = docs.count()
     out = quality_rules.judged(docs).collect()
-    assert len(out) == n and all(r["_q_kept"] is not None for r in out)
+    assert len(out) == n and all(r["kept"] is not None for r in out)
     assert quality_rules.kept_documents(docs).columns == docs.columns
     if n:
-        assert {r["doc_id"]: r["_q_n_words"] for r in out}[2] == 0
+        assert {r["row"]["doc_id"]: r["n_words"] for r in out}[2] == 0
 
 
 def test_toxicity(docs, labels):
@@ -96,16 +97,60 @@ def test_warc(spark):
 def test_warc_reader_rejects():
     out = io.BytesIO()
     w = warc_archive.ArchiveWriter(out, b"")
-    good = warc_archive.record(1, "u", b"abc", __import__("hashlib").sha256(b"abc").hexdigest(), None, False)
+    digest = hashlib.sha256(b"abc").hexdigest()
+    good = warc_archive.record(1, "u", b"abc", digest, None, False)
     w.add(good)
     assert [b for _, b in warc_archive.read_archive(io.BytesIO(out.getvalue()), 5)] == [b"abc"]
     with pytest.raises(ValueError):
         list(warc_archive.read_archive(io.BytesIO(out.getvalue()[:-3])))
-    for bad in (good.replace(b"Length: 3", b"Length: 4"), good.replace(b"abc", b"abd"), good.replace(b"WARC/1.1", b"WARC/9"), good.replace(b"WARC-Date", b"X-Date")):
+    revisit = warc_archive.record(2, "u", b"abc", digest, 1, True)
+    assert warc_archive.parse_record(revisit)[1] == b""
+    for bad in (good.replace(b"Payload-Length: 3", b"Payload-Length: 9"), good.replace(b"WARC-Payload-Digest", b"X-Digest"), revisit.replace(b"WARC-Refers-To", b"X-Refers"), revisit.replace(b"sha256:", b"sha1:"), good.replace(b"Length: 3", b"Length: 4"), good.replace(b"abc", b"abd"), good.replace(b"WARC/1.1", b"WARC/9"), good.replace(b"WARC-Date", b"X-Date")):
         with pytest.raises(ValueError):
             warc_archive.parse_record(bad)
 
 
+def test_warc_false_revisit(spark):
+    rows = [(1, "u", "response", None, 3, "a"), (2, "u", "revisit", 1, 3, "a")]
+    schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string"
+    assert warc_archive.verified(spark.createDataFrame(rows, schema)).count() == 2
+    for false in ((2, "u", "revisit", 1, 4, "a"), (2, "u", "revisit", 1, 3, "b"), (2, "u", "revisit", 9, 3, "a")):
+        with pytest.raises(Exception, match="no response holds"):
+            warc_archive.verified(spark.createDataFrame([rows[0], false], schema)).collect()
+
+
+def test_warc_missing_record(spark, tmp_path):
+    archives = warc_archive.write_archives(spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string"), f"file://{tmp_path}/warc")
+    with pytest.raises(Exception, match="holds 1 records"):
+        warc_archive.read_archives(archives.withColumn("records", archives.records + 1)).collect()
+
+
+def test_chat_repeated_and_tied_events(spark):
+    schema = "conv_id int, message_id int, seq int, kind string, role string, text string"
+    log = [(1, 0, 1, "edit", "user", "B"), (1, 0, 1, "edit", "user", "B"), (1, 1, 1, "edit", "user", "B"), (1, 1, 1, "edit", "user", "C"), (1, 2, 0, "open", "user", "a"), (1, 2, 1, "delta", "user", "b"), (1, 2, 1, "delta", "user", "b"), (1, 2, 2, None, "user", "c"), (1, 3, 0, "open", "user", "a"), (1, 3, 2, "edit", "user", "z"), (1, 3, 2, "delta", "user", "y"), (1, 4, 0, "open", "user", "p" * 300_000)]
+    got = chat_format.parsed(chat_format.formatted(spark.createDataFrame(log, schema))).first()
+    assert [t["text"] for t in got["turns"]] == ["B", "C", "abc", "zy", "p" * 300_000]
+
+
+def test_quality_clashing_names(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    d = spark.createDataFrame([(1, text, "a", 7, 8, 9, 1)], ["doc_id", "text", "source", "w", "kept", "mark", "a.b"])
+    assert quality_rules.kept_documents(d).collect() == d.collect()
+    assert jaccard_join.one_of_each(d).collect() == d.collect()
+    assert [r["row"]["kept"] for r in quality_rules.judged(d).collect()] == [8]
+
+
+def test_short_texts_in_long_ones():
+    r = np.random.default_rng(4)
+    words = [f"v{i}" for i in r.integers(0, 10**6, 2000)]
+    whole = fingerprints.sketch(" ".join(words))
+    for n, least in ((8, 0.9), (20, 0.999), (60, 1.0)):
+        parts = [fingerprints.sketch(" ".join(words[i : i + n])) for i in range(0, 1900, 10)]
+        got = [fingerprints.likeness(p, whole) for p in parts]
+        assert set(got) <= {0.0, 1.0} and np.mean(got) >= least
+        assert all(g == 1.0 or fingerprints.lone(p) for g, p in zip(got, parts))
+
+
 def test_chat_events(spark):
     log = [(1, 0, 0, "open", "user", "a<b"), (1, 1, 1, "open", "assistant", "dra"), (1, 1, 2, "delta", None, "ft"), (1, 1, 3, "regenerate", None, "x"), (1, 1, 4, "delta", None, "y#"), (1, 2, 5, "open", "user", "gone"), (1, 2, 6, "delete", None, None), (1, 3, 7, "open", "user", "old"), (1, 3, 8, "edit", None, "\\new</turn>\n### user: "), (2, 0, 0, "open", None, None)]
     schema = "conv_id int, message_id int, seq int, kind string, role string, text string"
@@ -117,30 +162,6 @@ def test_chat_events(spark):
     assert chat_format.formatted(spark.createDataFrame([], schema)).count() == 0
 
 
-def test_piece_sampling(spark):
-    d = spark.createDataFrame([(1, "hi  you\n日 x", "k"), (2, None, "k"), (1, "hi  you\n日 x", "k")], "id int, text string, ids string")
-    rows = piece_sampling.sampled(d, ["id"], k=3).collect()
-    assert all(r["decoded_same"] for r in rows) and len([r for r in rows if r["id"] == 1]) == 6
-    lat = piece_sampling.lattice(piece_sampling.default_path())
-    nodes = lat.nodes("the")
-    every: dict = {}
-
-    def walk(at, ids, lp):
-        if at == len(nodes):
-            every[tuple(ids)] = lp
-            return
-        for step, more, p in nodes[at]:
-            walk(at + step, [*ids, *more], lp + p)
-
-    walk(0, [], 0.0)
-    assert abs(sum(np.exp(list(every.values()))) - 1) < 1e-9
-    everything = piece_sampling.sample(nodes, len(every) + 5, 1)
-    assert {tuple(ids) for ids, *_ in everything} == set(every) and all(i == 1.0 for *_, i in everything)
-    first = [tuple(piece_sampling.sample(nodes, 1, s)[0][0]) for s in range(4000)]
-    for ids, lp in every.items():
-        assert abs(first.count(ids) / 4000 - np.exp(lp)) < 0.04
-
-
 def test_rans_blocks():
     rng = np.random.default_rng(0)
     for n in (1, 63, 5000, 300_001):
