@@ -1,29 +1,80 @@
-"""Exact similarity joins on distinct words by prefix filtering."""
+"""Exact similarity joins on distinct words by prefix filtering.
+
+Null texts count as empty and, like texts without words, pair with nothing; rows
+of equal keys pair with each other's partners; ties have no part, as pairs don't
+depend on any order; columns may have any names.  Words are compared by their
+64-bit hashes.  Pairs are all that exist by definition: a group of m texts alike
+gives m (m - 1) / 2 of them.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamella.functions import text as T
+from lamella.storage import cut
+
+#: The most frequent words, which sort last; a bound on what is broadcast, results don't depend on it.
+COMMON = 50_000
+
+
+def word_hashes(content: Column) -> Column:
+    """The distinct words' hashes, sorted."""
+    return F.array_sort(F.array_distinct(F.transform(T.words(F.coalesce(content, F.lit(""))), lambda x: F.xxhash64(x))))
+
+
+def rare_first(rows: DataFrame, words: str) -> Column:
+    """Column ``words`` reordered: words outside the most frequent ones by hash, then those, rarer ones first."""
+    count = rows.select(F.explode(words).alias("h")).groupBy("h").count().filter("count > 2")
+    got = count.orderBy(F.desc("count"), "h").limit(COMMON).collect()
+    by_hash = sorted((r["h"], -i) for i, r in enumerate(got))
+    keys = np.array([h for h, _ in by_hash], dtype=np.int64)
+    ranks = np.array([i for _, i in by_hash], dtype=np.int64)
+    known = rows.sparkSession.sparkContext.broadcast((keys, ranks))
+
+    @F.pandas_udf("array<long>")
+    def ordered(w: pd.Series) -> pd.Series:
+        keys, ranks = known.value
+        if not len(keys):
+            return w
+
+        def one(x):
+            x = np.asarray(x)
+            at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+            return x[np.lexsort((x, np.where(keys[at] == x, ranks[at], -COMMON - 1)))]
+
+        return w.map(one)
+
+    return ordered(words)
 
 
-def candidates(rows: DataFrame, key: str, content: str, block: str, percent: int = 80) -> DataFrame:
+def candidates(rows: DataFrame, key: str, content: str, block: str, percent: int = 80, side: str | None = None) -> DataFrame:
     """Pairs in a block (``a, b, both, na, nb``) with Jaccard of distinct words of at least ``percent``.
 
-    Words sort by their corpus frequency, rare ones first; two sets at the
-    threshold share one of their first ``n - ceil(t n) + 1``.  Only these are
-    joined; the full sets are compared for the pairs that meet.
+    Two sets at the threshold share one of their first ``n - ceil(t n) + 1``
+    words in one order of all words, rare ones first.  Only these are shuffled,
+    with their place and the set's size, which bound the overlap before pairs
+    are formed; the full sets meet for the pairs that are left.  With ``side``
+    only rows of different sides pair, ``a`` from the smaller one.
     """
-    d = rows.select(F.col(key).alias("k"), F.col(block).alias("blk"), F.array_sort(F.array_distinct(T.words(F.coalesce(F.col(content), F.lit(""))))).alias("w"))
-    d = d.filter(F.size("w") > 0)
-    each = d.select("blk", "k", F.size("w").alias("n"), F.explode("w").alias("t"))
-    freq = each.groupBy("t").agg(F.count(F.lit(1)).alias("f"))
-    ranked = each.join(freq, "t").groupBy("blk", "k", "n").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("s"))
-    first = ranked.select("blk", "k", "n", F.explode(F.slice("s", 1, (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))).alias("s")).select("blk", "k", "n", F.col("s.t").alias("t"))
-    a, b = (first.select("blk", "t", F.col("k").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
-    sized = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("a") < F.col("b"))
-    pairs = a.join(b, ["blk", "t"]).filter(sized).select("a", "b", "na", "nb").distinct()
-    wa, wb = (d.select(F.col("k").alias(x), F.col("w").alias(f"w{x}")) for x in "ab")
-    both = pairs.join(wa, "a").join(wb, "b").withColumn("both", F.size(F.array_intersect("wa", "wb")))
-    return both.filter(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b", "both", "na", "nb")
+    col = lambda c: F.col(f"`{c}`")
+    d = rows.select(col(key).alias("k"), col(block).alias("blk"), (col(side) if side else F.lit(0)).alias("side"), word_hashes(col(content)).alias("w"))
+    d = cut(d.filter(F.size("w") > 0), "words")
+    size = F.size("w")
+    prefix = F.slice("p", 1, (size - F.ceil(size * percent / 100) + 1).cast("int"))
+    first = d.withColumn("p", rare_first(d, "w")).select("blk", "side", "k", size.alias("n"), F.posexplode(prefix).alias("i", "t"))
+    a, b = (first.select("blk", "t", *[F.col(c).alias(f"{c}{x}") for c in ("side", "k", "n", "i")]) for x in "ab")
+    most = 1 + F.least(F.col("na") - F.col("ia") - 1, F.col("nb") - F.col("ib") - 1)
+    enough = (100 + percent) * most >= percent * (F.col("na") + F.col("nb"))
+    order = F.col("sidea") < F.col("sideb") if side else F.col("ka") < F.col("kb")
+    sized = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & order & enough
+    pairs = a.join(b, ["blk", "t"]).filter(sized).select(F.col("ka").alias("a"), F.col("kb").alias("b")).distinct()
+    wa, wb = (d.select(F.col("k").alias(x), F.col("side").alias(f"side{x}"), F.col("w").alias(f"w{x}")) for x in "ab")
+    if side:
+        low = d.agg(F.min("side")).first()[0]
+        wa, wb = wa.filter(F.col("sidea") == F.lit(low)), wb.filter(F.col("sideb") != F.lit(low))
+    both = pairs.join(wa, "a").join(wb, "b").select("a", "b", F.size(F.array_intersect("wa", "wb")).alias("both"), F.size("wa").alias("na"), F.size("wb").alias("nb"))
+    return both.filter(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both")))

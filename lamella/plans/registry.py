@@ -403,3 +403,6 @@ def file_freshness(spark, sf_dir):
 @query("""WITH e AS (SELECT event_id, md5(props) AS fp, lag(md5(props)) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS p FROM events) SELECT event_id, CASE WHEN p IS NULL THEN 'first' WHEN p = fp THEN 'unchanged' ELSE 'changed' END AS reply FROM e""")
 def session_ledger(spark, sf_dir):
     return incremental.ledger(table(spark, sf_dir, "events"), "user_id", "event_type", ["ts", "event_id"], "props").select("event_id", "reply")
+
+
+from lamella.plans import snapshots  # noqa: E402, F401  (adds its queries)
