@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lamella.llm import best_fit, jaccard_join, quality_rules, toxicity
-from lamella.llm._store import materialize
+from lamella.llm._store import discard, materialize, scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,13 +37,18 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("toxicity", clean), ("near_duplicates", distinct), ("packing", pack)]
 
-#: Tokenization and best-fit choice cannot be said in SQL; tests compare with a brute-force version.
+#: Tokenization and best-fit choice cannot be said in SQL; a test compares all stages with plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; what a stage wrote on its way, and its input, go when its table is whole."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as keep:
+            docs = materialize(stage(spark, docs, sf_dir), name)
+            keep(docs)
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
