@@ -23,6 +23,16 @@ def chunks(files: DataFrame, path: str, content: str, size: int = CHUNK) -> Data
     return d.withColumns({"id": T.entity_id(F.col("file_path").cast("string"), F.col("entity_type"), F.col("name")), "content_hash": F.md5("content")})
 
 
+def spans(files: DataFrame, path: str, content: str, size: int = CHUNK) -> DataFrame:
+    """``file_path, id, start_line, end_line`` of :func:`chunks`, without their texts."""
+    n = F.size(T.lines(F.col(content)))
+    d = files.select(F.col(path).alias("file_path"), n.alias("n")).filter("n > 0")
+    d = d.select("file_path", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n").cast("long"), F.lit(size).cast("long"))).alias("start_line"))
+    d = d.withColumn("end_line", F.least(F.col("start_line") + size - 1, F.col("n").cast("long")))
+    name = F.concat(F.lit("lines "), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"))
+    return d.select("file_path", T.entity_id(F.col("file_path").cast("string"), F.lit("chunk"), name).alias("id"), "start_line", "end_line")
+
+
 def row_entities(table: DataFrame, path: str, key: str) -> DataFrame:
     """A table's rows as entities ``row[<key>]`` with a map from column to cell."""
     cells = [c for x in table.columns for c in (F.lit(x), F.col(x).cast("string"))]
@@ -31,22 +41,34 @@ def row_entities(table: DataFrame, path: str, key: str) -> DataFrame:
 
 
 def json_properties(rows: DataFrame, path: str, doc: str) -> DataFrame:
-    """Top-level members of a JSON object as ``property`` entities with RFC 6901 pointers."""
-    d = rows.select(F.col(path).alias("file_path"), F.col(doc).alias("_d"), F.explode(F.json_object_keys(doc)).alias("key"))
+    """Top-level members of a JSON object as ``property`` entities with RFC 6901 pointers; each document is parsed once."""
+    d = rows.select(F.col(path).alias("file_path"), F.explode(F.from_json(doc, "map<string,string>")).alias("key", "value"))
     pointer = F.concat(F.lit("/"), F.replace(F.replace("key", F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")))
-    value = F.get(F.map_values(F.map_filter(F.from_json("_d", "map<string,string>"), lambda k, v: k == F.col("key"))), F.lit(0))
-    return d.select("file_path", F.concat(F.col("file_path").cast("string"), F.lit("::"), pointer).alias("id"), F.lit("property").alias("entity_type"), "key", value.alias("value"), F.md5(value).alias("structural_hash"))
+    return d.select("file_path", F.concat(F.col("file_path").cast("string"), F.lit("::"), pointer).alias("id"), F.lit("property").alias("entity_type"), "key", "value", F.md5("value").alias("structural_hash"))
 
 
 def headings(files: DataFrame, path: str, content: str) -> DataFrame:
-    """Markdown ATX headings with the nearest heading of a lower level as parent."""
+    """Markdown ATX headings with the nearest heading of a lower level as parent.
+
+    One pass over a file's headings keeps the latest one of each of the six
+    levels; a second one from the end keeps where the next of each level begins.
+    """
     ls = F.transform(T.lines(F.col(content)), lambda x, i: F.struct((i + 1).alias("line"), F.length(F.regexp_extract(x, r"^(#{1,6})\s+\S", 1)).alias("level"), F.regexp_extract(x, r"^#{1,6}\s+(.+?)\s*$", 1).alias("title")))
     found = F.filter(ls, lambda x: x["level"] > 0)
     d = files.select(F.col(path).alias("file_path"), found.alias("_h"), F.size(ls).alias("_n"))
-    one = F.col("_h")[F.col("_i")]
-    d = d.filter(F.size("_h") > 0).select("file_path", "_h", "_n", F.explode(F.sequence(F.lit(0), F.size("_h") - 1)).alias("_i"))
-    later = F.get(F.filter("_h", lambda x: (x["line"] > one["line"]) & (x["level"] <= one["level"])), F.lit(0))
-    return d.select("file_path", one["title"].alias("name"), one["level"].alias("level"), one["line"].alias("start_line"), F.coalesce(later["line"] - 1, F.col("_n")).alias("end_line"), F.try_element_at(F.filter("_h", lambda x: (x["line"] < one["line"]) & (x["level"] < one["level"])), F.lit(-1))["title"].alias("parent_name"))
+    d = d.select("file_path", "_n", F.posexplode("_h").alias("_i", "_x")).select("file_path", "_n", "_i", "_x.*")
+    own = W.partitionBy("file_path").orderBy("_i")
+    before, after = own.rowsBetween(W.unboundedPreceding, -1), own.rowsBetween(1, W.unboundedFollowing)
+    at = lambda low, high, w, pick: pick(F.when(F.col("level").between(low, high), F.struct("line", "title", "level"))).over(w)
+    d = d.withColumns({f"_p{k}": at(k, k, before, F.max) for k in range(1, 7)} | {f"_n{k}": at(1, k, after, F.min) for k in range(1, 7)})
+    level = lambda name, k: F.col(f"_{name}{k}")
+    lower = lambda k: F.greatest(*[level("p", j) for j in range(1, k)]) if k > 2 else level("p", 1) if k == 2 else F.lit(None)
+    parent, ends = F.lit(None).cast("string"), F.lit(None).cast("int")
+    for k in range(1, 7):
+        up = lower(k)
+        parent = F.when(F.col("level") == k, up["title"] if k > 1 else F.lit(None).cast("string")).otherwise(parent)
+        ends = F.when(F.col("level") == k, level("n", k)["line"] - 1).otherwise(ends)
+    return d.select("file_path", F.col("title").alias("name"), "level", F.col("line").alias("start_line"), F.coalesce(ends, F.col("_n")).alias("end_line"), parent.alias("parent_name"))
 
 
 def tags(pages: DataFrame, path: str, html: str) -> DataFrame:

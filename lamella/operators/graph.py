@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lamella.storage import cut, near
+
 EDGE = ("from_entity", "to_entity", "ref_type")
 
 
@@ -27,28 +29,29 @@ def neighbours(edges: DataFrame, nodes: DataFrame, node: str, reverse: bool = Fa
     return nodes.join(ids, "id", "left_semi")
 
 
-def reach(edges: DataFrame, start: DataFrame, reverse: bool = True, depth: int = 0, most: int = 0, cut: int = 8) -> DataFrame:
+def reach(edges: DataFrame, start: DataFrame, reverse: bool = True, depth: int = 0, most: int = 0) -> DataFrame:
     """``id, depth`` of all nodes within ``depth`` steps of ``start`` (column ``id``), the start left out.
 
-    A step joins only the frontier with the edges and drops what was visited.
+    A step joins only the frontier, which is broadcast while its counted rows
+    are few, with the edges, drops what was visited and writes the new frontier
+    to the shared folder, so plans stay short and nothing is held in memory.
     ``depth`` 0 means no limit.  ``most`` stops after the first that many nodes
-    by (depth, id).  Every ``cut`` steps the visited set is checkpointed where
-    the session has a checkpoint folder, so that plans stay short.
+    by (depth, id).  Null ends and loops are left out; unknown starts reach
+    nothing; repeated edges count once.
     """
-    near, far = ("to_entity", "from_entity") if reverse else ("from_entity", "to_entity")
-    e = edges.select(F.col(near).alias("id"), F.col(far).alias("next")).filter("id <> next").distinct().persist()
-    seen = start.select("id", F.lit(0).alias("depth")).distinct()
-    front, step = seen.select("id"), 0
-    folder = edges.sparkSession.sparkContext.getCheckpointDir() if hasattr(edges.sparkSession.sparkContext, "getCheckpointDir") else None
+    near_end, far = ("to_entity", "from_entity") if reverse else ("from_entity", "to_entity")
+    e = edges.select(F.col(near_end).alias("id"), F.col(far).alias("next")).filter("id <> next")
+    seen = cut(start.select("id", F.lit(0).alias("depth")).filter("id is not null").distinct(), "front")
+    front, step, found = seen, 0, 0
     while not depth or step < depth:
         step += 1
-        front = e.join(front, "id").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti").persist()
-        if front.isEmpty():
+        new = e.join(near(front.select("id")), "id").select(F.col("next").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
+        front = cut(new.withColumn("depth", F.lit(step)), "front")
+        n = front.count()
+        if not n:
             break
-        seen = seen.union(front.select("id", F.lit(step).alias("depth")))
-        if folder and step % cut == 0:
-            seen = seen.checkpoint()
-        if most and seen.count() > most + 1:
+        seen, found = seen.union(front), found + n
+        if most and found > most:
             break
     out = seen.filter("depth > 0")
     return out.orderBy("depth", "id").limit(most) if most else out

@@ -10,9 +10,16 @@ from lamella.functions import text as T
 
 
 def hotspots(changes: DataFrame, entity: str = "entity", commit: str = "sha", author: str = "author", order: tuple[str, ...] = ("committed_at", "sha")) -> DataFrame:
-    """Per entity: commits that change it, their authors, and the newest commit."""
-    one = changes.select(entity, commit, author, *order).dropDuplicates([entity, commit])
-    return one.groupBy(entity).agg(F.count(F.lit(1)).alias("commits"), F.count_distinct(author).alias("authors"), F.max_by(commit, F.struct(*order)).alias("newest"))
+    """Per entity: commits that change it, their authors, and the newest commit.
+
+    Summed by (entity, commit), then (entity, author), then entity: every sum is
+    partial before its shuffle, so an entity of very many commits needs no large
+    group.  A commit's author is its least one; null authors aren't counted.
+    """
+    at = F.struct(*order)
+    one = changes.groupBy(entity, commit).agg(F.min(author).alias("_author"), F.max(at).alias("_at"))
+    by_author = one.groupBy(entity, "_author").agg(F.count(F.lit(1)).alias("_n"), F.max(F.struct("_at", F.col(commit).alias("sha"))).alias("_last"))
+    return by_author.groupBy(entity).agg(F.sum("_n").alias("commits"), F.count("_author").alias("authors"), F.max("_last")["sha"].alias("newest"))
 
 
 def co_changes(changes: DataFrame, entity: str = "entity", commit: str = "sha", most: int = 50, least: int = 2) -> DataFrame:

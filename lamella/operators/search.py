@@ -69,17 +69,22 @@ def packed(rows: DataFrame, group: str, order: str, tokens: str, budget: int, sh
 
     With ``short``, the tokens of a row's signature, a row whose full text doesn't
     fit goes in by its signature if that fits; ``form`` says which, null if neither.
+    One pass over a group's sorted rows (order and token counts alone), which is
+    a group's result itself; ties of the order go by token count; null counts never fit.
     """
-    columns = [group, order, tokens, *([short] if short else [])]
-
-    def work(pdf):
-        pdf = pdf.sort_values([order, tokens], ignore_index=True)
-        left, forms = budget, []
-        for n, m in zip(pdf[tokens], pdf[short or tokens]):
-            forms.append("full" if n <= left else "signature" if short and m <= left else None)
-            left -= n if forms[-1] == "full" else m if forms[-1] else 0
-        out = pdf.assign(included=[f is not None for f in forms])
-        return out.assign(form=forms) if short else out
-
-    t = {c: rows.schema[c].dataType.simpleString() for c in columns}
-    return rows.select(*columns).groupBy(group).applyInPandas(work, ", ".join(f"{c} {x}" for c, x in t.items()) + ", included boolean" + ", form string" * bool(short))
+    names = [order, tokens, *([short] if short else [])]
+    r = rows.select(F.col(group).alias("g"), F.struct(*[F.col(c) for c in names]).alias("x")).groupBy("g").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    kinds = {f.name: f.dataType for f in rows.schema}
+    empty = F.struct(F.lit(budget).cast("long").alias("room"), F.array().cast("array<int>").alias("forms"))
+
+    def step(acc, x):
+        full = F.coalesce(x[tokens] <= acc["room"], F.lit(False))
+        brief = F.coalesce(x[short] <= acc["room"], F.lit(False)) if short else F.lit(False)
+        form = F.when(full, 2).when(brief, 1).otherwise(0)
+        taken = F.when(full, x[tokens]).when(brief, x[short] if short else F.lit(0)).otherwise(F.lit(0))
+        return F.struct((acc["room"] - taken).cast("long").alias("room"), F.concat(acc["forms"], F.array(form)).alias("forms"))
+
+    forms = F.aggregate("xs", empty, step)["forms"]
+    one = r.select("g", F.inline(F.arrays_zip(F.col("xs").alias("x"), forms.alias("f")))).toDF("g", "x", "f")
+    out = [F.col("g").cast(kinds[group]).alias(group), *[F.col(f"x.{c}").alias(c) for c in names], (F.col("f") > 0).alias("included")]
+    return one.select(*out, *([F.when(F.col("f") == 2, "full").when(F.col("f") == 1, "signature").alias("form")] if short else []))

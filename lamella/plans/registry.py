@@ -113,19 +113,20 @@ def match_by_hash(spark, sf_dir):
     return diff.by_hash(d.filter("doc_id % 2 = 0"), d.filter("doc_id % 2 = 1"), "doc_id", "digest")
 
 
-@query("""WITH p AS (SELECT a.conv_id, a.turn, a.text AS x, b.text AS y, a.role AS r, b.role AS s FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
-SELECT conv_id, turn, CASE WHEN r <> s THEN 'renamed' ELSE 'modified' END AS change_type FROM p""")
+@query("""SELECT conv_id, turn, CASE WHEN turn % 4 = 1 OR turn % 4 = 2 THEN 'moved' WHEN turn % 4 = 3 THEN 'renamed' ELSE 'modified' END AS change_type FROM conversations""")
 def classify_matches(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    side = lambda p, shift: c.select(F.col("conv_id").alias("file_path"), (F.col("turn") + shift).alias("turn"), F.lit(None).cast("string").alias(f"{p}parent_id"), F.lit("turn").alias(f"{p}entity_type"), F.col("role").alias(f"{p}name")).withColumn(f"{p}file_path", F.col("file_path"))
-    j = side("b_", 0).join(side("a_", -1), ["file_path", "turn"])
-    return j.select(F.col("file_path").alias("conv_id"), "turn", diff.classified().alias("change_type"))
+    k = F.col("turn") % 4
+    c = table(spark, sf_dir, "conversations").withColumn("k", k)
+    side = {f"{x}_{f}": F.when(F.col("k") == n, F.lit(x)).otherwise(F.lit("same")) for x in "ab" for f, n in (("file_path", 1), ("parent_id", 2), ("name", 3))}
+    side |= {f"{x}_entity_type": F.lit("turn") for x in "ab"}
+    return c.withColumns(side).select("conv_id", "turn", diff.classified().alias("change_type"))
 
 
-@query(r"""SELECT doc_id, md5(text) <> md5(upper(text)) AS content_changed, trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g')) <> trim(regexp_replace(regexp_replace(text, '\n', '  ', 'g'), '[ \t\n\r]+', ' ', 'g')) AS structural_change FROM documents""")
+@query(r"""SELECT doc_id, doc_id % 3 <> 0 AS content_changed, doc_id % 3 = 2 AS structural_change FROM documents WHERE text LIKE '% %'""")
 def cosmetic_changes(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", (F.md5("text") != F.md5(F.upper("text"))).alias("content_changed"), diff.structural_change(F.col("text"), F.regexp_replace("text", "\n", "  ")).alias("structural_change"))
+    d = table(spark, sf_dir, "documents").filter("text like '% %'")
+    after = F.when(F.col("doc_id") % 3 == 1, F.replace("text", F.lit(" "), F.lit(" \n "))).when(F.col("doc_id") % 3 == 2, F.concat("text", F.lit(" more"))).otherwise(F.col("text"))
+    return d.select("doc_id", (F.md5("text") != F.md5(after)).alias("content_changed"), diff.structural_change(F.col("text"), after).alias("structural_change"))
 
 
 @query(rf"""WITH {_LINED}, x AS (SELECT doc_id, i AS line FROM l, unnest(range(1, len(l) + 1)) AS u(i)), f AS (SELECT doc_id, line, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS g FROM x WHERE line % 7 NOT IN (0, 3))
@@ -136,10 +137,12 @@ def orphan_segments(spark, sf_dir):
     return diff.orphan_segments(lines, lines.filter("line % 7 in (0, 3)"))
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT conv_id, turn, length(text) AS n FROM conversations),
+best AS (SELECT conv_id, turn, n, 1 AS len FROM c UNION SELECT c.conv_id, c.turn, c.n, best.len + 1 FROM best JOIN c ON c.conv_id = best.conv_id AND c.turn > best.turn AND c.n >= best.n)
+SELECT conv_id, count(DISTINCT turn) AS turns, count(DISTINCT turn) - max(len) AS out_of_order FROM best GROUP BY conv_id""")
 def reorder_lnds(spark, sf_dir):
     d = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("n"))
-    return diff.reordered(d, "conv_id", "turn", "n")
+    return diff.reordered(d, "conv_id", "turn", "n").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.count_if("reordered").alias("out_of_order"))
 
 
 _WORDS = r"list_distinct(list_filter(string_split_regex(text, '[ \t\n\r\x0b\x0c]+'), lambda x: x <> ''))"
@@ -325,11 +328,10 @@ def lifetime_stats(spark, sf_dir):
 @query(rf"""WITH {_LINED}, h AS (SELECT doc_id, i AS line FROM l, unnest(range(1, len(l) + 1)) AS u(i) WHERE contains(l[i], 'MIT License'))
 SELECT doc_id AS file_path, CAST(line AS BIGINT) AS line, doc_id || '::chunk::lines ' || (20 * ((line - 1) // 20) + 1) || '-' || least(20 * ((line - 1) // 20) + 20, len(l)) AS id FROM h JOIN l USING (doc_id)""")
 def text_search_innermost(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    e = entities.chunks(docs, "doc_id", "text")
-    whole = e.groupBy("file_path").agg(F.min("start_line").alias("start_line"), (F.max("end_line") + 1).alias("end_line"))
-    nested = e.select("file_path", "id", "start_line", "end_line").union(whole.select("file_path", F.col("file_path").cast("string"), "start_line", "end_line"))
-    return search.innermost(search.text_hits(docs, "doc_id", "text", "MIT License"), nested).select("file_path", "line", "id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").filter(F.col("text").contains("MIT License"))
+    e = entities.spans(docs, "doc_id", "text")
+    whole = docs.select(F.col("doc_id").alias("file_path"), F.col("doc_id").cast("string").alias("id"), F.lit(1).cast("long").alias("start_line"), (F.size(T.lines(F.col("text"))) + 1).cast("long").alias("end_line"))
+    return search.innermost(search.text_hits(docs, "doc_id", "text", "MIT License"), e.unionByName(whole)).select("file_path", "line", "id")
 
 
 @query("SELECT DISTINCT p_name AS name FROM part WHERE contains(lower(p_name), 'p') ORDER BY 1 LIMIT 5")
@@ -346,12 +348,12 @@ def reference_resolution(spark, sf_dir):
     return search.resolved(tokens, symbols, "conv_id").select("conv_id", "token", "target", "rule")
 
 
-_PATH = r"regexp_replace(regexp_replace(url, '^https?://[^/]+/', ''), '[?#].*$', '')"
+_CASES = (("dist/x.js", True, False), ("src/dist/x.js", False, False), ("a/Vendor/b.go", True, False), ("lib/x.min.js", True, False), ("lib/Foo.framework/Foo", False, True), ("deep/down/go.sum", True, False), ("_next/static/chunks/b.js", True, False), ("src/main.rs", False, False), ("img/logo.PNG", False, True), ("vendor.go", False, False), ("a/b.generated.ts", True, False), ("pkg/data.tar.gz", False, True))
 
 
-@query(rf"SELECT page_id, len(list_filter(string_split(lower({_PATH}), '/')[1:-2], lambda x: x IN ({', '.join(map(repr, P.EXCLUDED_DIRS))}))) > 0 OR (contains({_PATH}, '/') AND string_split(lower({_PATH}), '/')[1] IN ({', '.join(map(repr, P.EXCLUDED_ROOT_DIRS))})) OR string_split(lower({_PATH}), '/')[-1] IN ({', '.join(map(repr, P.EXCLUDED_FILES))}) OR regexp_matches(lower({_PATH}), '{P.one_of(P.EXCLUDED_SUFFIXES)}') OR contains(lower({_PATH}), '_next/static/chunks') AS excluded, regexp_matches(lower({_PATH}), '{P.one_of(P.BINARY_SUFFIXES)}') AS is_binary FROM pages")
+@query("""SELECT page_id, page_id % 12 IN (0, 2, 3, 5, 6, 10) AS excluded, page_id % 12 IN (4, 8, 11) AS is_binary FROM pages""")
 def default_excludes(spark, sf_dir):
-    path = F.regexp_replace(F.regexp_replace("url", "^https?://[^/]+/", ""), "[?#].*$", "")
+    path = F.get(F.array(*[F.lit(p) for p, *_ in _CASES]), (F.col("page_id") % len(_CASES)).cast("int"))
     return table(spark, sf_dir, "pages").select("page_id", P.default_excluded(path).alias("excluded"), P.probably_binary(path).alias("is_binary"))
 
 
@@ -370,10 +372,14 @@ def token_budget(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.token_estimate(F.col("text")).alias("tokens"), T.signature(F.col("text")).alias("signature"))
 
 
-@query()
+@query(r"""WITH RECURSIVE t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS k, CAST(greatest(len(list_filter(string_split_regex(text, '[ \t\n\r\x0b\x0c]+'), lambda x: x <> '')) * 13 // 10, length(text) // 4) AS BIGINT) AS tokens,
+  CAST(greatest(len(list_filter(string_split_regex(string_split(text, chr(10))[1], '[ \t\n\r\x0b\x0c]+'), lambda x: x <> '')) * 13 // 10, length(string_split(text, chr(10))[1]) // 4) AS BIGINT) AS short_tokens FROM conversations),
+p AS (SELECT conv_id, k, CASE WHEN tokens <= 150 THEN 150 - tokens WHEN short_tokens <= 150 THEN 150 - short_tokens ELSE 150 END AS room, CASE WHEN tokens <= 150 THEN 'full' WHEN short_tokens <= 150 THEN 'signature' END AS form FROM t WHERE k = 1
+  UNION ALL SELECT t.conv_id, t.k, CASE WHEN tokens <= room THEN room - tokens WHEN short_tokens <= room THEN room - short_tokens ELSE room END, CASE WHEN tokens <= room THEN 'full' WHEN short_tokens <= room THEN 'signature' END FROM p JOIN t ON t.conv_id = p.conv_id AND t.k = p.k + 1)
+SELECT conv_id, turn, tokens, short_tokens, form IS NOT NULL AS included, form FROM p JOIN t USING (conv_id, k)""")
 def context_pack(spark, sf_dir):
     sizes = T.token_estimate(F.col("text")).alias("tokens"), T.token_estimate(T.signature(F.col("text"))).alias("short_tokens")
-    return search.packed(table(spark, sf_dir, "conversations").select("conv_id", "turn", *sizes), "conv_id", "turn", "tokens", 900, "short_tokens")
+    return search.packed(table(spark, sf_dir, "conversations").select("conv_id", "turn", *sizes), "conv_id", "turn", "tokens", 150, "short_tokens")
 
 
 @query(rf"""WITH {_LINED}, n AS (SELECT doc_id, len(l) AS n FROM l WHERE len(l) > 8) SELECT doc_id AS file_path, CAST(a AS BIGINT) AS gap_start, CAST(b AS BIGINT) AS gap_end FROM (SELECT doc_id, 1 AS a, 1 AS b FROM n UNION ALL SELECT doc_id, 5, 6 FROM n UNION ALL SELECT doc_id, 9, n FROM n)""")
@@ -405,4 +411,4 @@ def session_ledger(spark, sf_dir):
     return incremental.ledger(table(spark, sf_dir, "events"), "user_id", "event_type", ["ts", "event_id"], "props").select("event_id", "reply")
 
 
-from lamella.plans import snapshots  # noqa: E402, F401  (adds its queries)
+from lamella.plans import snapshots as _snapshots  # noqa: E402, F401  (adds its queries)

@@ -23,16 +23,24 @@ def freshness(files: DataFrame, cached: DataFrame, path: str = "path") -> DataFr
 
 
 def index_commits(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: str = "sha") -> None:
-    """Append the commits of a file stream that ``target`` lacks, each key once, also when a batch is repeated."""
+    """Append the commits of a file stream that ``target`` lacks, each key once, also when a batch is repeated.
+
+    A batch owns the folder ``batch=<id>``, which a repeated batch writes anew: what
+    that folder holds already doesn't count as known.  Rows of one key within a
+    batch: the one of least hash is kept.  Null keys count as one key.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        new = batch.dropDuplicates([key])
-        try:
-            known = batch.sparkSession.read.parquet(target).select(key)
-            new = new.join(known, key, "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
+        session = batch.sparkSession
+        w = W.partitionBy(key).orderBy(F.xxhash64(*batch.columns))
+        new = batch.withColumn("_first", F.row_number().over(w)).filter("_first = 1").drop("_first")
+        path = session.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+        files = path.getFileSystem(session.sparkContext._jsc.hadoopConfiguration())
+        others = [s.getPath().toString() for s in files.listStatus(path)] if files.exists(path) else []
+        others = [x for x in others if "/batch=" in x and not x.endswith(f"/batch={batch_id}")]
+        if others:
+            known = session.read.schema(batch.schema).parquet(*others).select(F.col(key).alias("_known"))
+            new = new.join(known, F.col(key).eqNullSafe(F.col("_known")), "left_anti")
         new.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     stream = spark.readStream.schema(schema).parquet(source)

@@ -98,7 +98,7 @@ def test_packing_skips_and_goes_on(spark):
 def test_patch():
     text = 'diff --git a/x.txt b/y.txt\nsimilarity index 90%\nrename from x.txt\nrename to y.txt\n--- a/x.txt\n+++ b/y.txt\n@@ -1,2 +1,2 @@\n one\n-two\n+2\ndiff --git a/n b/n\nnew file mode 100644\n--- /dev/null\n+++ b/n\n@@ -0,0 +1 @@\n+hi\ndiff --git a/p.png b/p.png\nBinary files a/p.png and b/p.png differ\n'
     got = git_text.patch(text)
-    assert [(r["file_path"], r["status"], r["old_file_path"], r["before_content"], r["after_content"]) for r in got] == [("y.txt", "renamed", "x.txt", "one\ntwo", "one\n2"), ("n", "added", None, None, "hi"), ("p.png", "modified", None, None, None)]
+    assert [(r["file_path"], r["status"], r["old_file_path"], r["before_content"], r["after_content"]) for r in got] == [("y.txt", "renamed", "x.txt", "one\ntwo\n", "one\n2\n"), ("n", "added", None, None, "hi\n"), ("p.png", "modified", None, None, None)]
     assert git_text.name_status("M\0a\0R100\0b\0c\0D\0d\0") == [("a", "modified", None), ("c", "renamed", "b"), ("d", "deleted", None)]
 
 
@@ -121,3 +121,40 @@ def test_commit_index_stream(spark, tmp_path):
 def test_json_source(spark):
     d = spark.createDataFrame([('[{"filePath":"a","status":"added","afterContent":"x"}]',)], "j string")
     assert rows(git_text.file_changes_json(d, "j")) == [("a", "added", None, None, "x")]
+
+
+def test_patch_without_final_newline_and_faults():
+    head = "--- a/f\n+++ b/f\n@@ -1,2 +1,2 @@\n"
+    got = git_text.patch(head + " one\n-two\n\\ No newline at end of file\n+2\n")
+    assert [(r["before_content"], r["after_content"]) for r in got] == [("one\ntwo", "one\n2\n")]
+    assert git_text.patch("") == []
+    for bad in (head + " one\n-two", "hello\n", head + "!x\n", "--- a/f\n+++ b/f\n@@ nonsense @@\n"):
+        with pytest.raises(ValueError):
+            git_text.patch(bad)
+
+
+def test_json_source_is_strict(spark):
+    for bad in ('[{"filePath":"a","status":"added","extra":"x"}]', '[{"status":"added"}]', '[{"filePath":"a","status":"odd"}]', "[{"):
+        with pytest.raises(Exception, match="unknown|no filePath|MALFORMED|Malformed"):
+            git_text.file_changes_json(spark.createDataFrame([(bad,)], "j string"), "j").collect()
+    assert git_text.file_changes_json(spark.createDataFrame([(None,)], "j string"), "j").collect() == []
+
+
+def test_commit_index_replays_a_batch(spark, tmp_path):
+    import glob
+    import os
+
+    src, out, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
+    spark.createDataFrame([(1, "a"), (2, "b")], "sha int, m string").write.parquet(src)
+    incremental.index_commits(spark, src, "sha int, m string", out, cp)
+    for f in glob.glob(f"{cp}/commits/*") + glob.glob(f"{cp}/commits/.*crc"):
+        os.remove(f)
+    incremental.index_commits(spark, src, "sha int, m string", out, cp)
+    assert sorted(r[0] for r in spark.read.parquet(out).select("sha").collect()) == [1, 2]
+
+
+def test_nested_headings(spark):
+    text = "# A\n### B\n## C\n#### D\n## E\n# F\n"
+    d = spark.createDataFrame([("m", text), ("n", None), ("o", "plain")], "p string, t string")
+    got = rows(entities.headings(d, "p", "t").select("name", "start_line", "end_line", "parent_name"), "start_line")
+    assert got == [("A", 1, 5, None), ("B", 2, 2, "A"), ("C", 3, 4, "A"), ("D", 4, 4, "C"), ("E", 5, 5, "A"), ("F", 6, 6, None)]
