@@ -16,8 +16,9 @@ are drawn conditional on the one just taken.  Where the (k+1)-th state would be
 taken is the threshold that gives each path's inclusion score
 ``1 - exp(-exp(log p - threshold))``.
 
-Lattices of many texts are built, summed and walked together with numpy, cut
-where no piece crosses.  Every draw is a hash of the row's seed, the path's
+Lattices are cut where no piece crosses.  A worker builds and sums those of all
+new stretches of text together with numpy and keeps them; the lattices of many
+texts are then walked together.  Every draw is a hash of the row's seed, the path's
 number and the place in the text, so equal keys and texts give equal samples
 wherever and however often they run.  Decoding is exact: a U+2581 of the text,
 which marks spaces in pieces, is written as its bytes.
@@ -26,13 +27,14 @@ Defined cases: a null or empty text has one segmentation, without pieces;
 where a text has fewer than ``k`` segmentations all of them are given with
 inclusion 1; repeated rows give equal samples; ties have odds of 2**-53 and go
 to the state nearest the text's beginning; null keys hash as null; an empty
-table gives no rows; a text of any length has its whole lattice, about 200 bytes
+table gives no rows; a text of any length has its whole lattice, about 100 bytes
 a character, in memory; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from dataclasses import dataclass
 
@@ -44,6 +46,8 @@ from pyspark.sql import functions as F
 from ._store import small_batches
 from ._words import mix
 
+_WORD = re.compile(" +[^ ]*")
+
 SPACE = "▁"
 #: Stands for a space mark of the text itself, and for the end of a text; no valid text holds them.
 MARK, END = "\ud800", "\ud801"
@@ -51,7 +55,9 @@ THETA = 1.0
 SAMPLES = 3
 SEED = 17
 #: Characters whose lattices are built together.
-GROUP = 200_000
+GROUP = 40_000
+#: Words that a worker remembers, and edges in its store, before it starts anew.
+WORDS, STORED = 300_000, 4_000_000
 #: Characters below this have a column of their own in the table of transitions.
 DENSE = 0x180
 _STEP, _PATH = np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
@@ -77,21 +83,58 @@ def seed_of(key: tuple, seed: int = SEED) -> int:
 
 
 @dataclass
-class Edges:
-    """Lattices of texts laid end to end, each closed by one place with one edge without pieces."""
+class Texts:
+    """Texts laid end to end, each closed by one place without pieces; a place is a character, a node of the store."""
 
-    code: np.ndarray  # code points by place
+    node: np.ndarray  # node of a place
     row: np.ndarray  # text of a place
     first: np.ndarray  # first place of a text
-    end: np.ndarray  # end of a place's stretch, which no piece crosses
     cuts: np.ndarray  # first places of all stretches
-    at: np.ndarray  # first edge of a place
-    count: np.ndarray  # edges of a place
-    piece: np.ndarray  # of an edge: id, -1 for a text's end, -2 for a character's bytes
-    to: np.ndarray
-    p: np.ndarray
-    log_p: np.ndarray
-    cum: np.ndarray  # sums of p up to an edge in its node, the last one over 1
+
+
+class Store:
+    """The lattices of all stretches met so far: text between two places that no piece crosses.
+
+    A stretch's nodes follow one another, a node's edges too.
+    """
+
+    #: Node and edge columns: left is the distance to the stretch's end, piece is -1 for a text's end and -2 for a
+    #: character's bytes (``raw`` is the character), log_q the log odds of all other edges of its node, cum the sums of p up to an edge in its node, the last one over 1.
+    NODE = (("at", np.int32), ("count", np.int32), ("left", np.int32))
+    EDGE = (("piece", np.int32), ("size", np.int32), ("raw", np.int32), ("p", np.float64), ("log_p", np.float64), ("log_q", np.float64), ("cum", np.float64))
+
+    def __init__(self) -> None:
+        self.stretches: dict[str, int] = {}
+        self.words: dict[str, bytes] = {}
+        self.n_nodes = self.n_edges = 0
+        for name, kind in (*self.NODE, *self.EDGE):
+            setattr(self, name, np.empty(1024, dtype=kind))
+        self.base, self.length = np.empty(1024, np.int32), np.empty(1024, np.int32)
+
+    @staticmethod
+    def _fit(old: np.ndarray, n: int) -> np.ndarray:
+        if n <= len(old):
+            return old
+        new = np.empty(max(n, 2 * len(old)), dtype=old.dtype)
+        new[: len(old)] = old
+        return new
+
+    def add(self, texts: list[str], nodes: dict[str, np.ndarray], edges: dict[str, np.ndarray]) -> None:
+        """New stretches with their nodes (``at`` counted from the first of these edges) and edges."""
+        k, n, m = len(self.stretches), len(nodes["at"]), len(edges["p"])
+        sizes = np.array([len(t) for t in texts], dtype=np.int32)
+        self.base, self.length = self._fit(self.base, k + len(texts)), self._fit(self.length, k + len(texts))
+        self.base[k : k + len(texts)] = self.n_nodes + np.cumsum(sizes) - sizes
+        self.length[k : k + len(texts)] = sizes
+        for i, t in enumerate(texts):
+            self.stretches[t] = k + i
+        for name, _ in self.NODE:
+            setattr(self, name, self._fit(getattr(self, name), self.n_nodes + n))
+            getattr(self, name)[self.n_nodes : self.n_nodes + n] = nodes[name] + self.n_edges if name == "at" else nodes[name]
+        for name, _ in self.EDGE:
+            setattr(self, name, self._fit(getattr(self, name), self.n_edges + m))
+            getattr(self, name)[self.n_edges : self.n_edges + m] = edges[name]
+        self.n_nodes, self.n_edges = self.n_nodes + n, self.n_edges + m
 
 
 class Lattice:
@@ -117,6 +160,8 @@ class Lattice:
                 self.bytes_of[i] = name.replace(SPACE, " ").encode()
                 self.weight[i] = -THETA * math.log(2 + max(0.0, -sp.get_score(i)))
         self.sizes = np.array([len(x) for x in self.bytes_of])
+        self.bytes_at = np.cumsum(self.sizes) - self.sizes
+        self.all_bytes = np.frombuffer(b"".join(self.bytes_of), dtype=np.uint8)
         chars = sorted({c for name in pieces for c in name}, key=lambda c: (ord(c) >= DENSE and c != SPACE, c))
         self.dense = 1 + sum(ord(c) < DENSE or c == SPACE for c in chars)
         self.classes = len(chars) + 1
@@ -138,6 +183,9 @@ class Lattice:
                 self.table[s, c] = t
         self.piece_of = np.full(len(steps) + 2, -1, dtype=np.int32)
         self.piece_of[list(found)] = list(found.values())
+        #: Whether words, which begin with their spaces, can be taken one by one.
+        self.by_word = not any(b == SPACE and a != SPACE for name in pieces for a, b in zip(name, name[1:]))
+        self.store = Store()
 
     def _next(self, state, cls):
         """The trie's next states, 0 where there is none."""
@@ -150,11 +198,46 @@ class Lattice:
         out[at] = np.where(self.rare[k] == key, self.rare_to[k], 0)
         return out
 
-    def edges(self, texts: list[str]) -> Edges:
-        """The lattices of ``texts`` with every edge's odds."""
-        whole = [(SPACE + t.replace(SPACE, MARK).replace(" ", SPACE) if t else "") + END for t in texts]
-        sizes = np.array([len(t) for t in whole], dtype=np.int64)
-        code = np.frombuffer("".join(whole).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    def texts(self, texts: list[str]) -> Texts:
+        """``texts`` as places, with the lattices of what is new in the store."""
+        if self.store.n_edges > STORED:
+            self.store = Store()
+        store = self.store
+        if len(store.words) > WORDS:
+            store.words = {}
+        known = store.words
+        if not known:
+            self._learn([END])
+        split = [[*self._words(t), END] for t in texts]
+        if new := set().union(*split).difference(known):
+            self._learn(sorted(new))
+        ids = [np.frombuffer(b"".join(map(known.__getitem__, ws)), dtype=np.int32) for ws in split]
+        stretch = np.concatenate(ids)
+        length = store.length[stretch].astype(np.int64)
+        cuts = np.cumsum(length) - length
+        node = np.repeat(store.base[stretch] - cuts, length) + np.arange(int(length.sum()))
+        first = cuts[np.cumsum([0, *[len(x) for x in ids[:-1]]])]
+        row = np.repeat(np.arange(len(texts)), np.diff(np.append(first, len(node))))
+        return Texts(node, row, first, cuts)
+
+    def _words(self, text: str) -> list[str]:
+        """A text's words, each with the spaces before it if these are more than one."""
+        if not text:
+            return []
+        if not self.by_word:
+            return [SPACE + text.replace(SPACE, MARK).replace(" ", SPACE)]
+        if SPACE in text:
+            text = text.replace(SPACE, MARK)
+        if "  " in text or text[0] == " " or text[-1] == " ":
+            return [w.replace(" ", SPACE) if w[1:2] in ("", " ") else w[1:] for w in _WORD.findall(" " + text)]
+        return text.split(" ")
+
+    def _learn(self, words: list[str]) -> None:
+        """Put the stretches of new words into the store."""
+        store = self.store
+        full = [w if w[0] in (SPACE, END) else SPACE + w for w in words]
+        whole = END.join(full) + END
+        code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         n = len(code)
         cls = self.class_of[code]
         count = np.zeros(n, dtype=np.int32)
@@ -183,7 +266,7 @@ class Lattice:
             state = self._next(state, cls[pos + step])
             step += 1
         at = np.flatnonzero(~single) if starts else np.arange(n)
-        bytes_ = 1 + (code[at] >= 0x80) + (code[at] >= 0x800).astype(np.int64) + (code[at] >= 0x10000)
+        bytes_ = utf8_size(code[at])
         close = code[at] == ord(END)
         starts.append(at)
         lengths.append(np.ones(len(at), dtype=np.int64))
@@ -203,7 +286,7 @@ class Lattice:
         place[order] = np.arange(n)
         by = count[order]
         offset = np.concatenate([[0], np.cumsum(by)])
-        slot = offset[place[start]] + rank
+        slot = offset[place[start] + 1] - 1 - rank  # the longest piece, mostly the likeliest, first
         m = len(slot)
         e_piece, e_to, e_w, open_ = np.empty(m, np.int32), np.empty(m, np.int64), np.empty(m), np.empty(m)
         e_piece[slot], e_to[slot], e_w[slot] = piece, start + length, weight
@@ -230,85 +313,131 @@ class Lattice:
             k = offset[:-1][by > r] + r
             cum[k] += cum[k - 1]
         cum[offset[1:] - 1] = 2.0
-        first = np.cumsum(sizes) - sizes
-        return Edges(code, np.repeat(np.arange(len(texts)), sizes), first, end, cuts, offset[place], count, e_piece, e_to, p, log_p, cum)
-
-    def ids(self, e: Edges, path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        with np.errstate(divide="ignore"):
+            log_q = np.where(np.repeat(by, by) > 1, np.log1p(-p), -np.inf)
+        raw = np.where(e_piece == -2, code[np.minimum(e_to - 1, n - 1)], 0).astype(np.int32)
+        at_node, count_node = offset[place], count
+        parts = [whole[i:j] for i, j in zip(cuts.tolist(), ends.tolist())]
+        fresh: dict[str, int] = {}
+        for k, t in enumerate(parts):
+            if t not in store.stretches and t not in fresh:
+                fresh[t] = k
+        if fresh:
+            k = np.array(list(fresh.values()))
+            size = ends[k] - cuts[k]
+            nodes = np.repeat(cuts[k] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            c = count_node[nodes]
+            own = np.cumsum(c) - c
+            edges = np.repeat(at_node[nodes] - own, c) + np.arange(c.sum())
+            source = np.repeat(nodes, c)
+            store.add(list(fresh), {"at": own, "count": c, "left": (end - np.arange(n))[nodes]}, {"piece": e_piece[edges], "size": e_to[edges] - source, "raw": raw[edges], "p": p[edges], "log_p": log_p[edges], "log_q": log_q[edges], "cum": cum[edges]})
+        which = np.array([store.stretches[t] for t in parts], dtype=np.int32)
+        bounds = np.searchsorted(cuts, np.cumsum([0, *[len(w) + 1 for w in full]])).tolist()
+        data = which.tobytes()
+        store.words.update({w: data[4 * i : 4 * j - 4] for w, i, j in zip(words, bounds, bounds[1:])})
+
+    def ids(self, path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of a path (its edges in order of place) and how many stand before each edge and after the last."""
-        piece = e.piece[path]
-        code = e.code[e.to[path] - 1]
-        size = np.where(piece == -1, 0, np.where(piece == -2, 1 + (code >= 0x80) + (code >= 0x800).astype(np.int64) + (code >= 0x10000), 1))
-        offset = np.concatenate([[0], np.cumsum(size)])
+        piece, raw = self.store.piece[path], self.store.raw[path]
+        odd = np.flatnonzero(piece < 0)
+        size = np.ones(len(path), dtype=np.int64)
+        size[odd] = np.where(piece[odd] == -1, 0, utf8_size(raw[odd]))
+        offset = np.zeros(len(path) + 1, dtype=np.int64)
+        np.cumsum(size, out=offset[1:])
         out = np.repeat(piece, size)
-        for k in np.flatnonzero(piece == -2).tolist():
-            c = chr(code[k])
-            raw = (SPACE if c == MARK else c).encode("utf-8", "surrogatepass")
-            out[offset[k] : offset[k + 1]] = self.byte_ids[list(raw)]
+        single = odd[(piece[odd] == -2) & (raw[odd] < 0x80)]
+        out[offset[single]] = self.byte_ids[raw[single]]
+        for k in odd[(piece[odd] == -2) & (raw[odd] >= 0x80)].tolist():
+            c = chr(raw[k])
+            out[offset[k] : offset[k + 1]] = self.byte_ids[list((SPACE if c == MARK else c).encode("utf-8", "surrogatepass"))]
         return out, offset
 
-    def joined(self, ids) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def joined(self, ids: np.ndarray) -> bytes:
+        """The bytes of pieces one after the other."""
+        size = self.sizes[ids]
+        return self.all_bytes[np.repeat(self.bytes_at[ids] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))].tobytes()
 
     def decode(self, ids) -> str:
         """The text of a segmentation."""
-        return self.joined(ids).decode("utf-8", "replace")[1:]
+        return self.joined(np.asarray(ids, dtype=np.int64)).decode("utf-8", "replace")[1:]
+
+
+def utf8_size(code: np.ndarray) -> np.ndarray:
+    return 1 + (code >= 0x80) + (code >= 0x800).astype(np.int64) + (code >= 0x10000)
 
 
-def uniform(seed: np.ndarray, path: int, place: np.ndarray) -> np.ndarray:
-    """Draws in (0, 1), one for each seed, path and place."""
-    x = mix(seed + np.uint64((path + 1) * _PATH % (1 << 64))) + place.astype(np.uint64) * _STEP
-    return ((mix(x) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+def keyed(seeds: np.ndarray, path: int) -> np.ndarray:
+    """Keys of a path's draws, one for each seed."""
+    return mix(seeds + np.uint64((path + 1) * _PATH % (1 << 64)))
+
+
+def uniform(key: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Draws in (0, 1), one for each key and place."""
+    return ((mix(key + place.astype(np.uint64) * _STEP) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
 def gumbel(u):
     return -np.log(-np.log(u))
 
 
-def walk(e: Edges, at: np.ndarray, chosen: np.ndarray, seeds: np.ndarray, path: int) -> None:
+def walk(store: Store, g: Texts, at: np.ndarray, chosen: np.ndarray, keys: np.ndarray) -> None:
     """Follow the lattices' odds from the places ``at`` to the ends of their stretches; edges go to ``chosen`` by place."""
+    origin = keys - g.first.astype(np.uint64) * _STEP  # so that a draw goes by the place in its text
+    origin = np.repeat(origin, np.diff(np.append(g.first, len(g.node))))
     while len(at):
-        edge = e.at[at].copy()
-        many = np.flatnonzero(e.count[at] > 1)
-        if len(many):
-            row = e.row[at[many]]
-            u = uniform(seeds[row], path, at[many] - e.first[row])
-            k = edge[many]
-            more = np.flatnonzero(u >= e.cum[k])
-            while len(more):
-                k[more] += 1
-                more = more[u[more] >= e.cum[k[more]]]
-            edge[many] = k
+        node = g.node[at]
+        edge = store.at[node]
+        u = uniform(origin[at], at)
+        more = np.flatnonzero(u >= store.cum[edge])
+        while len(more):
+            on = edge[more] + 1
+            edge[more] = on
+            more = more[u[more] >= store.cum[on]]
         chosen[at] = edge
-        to = e.to[edge]
-        at = to[to < e.end[at]]
-
-
-def _best(values: np.ndarray, cut: np.ndarray, most: int) -> list[np.ndarray]:
-    """Places of the largest ``most`` values of each part, -1 where a part has no more."""
-    values, out = values.copy(), []
-    size = np.diff(np.append(cut, len(values)))
-    for _ in range(most):
-        top = np.maximum.reduceat(values, cut)
-        same = np.flatnonzero(values == np.repeat(top, size))
-        part = np.searchsorted(cut, same, side="right") - 1
-        at = np.full(len(cut), -1, dtype=np.int64)
-        at[part[::-1]] = same[::-1]
-        at[~np.isfinite(top)] = -1
-        values[at[at >= 0]] = -np.inf
-        out.append(at)
+        size = store.size[edge]
+        on = np.flatnonzero(size < store.left[node])
+        at = at[on] + size[on]
+
+
+#: No draw of :func:`gumbel` is further from 0 to either side.
+LEAST_GUMBEL, MOST_GUMBEL = -3.7, 37.5
+
+
+def states(store: Store, path: np.ndarray, places: np.ndarray, start: np.ndarray, stop: np.ndarray, lead: np.ndarray, keys: np.ndarray, origin: np.ndarray, most: int, width: int = 32) -> list[list[tuple[float, int]]]:
+    """For parts ``start`` to ``stop`` of texts' paths the ``most`` states of largest perturbed log odds, as (these, place in the path).
+
+    The log odds ahead of a state never rise along the path, so states from
+    where on no draw could lift them over the others are not drawn.
+    """
+    at = start[:, None] + np.arange(width)
+    inside = at < stop[:, None]
+    at = np.minimum(at, len(path) - 1)
+    lp = np.where(inside, store.log_p[path[at]], 0.0)
+    run = lead[:, None] + np.cumsum(lp, axis=1)
+    mass = np.where(inside, run - lp + store.log_q[path[at]], -np.inf)
+    value = mass + gumbel(uniform(keys[:, None], places[at] - origin[:, None]))
+    most = min(most, width)
+    order = np.argpartition(-value, most - 1, axis=1)[:, :most]
+    ranked = -np.partition(-mass, most - 1, axis=1)[:, most - 1]
+    whole = (stop - start <= width) | (run[:, -1] + MOST_GUMBEL < ranked + LEAST_GUMBEL)
+    best = np.take_along_axis(value, order, axis=1)
+    out = [[(x, a + j) for x, j in zip(xs, js) if x > -np.inf] for a, xs, js in zip(start.tolist(), best.tolist(), order.tolist())]
+    if not whole.all():
+        rest = np.flatnonzero(~whole)
+        wider = states(store, path, places, start[rest], stop[rest], lead[rest], keys[rest], origin[rest], most, 8 * width)
+        for i, found in zip(rest.tolist(), wider):
+            out[i] = found
     return out
 
 
 def samples(lat: Lattice, texts: list[str], seeds: list[int], k: int = SAMPLES):
     """For each of ``k`` paths: (rows that have it, id offsets, ids, log p, perturbed log p, inclusion)."""
-    e = lat.edges(texts)
+    g = lat.texts(texts)
+    store = lat.store
     seeds = np.array(seeds, dtype=np.uint64)
-    n, rows = len(e.code), len(texts)
-    which, places = e.row, np.arange(n)
-    starts_row = np.searchsorted(e.cuts, e.first)  # first stretch of a text
-    ends_row = np.append(starts_row[1:], len(e.cuts))
-    roots = uniform(seeds, 0, np.full(rows, (1 << 40) - 1))
-    top = gumbel(roots)
+    n, rows = len(g.node), len(texts)
+    ends_row = np.append(np.searchsorted(g.cuts, g.first)[1:], len(g.cuts))  # after the last stretch of a text
+    top = gumbel(uniform(keyed(seeds, 3000), np.arange(1)))
     open_: list[list] = [[] for _ in texts]  # states: (maximum, path, place, barred edges), in no order
     chosen: list[np.ndarray] = []
     done = []
@@ -316,9 +445,9 @@ def samples(lat: Lattice, texts: list[str], seeds: list[int], k: int = SAMPLES):
     dev = np.full(rows, -1, dtype=np.int64)  # the place at which a row's state ends
     barred: list[tuple] = [()] * rows
     for s in range(k):
-        mine = np.full(n, -1, dtype=np.int64)
+        mine = np.full(n, -1, dtype=np.int32)
         if not s:
-            walk(e, e.cuts, mine, seeds, 0)
+            walk(store, g, g.cuts, mine, keyed(seeds, 0))
         else:
             parent = np.zeros(rows, dtype=np.int64)
             at = []
@@ -329,70 +458,65 @@ def samples(lat: Lattice, texts: list[str], seeds: list[int], k: int = SAMPLES):
                 best = max(open_[r], key=lambda x: x[0])
                 open_[r].remove(best)
                 top[r], parent[r], dev[r], barred[r] = best
-                v = int(dev[r])
-                at.append((r, v, _unbarred(e, v, barred[r], float(uniform(seeds[r : r + 1], s, np.array([v - e.first[r]]))[0]))))
-            for q in range(s):
-                keep = alive & (parent == q)
-                if keep.any():
-                    part = keep[which] & (places < dev[which])
-                    mine[part] = chosen[q][part]
+                at.append(r)
+            r_ = np.array(at, dtype=np.int64)
+            v_ = dev[r_]
+            keys = keyed(seeds, s)
+            draws = uniform(keys[r_], v_ - g.first[r_]).tolist()
+            edge_ = np.array([_unbarred(store, int(g.node[v]), barred[r], u) for r, v, u in zip(at, v_.tolist(), draws)], dtype=np.int64)
+            for r, v in zip(at, v_.tolist()):
+                first = int(g.first[r])
+                mine[first:v] = chosen[parent[r]][first:v]
             if at:
-                r_, v_, edge_ = (np.array(x) for x in zip(*at))
                 mine[v_] = edge_
-                to = e.to[edge_]
-                inner = to[to < e.end[v_]]
-                after = np.searchsorted(e.cuts, e.end[v_])
-                last = ends_row[r_]
-                size = np.maximum(last - after, 0)
-                later = e.cuts[np.repeat(after - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-                walk(e, np.concatenate([inner, later]), mine, seeds, s)
+                node = g.node[v_]
+                inner = (v_ + store.size[edge_])[store.size[edge_] < store.left[node]]
+                after = np.searchsorted(g.cuts, v_ + store.left[node])
+                size = np.maximum(ends_row[r_] - after, 0)
+                later = g.cuts[np.repeat(after - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+                walk(store, g, np.concatenate([inner, later]), mine, keys)
         chosen.append(mine)
         own = np.flatnonzero(mine >= 0)
         path = mine[own]
-        row = which[own]
         live = np.flatnonzero(alive)
-        cut = np.searchsorted(row, live)
-        lp = e.log_p[path]
-        run = np.empty(len(lp))
-        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(lp)]):  # a text's sums don't depend on its neighbours
-            np.cumsum(lp[a:b], out=run[a:b])
-        before = run - lp
-        total = run[np.append(cut[1:], len(lp)) - 1] if len(live) else np.empty(0)
-        ids, offset = lat.ids(e, path)
+        cut = np.searchsorted(own, g.first[live])
+        lp = store.log_p[path]
+        total = np.add.reduceat(lp, cut) if len(live) else np.empty(0)
+        ids, offset = lat.ids(path)
         done.append((live, np.append(offset[cut], offset[-1]), ids, total, top[live].copy()))
         if not len(live):
             break
-        with np.errstate(divide="ignore"):
-            rest = np.where(e.count[own] > 1, 1.0 - e.p[path], 0.0)
-            mass = before + np.log(np.maximum(rest, 0.0))
-        mass[own <= dev[row]] = -np.inf
-        u = uniform(seeds[row], 1000 + s, own - e.first[row])
-        value = -np.logaddexp(-top[row], -(mass + gumbel(u)))
-        value[~np.isfinite(mass)] = -np.inf
-        for found in _best(value, cut, k - s):
-            for r, j in zip(live.tolist(), found.tolist()):
-                if j >= 0:
-                    open_[r].append((float(value[j]), s, int(own[j]), (int(path[j]),)))
-        if s:  # the state just taken, without the edge that its path took
-            for r in live.tolist():
+        keys, again = keyed(seeds, 1000 + s)[live], keyed(seeds, 2000 + s)[live]
+        stop = np.append(cut[1:], len(lp))
+        start = np.searchsorted(own, np.maximum(dev[live], g.first[live] - 1), side="right")
+        lead = np.array([lp[a:b].sum() for a, b in zip(cut.tolist(), start.tolist())])
+        for r, found in zip(live.tolist(), states(store, path, own, start, stop, lead, keys, g.first[live], k - s)):
+            open_[r] += [(_below(float(top[r]), x), s, int(own[j]), (int(path[j]),)) for x, j in found]
+        if s:  # the states just taken, without the edges that their paths took
+            spare = gumbel(uniform(again, dev[live] - g.first[live])).tolist()
+            for r, z, before, j in zip(live.tolist(), spare, lead.tolist(), start.tolist()):
                 v = int(dev[r])
                 gone = (*barred[r], int(mine[v]))
-                left = 1.0 - sum(e.p[x] for x in gone)
-                if len(gone) < e.count[v] and left > 0:
-                    lead = float(before[np.searchsorted(own, v)])
-                    g = lead + math.log(left) + float(gumbel(uniform(seeds[r : r + 1], 2000 + s, np.array([v - e.first[r]]))[0]))
-                    open_[r].append((-float(np.logaddexp(-top[r], -g)), s, v, gone))
+                left = 1.0 - sum(store.p[x] for x in gone)
+                if len(gone) < store.count[g.node[v]] and left > 0:
+                    open_[r].append((_below(float(top[r]), before - float(lp[j - 1]) + math.log(left) + z), s, v, gone))
     threshold = np.array([max((x[0] for x in o), default=-np.inf) for o in open_])
-    for live, offset, ids, total, g in done:
+    for live, offset, ids, total, perturbed in done:
         gap = np.minimum(700.0, total - threshold[live])
-        yield live, offset, ids, total, g, np.where(np.isfinite(threshold[live]), -np.expm1(-np.exp(gap)), 1.0)
+        yield live, offset, ids, total, perturbed, np.where(np.isfinite(threshold[live]), -np.expm1(-np.exp(gap)), 1.0)
+
+
+def _below(top: float, x: float) -> float:
+    """A Gumbel draw ``x`` brought below ``top``: as if drawn on condition of not exceeding it."""
+    low, high = min(-top, -x), max(-top, -x)
+    return -(high + math.log1p(math.exp(low - high)))
 
 
-def _unbarred(e: Edges, v: int, barred: tuple, u: float) -> int:
-    """An edge of the place ``v`` by the odds of those that aren't barred."""
-    first = int(e.at[v])
-    free = [x for x in range(first, first + int(e.count[v])) if x not in barred]
-    p = e.p[free]
+def _unbarred(store: Store, node: int, barred: tuple, u: float) -> int:
+    """An edge of a node by the odds of those that aren't barred."""
+    first = int(store.at[node])
+    free = [x for x in range(first, first + int(store.count[node])) if x not in barred]
+    p = store.p[free]
     return free[min(len(free) - 1, int(np.searchsorted(np.cumsum(p), u * p.sum(), side="right")))]
 
 
@@ -405,8 +529,9 @@ def sampled(rows: DataFrame, keys: list[str], text: str = "text", k: int = SAMPL
     out_names = [*names, "sample", "ids", "log_p", "perturbed", "inclusion", "decoded_same"]
 
     def part(lat, b, at, texts, own):
+        raw = [t.encode() for t in texts]
         for s, (live, offset, ids, lp, g, inc) in enumerate(samples(lat, texts, own, k)):
-            same = _decoded(lat, [texts[i] for i in live.tolist()], offset, ids)
+            same = _decoded(lat, [raw[i] for i in live.tolist()], offset, ids)
             kept = [b.column(i).take(pa.array(at[live], pa.int64())) for i in range(len(names))]
             cols = [pa.array(np.full(len(live), s, dtype=np.int32)), pa.ListArray.from_arrays(pa.array(offset.astype(np.int32)), pa.array(ids.astype(np.int32))), *map(pa.array, (lp, g, inc, same))]
             yield pa.RecordBatch.from_arrays([*kept, *cols], out_names)
@@ -428,11 +553,9 @@ def sampled(rows: DataFrame, keys: list[str], text: str = "text", k: int = SAMPL
     return r.mapInArrow(emit, schema).toDF(*keys, *out_names[len(names) :])
 
 
-def _decoded(lat: Lattice, texts: list[str], offset: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Whether each segmentation decodes to its text; all are decoded at once, and one by one where a difference shows."""
-    raw = [t.encode() for t in texts]
-    want = b"".join(b" " + x if x else b"" for x in raw)
-    sizes = np.concatenate([[0], np.cumsum(lat.sizes[ids])])[offset]
-    if np.array_equal(np.diff(sizes), [len(x) + 1 if x else 0 for x in raw]) and lat.joined(ids.tolist()) == want:
-        return np.ones(len(texts), dtype=bool)
-    return np.array([lat.joined(ids[a:b].tolist()) == (b" " + x if x else b"") for a, b, x in zip(offset, offset[1:], raw)], dtype=bool)
+def _decoded(lat: Lattice, raw: list[bytes], offset: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether each segmentation decodes to its text in UTF-8, a space before it; all are decoded at once."""
+    ends = np.cumsum(lat.sizes[ids])
+    ends = np.concatenate([[0], ends])[offset].tolist()
+    got = lat.joined(ids)
+    return np.array([got[a:b] == (b" " + x if x else b"") for a, b, x in zip(ends, ends[1:], raw)], dtype=bool)

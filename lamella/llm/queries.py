@@ -46,8 +46,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled segmentations of every document's whole text."""
     out = piece_sampling.sampled(table(spark, sf_dir, "documents"), ["doc_id"])
-    ids = F.array_join(F.transform("ids", lambda x: x.cast("string")), " ")
-    return out.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.crc32(ids.cast("binary")).alias("ids_crc32"), "log_p", "perturbed", "inclusion", "decoded_same")
+    return out.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_p", "perturbed", "inclusion", "decoded_same")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,7 +102,7 @@ def test_every_document_whole(spark, sf_dir, lat):
     got: dict = {}
     for r in queries.op3_piece_sampling(spark, sf_dir).collect():
         assert r["decoded_same"] and 0 <= r["inclusion"] <= 1
-        got.setdefault(r["doc_id"], []).append((r["sample"], r["n_pieces"], r["log_p"], r["perturbed"], r["ids_crc32"]))
+        got.setdefault(r["doc_id"], []).append((r["sample"], r["n_pieces"], r["log_p"], r["perturbed"], r["ids_hash"]))
     assert set(got) == set(docs.doc_id)
     for d, text in zip(docs.doc_id, docs.text):
         want = rows_of(lat, [text or ""], [piece_sampling.seed_of((int(d),))], piece_sampling.SAMPLES)[0]
