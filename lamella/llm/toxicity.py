@@ -14,7 +14,9 @@ fitted to the training documents turns into the score.  Neighbouring tokens of
 at least ``TAGGED`` form the offending spans.
 
 Defined cases: null and wordless texts have no evidence and score the curve's
-least value; equal texts score equally; without labelled documents of both
+least value; equal texts and repeated rows score equally; texts of any length are
+scored whole; input columns may have any names; ties of the sample's order go by
+id and text; without labelled documents of both
 classes, or a word that tells them apart, every score is 0; an empty table gives no rows; other columns are ignored.  Labels of rows that
 disagree count as toxic, null labels are left out.
 """
@@ -32,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import small_batches
+from ._words import mix
 
 #: The bound of the training sample: documents, and code points of the longest one taken.
 TRAIN_ROWS = 3000
@@ -44,6 +47,9 @@ STEPS = 25
 L2 = 0.02
 KNOWN = 300_000
 SLICE = 1 << 20
+FIT_TOKENS = 100_000
+#: How much more often toxic documents hold a cue, at least.
+RATIO = 4
 HELD_OUT = 2
 
 _WORD = re.compile(r"\w+")
@@ -162,35 +168,31 @@ def marginals(emission: np.ndarray, first: np.ndarray, transitions: np.ndarray,
     return post, (q / q.sum(axis=0)).sum(axis=1).reshape(2, 2)
 
 
-def distinct_enough(texts: list[list[str]]) -> list[int]:
-    """Places of texts that are not near copies of an earlier one, by their eight least word-triple hashes."""
+def distinct_enough(texts: list[np.ndarray], hashes: np.ndarray) -> list[int]:
+    """Places of texts (type numbers of their tokens) that are not near copies of an earlier one, by their eight least hashes of three words."""
     seen: set[int] = set()
     kept = []
-    for i, tokens in enumerate(texts):
-        low = sorted({hash_of(" ".join(tokens[k : k + 3])) for k in range(max(1, len(tokens) - 2))})[:8]
-        if sum(h in seen for h in low) * 2 < max(1, len(low)):
+    for i, x in enumerate(texts):
+        h = hashes[x]
+        h = mix(h[:-2] + mix(h[1:-1] + mix(h[2:]))) if len(h) > 2 else mix(h)
+        low = np.unique(h)[:8].tolist()
+        if sum(v in seen for v in low) * 2 < max(1, len(low)):
             kept.append(i)
             seen.update(low)
     return kept
 
 
-def hash_of(s: str) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(s)
-
-
 def cues(token: str) -> tuple[str, str, str]:
     """A token, and its beginnings marked by a hyphen."""
     return token, token[:4] + "-", token[:6] + "-"
 
 
-def toxic_cues(texts: list[list[str]], toxic: np.ndarray) -> set[str]:
+def toxic_cues(texts: list[np.ndarray], types: list[str], toxic: np.ndarray) -> set[str]:
     """Words and beginnings of words that toxic documents hold far more often, by a likelihood-ratio test that allows for the number of words tried."""
     pos, neg = Counter(), Counter()
-    kept = distinct_enough(texts)
+    kept = distinct_enough(texts, np.array([hash_of(t) for t in types], dtype=np.uint64))
     for i in kept:
-        (pos if toxic[i] else neg).update({c for t in set(texts[i]) for c in cues(t)})
+        (pos if toxic[i] else neg).update({c for t in np.unique(texts[i]).tolist() for c in cues(types[t])})
     n1 = int(toxic[kept].sum())
     n0 = len(kept) - n1
     least = 2 * math.log(max(2, len(pos.keys() | neg.keys())))
@@ -200,38 +202,64 @@ def toxic_cues(texts: list[list[str]], toxic: np.ndarray) -> set[str]:
         p = (pos[w] + neg[w]) / (n1 + n0)
         return 2 * (part(pos[w], n1, p) + part(neg[w], n0, p)) if p < 1 else 0.0
 
-    return {w for w, n in pos.items() if n >= 3 and n * n0 >= 8 * neg[w] * n1 and ratio(w) > least}
+    return {w for w, n in pos.items() if n >= 3 and n * n0 >= RATIO * neg[w] * n1 and ratio(w) > least}
+
+
+def hash_of(s: str) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(s)
+
+
+def chunks_of(sizes: np.ndarray, most: int = FIT_TOKENS) -> list[tuple[int, int]]:
+    """Ranges of tokens of whole texts, about ``most`` at a time or one text."""
+    out, start, end = [], 0, 0
+    for n in sizes.tolist():
+        if end > start and end + n - start > most:
+            out.append((start, end))
+            start = end
+        end += n
+    return [*out, (start, end)] if end > start else out
 
 
 def fit(texts: list[str], toxic: list[int], steps: int = STEPS, l2: float = L2) -> Chain | None:
-    """Fit a chain; ``None`` where one of the classes is missing or no word tells them apart."""
+    """Fit a chain; ``None`` where one of the classes is missing or no word tells them apart.
+
+    Tokens are kept as type numbers, and marginals are taken of about
+    ``FIT_TOKENS`` tokens at a time, which bounds the driver's memory.
+    """
     flags = np.array(toxic, dtype=bool)
-    tokens = [[w.lower() for w in _WORD.findall(t)] for t in texts]
-    words = toxic_cues(tokens, flags) if flags.any() and not flags.all() else set()
+    index: dict[str, int] = {}
+    tokens = [np.array([index.setdefault(w.lower(), len(index)) for w in _WORD.findall(t)], dtype=np.int32) for t in texts]
+    types = list(index)
+    words = toxic_cues(tokens, types, flags) if flags.any() and not flags.all() else set()
     if not words:
         return None
     ids: dict[str, int] = {"b": 0}
-    common = Counter(t for ts in tokens for t in ts)
-    types = {t: i for i, t in enumerate(common)}
-    feats = np.array([[ids.setdefault(n, len(ids)) if common[t] >= 3 else 0 for n in ("w" + t, "p" + t[:4], "q" + t[:6])] for t in types], dtype=np.int64).reshape(-1, 3)
+    x = np.concatenate(tokens)
+    sizes = np.array([len(ts) for ts in tokens], dtype=np.int64)
+    common = np.bincount(x, minlength=len(types))
+    feats = np.array([[ids.setdefault(n, len(ids)) if common[i] >= 3 else 0 for n in ("w" + t, "p" + t[:4], "q" + t[:6])] for i, t in enumerate(types)], dtype=np.int64).reshape(-1, 3)
     known = (feats > 0).astype(np.float64)
     cued = np.array([not words.isdisjoint(cues(t)) for t in types])
-    x = np.array([types[t] for ts in tokens for t in ts], dtype=np.int64)
-    sizes = np.array([len(ts) for ts in tokens], dtype=np.int64)
     y = (cued[x] & np.repeat(flags, sizes)).astype(np.float64)
     first = np.zeros(len(x), dtype=bool)
     first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
     d = len(ids)
-    inner = np.flatnonzero(~first)
-    y_edges = np.zeros(4)
-    np.add.at(y_edges, (2 * y[inner - 1] + y[inner]).astype(int), 1)
+    parts = chunks_of(sizes)
+    y_edges = np.bincount((2 * y[:-1] + y[1:]).astype(int)[~first[1:]], minlength=4).astype(np.float64)
     y_start = np.array([(1 - y[first]).sum(), y[first].sum()])
     theta = np.zeros(d + 6)
     theta[0] = -4.0
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
+    post = np.empty(len(x))
     for step in range(1, steps + 1):
         w, tr, st = theta[:d], theta[d : d + 4].reshape(2, 2), theta[d + 4 :]
-        post, pair = marginals(w[0] + (w[feats] * known).sum(axis=1)[x], first, tr, st, edges=True)
+        of_word = w[0] + (w[feats] * known).sum(axis=1)
+        pair = np.zeros((2, 2))
+        for i, j in parts:
+            post[i:j], more = marginals(of_word[x[i:j]], first[i:j], tr, st, edges=True)
+            pair += more
         gap = y - post
         g = np.zeros_like(theta)
         of_type = np.bincount(x, weights=gap, minlength=len(types))
@@ -245,7 +273,9 @@ def fit(texts: list[str], toxic: list[int], steps: int = STEPS, l2: float = L2)
         theta = theta + 0.5 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
     weights = {n: float(theta[i]) for n, i in ids.items() if i == 0 or abs(theta[i]) > 1e-3}
     tr, st = theta[d : d + 4].reshape(2, 2), theta[d + 4 :]
-    post = marginals(theta[0] + (theta[:d][feats] * known).sum(axis=1)[x], first, tr, st)
+    of_word = theta[0] + (theta[:d][feats] * known).sum(axis=1)
+    for i, j in parts:
+        post[i:j] = marginals(of_word[x[i:j]], first[i:j], tr, st)
     ends = np.cumsum([0, *sizes])
     seen = np.array([evidence(post[i:j]) for i, j in zip(ends, ends[1:])])
     return Chain(weights, tr, st, logistic(seen, flags.astype(np.float64)))
@@ -304,7 +334,7 @@ def scored(docs: DataFrame, chain: Chain | None, id_col: str = "doc_id", text: s
     spark = docs.sparkSession
     small_batches(spark)
     names = keep if keep is not None else [id_col]
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col(text).alias("_t"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col(f"`{text}`").alias("_t"))
     model = spark.sparkContext.broadcast((chain.weights, chain.transitions, chain.start, chain.curve) if chain else None)
 
     def emit(batches):
