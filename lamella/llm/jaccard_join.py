@@ -112,7 +112,11 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def common_shingles(docs: DataFrame, text: str, k: int = K) -> tuple[np.ndarray, dict[int, int]]:
-    """At most ``COMMON_MOST`` shingles that many documents of a fixed sample hold, and the tasks to deal each of the largest over."""
+    """At most ``COMMON_MOST`` shingles that many documents of a fixed sample hold, and the tasks to deal each of the largest over.
+
+    The frequencies from which so few are left are found first, so that no more
+    than these reach the driver from however many tasks.
+    """
 
     def emit(batches):
         for b in batches:
@@ -120,8 +124,16 @@ def common_shingles(docs: DataFrame, text: str, k: int = K) -> tuple[np.ndarray,
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(data, k).view(np.int64))], ["h"])
 
     part = docs.filter(F.pmod(F.xxhash64(text), F.lit(SAMPLE)) == 0).select(text)
-    rows = part.mapInArrow(emit, "h long").groupBy("h").count().filter(F.col("count") >= COMMON)
-    got = rows.orderBy(F.desc("count"), "h").limit(COMMON_MOST).collect()
+    rows = materialize(part.mapInArrow(emit, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON), "common")
+    step = F.floor(8 * F.log2("n")).cast("int")
+    least, total = None, 0
+    for level, n in sorted(rows.groupBy(step).count().collect(), reverse=True):
+        total += n
+        if total > COMMON_MOST and least is not None:
+            break
+        least = level
+    got = rows.filter(step >= least).orderBy(F.desc("n"), "h").limit(COMMON_MOST).collect() if least is not None else []
+    discard(rows)
     common = np.sort(np.array([r[0] for r in got], dtype=np.int64).view(np.uint64)) if got else np.empty(0, dtype=np.uint64)
     return common, {r[0]: 1 + r[1] // HOT for r in got if r[1] >= HOT}
 

@@ -51,9 +51,16 @@ ABOUT = ("page_id", "url", "record_type", "refers_to", "payload_bytes", "payload
 
 
 def trained_dictionary(pages: DataFrame, html: str = "html") -> bytes:
-    """A dictionary from a bounded sample of payloads, those of least hash; ``b""`` where they are too few."""
+    """A dictionary from a bounded sample of payloads, those of least hash; ``b""`` where they are too few.
+
+    A share of the hashes that holds some times ``DICT_ROWS`` different payloads
+    is cut out first, so that few rows reach the driver from however many tasks.
+    """
     text = F.coalesce(F.col(f"`{html}`"), F.lit(""))
-    rows = pages.select(F.xxhash64(text).alias("h"), F.encode(F.substring(text, 1, DICT_ROW_BYTES // 4), "utf-8").alias("b")).orderBy("h", "b").limit(DICT_ROWS).collect()
+    hashed = pages.select(F.xxhash64(text).alias("h"), F.encode(F.substring(text, 1, DICT_ROW_BYTES // 4), "utf-8").alias("b"))
+    n = hashed.select(F.approx_count_distinct("h", 0.05)).first()[0]
+    share = min(1 << 30, (1 << 30) * 4 * DICT_ROWS // max(1, n) + 1)
+    rows = hashed.filter(F.pmod("h", F.lit(1 << 30)) < share).distinct().orderBy("h", "b").limit(DICT_ROWS).collect()
     samples = [bytes(r["b"]) for r in rows if r["b"]]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes() if len(samples) >= 20 else b""
