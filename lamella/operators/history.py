@@ -55,3 +55,67 @@ def lifetime(runs: DataFrame) -> DataFrame:
     """Running totals: files, changes, entities seen, and entities that were not changes."""
     seen = F.greatest("before", "after")
     return runs.agg(F.count(F.lit(1)).alias("runs"), F.sum("changes").alias("changes"), F.sum(seen).alias("entities"), F.sum(F.greatest(seen - F.col("changes"), F.lit(0))).alias("noise"))
+
+
+def next_boundary(rows: DataFrame, key: str, order: list[str], line: str) -> DataFrame:
+    """``last``: the line before the next row of the same key begins, null for the last one."""
+    return rows.withColumn("last", F.lead(line).over(W.partitionBy(key).orderBy(*order)) - 1)
+
+
+def top(rows: DataFrame, most: int, down: list[str], up: list[str]) -> DataFrame:
+    """The first ``most`` rows, ``down`` columns largest first, then ``up`` ones smallest first."""
+    return rows.orderBy(*[F.desc(c) for c in down], *[F.asc(c) for c in up]).limit(most)
+
+
+def newest(commits: DataFrame, limit: int = 50, order: tuple[str, ...] = ("committed_at", "sha")) -> DataFrame:
+    """The newest ``limit`` commits and one before them as a baseline; 0 means all."""
+    rows = commits.orderBy(*[F.desc(c) for c in order])
+    return rows.limit(limit + 1) if limit else rows
+
+
+def change_counts(rows: DataFrame, keys: list[str], file_path: str | None = None) -> DataFrame:
+    """``change_count`` by key, of one file if it is given."""
+    rows = rows if file_path is None else rows.filter(F.col("file_path") == file_path)
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("change_count"))
+
+
+def stored(changes: DataFrame, commits: DataFrame, limit: int = 500, most: int = 50) -> dict[str, DataFrame]:
+    """``hotspots`` and ``pairs`` of the newest ``limit`` commits (``sha, author, committed_at, is_merge``).
+
+    The oldest one taken is a baseline only, and merges contribute nothing.
+    """
+    window = newest(commits, limit)
+    last = F.struct("committed_at", "sha")
+    base = window.agg(F.min(last).alias("base"))
+    kept = window.crossJoin(F.broadcast(base)).filter(last > F.col("base")).filter(~F.col("is_merge")).drop("base", "is_merge")
+    rows = changes.join(kept, "sha")
+    return {"hotspots": hotspots(rows), "pairs": co_changes(rows, most=most)}
+
+
+def trace(versions: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The versions of each ``key`` that differ from the one before, with ``change`` and ``logic``.
+
+    A change of file or parent is a move, else one of the name a rename, else a
+    modification; ``logic`` says of a modification whether its structure changed.
+    """
+    w = W.partitionBy(key).orderBy(*order)
+    fields = ("file_path", "parent_id", "name", "content_hash", "structural_hash")
+    d = versions.withColumns({f"_{f}": F.lag(f).over(w) for f in fields} | {"_k": F.row_number().over(w)})
+    differs = lambda f: ~F.col(f).eqNullSafe(F.col(f"_{f}"))
+    moved, renamed, content = differs("file_path") | differs("parent_id"), differs("name"), differs("content_hash")
+    change = F.when(F.col("_k") == 1, "added").when(moved, "moved").when(renamed, "renamed").otherwise("modified")
+    logic = (F.col("_k") > 1) & ~moved & ~renamed & differs("structural_hash")
+    d = d.filter((F.col("_k") == 1) | moved | renamed | content)
+    return d.withColumns({"change": change, "logic": logic}).drop("_k", *[f"_{f}" for f in fields])
+
+
+def manifest_hash(files: DataFrame) -> DataFrame:
+    """``hash`` of all (``path, mtime``) by path and their number; paths and times meet in one row."""
+    one = F.array_sort(F.collect_list(F.struct("path", "mtime")))
+    listed = F.array_join(F.transform(one, lambda x: F.concat_ws(":", x["path"].cast("string"), x["mtime"].cast("string"))), "|")
+    return files.agg(F.md5(F.concat(listed, F.lit("#"), F.count(F.lit(1)).cast("string"))).alias("hash"))
+
+
+def as_text(rows: DataFrame, key: str) -> DataFrame:
+    """One line a change of :func:`trace`, for readers."""
+    return rows.select(key, F.concat_ws(" ", F.col("change"), F.col("name"), F.concat(F.lit("in "), F.col("file_path"))).alias("text"))

@@ -61,6 +61,12 @@ def parent_chains(entities: DataFrame) -> DataFrame:
     return chain.select("id", F.when(F.size("names") > 0, F.array_join("names", "::")).alias("parent_name"))
 
 
+def depths(entities: DataFrame) -> DataFrame:
+    """``id, depth``: how many ancestors an entity has, 0 for outermost ones."""
+    names = entities.select("id", "parent_id", F.concat(F.lit("x"), F.col("id")).alias("name"))
+    return parent_chains(names).select("id", F.when(F.col("parent_name").isNull(), F.lit(0)).otherwise(F.size(F.split("parent_name", "::x"))).cast("long").alias("depth"))
+
+
 def _side(entities: DataFrame, x: str) -> DataFrame:
     """One row an id: ``id``, the entity as struct ``x``, its order ``x_at`` and its ancestors ``x_up``."""
     has = set(entities.columns)

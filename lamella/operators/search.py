@@ -16,6 +16,22 @@ def text_hits(files: DataFrame, path: str, content: str, needle: str) -> DataFra
     return files.select(F.col(path).alias("file_path"), F.explode(hit).alias("_h")).select("file_path", "_h.line")
 
 
+def first_hits(files: DataFrame, path: str, content: str, needle: str, most: int = 10) -> DataFrame:
+    """The first hits by (file, line), 1 to 100 of them."""
+    return text_hits(files, path, content, needle).orderBy("file_path", "line").limit(min(100, max(1, most)))
+
+
+def lookup(nodes: DataFrame, query: str, file_path: str | None = None) -> DataFrame:
+    """``status`` and the entities that a query means, by (file, line, id): ``found``, ``ambiguous``, ``not in file`` or ``not found``."""
+    parents = nodes.select(F.col("id").alias("_up"), F.col("name").alias("_up_name"))
+    named = nodes.join(parents, F.col("parent_id") == F.col("_up"), "left")
+    hits = named.filter(matches_query(query, F.col("name"), F.col("entity_type"), F.col("_up_name")) | (F.col("id") == query)).select(*nodes.columns)
+    here = hits if file_path is None else hits.filter(F.col("file_path") == file_path)
+    n = here.agg(F.count(F.lit(1)).alias("n")).crossJoin(hits.agg(F.count(F.lit(1)).alias("anywhere")))
+    status = F.when(F.col("n") == 1, "found").when(F.col("n") > 1, "ambiguous").when(F.col("anywhere") > 0, "not in file").otherwise("not found")
+    return n.select(status.alias("status")).join(here, F.lit(True), "left").orderBy("file_path", "start_line", "id")
+
+
 def innermost(points: DataFrame, entities: DataFrame, span: int = 64) -> DataFrame:
     """Each point (``file_path, line``) with the smallest entity around it.
 

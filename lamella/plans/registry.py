@@ -413,3 +413,4 @@ def session_ledger(spark, sf_dir):
 
 from lamella.plans import snapshots as _snapshots  # noqa: E402, F401  (adds its queries)
 from lamella.plans import structure as _structure  # noqa: E402, F401
+from lamella.plans import scalars as _scalars  # noqa: E402, F401
