@@ -1,4 +1,10 @@
-"""Change rows between two snapshots of entities."""
+"""Change rows between two snapshots of entities.
+
+Defined cases: null hashes are equal to each other in :func:`by_id` and match
+nothing in :func:`by_hash`; an id that one side repeats gives a row for each pair;
+empty sides give only additions or deletions; ties of equal hashes go by key; a
+group of :func:`reordered` is one frame in one task, its columns the two numbers.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,10 @@
-"""Entities from structured text, one row in and many out, in DataFrame expressions."""
+"""Entities from structured text, one row in and many out, in DataFrame expressions.
+
+Defined cases: null and empty texts have no entities; null cells are empty in a
+row's content; text that isn't JSON has no members; repeated rows give their
+entities each; ties of :func:`disambiguated` go by the order given; an empty
+table gives no rows; other columns are ignored where a path and a text are named.
+"""
 
 from __future__ import annotations
 

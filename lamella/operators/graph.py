@@ -1,4 +1,10 @@
-"""Dependency graphs: edges (``from_entity, to_entity, ref_type``) and traversals over them."""
+"""Dependency graphs: edges (``from_entity, to_entity, ref_type``) and traversals over them.
+
+Defined cases: edges with a null end lead nowhere; repeated edges count once;
+unknown nodes have no neighbours; an empty graph gives no rows; ties go by id; a
+name that very many entities bear has them all in one row of its symbol table,
+which is that operator's result.
+"""
 
 from __future__ import annotations
 

@@ -299,6 +299,37 @@ def impact(nodes: DataFrame, edges: DataFrame, node: str, depth: int = 2, most:
     return {"deps": G.neighbours(edges, nodes, node), "dependents": G.neighbours(edges, nodes, node, reverse=True), "impact": hit, "tests": hit.filter("is_test")}
 
 
+def tests_of(nodes: DataFrame, edges: DataFrame, node: str, most: int = 10_000) -> DataFrame:
+    """The tests that reach ``node``; where the graph knows none, those whose text holds its name as a word."""
+    start = edges.sparkSession.range(1).select(F.lit(node).alias("id"))
+    found = cut(G.reach(edges, start, most=most).join(nodes, "id").filter(is_test()).select("id"), "tests")
+    if not found.isEmpty():
+        return found
+    name = nodes.filter(F.col("id") == node).select(F.col("name").alias("_name"))
+    hit = nodes.filter(is_test() & (F.col("id") != node)).crossJoin(F.broadcast(name))
+    return hit.filter(F.array_contains(F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(r"[A-Za-z_]\w*"), 0), F.col("_name"))).select("id")
+
+
+def relations(changed: DataFrame, edges: DataFrame, most: int = 6) -> DataFrame:
+    """``entity_id, direction, id, in_diff``: of each changed entity (``entity_id``) the first callers and callees by id."""
+    from pyspark.sql import Window as W
+
+    ids = changed.select("entity_id").distinct()
+    out = None
+    for direction, own, far in (("caller", "to_entity", "from_entity"), ("callee", "from_entity", "to_entity")):
+        one = edges.select(F.col(own).alias("entity_id"), F.col(far).alias("id")).distinct().join(ids, "entity_id", "left_semi")
+        one = one.withColumn("k", F.row_number().over(W.partitionBy("entity_id").orderBy("id"))).filter(F.col("k") <= most)
+        one = one.select("entity_id", F.lit(direction).alias("direction"), "id")
+        out = one if out is None else out.union(one)
+    flagged = ids.select(F.col("entity_id").alias("id"), F.lit(True).alias("in_diff"))
+    return out.join(flagged, "id", "left").select("entity_id", "direction", "id", F.coalesce("in_diff", F.lit(False)).alias("in_diff"))
+
+
+def combined(before: DataFrame, after: DataFrame, key: str = "id") -> DataFrame:
+    """All rows of ``after``, and those of ``before`` whose key it lacks."""
+    return after.unionByName(before.join(after.select(key), key, "left_anti"))
+
+
 def k_hops(nodes: DataFrame, edges: DataFrame, node: str, hops: int = 8, budget: int | None = None, most: int = 20_000) -> DataFrame:
     """Nodes within ``hops`` steps of ``node`` in any direction, the node itself at depth 0.
 

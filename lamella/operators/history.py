@@ -1,4 +1,10 @@
-"""Analytics over commits and the entities they change."""
+"""Analytics over commits and the entities they change.
+
+Defined cases: null entities form one group; repeated (entity, commit) rows count
+once; commits at one time go by sha; empty inputs give no rows (one row of nulls
+from :func:`lifetime`); windows run within one key, whose rows meet in one task in
+order; other columns are ignored.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,10 @@
-"""Text search, range joins between lines and entities, and reference resolution by name."""
+"""Text search, range joins between lines and entities, and reference resolution by name.
+
+Defined cases: null texts hold nothing; a line that several entities of one size
+hold goes to the first by line and id; entities of very many lines are entered
+under each of their line buckets; repeated hits count once; empty inputs give no
+rows; a group's sorted rows are packed in their own row.
+"""
 
 from __future__ import annotations
 
@@ -44,6 +50,14 @@ def innermost(points: DataFrame, entities: DataFrame, span: int = 64) -> DataFra
     return j.groupBy("file_path", "line").agg(F.min_by(F.struct("id", "start_line", "end_line"), F.struct(F.col("end_line") - F.col("start_line"), "start_line", "id")).alias("_e")).select("file_path", "line", "_e.*")
 
 
+def reconstructed(entities: DataFrame, files: DataFrame) -> DataFrame:
+    """``entities`` with ``content`` cut from their files' (``file_path, content``) lines again."""
+    text = files.select(F.col("file_path").alias("_file"), F.split(F.regexp_replace("content", "\r\n?", "\n"), "\n").alias("_lines"))
+    j = entities.drop("content").join(text, F.col("file_path") == F.col("_file"), "left")
+    part = F.slice("_lines", F.col("start_line").cast("int"), (F.col("end_line") - F.col("start_line") + 1).cast("int"))
+    return j.withColumn("content", F.array_join(part, "\n")).drop("_file", "_lines")
+
+
 def near_names(nodes: DataFrame, query: str, most: int = 5) -> DataFrame:
     """The first distinct names that hold ``query``, any case."""
     return nodes.filter(F.lower("name").contains(query.lower())).select("name").distinct().orderBy("name").limit(most)

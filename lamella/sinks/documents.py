@@ -100,3 +100,22 @@ def save_sqlite(tables: dict[str, DataFrame], path: str) -> dict[str, int]:
                 n += 1
             out[name] = n
     return out
+
+
+def impact_line(node: str, parts: dict[str, DataFrame]) -> DataFrame:
+    """``text``: an impact's size in one line."""
+    n = lambda d, name: d.agg(F.count(F.lit(1)).alias(name))
+    sizes = n(parts["dependents"], "a").crossJoin(n(parts["impact"], "b")).crossJoin(n(parts["tests"], "c"))
+    return sizes.select(F.format_string("%s: %d direct, %d in all, %d tests", F.lit(node), "a", "b", "c").alias("text"))
+
+
+def impact_text(parts: dict[str, DataFrame]) -> DataFrame:
+    """``depth, text``: an impact's entities, one line each, nearest first."""
+    mark = F.when(F.col("is_test"), " [test]").otherwise("")
+    return parts["impact"].select("depth", F.concat("entity_type", F.lit(" "), "name", F.lit(" ("), "file_path", F.lit(":"), F.col("start_line").cast("string"), F.lit(")"), mark).alias("text")).orderBy("depth", "text")
+
+
+def terminal_lines(rows: DataFrame) -> DataFrame:
+    """:func:`plain_lines` with the colours of a terminal."""
+    colour = F.when(F.col("text").startswith("+"), "32").when(F.col("text").startswith("-"), "31").otherwise("33")
+    return plain_lines(rows).withColumn("text", F.concat(F.lit("\x1b["), colour, F.lit("m"), "text", F.lit("\x1b[0m")))

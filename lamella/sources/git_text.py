@@ -141,14 +141,33 @@ def patch(text: str) -> list[dict]:
     return rows
 
 
-def patches(rows: DataFrame, column: str) -> DataFrame:
-    """:func:`patch` over a column of patch texts."""
+def _parsed(rows: DataFrame, column: str, keep: list[str], schema: str, parse) -> DataFrame:
+    """``parse`` over a column of texts, each of its rows beside the columns ``keep``."""
+    names = [c.split(" ")[0] for c in schema.split(", ")]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame([r for t in pdf[column] for r in patch(t or "")], columns=["file_path", "status", "old_file_path", "before_content", "after_content"], dtype=object)
+            out = [(*own, *r) for *own, t in pdf.itertuples(index=False) for r in parse(t or "")]
+            yield pd.DataFrame(out, columns=[*keep, *names], dtype=object)
 
-    return rows.select(column).mapInPandas(work, "file_path string, status string, old_file_path string, before_content string, after_content string")
+    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in keep)
+    return rows.select(*keep, column).mapInPandas(work, kinds + schema)
+
+
+def patches(rows: DataFrame, column: str, keep: list[str] | None = None) -> DataFrame:
+    """:func:`patch` over a column of patch texts, beside the columns ``keep``; a null text has no files."""
+    schema = "file_path string, status string, old_file_path string, before_content string, after_content string"
+    return _parsed(rows, column, keep or [], schema, lambda t: [tuple(r.values()) for r in patch(t)])
+
+
+def name_statuses(rows: DataFrame, column: str, keep: list[str] | None = None) -> DataFrame:
+    """:func:`name_status` over a column of texts."""
+    return _parsed(rows, column, keep or [], "file_path string, status string, old_file_path string", name_status)
+
+
+def blames(rows: DataFrame, column: str, keep: list[str] | None = None) -> DataFrame:
+    """:func:`blame_porcelain` over a column of texts."""
+    return _parsed(rows, column, keep or [], "line_number long, commit_sha string, author string, author_time long, summary string", blame_porcelain)
 
 
 def blame_porcelain(text: str) -> list[tuple[int, str | None, str, int | None, str]]:

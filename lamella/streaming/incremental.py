@@ -1,4 +1,10 @@
-"""Incremental maintenance: merges, the commit index and the session ledger."""
+"""Incremental maintenance: merges, the commit index and the session ledger.
+
+Defined cases: null keys of a delta replace nothing; rows of ``base`` that repeat
+a key all go; unknown files are ``new``; the first fill of a session and entity
+is ``first``; empty inputs give no rows; ties of an order are the caller's to
+break.
+"""
 
 from __future__ import annotations
 

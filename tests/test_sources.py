@@ -137,3 +137,20 @@ def test_refresh_plans(spark):
     assert sorted(tuple(r) for r in upkeep.dependency_fresh(found, i, e).collect()) == [("a::f", False), ("c::g", True)]
     assert extract.language_by_content("#!/usr/bin/env node\n") == ".js" and extract.custom_suffixes(".x = .py") == {".x": ".py"}
     assert extract.applied([(2, 3, "X"), (2, 2, "Y"), (5, 5, "Z")], list("abcdef")) == "a\nX\nd\nZ\nf"
+
+
+def test_ledger_as_a_stream(spark, tmp_path):
+    from lamella.streaming import incremental
+
+    src = str(tmp_path / "in")
+    schema = "s string, e string, b string"
+    spark.createDataFrame([("s", "e", "x")], schema).write.parquet(src)
+    stream = spark.readStream.schema(schema).parquet(src)
+    run = lambda: incremental.ledger_stream(stream, "s", "e", "b").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    run()
+    spark.createDataFrame([("s", "e", "x")], schema).write.mode("append").parquet(src)
+    run()
+    spark.createDataFrame([("s", "e", "y"), ("t", "e", "y")], schema).write.mode("append").parquet(src)
+    run()
+    got = sorted((r["s"], r["reply"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("s", "changed"), ("s", "first"), ("s", "unchanged"), ("t", "first")]
