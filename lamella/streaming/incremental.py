@@ -60,14 +60,18 @@ def ledger(fills: DataFrame, session: str, entity: str, order: list[str], body:
     return d.withColumn("reply", F.when(F.col("_p").isNull(), "first").when(F.col("_p") == F.col("fingerprint"), "unchanged").otherwise("changed")).drop("_p")
 
 
-def ledger_stream(fills: DataFrame, session: str, entity: str, body: str, ttl: str = "1 hour"):
-    """:func:`ledger` as a stream with state for each (session, entity), forgotten after ``ttl`` without use."""
+def ledger_stream(fills: DataFrame, session: str, entity: str, body: str, ttl: str | None = "1 hour"):
+    """:func:`ledger` as a stream with state for each (session, entity), forgotten after ``ttl`` without use.
+
+    A query that forgets by time looks for more batches as long as it runs, so
+    one that should end with its data (``availableNow``) needs ``ttl`` null.
+    """
     from collections.abc import Iterator
 
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    ms = int(pd.Timedelta(ttl).total_seconds() * 1000)
+    ms = int(pd.Timedelta(ttl).total_seconds() * 1000) if ttl else 0
 
     def reply(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -81,7 +85,8 @@ def ledger_stream(fills: DataFrame, session: str, entity: str, body: str, ttl: s
                 last = fp
             yield pd.DataFrame({session: key[0], entity: key[1], "fingerprint": pdf["fingerprint"], "reply": out})
         state.update((last,))
-        state.setTimeoutDuration(ms)
+        if ms:
+            state.setTimeoutDuration(ms)
 
     t = {f.name: f.dataType.simpleString() for f in fills.schema}
-    return fills.withColumn("fingerprint", F.md5(F.col(body))).groupBy(session, entity).applyInPandasWithState(reply, f"{session} {t[session]}, {entity} {t[entity]}, fingerprint string, reply string", "fingerprint string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return fills.withColumn("fingerprint", F.md5(F.col(body))).groupBy(session, entity).applyInPandasWithState(reply, f"{session} {t[session]}, {entity} {t[entity]}, fingerprint string, reply string", "fingerprint string", "append", GroupStateTimeout.ProcessingTimeTimeout if ttl else GroupStateTimeout.NoTimeout)

@@ -146,7 +146,7 @@ def test_ledger_as_a_stream(spark, tmp_path):
     schema = "s string, e string, b string"
     spark.createDataFrame([("s", "e", "x")], schema).write.parquet(src)
     stream = spark.readStream.schema(schema).parquet(src)
-    run = lambda: incremental.ledger_stream(stream, "s", "e", "b").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    run = lambda: incremental.ledger_stream(stream, "s", "e", "b", ttl=None).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
     run()
     spark.createDataFrame([("s", "e", "x")], schema).write.mode("append").parquet(src)
     run()
