@@ -4,11 +4,13 @@ A file gives its entities, its references (names in an entity's own lines,
 comments, strings and children left out) and its imports in one pass each;
 everything that looks across files is a join.  A reference is resolved by the
 first rule that knows it: a member of its own class, an imported module's
-symbol, an imported name, a symbol of its file, a method of a name that one
-class alone has.  Its local names hide all of these.
+symbol, a member of the type that its variable or attribute was constructed from
+or annotated with, an imported name, a symbol of its file, a method of a name
+that one class alone has.  Its local names hide all of these.
 
 Defined cases: null texts have no entities; names that several symbols of a file
-bear mean the first by line; unresolved names give no edge; an entity never
+bear mean the first by line; unresolved names give no edge; a variable or
+attribute that is bound to several types has none; an entity never
 points at itself, its parent or its children by bare name; repeated edges keep the
 one of the first rule and then of the first type (calls, imports, others); empty
 inputs give an empty graph; further columns are ignored.
@@ -40,7 +42,8 @@ _HASHED = (".py", ".pyi", ".rb", ".sh", ".bash", ".yaml", ".yml", ".toml")
 #: Suffixes tried for an import without one, in order.
 TRIED = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
 
-REFERENCE = "from_entity string, file_path string, owner string, qualifier string, token string, ref_type string"
+REFERENCE = "from_entity string, file_path string, owner string, qualifier string, token string, ref_type string, type_name string"
+_BOUND = re.compile(r"(?:\b(self|this)\s*\.\s*)?\b([A-Za-z_]\w*)\s*(?::\s*([A-Z]\w*)\s*)?(?::?=\s*(?:new\s+|await\s+|&)*([A-Z]\w*)\s*(?:::new\s*)?[({]|(?=[,)]))")
 IMPORT = "file_path string, local string, candidates array<string>, name string"
 
 
@@ -56,8 +59,17 @@ def local_names(plain: str, header: str) -> set[str]:
     return out
 
 
+def bound_types(plain: str) -> dict[str, str]:
+    """Names, attributes with ``self.``, and the one type each is constructed from or annotated with."""
+    found: dict[str, set[str]] = {}
+    for m in _BOUND.finditer(plain):
+        if kind := m[4] or m[3]:
+            found.setdefault(("self." if m[1] else "") + m[2], set()).add(kind)
+    return {name: kinds.pop() for name, kinds in found.items() if len(kinds) == 1}
+
+
 def references_of(path: str, text: str) -> list[tuple]:
-    """(entity, file, its class or parent, qualifier, name, type) of each reference once."""
+    """(entity, file, its class or parent, qualifier, name, reference type, type of the qualifier) of each reference once."""
     entities = [e for e in extract.entities_of(path, text) if e.entity_type not in ("chunk", "export", "sfc_block")]
     kind = "hash" if path.endswith(_HASHED) else "rust" if path.endswith(".rs") else "slash"
     lines = extract.blanked("\n".join(extract.lines_of(text)), kind).split("\n")
@@ -70,21 +82,37 @@ def references_of(path: str, text: str) -> list[tuple]:
     for n, e in enumerate(owner):
         if e is not None:
             own.setdefault(id(e), []).append(lines[n - 1])
+    parent_of = lambda e: e.parent.id if e.parent is not None else None
+    attributes: dict[str | None, dict[str, set[str]]] = {}
+    for key, ls in own.items():
+        for name, bound in bound_types("\n".join(ls)).items():
+            if name.startswith("self."):
+                holder = by_id[key].id if by_id[key].entity_type == "class" else parent_of(by_id[key])
+                attributes.setdefault(holder, {}).setdefault(name[5:], set()).add(bound)
     out: dict[tuple, None] = {}
     for key, ls in own.items():
         e = by_id[key]
-        plain = "\n".join(ls)
         hidden = (local_names("\n".join(ls[1:]) if len(ls) > 1 else "", ls[0]) | {e.name}) if e.entity_type in ("function", "method", "variable", "test") else {e.name}
+        types = bound_types("\n".join(ls))
         for line in ls:
             imports = bool(_IMPORT_LINE.match(line))
+            last: str | None = None
             for m in _NAME.finditer(line):
                 q, token, call = m[1], m[2], m[3]
+                bound = types.get(q) if q else None
+                if q is None and line[: m.start()].rstrip().endswith((".", "->")):  # goes on from the name before it
+                    q = last
+                    known = attributes.get(parent_of(e), {}).get(q or "", set())
+                    bound = next(iter(known)) if len(known) == 1 else None
+                    if bound is None:
+                        last = token
+                        continue
+                last = token
                 if not reference_word(token) or (q is None and token in hidden):
                     continue
-                out[e.id, path, e.parent.id if e.parent is not None else None, q, token, "calls" if call else "imports" if imports else "typeref"] = None
+                out[e.id, path, parent_of(e), q, token, "calls" if call else "imports" if imports else "typeref", bound] = None
                 if q and q not in hidden and reference_word(q):
-                    out[e.id, path, e.parent.id if e.parent is not None else None, None, q, "typeref"] = None
-        del plain
+                    out[e.id, path, parent_of(e), None, q, "typeref", None] = None
     return list(out)
 
 
@@ -214,14 +242,19 @@ def resolved(refs: DataFrame, nodes: DataFrame, imports: DataFrame) -> DataFrame
     spaces = imp.filter("imported is null").select("file_path", F.col("local").alias("qualifier"), "to_file")
     by_module = refs.join(spaces, ["file_path", "qualifier"]).join(far.withColumnRenamed("to_name", "token"), ["to_file", "token"]).withColumn("rule", F.lit(1))
     names = imp.filter("imported is not null").select("file_path", F.col("local").alias("token"), "to_file", F.col("imported").alias("to_name"))
-    by_name = refs.filter("qualifier is null").join(names, ["file_path", "token"]).join(far, ["to_file", "to_name"]).withColumn("rule", F.lit(2))
+    here_types = in_file.select("file_path", F.col("name").alias("type_name"), F.col("target").alias("type_id"), F.lit(0).alias("via"))
+    far_types = names.join(far, ["to_file", "to_name"]).select("file_path", F.col("token").alias("type_name"), F.col("target").alias("type_id"), F.lit(1).alias("via"))
+    type_ids = here_types.union(far_types).groupBy("file_path", "type_name").agg(F.min_by("type_id", F.struct("via", "type_id")).alias("type_id"))
+    of_type = members.select(F.col("owner").alias("type_id"), "token", "target")
+    by_type = refs.filter("type_name is not null").join(type_ids, ["file_path", "type_name"]).join(of_type, ["type_id", "token"]).withColumn("rule", F.lit(2))
+    by_name = refs.filter("qualifier is null").join(names, ["file_path", "token"]).join(far, ["to_file", "to_name"]).withColumn("rule", F.lit(3))
     here = refs.filter("qualifier is null").join(in_file.withColumnRenamed("name", "token"), ["file_path", "token"])
-    here = here.filter(~F.col("target").eqNullSafe(F.col("owner")) & ~F.col("target_parent").eqNullSafe(F.col("from_entity"))).withColumn("rule", F.lit(3))
+    here = here.filter(~F.col("target").eqNullSafe(F.col("owner")) & ~F.col("target_parent").eqNullSafe(F.col("from_entity"))).withColumn("rule", F.lit(4))
     methods = refs.filter("qualifier is not null and qualifier not in ('self', 'this', 'cls') and ref_type = 'calls' and file_path rlike '[.](py|rb)$'")
     known = imp.select("file_path", F.col("local").alias("qualifier")).distinct()
-    unique = methods.join(known, ["file_path", "qualifier"], "left_anti").join(sole, "token").withColumn("rule", F.lit(4))
+    unique = methods.join(known, ["file_path", "qualifier"], "left_anti").join(sole, "token").withColumn("rule", F.lit(5))
     found = None
-    for part in (own, by_module, by_name, here, unique):
+    for part in (own, by_module, by_type, by_name, here, unique):
         part = part.select("from_entity", F.col("target").alias("to_entity"), "ref_type", "rule")
         found = part if found is None else found.union(part)
     found = found.filter("from_entity <> to_entity").withColumn("seq", G.rank(F.col("ref_type")))

@@ -182,3 +182,26 @@ def entity_lookup(spark, sf_dir):
     parents = nodes.select(F.col("id").alias("parent_id"), F.col("name").alias("parent_name"))
     n = nodes.filter("file_path like 'm4/%'").join(parents, "parent_id", "left")
     return n.filter(search.matches_query("Item.price", F.col("name"), F.col("entity_type"), F.col("parent_name"))).select("id")
+
+
+_STORE = "class Store:\n  def save(self):\n    return {k}\n  def load(self):\n    return 1\n"
+_USE = "from s{k}.store import Store\n\nclass Job:\n  def __init__(self):\n    self.store = Store()\n  def run(self):\n    self.store.save()\n    return self.other.save()\n\ndef once(store: Store, odd):\n  mine = Store()\n  mine.load()\n  odd.save_all()\n  return store.save()\n\ndef save():\n  return 1\n"
+_TYPED = (("Job::__init__", "store.py::class::Store"), ("Job::run", "store.py::class::Store::save"), ("once", "store.py::class::Store"), ("once", "store.py::class::Store::load"), ("once", "store.py::class::Store::save"))
+
+
+@query("SELECT 's' || n_nationkey || '/use.py::' || CASE WHEN a LIKE 'Job%' THEN 'class::' ELSE 'function::' END || a AS from_entity, 's' || n_nationkey || '/' || b AS to_entity FROM nation, (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _TYPED) + ") AS v(a, b)")
+def typed_calls(spark, sf_dir):
+    files = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(t).alias("t")) for p, t in (("s{k}/store.py", _STORE), ("s{k}/use.py", _USE))])
+    d = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("k"), F.inline(files))
+    put = lambda c: F.replace(F.col(c), F.lit("{k}"), F.col("k"))
+    return graph_build.graph(d.select(put("p").alias("file_path"), put("t").alias("content")))[1].select("from_entity", "to_entity")
+
+
+@query("SELECT 'w' || n_nationkey || '/' || a AS from_entity, 'w' || n_nationkey || '/' || b AS to_entity, t AS ref_type FROM nation, (VALUES ('app.ts::function::main', 'lib/util.ts::function::help', 'calls'), ('app.ts::function::main', 'lib/index.ts::function::deep', 'calls'), ('app.ts::export::assist', 'lib/util.ts::function::help', 'imports')) AS v(a, b, t)")
+def script_graph(spark, sf_dir):
+    app = 'import { help as aid } from "./lib/util";\nimport * as lib from "./lib";\nexport { help as assist } from "./lib/util";\nexport function main(x) {\n  aid(x);\n  return lib.deep("help", x);\n}\n'
+    parts = (("w{k}/app.ts", app), ("w{k}/lib/util.ts", "export function help(a) {\n  return a;\n}\n"), ("w{k}/lib/index.ts", "export function deep(a) {\n  return {k};\n}\n"))
+    files = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(t).alias("t")) for p, t in parts])
+    d = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("k"), F.inline(files))
+    put = lambda c: F.replace(F.col(c), F.lit("{k}"), F.col("k"))
+    return graph_build.graph(d.select(put("p").alias("file_path"), put("t").alias("content")))[1]
