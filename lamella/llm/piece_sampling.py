@@ -55,9 +55,9 @@ THETA = 1.0
 SAMPLES = 3
 SEED = 17
 #: Characters whose lattices are built together.
-GROUP = 40_000
-#: Words that a worker remembers, and edges in its store, before it starts anew.
-WORDS, STORED = 300_000, 4_000_000
+GROUP = 60_000
+#: Words that a worker remembers, and edges in its store (24 bytes each), at most.
+WORDS, STORED = 800_000, 6_000_000
 #: Characters below this have a column of their own in the table of transitions.
 DENSE = 0x180
 _STEP, _PATH = np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
@@ -98,15 +98,19 @@ class Store:
     A stretch's nodes follow one another, a node's edges too.
     """
 
-    #: Node and edge columns: left is the distance to the stretch's end, piece is -1 for a text's end and -2 for a
-    #: character's bytes (``raw`` is the character), log_q the log odds of all other edges of its node, cum the sums of p up to an edge in its node, the last one over 1.
+    #: Node and edge columns: left is the distance to the stretch's end, piece is -1 for a text's end and -2 less the code
+    #: point for a character's bytes, cum the sums of odds up to an edge in its node, the last one over 1.
     NODE = (("at", np.int32), ("count", np.int32), ("left", np.int32))
-    EDGE = (("piece", np.int32), ("size", np.int32), ("raw", np.int32), ("p", np.float64), ("log_p", np.float64), ("log_q", np.float64), ("cum", np.float64))
+    EDGE = (("piece", np.int32), ("size", np.int32), ("log_p", np.float64), ("cum", np.float64))
 
     def __init__(self) -> None:
         self.stretches: dict[str, int] = {}
         self.words: dict[str, bytes] = {}
         self.n_nodes = self.n_edges = 0
+        #: Once the store is half full: what it held then, and the words and stretches that came later.
+        self.half: tuple[int, int] | None = None
+        self.late_words: list[str] = []
+        self.late_stretches: list[str] = []
         for name, kind in (*self.NODE, *self.EDGE):
             setattr(self, name, np.empty(1024, dtype=kind))
         self.base, self.length = np.empty(1024, np.int32), np.empty(1024, np.int32)
@@ -121,7 +125,7 @@ class Store:
 
     def add(self, texts: list[str], nodes: dict[str, np.ndarray], edges: dict[str, np.ndarray]) -> None:
         """New stretches with their nodes (``at`` counted from the first of these edges) and edges."""
-        k, n, m = len(self.stretches), len(nodes["at"]), len(edges["p"])
+        k, n, m = len(self.stretches), len(nodes["at"]), len(edges["cum"])
         sizes = np.array([len(t) for t in texts], dtype=np.int32)
         self.base, self.length = self._fit(self.base, k + len(texts)), self._fit(self.length, k + len(texts))
         self.base[k : k + len(texts)] = self.n_nodes + np.cumsum(sizes) - sizes
@@ -135,6 +139,20 @@ class Store:
             setattr(self, name, self._fit(getattr(self, name), self.n_edges + m))
             getattr(self, name)[self.n_edges : self.n_edges + m] = edges[name]
         self.n_nodes, self.n_edges = self.n_nodes + n, self.n_edges + m
+        if self.half is not None:
+            self.late_stretches += texts
+
+    def trim(self) -> None:
+        """Forget what came since the store was half full, when it is full: the most frequent words came early."""
+        if self.half is None and (self.n_edges > STORED // 2 or len(self.words) > WORDS // 2):
+            self.half = self.n_nodes, self.n_edges
+        elif self.n_edges > STORED or len(self.words) > WORDS:
+            for w in self.late_words:
+                del self.words[w]
+            for t in self.late_stretches:
+                del self.stretches[t]
+            self.n_nodes, self.n_edges = self.half
+            self.late_words, self.late_stretches = [], []
 
 
 class Lattice:
@@ -200,11 +218,8 @@ class Lattice:
 
     def texts(self, texts: list[str]) -> Texts:
         """``texts`` as places, with the lattices of what is new in the store."""
-        if self.store.n_edges > STORED:
-            self.store = Store()
         store = self.store
-        if len(store.words) > WORDS:
-            store.words = {}
+        store.trim()
         known = store.words
         if not known:
             self._learn([END])
@@ -232,11 +247,46 @@ class Lattice:
             return [w.replace(" ", SPACE) if w[1:2] in ("", " ") else w[1:] for w in _WORD.findall(" " + text)]
         return text.split(" ")
 
+    def _stretches(self, whole: str) -> tuple[np.ndarray, np.ndarray]:
+        """First places and ends of the stretches of a text."""
+        code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        n = len(code)
+        cls = self.class_of[code]
+        reach = np.arange(1, n + 1)
+        pos, state, step = np.arange(n), self._next(1, cls), 1
+        while True:
+            go = np.flatnonzero(state)
+            pos, state = pos[go], state[go]
+            if not len(pos):
+                break
+            hit = pos[self.piece_of[state] >= 0]
+            reach[hit] = hit + step
+            inside = np.flatnonzero(pos + step < n)
+            pos, state = pos[inside], state[inside]
+            state = self._next(state, cls[pos + step])
+            step += 1
+        ends = np.flatnonzero(np.maximum.accumulate(reach) == np.arange(1, n + 1)) + 1
+        return np.concatenate([[0], ends[:-1]]), ends
+
     def _learn(self, words: list[str]) -> None:
-        """Put the stretches of new words into the store."""
+        """Remember the stretches of new words; lattices are built for those that the store lacks."""
         store = self.store
         full = [w if w[0] in (SPACE, END) else SPACE + w for w in words]
         whole = END.join(full) + END
+        cuts, ends = self._stretches(whole)
+        parts = [whole[i:j] for i, j in zip(cuts.tolist(), ends.tolist())]
+        if new := set(parts).difference(store.stretches):
+            self._build(sorted(new))
+        data = np.array(list(map(store.stretches.__getitem__, parts)), dtype=np.int32).tobytes()
+        bounds = np.searchsorted(cuts, np.cumsum([0, *[len(w) + 1 for w in full]])).tolist()
+        store.words.update({w: data[4 * i : 4 * j - 4] for w, i, j in zip(words, bounds, bounds[1:])})
+        if store.half is not None:
+            store.late_words += words
+
+    def _build(self, stretches: list[str]) -> None:
+        """Put the lattices of new stretches into the store."""
+        store = self.store
+        whole = END.join(stretches) + END
         code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         n = len(code)
         cls = self.class_of[code]
@@ -313,9 +363,7 @@ class Lattice:
             k = offset[:-1][by > r] + r
             cum[k] += cum[k - 1]
         cum[offset[1:] - 1] = 2.0
-        with np.errstate(divide="ignore"):
-            log_q = np.where(np.repeat(by, by) > 1, np.log1p(-p), -np.inf)
-        raw = np.where(e_piece == -2, code[np.minimum(e_to - 1, n - 1)], 0).astype(np.int32)
+        e_piece = np.where(e_piece == -2, -2 - code[np.minimum(e_to - 1, n - 1)].astype(np.int64), e_piece)
         at_node, count_node = offset[place], count
         parts = [whole[i:j] for i, j in zip(cuts.tolist(), ends.tolist())]
         fresh: dict[str, int] = {}
@@ -330,25 +378,23 @@ class Lattice:
             own = np.cumsum(c) - c
             edges = np.repeat(at_node[nodes] - own, c) + np.arange(c.sum())
             source = np.repeat(nodes, c)
-            store.add(list(fresh), {"at": own, "count": c, "left": (end - np.arange(n))[nodes]}, {"piece": e_piece[edges], "size": e_to[edges] - source, "raw": raw[edges], "p": p[edges], "log_p": log_p[edges], "log_q": log_q[edges], "cum": cum[edges]})
-        which = np.array([store.stretches[t] for t in parts], dtype=np.int32)
-        bounds = np.searchsorted(cuts, np.cumsum([0, *[len(w) + 1 for w in full]])).tolist()
-        data = which.tobytes()
-        store.words.update({w: data[4 * i : 4 * j - 4] for w, i, j in zip(words, bounds, bounds[1:])})
+            store.add(list(fresh), {"at": own, "count": c, "left": (end - np.arange(n))[nodes]}, {"piece": e_piece[edges], "size": e_to[edges] - source, "log_p": log_p[edges], "cum": cum[edges]})
 
     def ids(self, path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of a path (its edges in order of place) and how many stand before each edge and after the last."""
-        piece, raw = self.store.piece[path], self.store.raw[path]
+        piece = self.store.piece[path]
         odd = np.flatnonzero(piece < 0)
+        raw = -2 - piece[odd]  # -1 for a text's end
         size = np.ones(len(path), dtype=np.int64)
-        size[odd] = np.where(piece[odd] == -1, 0, utf8_size(raw[odd]))
+        size[odd] = np.where(raw < 0, 0, utf8_size(raw))
         offset = np.zeros(len(path) + 1, dtype=np.int64)
         np.cumsum(size, out=offset[1:])
         out = np.repeat(piece, size)
-        single = odd[(piece[odd] == -2) & (raw[odd] < 0x80)]
-        out[offset[single]] = self.byte_ids[raw[single]]
-        for k in odd[(piece[odd] == -2) & (raw[odd] >= 0x80)].tolist():
-            c = chr(raw[k])
+        single = (raw >= 0) & (raw < 0x80)
+        out[offset[odd[single]]] = self.byte_ids[raw[single]]
+        wide = raw >= 0x80
+        for k, x in zip(odd[wide].tolist(), raw[wide].tolist()):
+            c = chr(x)
             out[offset[k] : offset[k + 1]] = self.byte_ids[list((SPACE if c == MARK else c).encode("utf-8", "surrogatepass"))]
         return out, offset
 
@@ -403,18 +449,21 @@ def walk(store: Store, g: Texts, at: np.ndarray, chosen: np.ndarray, keys: np.nd
 LEAST_GUMBEL, MOST_GUMBEL = -3.7, 37.5
 
 
-def states(store: Store, path: np.ndarray, places: np.ndarray, start: np.ndarray, stop: np.ndarray, lead: np.ndarray, keys: np.ndarray, origin: np.ndarray, most: int, width: int = 32) -> list[list[tuple[float, int]]]:
+def states(store: Store, path: np.ndarray, places: np.ndarray, start: np.ndarray, stop: np.ndarray, lead: np.ndarray, keys: np.ndarray, origin: np.ndarray, most: int, width: int = 64) -> list[list[tuple[float, int]]]:
     """For parts ``start`` to ``stop`` of texts' paths the ``most`` states of largest perturbed log odds, as (these, place in the path).
 
     The log odds ahead of a state never rise along the path, so states from
     where on no draw could lift them over the others are not drawn.
     """
+    if not len(path):
+        return [[] for _ in start]
     at = start[:, None] + np.arange(width)
     inside = at < stop[:, None]
     at = np.minimum(at, len(path) - 1)
     lp = np.where(inside, store.log_p[path[at]], 0.0)
     run = lead[:, None] + np.cumsum(lp, axis=1)
-    mass = np.where(inside, run - lp + store.log_q[path[at]], -np.inf)
+    with np.errstate(divide="ignore"):
+        mass = np.where(inside, run - lp + np.log(-np.expm1(lp)), -np.inf)  # of the path ahead and all other edges
     value = mass + gumbel(uniform(keys[:, None], places[at] - origin[:, None]))
     most = min(most, width)
     order = np.argpartition(-value, most - 1, axis=1)[:, :most]
@@ -487,17 +536,18 @@ def samples(lat: Lattice, texts: list[str], seeds: list[int], k: int = SAMPLES):
         if not len(live):
             break
         keys, again = keyed(seeds, 1000 + s)[live], keyed(seeds, 2000 + s)[live]
-        stop = np.append(cut[1:], len(lp))
         start = np.searchsorted(own, np.maximum(dev[live], g.first[live] - 1), side="right")
         lead = np.array([lp[a:b].sum() for a, b in zip(cut.tolist(), start.tolist())])
-        for r, found in zip(live.tolist(), states(store, path, own, start, stop, lead, keys, g.first[live], k - s)):
-            open_[r] += [(_below(float(top[r]), x), s, int(own[j]), (int(path[j]),)) for x, j in found]
+        free = np.flatnonzero(lp < 0)  # elsewhere there is one edge, of log odds 0
+        low, high = np.searchsorted(free, start), np.searchsorted(free, np.append(cut[1:], len(lp)))
+        for r, found in zip(live.tolist(), states(store, path[free], own[free], low, high, lead, keys, g.first[live], k - s)):
+            open_[r] += [(_below(float(top[r]), x), s, int(own[free[j]]), (int(path[free[j]]),)) for x, j in found]
         if s:  # the states just taken, without the edges that their paths took
             spare = gumbel(uniform(again, dev[live] - g.first[live])).tolist()
             for r, z, before, j in zip(live.tolist(), spare, lead.tolist(), start.tolist()):
                 v = int(dev[r])
                 gone = (*barred[r], int(mine[v]))
-                left = 1.0 - sum(store.p[x] for x in gone)
+                left = 1.0 - sum(math.exp(store.log_p[x]) for x in gone)
                 if len(gone) < store.count[g.node[v]] and left > 0:
                     open_[r].append((_below(float(top[r]), before - float(lp[j - 1]) + math.log(left) + z), s, v, gone))
     threshold = np.array([max((x[0] for x in o), default=-np.inf) for o in open_])
@@ -516,7 +566,7 @@ def _unbarred(store: Store, node: int, barred: tuple, u: float) -> int:
     """An edge of a node by the odds of those that aren't barred."""
     first = int(store.at[node])
     free = [x for x in range(first, first + int(store.count[node])) if x not in barred]
-    p = store.p[free]
+    p = np.exp(store.log_p[free])
     return free[min(len(free) - 1, int(np.searchsorted(np.cumsum(p), u * p.sum(), side="right")))]
 
 
