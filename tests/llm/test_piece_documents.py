@@ -122,3 +122,13 @@ def test_rows(spark, lat, monkeypatch):
     assert all(r["decoded_same"] and lat.decode(r["ids"]) == text[r["id"]] for r in out)
     assert len({tuple(r["ids"]) for r in out if r["id"] == 1}) == 3
     assert piece_sampling.sampled(d.limit(0), ["id"]).collect() == []
+
+
+def test_samples_survive_a_full_store(lat, monkeypatch):
+    r = np.random.default_rng(2)
+    texts = [" ".join("".join(map(chr, r.integers(97, 123, 7))) for _ in range(5)) + " and the of it" for _ in range(60)]
+    want = rows_of(lat, texts, list(range(60)), 3)
+    monkeypatch.setattr(piece_sampling, "STORED", 1000)
+    small = piece_sampling.Lattice(piece_sampling.default_path())
+    got = [rows_of(small, [t], [i], 3)[0] for i, t in enumerate(texts)]
+    assert got == want and small.store.half is not None and len(small.store.stretches) < len(lat.store.stretches)

@@ -117,10 +117,11 @@ def test_toxicity_held_out(spark):
     assert all(w.isprintable() and w.strip() == w for w in words)
 
 
-def test_toxicity_scores_in_plain_python(spark, sf_dir, docs):
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    chain = toxicity.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels)
-    got = {r["doc_id"]: r["score"] for r in queries.op2_toxicity(spark, sf_dir).collect()}
+def test_toxicity_scores_in_plain_python(spark, docs):
+    larger = "/root/testdata/sf0.01"
+    chain = toxicity.train(spark.read.parquet(f"{larger}/documents.parquet"), spark.read.parquet(f"{larger}/labels.parquet"))
+    own = spark.createDataFrame([(int(d), t) for d, t in zip(docs.doc_id, docs.text)], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.scored(own, chain).collect()}
     t, s = np.exp(chain.transitions), np.exp(chain.start)
     for d, x in zip(docs.doc_id, docs.text):
         words = re.findall(r"\w+", x)
