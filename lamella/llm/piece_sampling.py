@@ -16,12 +16,16 @@ are drawn conditional on the one just taken.  Where the (k+1)-th state would be
 taken is the threshold that gives each path's inclusion score
 ``1 - exp(-exp(log p - threshold))``.
 
-Lattices are cut where no piece crosses.  A worker builds and sums those of all
-new stretches of text together with numpy and keeps them; the lattices of many
-texts are then walked together.  Every draw is a hash of the row's seed, the path's
-number and the place in the text, so equal keys and texts give equal samples
-wherever and however often they run.  Decoding is exact: a U+2581 of the text,
-which marks spaces in pieces, is written as its bytes.
+Texts are cut into units between characters that stand side by side in no piece,
+and the lattice of a unit into stretches where no piece crosses.  A worker builds
+and sums the lattices of all new units together with numpy and keeps them, found
+again by a 64-bit hash and compared character by character; those of many texts
+are then walked together.  The path of each node's likeliest piece is taken at
+once by a stretch whose draw is below that path's odds; otherwise the draw goes on
+node by node.  Every draw is a hash of the row's seed, the path's number and the
+place in the text, so equal keys and texts give equal samples wherever and however
+often they run.  Decoding is exact: a U+2581 of the text, which marks spaces in
+pieces, is written as its bytes.
 
 Defined cases: a null or empty text has one segmentation, without pieces;
 where a text has fewer than ``k`` segmentations all of them are given with
@@ -34,7 +38,6 @@ a character, in memory; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from dataclasses import dataclass
 
@@ -46,23 +49,27 @@ from pyspark.sql import functions as F
 from ._store import small_batches
 from ._words import mix
 
-_WORD = re.compile(" +[^ ]*")
-
 SPACE = "▁"
 #: Stands for a space mark of the text itself, and for the end of a text; no valid text holds them.
 MARK, END = "\ud800", "\ud801"
 THETA = 1.0
 SAMPLES = 3
 SEED = 17
-#: Characters whose lattices are built together.
-GROUP = 60_000
-#: Words that a worker remembers, and edges in its store (24 bytes each), at most.
-WORDS, STORED = 800_000, 6_000_000
+#: Characters whose lattices are built and walked together.
+GROUP = 200_000
+#: Units that a worker remembers, and edges in its store (24 bytes each), at most.
+UNITS, STORED = 800_000, 12_000_000
+#: Pieces of a stretch that are taken at once, and states of a path that have a draw of their own, at most.
+CHAIN, WIDTH = 16, 128
 #: Characters below this have a column of their own in the table of transitions.
 DENSE = 0x180
+#: Base of the units' hashes, and its inverse modulo 2**64.
+_BASE = 0x9FB21C651E98DF25
+_INVERSE = pow(_BASE, -1, 1 << 64)
 _STEP, _PATH = np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
 
 _lattices: dict[str, Lattice] = {}
+_tables: list[np.ndarray] = []
 
 
 def default_path() -> str:
@@ -86,73 +93,110 @@ def seed_of(key: tuple, seed: int = SEED) -> int:
 class Texts:
     """Texts laid end to end, each closed by one place without pieces; a place is a character, a node of the store."""
 
-    node: np.ndarray  # node of a place
-    row: np.ndarray  # text of a place
+    n: int  # places
     first: np.ndarray  # first place of a text
-    cuts: np.ndarray  # first places of all stretches
+    #: By stretch: first places, lengths, first nodes, odds of the first pieces, and how many these are.
+    cuts: np.ndarray
+    length: np.ndarray
+    base: np.ndarray
+    odds: np.ndarray
+    count: np.ndarray
+    #: By place: the edges of the first pieces, -1 elsewhere; and the places that have one.
+    chain: np.ndarray
+    places: np.ndarray
+
+    def nodes(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nodes of places, and the ends of their stretches."""
+        k = np.searchsorted(self.cuts, at, side="right") - 1
+        return self.base[k] + (at - self.cuts[k]), self.cuts[k] + self.length[k]
 
 
 class Store:
-    """The lattices of all stretches met so far: text between two places that no piece crosses.
+    """The lattices of all units met so far, each a row of stretches: text between two places that no piece crosses.
 
-    A stretch's nodes follow one another, a node's edges too.
+    A unit's stretches follow one another, a stretch's nodes and a node's edges too.
     """
 
-    #: Node and edge columns: left is the distance to the stretch's end, piece is -1 for a text's end and -2 less the code
-    #: point for a character's bytes, cum the sums of odds up to an edge in its node, the last one over 1.
-    NODE = (("at", np.int32), ("count", np.int32), ("left", np.int32))
+    #: Columns of units, stretches (chain is where their first pieces begin), first pieces (off is the distance to the
+    #: stretch's beginning), nodes (left is the distance to the stretch's end) and edges (piece is -1 for a text's end and -2
+    #: less the code point for a character's bytes, cum the sums of odds up to an edge in its node, the last one over 1).
+    UNIT = (("unit_at", np.int32), ("unit_n", np.int32), ("unit_size", np.int32), ("hash", np.uint64))
+    STRETCH = (("base", np.int32), ("length", np.int32), ("odds", np.float64), ("chain", np.int32), ("chain_n", np.int32))
+    FIRST = (("off", np.int32), ("edge", np.int32))
+    NODE = (("at", np.int32), ("count", np.int32), ("left", np.int32), ("code", np.uint32))
     EDGE = (("piece", np.int32), ("size", np.int32), ("log_p", np.float64), ("cum", np.float64))
+    KINDS = (UNIT, STRETCH, FIRST, NODE, EDGE)
+    #: The kind of which a column holds the numbers, which are counted from the first new one on the way in.
+    POINTS = {"unit_at": 1, "base": 3, "chain": 2, "edge": 4, "at": 4}
 
     def __init__(self) -> None:
-        self.stretches: dict[str, int] = {}
-        self.words: dict[str, bytes] = {}
-        self.n_nodes = self.n_edges = 0
-        #: Once the store is half full: what it held then, and the words and stretches that came later.
-        self.half: tuple[int, int] | None = None
-        self.late_words: list[str] = []
-        self.late_stretches: list[str] = []
-        for name, kind in (*self.NODE, *self.EDGE):
+        self.sizes = [0] * len(self.KINDS)
+        #: Once the store is half full: what it held then.
+        self.half: list[int] | None = None
+        #: Units by hash, in the first free slot from the hash's own on, -1 where there is none.
+        self.slots = np.full(1 << 12, -1, dtype=np.int32)
+        for name, kind in sum(self.KINDS, ()):
             setattr(self, name, np.empty(1024, dtype=kind))
-        self.base, self.length = np.empty(1024, np.int32), np.empty(1024, np.int32)
-
-    @staticmethod
-    def _fit(old: np.ndarray, n: int) -> np.ndarray:
-        if n <= len(old):
-            return old
-        new = np.empty(max(n, 2 * len(old)), dtype=old.dtype)
-        new[: len(old)] = old
-        return new
-
-    def add(self, texts: list[str], nodes: dict[str, np.ndarray], edges: dict[str, np.ndarray]) -> None:
-        """New stretches with their nodes (``at`` counted from the first of these edges) and edges."""
-        k, n, m = len(self.stretches), len(nodes["at"]), len(edges["cum"])
-        sizes = np.array([len(t) for t in texts], dtype=np.int32)
-        self.base, self.length = self._fit(self.base, k + len(texts)), self._fit(self.length, k + len(texts))
-        self.base[k : k + len(texts)] = self.n_nodes + np.cumsum(sizes) - sizes
-        self.length[k : k + len(texts)] = sizes
-        for i, t in enumerate(texts):
-            self.stretches[t] = k + i
-        for name, _ in self.NODE:
-            setattr(self, name, self._fit(getattr(self, name), self.n_nodes + n))
-            getattr(self, name)[self.n_nodes : self.n_nodes + n] = nodes[name] + self.n_edges if name == "at" else nodes[name]
-        for name, _ in self.EDGE:
-            setattr(self, name, self._fit(getattr(self, name), self.n_edges + m))
-            getattr(self, name)[self.n_edges : self.n_edges + m] = edges[name]
-        self.n_nodes, self.n_edges = self.n_nodes + n, self.n_edges + m
-        if self.half is not None:
-            self.late_stretches += texts
+
+    @property
+    def stretches(self) -> np.ndarray:
+        """First nodes of all stretches."""
+        return self.base[: self.sizes[1]]
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The units of hashes, -1 where there is none."""
+        mask = len(self.slots) - 1
+        slot = (key & np.uint64(mask)).astype(np.int64)
+        out = self.slots[slot]
+        todo = np.flatnonzero((out >= 0) & (self.hash[out] != key))
+        while len(todo):
+            slot[todo] = at = (slot[todo] + 1) & mask
+            out[todo] = found = self.slots[at]
+            todo = todo[(found >= 0) & (self.hash[found] != key[todo])]
+        return out
+
+    def _place(self, unit: np.ndarray) -> None:
+        """Put units into the slots."""
+        mask = len(self.slots) - 1
+        slot = (self.hash[unit] & np.uint64(mask)).astype(np.int64)
+        while len(unit):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = unit[free]
+            on = np.flatnonzero(self.slots[slot] != unit)
+            unit, slot = unit[on], (slot[on] + 1) & mask
+
+    def add(self, new: dict[str, np.ndarray], listed: bool) -> np.ndarray:
+        """New units with their columns; only ``listed`` ones are found again."""
+        before = list(self.sizes)
+        for k, kind in enumerate(self.KINDS):
+            a, b = before[k], before[k] + len(new[kind[0][0]])
+            for name, _ in kind:
+                old = getattr(self, name)
+                if b > len(old):
+                    setattr(self, name, np.empty(max(b, len(old) * 3 // 2), dtype=old.dtype))
+                    getattr(self, name)[:a] = old[:a]
+                getattr(self, name)[a:b] = new[name] + before[self.POINTS[name]] if name in self.POINTS else new[name]
+            self.sizes[k] = b
+        unit = np.arange(before[0], self.sizes[0], dtype=np.int32)
+        if listed:
+            if 2 * self.sizes[0] > len(self.slots):
+                self._list(max(4 * len(self.slots), 1 << (4 * self.sizes[0]).bit_length()), self.find(self.hash[: before[0]]) if before[0] else unit[:0])
+            self._place(unit)
+        return unit
+
+    def _list(self, size: int, unit: np.ndarray) -> None:
+        self.slots = np.full(size, -1, dtype=np.int32)
+        self._place(np.unique(unit))
 
     def trim(self) -> None:
-        """Forget what came since the store was half full, when it is full: the most frequent words came early."""
-        if self.half is None and (self.n_edges > STORED // 2 or len(self.words) > WORDS // 2):
-            self.half = self.n_nodes, self.n_edges
-        elif self.n_edges > STORED or len(self.words) > WORDS:
-            for w in self.late_words:
-                del self.words[w]
-            for t in self.late_stretches:
-                del self.stretches[t]
-            self.n_nodes, self.n_edges = self.half
-            self.late_words, self.late_stretches = [], []
+        """Forget what came since the store was half full, when it is full: the most frequent units came early."""
+        units, edges = self.sizes[0], self.sizes[-1]
+        if self.half is None and (edges > STORED // 2 or units > UNITS // 2):
+            self.half = list(self.sizes)
+        elif self.half is not None and (edges > STORED or units > UNITS):
+            listed = self.slots[self.slots >= 0]
+            self.sizes = list(self.half)
+            self._list(len(self.slots), listed[listed < self.sizes[0]])
 
 
 class Lattice:
@@ -177,14 +221,19 @@ class Lattice:
                 pieces[name] = i
                 self.bytes_of[i] = name.replace(SPACE, " ").encode()
                 self.weight[i] = -THETA * math.log(2 + max(0.0, -sp.get_score(i)))
-        self.sizes = np.array([len(x) for x in self.bytes_of])
-        self.bytes_at = np.cumsum(self.sizes) - self.sizes
-        self.all_bytes = np.frombuffer(b"".join(self.bytes_of), dtype=np.uint8)
+        self.spelled = pa.array(self.bytes_of, pa.large_binary())
         chars = sorted({c for name in pieces for c in name}, key=lambda c: (ord(c) >= DENSE and c != SPACE, c))
         self.dense = 1 + sum(ord(c) < DENSE or c == SPACE for c in chars)
         self.classes = len(chars) + 1
         self.class_of = np.zeros(0x110000, dtype=np.int32)
         self.class_of[[ord(c) for c in chars]] = np.arange(1, self.classes)
+        self.class_of[ord(" ")] = self.class_of[ord(SPACE)]  # texts keep their spaces
+        beside = {(int(self.class_of[ord(a)]), int(self.class_of[ord(b)])) for name in pieces for a, b in zip(name, name[1:])}
+        self.beside = np.zeros((self.dense, self.dense), dtype=bool)
+        for a, b in beside:
+            if a < self.dense and b < self.dense:
+                self.beside[a, b] = True
+        self.rare_beside = np.array(sorted(a * self.classes + b for a, b in beside if a >= self.dense or b >= self.dense) or [-1], dtype=np.int64)
         steps: dict[tuple[int, int], int] = {}
         found = {}
         for name, i in pieces.items():
@@ -201,8 +250,6 @@ class Lattice:
                 self.table[s, c] = t
         self.piece_of = np.full(len(steps) + 2, -1, dtype=np.int32)
         self.piece_of[list(found)] = list(found.values())
-        #: Whether words, which begin with their spaces, can be taken one by one.
-        self.by_word = not any(b == SPACE and a != SPACE for name in pieces for a, b in zip(name, name[1:]))
         self.store = Store()
 
     def _next(self, state, cls):
@@ -216,79 +263,68 @@ class Lattice:
         out[at] = np.where(self.rare[k] == key, self.rare_to[k], 0)
         return out
 
+    def _cut(self, cls: np.ndarray) -> np.ndarray:
+        """First places of the units of a text, by its characters' classes."""
+        a, b = cls[:-1], cls[1:]
+        if len(cls) and int(cls.max()) < self.dense:
+            joined = self.beside.ravel()[a * self.dense + b]
+        else:
+            plain = (a < self.dense) & (b < self.dense)
+            joined = self.beside.ravel()[np.where(plain, a * self.dense + b, 0)]
+            odd = np.flatnonzero(~plain)
+            key = a[odd].astype(np.int64) * self.classes + b[odd]
+            joined[odd] = self.rare_beside[np.minimum(np.searchsorted(self.rare_beside, key), len(self.rare_beside) - 1)] == key
+        return np.concatenate([[0], np.flatnonzero(~joined) + 1])
+
     def texts(self, texts: list[str]) -> Texts:
         """``texts`` as places, with the lattices of what is new in the store."""
         store = self.store
         store.trim()
-        known = store.words
-        if not known:
-            self._learn([END])
-        split = [[*self._words(t), END] for t in texts]
-        if new := set().union(*split).difference(known):
-            self._learn(sorted(new))
-        ids = [np.frombuffer(b"".join(map(known.__getitem__, ws)), dtype=np.int32) for ws in split]
-        stretch = np.concatenate(ids)
+        whole = "".join([f" {t}{END}" if t else END for t in texts])
+        if SPACE in whole:
+            whole = whole.replace(SPACE, MARK)
+        code = _codes(whole)
+        start = self._cut(self.class_of[code])
+        size = np.diff(start, append=len(code))
+        key = _hashes(code, start, size)
+        unit = store.find(key)
+        if len(gaps := np.flatnonzero(unit < 0)):
+            fresh, first = np.unique(key[gaps], return_index=True)
+            first = gaps[first]
+            unit[gaps] = self._build(code, start[first], size[first], fresh)[np.searchsorted(fresh, key[gaps])]
+        if len(odd := np.flatnonzero(self._other(code, unit, start, size))):  # hashes that clash: built anew
+            unit[odd] = self._build(code, start[odd], size[odd], key[odd], listed=False)
+        stretch = _runs(store.unit_at[unit], store.unit_n[unit])
         length = store.length[stretch].astype(np.int64)
         cuts = np.cumsum(length) - length
-        node = np.repeat(store.base[stretch] - cuts, length) + np.arange(int(length.sum()))
-        first = cuts[np.cumsum([0, *[len(x) for x in ids[:-1]]])]
-        row = np.repeat(np.arange(len(texts)), np.diff(np.append(first, len(node))))
-        return Texts(node, row, first, cuts)
-
-    def _words(self, text: str) -> list[str]:
-        """A text's words, each with the spaces before it if these are more than one."""
-        if not text:
-            return []
-        if not self.by_word:
-            return [SPACE + text.replace(SPACE, MARK).replace(" ", SPACE)]
-        if SPACE in text:
-            text = text.replace(SPACE, MARK)
-        if "  " in text or text[0] == " " or text[-1] == " ":
-            return [w.replace(" ", SPACE) if w[1:2] in ("", " ") else w[1:] for w in _WORD.findall(" " + text)]
-        return text.split(" ")
-
-    def _stretches(self, whole: str) -> tuple[np.ndarray, np.ndarray]:
-        """First places and ends of the stretches of a text."""
-        code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        n = len(code)
-        cls = self.class_of[code]
-        reach = np.arange(1, n + 1)
-        pos, state, step = np.arange(n), self._next(1, cls), 1
-        while True:
-            go = np.flatnonzero(state)
-            pos, state = pos[go], state[go]
-            if not len(pos):
-                break
-            hit = pos[self.piece_of[state] >= 0]
-            reach[hit] = hit + step
-            inside = np.flatnonzero(pos + step < n)
-            pos, state = pos[inside], state[inside]
-            state = self._next(state, cls[pos + step])
-            step += 1
-        ends = np.flatnonzero(np.maximum.accumulate(reach) == np.arange(1, n + 1)) + 1
-        return np.concatenate([[0], ends[:-1]]), ends
-
-    def _learn(self, words: list[str]) -> None:
-        """Remember the stretches of new words; lattices are built for those that the store lacks."""
-        store = self.store
-        full = [w if w[0] in (SPACE, END) else SPACE + w for w in words]
-        whole = END.join(full) + END
-        cuts, ends = self._stretches(whole)
-        parts = [whole[i:j] for i, j in zip(cuts.tolist(), ends.tolist())]
-        if new := set(parts).difference(store.stretches):
-            self._build(sorted(new))
-        data = np.array(list(map(store.stretches.__getitem__, parts)), dtype=np.int32).tobytes()
-        bounds = np.searchsorted(cuts, np.cumsum([0, *[len(w) + 1 for w in full]])).tolist()
-        store.words.update({w: data[4 * i : 4 * j - 4] for w, i, j in zip(words, bounds, bounds[1:])})
-        if store.half is not None:
-            store.late_words += words
-
-    def _build(self, stretches: list[str]) -> None:
-        """Put the lattices of new stretches into the store."""
+        size = np.array([len(t) + 2 if t else 1 for t in texts])
+        count = store.chain_n[stretch]
+        k = _runs(store.chain[stretch], count)
+        places = np.repeat(cuts, count) + store.off[k]
+        chain = np.full(len(code), -1, dtype=np.int32)
+        chain[places] = store.edge[k]
+        return Texts(len(code), np.cumsum(size) - size, cuts, length, store.base[stretch], store.odds[stretch], count, chain, places)
+
+    def _other(self, code: np.ndarray, unit: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether units are not the text from ``start`` on."""
         store = self.store
-        whole = END.join(stretches) + END
-        code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        n = len(code)
+        other = store.unit_size[unit] != size
+        if other.any():
+            keep = np.flatnonzero(~other)
+            other[keep] = self._other(code, unit[keep], start[keep], size[keep])
+            return other
+        text = code if int(size.sum()) == len(code) else code[_runs(start, size)]
+        same = text == store.code[_runs(store.base[store.unit_at[unit]], size)]
+        if not same.all():
+            other[np.repeat(np.arange(len(unit)), size)[~same]] = True
+        return other
+
+    def _build(self, text: np.ndarray, begins: np.ndarray, own_size: np.ndarray, key: np.ndarray, listed: bool = True) -> np.ndarray:
+        """Put the lattices of new units, parts of a text, into the store."""
+        closing = np.cumsum(own_size + 1) - 1  # places between units, which are not kept
+        n = int(closing[-1]) + 1
+        code = text[np.minimum(_runs(begins, own_size + 1), len(text) - 1)]
+        code[closing] = ord(END)
         cls = self.class_of[code]
         count = np.zeros(n, dtype=np.int32)
         reach = np.arange(1, n + 1)
@@ -336,7 +372,7 @@ class Lattice:
         place[order] = np.arange(n)
         by = count[order]
         offset = np.concatenate([[0], np.cumsum(by)])
-        slot = offset[place[start] + 1] - 1 - rank  # the longest piece, mostly the likeliest, first
+        slot = offset[place[start] + 1] - 1 - rank
         m = len(slot)
         e_piece, e_to, e_w, open_ = np.empty(m, np.int32), np.empty(m, np.int64), np.empty(m), np.empty(m)
         e_piece[slot], e_to[slot], e_w[slot] = piece, start + length, weight
@@ -358,27 +394,59 @@ class Lattice:
             total[order[a:b]] = top + log_s
             p[x:y] = w / np.repeat(s, k)
             log_p[x:y] = v - np.repeat(log_s, k)
+        e_size = e_to - np.repeat(order, by)
+        top = np.maximum.reduceat(p, offset[:-1])  # the likeliest piece of a node comes first
+        best = np.flatnonzero(p == np.repeat(top, by))
+        whose = np.searchsorted(offset, best, side="right") - 1
+        best, whose = best[::-1], offset[whose[::-1]]
+        head = np.arange(m)
+        head[whose] = best  # of equal ones that which is written last, the first
+        swap = np.flatnonzero(head != np.arange(m))
+        head[head[swap]] = swap
+        e_piece, e_to, e_size, p, log_p = (x[head] for x in (e_piece, e_to, e_size, p, log_p))
         cum = p.copy()
         for r in range(1, int(by.max(initial=1))):
             k = offset[:-1][by > r] + r
             cum[k] += cum[k - 1]
         cum[offset[1:] - 1] = 2.0
         e_piece = np.where(e_piece == -2, -2 - code[np.minimum(e_to - 1, n - 1)].astype(np.int64), e_piece)
-        at_node, count_node = offset[place], count
-        parts = [whole[i:j] for i, j in zip(cuts.tolist(), ends.tolist())]
-        fresh: dict[str, int] = {}
-        for k, t in enumerate(parts):
-            if t not in store.stretches and t not in fresh:
-                fresh[t] = k
-        if fresh:
-            k = np.array(list(fresh.values()))
-            size = ends[k] - cuts[k]
-            nodes = np.repeat(cuts[k] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            c = count_node[nodes]
-            own = np.cumsum(c) - c
-            edges = np.repeat(at_node[nodes] - own, c) + np.arange(c.sum())
-            source = np.repeat(nodes, c)
-            store.add(list(fresh), {"at": own, "count": c, "left": (end - np.arange(n))[nodes]}, {"piece": e_piece[edges], "size": e_to[edges] - source, "log_p": log_p[edges], "cum": cum[edges]})
+        at_node = offset[place]
+        nodes = np.delete(np.arange(n), closing)
+        c = count[nodes]
+        own = np.cumsum(c) - c
+        edges = _runs(at_node[nodes], c)
+        last = np.searchsorted(cuts, closing)
+        unit_n = np.diff(last, prepend=-1) - 1
+        begin = np.delete(cuts, last)
+        finish = np.delete(ends, last)
+        shift = np.repeat(np.arange(len(key)), unit_n)
+        base = begin - shift
+        live, x, odds = np.arange(len(begin)), begin, np.zeros(len(begin))
+        who, off = [], []
+        for _ in range(CHAIN):
+            who.append(live)
+            off.append(x - begin[live])
+            k = at_node[x]
+            odds[live] += log_p[k]
+            x = e_to[k]
+            on = np.flatnonzero(x < finish[live])
+            live, x = live[on], x[on]
+            if not len(live):
+                break
+        odds = np.exp(odds)
+        odds[live] = 0.0
+        of, far = np.concatenate(who), np.concatenate(off)
+        by_stretch = np.argsort(of, kind="stable")
+        of, far = of[by_stretch], far[by_stretch]
+        chain_n = np.bincount(of, minlength=len(begin))
+        new = {
+            "unit_at": np.cumsum(unit_n) - unit_n, "unit_n": unit_n, "unit_size": own_size, "hash": key,
+            "base": base, "length": finish - begin, "odds": odds, "chain": np.cumsum(chain_n) - chain_n, "chain_n": chain_n,
+            "off": far, "edge": own[base[of] + far],
+            "at": own, "count": c, "left": left[nodes], "code": code[nodes],
+            "piece": e_piece[edges], "size": e_size[edges], "log_p": log_p[edges], "cum": cum[edges],
+        }
+        return self.store.add(new, listed)
 
     def ids(self, path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of a path (its edges in order of place) and how many stand before each edge and after the last."""
@@ -398,14 +466,42 @@ class Lattice:
             out[offset[k] : offset[k + 1]] = self.byte_ids[list((SPACE if c == MARK else c).encode("utf-8", "surrogatepass"))]
         return out, offset
 
-    def joined(self, ids: np.ndarray) -> bytes:
-        """The bytes of pieces one after the other."""
-        size = self.sizes[ids]
-        return self.all_bytes[np.repeat(self.bytes_at[ids] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))].tobytes()
+    def joined(self, ids: np.ndarray) -> tuple[memoryview, np.ndarray]:
+        """The bytes of pieces one after the other, and where each begins and the last one ends."""
+        out = self.spelled.take(pa.array(ids))
+        _, offset, data = out.buffers()
+        return memoryview(data or b"").cast("B"), np.frombuffer(offset, dtype=np.int64)[: len(ids) + 1]
 
     def decode(self, ids) -> str:
         """The text of a segmentation."""
-        return self.joined(np.asarray(ids, dtype=np.int64)).decode("utf-8", "replace")[1:]
+        data, ends = self.joined(np.asarray(ids, dtype=np.int32))
+        return bytes(data[: ends[-1]]).decode("utf-8", "replace")[1:]
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, base, dtype=np.uint64)]))
+
+
+def _hashes(code: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of parts of a text."""
+    n = max(len(code), GROUP)
+    if len(_tables) != 2 or len(_tables[0]) <= n:
+        _tables[:] = _powers(_BASE, n), _powers(_INVERSE, n)
+    up, down = _tables
+    total = np.zeros(len(code) + 1, dtype=np.uint64)
+    np.cumsum((code + np.uint64(1)) * up[: len(code)], out=total[1:])
+    if n > 4 * GROUP:
+        _tables.clear()
+    return mix((total[start + size] - total[start]) * down[start])
+
+
+def _runs(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``count`` numbers from each of ``first`` on, one run after the other."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
 
 
 def utf8_size(code: np.ndarray) -> np.ndarray:
@@ -426,56 +522,67 @@ def gumbel(u):
     return -np.log(-np.log(u))
 
 
-def walk(store: Store, g: Texts, at: np.ndarray, chosen: np.ndarray, keys: np.ndarray) -> None:
-    """Follow the lattices' odds from the places ``at`` to the ends of their stretches; edges go to ``chosen`` by place."""
-    origin = keys - g.first.astype(np.uint64) * _STEP  # so that a draw goes by the place in its text
-    origin = np.repeat(origin, np.diff(np.append(g.first, len(g.node))))
+def walk(store: Store, at: np.ndarray, node: np.ndarray, origin: np.ndarray, u: np.ndarray, chosen: np.ndarray) -> None:
+    """Follow the lattices' odds from the places ``at`` to the ends of their stretches; edges go to ``chosen`` by place.
+
+    A draw that takes the first edge, below whose odds it then is uniform, is
+    stretched to (0, 1) for the next node; any other edge asks for a new draw.
+    """
     while len(at):
-        node = g.node[at]
         edge = store.at[node]
-        u = uniform(origin[at], at)
-        more = np.flatnonzero(u >= store.cum[edge])
+        first = store.cum[edge]
+        more = other = np.flatnonzero(u >= first)
         while len(more):
             on = edge[more] + 1
             edge[more] = on
             more = more[u[more] >= store.cum[on]]
         chosen[at] = edge
         size = store.size[edge]
+        u = u / np.minimum(first, 1.0)
+        u[other] = -1.0
         on = np.flatnonzero(size < store.left[node])
-        at = at[on] + size[on]
-
+        size, origin, u = size[on], origin[on], u[on]
+        at, node = at[on] + size, node[on] + size
+        new = np.flatnonzero(u < 0)
+        u[new] = uniform(origin[new], at[new])
 
-#: No draw of :func:`gumbel` is further from 0 to either side.
-LEAST_GUMBEL, MOST_GUMBEL = -3.7, 37.5
 
+def states(ahead: np.ndarray, places: np.ndarray, start: np.ndarray, stop: np.ndarray, lead: np.ndarray, keys: np.ndarray, origin: np.ndarray, most: int) -> list[list[tuple[float, int]]]:
+    """For parts ``start`` to ``stop`` of texts' paths, whose steps have log odds ``ahead``, the states of largest perturbed log odds, ``most`` at least or all, as (these, place in the path).
 
-def states(store: Store, path: np.ndarray, places: np.ndarray, start: np.ndarray, stop: np.ndarray, lead: np.ndarray, keys: np.ndarray, origin: np.ndarray, most: int, width: int = 64) -> list[list[tuple[float, int]]]:
-    """For parts ``start`` to ``stop`` of texts' paths the ``most`` states of largest perturbed log odds, as (these, place in the path).
-
-    The log odds ahead of a state never rise along the path, so states from
-    where on no draw could lift them over the others are not drawn.
+    States behind the first ``WIDTH`` have one draw, the largest of theirs, by
+    their odds together.  Where it is among the ``most`` largest, it goes to one
+    of them by their odds, and the others' draws are brought below it.
     """
-    if not len(path):
+    if not len(ahead):
         return [[] for _ in start]
+    width = WIDTH
     at = start[:, None] + np.arange(width)
     inside = at < stop[:, None]
-    at = np.minimum(at, len(path) - 1)
-    lp = np.where(inside, store.log_p[path[at]], 0.0)
+    at = np.minimum(at, len(ahead) - 1)
+    lp = np.where(inside, ahead[at], 0.0)
     run = lead[:, None] + np.cumsum(lp, axis=1)
     with np.errstate(divide="ignore"):
         mass = np.where(inside, run - lp + np.log(-np.expm1(lp)), -np.inf)  # of the path ahead and all other edges
     value = mass + gumbel(uniform(keys[:, None], places[at] - origin[:, None]))
-    most = min(most, width)
-    order = np.argpartition(-value, most - 1, axis=1)[:, :most]
-    ranked = -np.partition(-mass, most - 1, axis=1)[:, most - 1]
-    whole = (stop - start <= width) | (run[:, -1] + MOST_GUMBEL < ranked + LEAST_GUMBEL)
+    order = np.argpartition(-value, min(most, width) - 1, axis=1)[:, :most]
     best = np.take_along_axis(value, order, axis=1)
     out = [[(x, a + j) for x, j in zip(xs, js) if x > -np.inf] for a, xs, js in zip(start.tolist(), best.tolist(), order.tolist())]
-    if not whole.all():
-        rest = np.flatnonzero(~whole)
-        wider = states(store, path, places, start[rest], stop[rest], lead[rest], keys[rest], origin[rest], most, 8 * width)
-        for i, found in zip(rest.tolist(), wider):
-            out[i] = found
+    long = np.flatnonzero(stop - start > width)
+    rest = np.array([ahead[a + width : b].sum() for a, b in zip(start[long].tolist(), stop[long].tolist())])
+    spare = gumbel(uniform(mix(keys[long]), np.arange(1)))
+    tail = run[long, -1] + np.log(-np.expm1(rest)) + spare
+    for i in np.flatnonzero((tail >= best[long].min(axis=1)) | (len(best[0]) < most)).tolist():
+        r = long[i]
+        a, b = int(start[r]) + width, int(stop[r])
+        lp = ahead[a:b]
+        mass = run[r, -1] + np.cumsum(lp) - lp + np.log(-np.expm1(lp))
+        value = mass + gumbel(uniform(keys[r : r + 1], places[a:b] - origin[r]))
+        odds = np.cumsum(np.exp(mass - mass.max()))
+        first = min(b - a - 1, int(np.searchsorted(odds, odds[-1] * uniform(mix(keys[r : r + 1]), np.arange(1, 2))[0], side="right")))
+        value = -np.logaddexp(-tail[i], -value)
+        value[first] = tail[i]
+        out[r] += [(float(value[j]), a + j) for j in np.argsort(-value, kind="stable")[:most].tolist()]
     return out
 
 
@@ -484,25 +591,34 @@ def samples(lat: Lattice, texts: list[str], seeds: list[int], k: int = SAMPLES):
     g = lat.texts(texts)
     store = lat.store
     seeds = np.array(seeds, dtype=np.uint64)
-    n, rows = len(g.node), len(texts)
-    ends_row = np.append(np.searchsorted(g.cuts, g.first)[1:], len(g.cuts))  # after the last stretch of a text
+    rows = len(texts)
+    bounds = [*g.first.tolist(), g.n]
+    by_row = np.diff(np.append(np.searchsorted(g.cuts, g.first), len(g.cuts)))  # stretches
     top = gumbel(uniform(keyed(seeds, 3000), np.arange(1)))
     open_: list[list] = [[] for _ in texts]  # states: (maximum, path, place, barred edges), in no order
     chosen: list[np.ndarray] = []
     done = []
     alive = np.ones(rows, dtype=bool)
-    dev = np.full(rows, -1, dtype=np.int64)  # the place at which a row's state ends
+    dev = np.full(rows, -1, dtype=np.int64)  # the place at which a row's state ends, and its node
+    spot = np.zeros(rows, dtype=np.int64)
     barred: list[tuple] = [()] * rows
     for s in range(k):
-        mine = np.full(n, -1, dtype=np.int32)
-        if not s:
-            walk(store, g, g.cuts, mine, keyed(seeds, 0))
-        else:
+        keys = keyed(seeds, s)
+        from_ = keys - g.first.astype(np.uint64) * _STEP  # so that a draw goes by the place in its text
+        origin = np.repeat(from_, by_row)
+        u = uniform(origin, g.cuts)
+        beyond = u >= g.odds
+        mine = g.chain.copy()
+        mine[g.places[np.repeat(beyond, g.count)]] = -1
+        beyond = np.flatnonzero(beyond)
+        walk(store, g.cuts[beyond], g.base[beyond], origin[beyond], u[beyond], mine)
+        if s:  # up to their ends the states just taken hold
             parent = np.zeros(rows, dtype=np.int64)
             at = []
             for r in range(rows):
                 if not open_[r]:
                     alive[r] = False
+                    mine[bounds[r] : bounds[r + 1]] = -1
                     continue
                 best = max(open_[r], key=lambda x: x[0])
                 open_[r].remove(best)
@@ -510,20 +626,18 @@ def samples(lat: Lattice, texts: list[str], seeds: list[int], k: int = SAMPLES):
                 at.append(r)
             r_ = np.array(at, dtype=np.int64)
             v_ = dev[r_]
-            keys = keyed(seeds, s)
-            draws = uniform(keys[r_], v_ - g.first[r_]).tolist()
-            edge_ = np.array([_unbarred(store, int(g.node[v]), barred[r], u) for r, v, u in zip(at, v_.tolist(), draws)], dtype=np.int64)
-            for r, v in zip(at, v_.tolist()):
-                first = int(g.first[r])
-                mine[first:v] = chosen[parent[r]][first:v]
+            spot[r_], end_ = g.nodes(v_)
+            draws = uniform(from_[r_], v_)
+            edge_ = np.array([_unbarred(store, n, barred[r], u) for r, n, u in zip(at, spot[r_].tolist(), draws.tolist())], dtype=np.int64)
+            for r, v, end in zip(at, v_.tolist(), end_.tolist()):
+                mine[bounds[r] : v] = chosen[parent[r]][bounds[r] : v]
+                mine[v:end] = -1
             if at:
                 mine[v_] = edge_
-                node = g.node[v_]
-                inner = (v_ + store.size[edge_])[store.size[edge_] < store.left[node]]
-                after = np.searchsorted(g.cuts, v_ + store.left[node])
-                size = np.maximum(ends_row[r_] - after, 0)
-                later = g.cuts[np.repeat(after - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-                walk(store, g, np.concatenate([inner, later]), mine, keys)
+                size = store.size[edge_]
+                on = np.flatnonzero(v_ + size < end_)
+                inner = v_[on] + size[on]
+                walk(store, inner, spot[r_[on]] + size[on], from_[r_[on]], uniform(from_[r_[on]], inner), mine)
         chosen.append(mine)
         own = np.flatnonzero(mine >= 0)
         path = mine[own]
@@ -540,7 +654,7 @@ def samples(lat: Lattice, texts: list[str], seeds: list[int], k: int = SAMPLES):
         lead = np.array([lp[a:b].sum() for a, b in zip(cut.tolist(), start.tolist())])
         free = np.flatnonzero(lp < 0)  # elsewhere there is one edge, of log odds 0
         low, high = np.searchsorted(free, start), np.searchsorted(free, np.append(cut[1:], len(lp)))
-        for r, found in zip(live.tolist(), states(store, path[free], own[free], low, high, lead, keys, g.first[live], k - s)):
+        for r, found in zip(live.tolist(), states(lp[free], own[free], low, high, lead, keys, g.first[live], k - s)):
             open_[r] += [(_below(float(top[r]), x), s, int(own[free[j]]), (int(path[free[j]]),)) for x, j in found]
         if s:  # the states just taken, without the edges that their paths took
             spare = gumbel(uniform(again, dev[live] - g.first[live])).tolist()
@@ -548,7 +662,7 @@ def samples(lat: Lattice, texts: list[str], seeds: list[int], k: int = SAMPLES):
                 v = int(dev[r])
                 gone = (*barred[r], int(mine[v]))
                 left = 1.0 - sum(math.exp(store.log_p[x]) for x in gone)
-                if len(gone) < store.count[g.node[v]] and left > 0:
+                if len(gone) < store.count[spot[r]] and left > 0:
                     open_[r].append((_below(float(top[r]), before - float(lp[j - 1]) + math.log(left) + z), s, v, gone))
     threshold = np.array([max((x[0] for x in o), default=-np.inf) for o in open_])
     for live, offset, ids, total, perturbed in done:
@@ -583,7 +697,7 @@ def sampled(rows: DataFrame, keys: list[str], text: str = "text", k: int = SAMPL
         for s, (live, offset, ids, lp, g, inc) in enumerate(samples(lat, texts, own, k)):
             same = _decoded(lat, [raw[i] for i in live.tolist()], offset, ids)
             kept = [b.column(i).take(pa.array(at[live], pa.int64())) for i in range(len(names))]
-            cols = [pa.array(np.full(len(live), s, dtype=np.int32)), pa.ListArray.from_arrays(pa.array(offset.astype(np.int32)), pa.array(ids.astype(np.int32))), *map(pa.array, (lp, g, inc, same))]
+            cols = [pa.array(np.full(len(live), s, dtype=np.int32)), pa.ListArray.from_arrays(pa.array(offset.astype(np.int32)), pa.array(ids)), *map(pa.array, (lp, g, inc, same))]
             yield pa.RecordBatch.from_arrays([*kept, *cols], out_names)
 
     def emit(batches):
@@ -605,7 +719,6 @@ def sampled(rows: DataFrame, keys: list[str], text: str = "text", k: int = SAMPL
 
 def _decoded(lat: Lattice, raw: list[bytes], offset: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Whether each segmentation decodes to its text in UTF-8, a space before it; all are decoded at once."""
-    ends = np.cumsum(lat.sizes[ids])
-    ends = np.concatenate([[0], ends])[offset].tolist()
-    got = lat.joined(ids)
+    got, ends = lat.joined(ids)
+    ends = ends[offset].tolist()
     return np.array([got[a:b] == (b" " + x if x else b"") for a, b, x in zip(ends, ends[1:], raw)], dtype=bool)

@@ -132,3 +132,41 @@ def test_samples_survive_a_full_store(lat, monkeypatch):
     small = piece_sampling.Lattice(piece_sampling.default_path())
     got = [rows_of(small, [t], [i], 3)[0] for i, t in enumerate(texts)]
     assert got == want and small.store.half is not None and len(small.store.stretches) < len(lat.store.stretches)
+
+
+def test_known_paths_cost_a_draw_a_stretch(sf_dir, lat, monkeypatch):
+    texts = [t or "" for t in pq.read_table(f"{sf_dir}/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    drawn, plain = [], piece_sampling.uniform
+    monkeypatch.setattr(piece_sampling, "uniform", lambda key, place: drawn.append(np.broadcast(key, place).size) or plain(key, place))
+    pieces = sum(len(ids) for _, _, ids, *_ in piece_sampling.samples(lat, texts, list(range(len(texts))), 3))
+    assert sum(drawn) < 0.8 * pieces
+
+
+@pytest.mark.parametrize("name, value", [("WIDTH", 1), ("WIDTH", 2), ("CHAIN", 1)])
+def test_odds_whatever_is_drawn_at_once(weights, monkeypatch, name, value):
+    n, text = 20_000, "the.\nthe"
+    monkeypatch.setattr(piece_sampling, name, value)
+    small = piece_sampling.Lattice(piece_sampling.default_path())
+    want = {ids: math.exp(lp) for ids, lp in every(text, weights).items()}
+    got = rows_of(small, [text] * n, list(range(n)), 3)
+    orders = Counter(tuple(x[0] for x in f) for f in got)
+    likely = sorted(want, key=want.get)[-4:]
+    for a in likely:
+        for b in likely:
+            for c in likely:
+                p, q, r = want[a], want[b], want[c]
+                odds = p * q / (1 - p) * r / (1 - p - q) if len({a, b, c}) == 3 else 0.0
+                assert abs(orders[a, b, c] / n - odds) < 0.015
+    assert all(len({x[0] for x in f}) == 3 for f in got)
+    assert abs(np.mean([sum(math.exp(lp) / inc for _, lp, _, inc in f) for f in got]) - 1) < 0.02
+    few = rows_of(small, ["the of", "a▁b"], [1, 2], 5000)
+    assert [{ids for ids, *_ in f} for f in few] == [set(every(t, weights)) for t in ("the of", "a▁b")]
+
+
+def test_units_with_equal_hashes(lat, monkeypatch):
+    texts = ["one of many words", "", "words of many.\nWords", "日本 a", "many of one", "x" * 70]
+    want = rows_of(lat, texts, list(range(6)), 3)
+    monkeypatch.setattr(piece_sampling, "_hashes", lambda code, start, size: (code[start] % 3).astype(np.uint64))
+    weak = piece_sampling.Lattice(piece_sampling.default_path())
+    assert rows_of(weak, texts, list(range(6)), 3) == want
+    assert [rows_of(weak, [t], [i], 3)[0] for i, t in enumerate(texts)] == want
