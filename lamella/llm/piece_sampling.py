@@ -31,7 +31,7 @@ Defined cases: a null or empty text has one segmentation, without pieces;
 where a text has fewer than ``k`` segmentations all of them are given with
 inclusion 1; repeated rows give equal samples; ties have odds of 2**-53 and go
 to the state nearest the text's beginning; null keys hash as null; an empty
-table gives no rows; a text of any length has its whole lattice, about 100 bytes
+table gives no rows; a text of any length has its whole lattice, about 400 bytes
 a character, in memory; other columns are ignored, whatever their names.
 """
 
@@ -61,6 +61,8 @@ GROUP = 200_000
 UNITS, STORED = 800_000, 12_000_000
 #: Pieces of a stretch that are taken at once, and states of a path that have a draw of their own, at most.
 CHAIN, WIDTH = 16, 128
+#: Places that are followed one by one, at most.
+FEW = 12
 #: Characters below this have a column of their own in the table of transitions.
 DENSE = 0x180
 #: Base of the units' hashes, and its inverse modulo 2**64.
@@ -394,16 +396,17 @@ class Lattice:
             total[order[a:b]] = top + log_s
             p[x:y] = w / np.repeat(s, k)
             log_p[x:y] = v - np.repeat(log_s, k)
+        del starts, lengths, ids, ranks, start, length, piece, rank, weight, slot, open_, e_w  # a long text needs the room
         e_size = e_to - np.repeat(order, by)
         top = np.maximum.reduceat(p, offset[:-1])  # the likeliest piece of a node comes first
         best = np.flatnonzero(p == np.repeat(top, by))
         whose = np.searchsorted(offset, best, side="right") - 1
-        best, whose = best[::-1], offset[whose[::-1]]
-        head = np.arange(m)
-        head[whose] = best  # of equal ones that which is written last, the first
-        swap = np.flatnonzero(head != np.arange(m))
-        head[head[swap]] = swap
-        e_piece, e_to, e_size, p, log_p = (x[head] for x in (e_piece, e_to, e_size, p, log_p))
+        head = offset[:-1].copy()
+        head[whose[::-1]] = best[::-1]  # of equal ones that which is written last, the first
+        whose = np.flatnonzero(head != offset[:-1])
+        a, b = offset[whose], head[whose]
+        for x in (e_piece, e_to, e_size, p, log_p):
+            x[a], x[b] = x[b], x[a]
         cum = p.copy()
         for r in range(1, int(by.max(initial=1))):
             k = offset[:-1][by > r] + r
@@ -528,7 +531,7 @@ def walk(store: Store, at: np.ndarray, node: np.ndarray, origin: np.ndarray, u:
     A draw that takes the first edge, below whose odds it then is uniform, is
     stretched to (0, 1) for the next node; any other edge asks for a new draw.
     """
-    while len(at):
+    while len(at) > FEW:
         edge = store.at[node]
         first = store.cum[edge]
         more = other = np.flatnonzero(u >= first)
@@ -545,6 +548,38 @@ def walk(store: Store, at: np.ndarray, node: np.ndarray, origin: np.ndarray, u:
         at, node = at[on] + size, node[on] + size
         new = np.flatnonzero(u < 0)
         u[new] = uniform(origin[new], at[new])
+    for one in zip(at.tolist(), node.tolist(), origin.tolist(), u.tolist()):
+        _walk_one(store, *one, chosen)
+
+
+def _walk_one(store: Store, at: int, node: int, origin: int, u: float, chosen: np.ndarray) -> None:
+    """What :func:`walk` does, for one place in plain numbers."""
+    step, full = int(_STEP), (1 << 64) - 1
+    places, edges = [], []
+    while True:
+        edge = store.at.item(node)
+        first = store.cum.item(edge)
+        again = u < first
+        if again:
+            u /= min(first, 1.0)
+        else:
+            edge += 1
+            while u >= store.cum.item(edge):
+                edge += 1
+        places.append(at)
+        edges.append(edge)
+        size = store.size.item(edge)
+        if size >= store.left.item(node):
+            break
+        at += size
+        node += size
+        if not again:
+            x = origin + at * step & full
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full
+            x = (x ^ x >> 27) * 0x94D049BB133111EB & full
+            u = ((x ^ x >> 31) >> 11) + 0.5
+            u *= 2.0**-53
+    chosen[places] = edges
 
 
 def states(ahead: np.ndarray, places: np.ndarray, start: np.ndarray, stop: np.ndarray, lead: np.ndarray, keys: np.ndarray, origin: np.ndarray, most: int) -> list[list[tuple[float, int]]]:
@@ -610,14 +645,15 @@ def samples(lat: Lattice, texts: list[str], seeds: list[int], k: int = SAMPLES):
         beyond = u >= g.odds
         mine = g.chain.copy()
         mine[g.places[np.repeat(beyond, g.count)]] = -1
-        beyond = np.flatnonzero(beyond)
-        walk(store, g.cuts[beyond], g.base[beyond], origin[beyond], u[beyond], mine)
+        starts = []
+        since = g.first.copy()  # places from where on stretches are drawn
         if s:  # up to their ends the states just taken hold
             parent = np.zeros(rows, dtype=np.int64)
             at = []
             for r in range(rows):
                 if not open_[r]:
                     alive[r] = False
+                    since[r] = bounds[r + 1]
                     mine[bounds[r] : bounds[r + 1]] = -1
                     continue
                 best = max(open_[r], key=lambda x: x[0])
@@ -637,7 +673,11 @@ def samples(lat: Lattice, texts: list[str], seeds: list[int], k: int = SAMPLES):
                 size = store.size[edge_]
                 on = np.flatnonzero(v_ + size < end_)
                 inner = v_[on] + size[on]
-                walk(store, inner, spot[r_[on]] + size[on], from_[r_[on]], uniform(from_[r_[on]], inner), mine)
+                since[r_] = end_
+                starts.append((inner, spot[r_[on]] + size[on], from_[r_[on]], uniform(from_[r_[on]], inner)))
+        beyond = np.flatnonzero(beyond & (g.cuts >= np.repeat(since, by_row)))
+        starts.append((g.cuts[beyond], g.base[beyond], origin[beyond], u[beyond]))
+        walk(store, *map(np.concatenate, zip(*starts)), mine)
         chosen.append(mine)
         own = np.flatnonzero(mine >= 0)
         path = mine[own]

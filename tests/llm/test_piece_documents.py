@@ -170,3 +170,15 @@ def test_units_with_equal_hashes(lat, monkeypatch):
     weak = piece_sampling.Lattice(piece_sampling.default_path())
     assert rows_of(weak, texts, list(range(6)), 3) == want
     assert [rows_of(weak, [t], [i], 3)[0] for i, t in enumerate(texts)] == want
+
+
+def test_long_stretches_are_walked_once(lat, monkeypatch):
+    texts = ["the" * 2_000, "one of many words", "=" * 3_000, "and" * 1_500 + " of 日"]
+    want = rows_of(lat, texts, [1, 2, 3, 4], 3)
+    steps, plain = [], piece_sampling.mix
+    monkeypatch.setattr(piece_sampling, "mix", lambda x: steps.append(1) or plain(x))
+    assert rows_of(lat, texts, [1, 2, 3, 4], 3) == want
+    assert len(steps) < 1_000
+    monkeypatch.setattr(piece_sampling, "FEW", 0)
+    assert rows_of(lat, texts, [1, 2, 3, 4], 3) == want
+    assert all(lat.decode(ids) == t for t, f in zip(texts, want) for ids, *_ in f)
