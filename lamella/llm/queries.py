@@ -1,4 +1,4 @@
-"""The ten operators bound to the test tables, each over its whole table, and SQL for those that SQL can express."""
+"""The operators bound to the test tables, each over its whole table, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, chat_format, fingerprints, jaccard_join, piece_sampling, quality_rules, rans, token_rollups, toxicity, warc_archive
+from . import best_fit, chat_format, filter_audit, fingerprints, hash_ring, jaccard_join, piece_sampling, quality_rules, rans, token_rollups, toxicity, warc_archive, word_runs
 from ._store import materialize, new_path
 
 
@@ -109,8 +109,38 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op11_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards whose counts are at most one apart."""
+    out = hash_ring.sharded(table(spark, sf_dir, "documents"), law="rows")
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, of which a tenth by the checksum of the id is made to repeat itself from a word on."""
+    digest = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(digest % 10 == 0, words).alias("words"), F.floor(digest / 10).alias("g"))
+    n = F.size("words").cast("long")
+    docs = docs.withColumn("a", F.when(n > 0, F.col("g") % n))
+    docs = docs.withColumn("p", F.floor((n - F.col("a")) / (3 + F.col("g") % 8)) + 1)
+    turned = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get("words", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    out = word_runs.periodic(docs.select("doc_id", F.when(F.col("a").isNull(), F.col("text")).otherwise(F.array_join(turned, " ")).alias("text")))
+    # Lengths and periods are below 2^31, so products are exact.
+    better = lambda x, y: F.when(y["length"] * x["period"] > x["length"] * y["period"], y).otherwise(x)
+    best = F.when(F.size("runs") > 0, F.aggregate("runs", F.get("runs", F.lit(0)), better))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", "best.*", F.expr("best.length * 1000 div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256"
+    )
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over all documents in all their orders."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("quality_lost", "good_lost")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_chat_formatting, op2_toxicity, op3_piece_sampling, op4_token_counts, op5_fingerprints, op6_quality_rules, op7_warc, op8_jaccard_join, op8_jaccard_links, op9_best_fit, op10_token_ids)
+    own = (op1_chat_formatting, op2_toxicity, op3_piece_sampling, op4_token_counts, op5_fingerprints, op6_quality_rules, op7_warc, op8_jaccard_join, op8_jaccard_links, op9_best_fit, op10_token_ids, op11_hash_ring, op12_word_runs, op13_filter_audit)
     return {f.__name__: f for f in own}
 
 
@@ -198,6 +228,40 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.c AS component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) r ON r.x = d.doc_id
 """
 
+OP13_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {_WORDS.format(t="text")} AS w FROM documents
+), l AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t),
+          regexp_matches(t, '[#$%&*|]'), coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false)] AS bad
+  FROM d LEFT JOIN l ON l.doc_id = d.doc_id
+), o AS (
+  SELECT '' AS filter_order UNION ALL
+  SELECT filter_order || substr('ABCDE', CAST(k AS INTEGER), 1) FROM o, unnest(range(1, 6)) AS u(k) WHERE length(filter_order) < 5 AND NOT contains(filter_order, substr('ABCDE', CAST(k AS INTEGER), 1))
+), s AS (
+  SELECT filter_order, k AS step, ascii(filter_order[k]) - 64 AS own, [ascii(x) - 64 FOR x IN string_split(filter_order[1:k - 1], '') IF x <> ''] AS before
+  FROM o, unnest(range(1, 6)) AS u(k) WHERE length(filter_order) = 5
+), g AS (
+  SELECT part, bad, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, bad
+), r AS (
+  SELECT part, filter_order, step, own, n, good, toxic, bad[own] AS fails, len(list_filter(before, lambda j: bad[j])) = 0 AS met, len(list_filter(bad, lambda x: x)) = 1 AS lone
+  FROM g, s
+), c AS (
+  SELECT part, filter_order, step, own,
+         coalesce(sum(n) FILTER (met AND NOT fails), 0) AS kept, coalesce(sum(n) FILTER (met AND fails), 0) AS removed,
+         coalesce(sum(n) FILTER (NOT met AND fails), 0) AS redundant, coalesce(sum(n) FILTER (fails AND lone), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (met AND fails), 0) AS good_lost, coalesce(sum(toxic) FILTER (met AND fails), 0) AS toxic_lost
+  FROM r GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM c
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op6_quality_rules": OP6_SQL, "op7_warc": OP7_SQL, "op8_jaccard_join": OP8_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op6_quality_rules": OP6_SQL, "op7_warc": OP7_SQL, "op8_jaccard_join": OP8_SQL, "op13_filter_audit": OP13_SQL}
