@@ -178,8 +178,23 @@ def noise_path(path: Column, excluded: Column) -> Column:
     return path.rlike(r"(^|/)\.git(/|$)") | excluded
 
 
-def reference_word(c: Column, common: tuple[str, ...]) -> Column:
-    return c.rlike(r"^[A-Za-z_]\w*$") & (F.length(c) >= F.when(F.lower(c) == c, 3).otherwise(2)) & ~c.isin(*common)
+#: A name that may refer to an entity: two characters, three where the first is a small letter.
+REFERENCE_WORD = r"^(?:[a-z]\w{2,}|[A-Z_]\w+)$"
+
+#: Names that are nearly always locals and are never taken for references.
+COMMON_LOCALS = (
+    "result", "results", "data", "config", "value", "values", "item", "items", "input",
+    "output", "args", "opts", "name", "path", "file", "line", "count", "index", "temp", "prev",
+    "next", "curr", "current", "node", "left", "right", "root", "head", "tail", "body", "text",
+    "content", "source", "target", "entry", "error", "errors", "message", "response",
+    "request", "context", "state", "props", "event", "handler", "callback", "options",
+    "params", "query", "list", "base", "info", "meta", "kind", "mode", "flag", "size",
+    "length", "width", "height", "start", "stop", "begin", "done", "found", "status", "code",
+)
+
+
+def reference_word(c: Column, common: tuple[str, ...] = COMMON_LOCALS) -> Column:
+    return c.rlike(REFERENCE_WORD) & ~c.isin(*common)
 
 
 def prompt_names(c: Column, most: int = 2) -> Column:

@@ -572,6 +572,11 @@ def _code_text(content: str, kind: str) -> str:
     return rule.sub(lambda m: m[0] if m[0][0] in "\"'`" else " ", content)
 
 
+def uncommented(text: str) -> str:
+    """A script's text without comments; strings stay."""
+    return _code_text(text, "slash")
+
+
 def ruby(path: str, text: str) -> list[Entity]:
     """Classes, modules and methods up to the ``end`` at their own indent."""
     text = "\n".join(lines_of(text))

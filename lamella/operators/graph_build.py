@@ -27,17 +27,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamella.functions import pieces
 from lamella.functions import predicates as P
-from lamella.operators import extract
+from lamella.operators import exports, extract
 from lamella.operators import graph as G
 from lamella.storage import cut, near
 
-#: Common local names that are never taken for references.
-COMMON_LOCALS = ("self", "this", "cls", "args", "kwargs", "err", "ctx", "req", "res", "tmp", "val", "obj", "idx")
-_KEYWORDS = {*keyword.kwlist, "let", "const", "var", "function", "new", "return", "typeof", "void", "null", "undefined", "true", "false", "func", "package", "struct", "interface", "type", "impl", "trait", "enum", "pub", "mut", "use", "mod", "crate", "match", "switch", "case", "throw", "public", "private", "protected", "static", "final", "extends", "implements", "string", "int", "bool", "end", "module", "require", "export", "default", "instanceof"}
+_KEYWORDS = {*keyword.kwlist, "self", "this", "cls", "let", "const", "var", "function", "new", "return", "typeof", "void", "null", "undefined", "true", "false", "func", "package", "struct", "interface", "type", "impl", "trait", "enum", "pub", "mut", "use", "mod", "crate", "match", "switch", "case", "throw", "public", "private", "protected", "static", "final", "extends", "implements", "string", "int", "bool", "end", "module", "require", "export", "default", "instanceof"}
 _NAME = re.compile(r"(?:\b(\w+)\s*(?:\.|::|->)\s*)?\b([A-Za-z_]\w*)\b(\s*\()?")
 _LOCALS = re.compile(r"(?:\b(?:let|const|var|for|mut)\s+(?:mut\s+)?|^\s*)([A-Za-z_]\w*)\s*(?::\s*[\w\[\], <>.]+)?\s*(?::?=(?!=)|\bin\b|\bof\b)", re.M)
 _IMPORT_LINE = re.compile(r"\s*(?:import|from|use|require|include|#include|using)\b")
+_REFERENCE = re.compile(pieces.REFERENCE_WORD)
+_COMMON = frozenset(pieces.COMMON_LOCALS)
 _HASHED = (".py", ".pyi", ".rb", ".sh", ".bash", ".yaml", ".yml", ".toml")
 #: Suffixes tried for an import without one, in order.
 TRIED = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
@@ -48,7 +49,7 @@ IMPORT = "file_path string, local string, candidates array<string>, name string"
 
 
 def reference_word(token: str) -> bool:
-    return len(token) >= 2 and len(token.lower()) >= 3 and token not in _KEYWORDS and token not in COMMON_LOCALS
+    return bool(_REFERENCE.match(token)) and token not in _KEYWORDS and token not in _COMMON
 
 
 def local_names(plain: str, header: str) -> set[str]:
@@ -127,19 +128,25 @@ def _script_targets(path: str, module: str) -> list[str]:
     return [at, *[at + x for x in TRIED], *[f"{at}/index{x}" for x in TRIED]]
 
 
+_STATEMENT = re.compile(r"\b(import|export)\b[ \t]*(?:type[ \t]+)?((?:[\w$* \t]|,\s*|\{[^}]*\})*?)\s*\bfrom\s*['\"]([^'\"]+)['\"]")
+
+
 def script_imports(path: str, text: str) -> list[tuple]:
-    """(local, candidate files, name) of import, re-export and require statements; a null name means the module."""
+    """(local, candidate files, name) of import, re-export and require statements; a null name means the module.
+
+    A default import asks for ``default``, and after that for the symbol of its local name.
+    """
     out = []
-    for m in re.finditer(r"(?:import|export)\s+(?:type\s+)?([^'\";]*?)\s*from\s*['\"]([^'\"]+)['\"]", text):
-        what, where = m[1], _script_targets(path, m[2])
+    for m in _STATEMENT.finditer(text):
+        what, where = m[2].strip(), _script_targets(path, m[3])
         if b := re.search(r"\{([^}]*)\}", what):
-            for one in (x.strip() for x in b[1].split(",") if x.strip()):
-                name, _, local = (re.sub(r"^type\s+", "", one)).partition(" as ")
-                out.append(((local or name).strip(), where, name.strip()))
-        if s := re.search(r"\*\s+as\s+(\w+)", what):
+            for one in filter(str.strip, b[1].split(",")):
+                name, local = exports.renamed(one)
+                out.append((local, where, name))
+        if s := re.search(r"\*\s+as\s+([\w$]+)", what):
             out.append((s[1], where, None))
-        if d := re.match(r"(\w+)\s*(?:,|$)", what):
-            out.append((d[1], where, d[1]))
+        if m[1] == "import" and (d := re.match(r"([\w$]+)\s*(?:,|$)", what)):
+            out += [(d[1], where, "default"), (d[1], where, d[1])]
     for m in re.finditer(r"(?:const|let|var)\s+(\w+|\{[^}]*\})\s*=\s*require\(['\"]([^'\"]+)['\"]\)", text):
         where = _script_targets(path, m[2])
         if m[1][0] == "{":
@@ -211,17 +218,30 @@ def references(files: DataFrame) -> DataFrame:
     return _per_file(files, REFERENCE, references_of)
 
 
-def import_table(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """``file_path, local, target, name``: imported names and the first of their candidate files that exists."""
+def import_rows(files: DataFrame) -> DataFrame:
+    """``file_path, local, candidates, name`` of every import."""
 
     def scan(path: str, text: str) -> list[tuple]:
         suffix = posixpath.splitext(path)[1]
         return [(path, *row) for row in SCANNERS[suffix](path, text) if row[1]] if suffix in SCANNERS else []
 
-    rows = _per_file(files, IMPORT, scan).select("file_path", "local", "name", F.posexplode("candidates").alias("i", "target"))
-    there = (files if known is None else known).select(F.col("file_path").alias("target")).distinct()
-    found = rows.join(there, "target", "left_semi")
-    return found.groupBy("file_path", "local", "name").agg(F.min_by("target", "i").alias("target")).select("file_path", "local", "target", "name")
+    return _per_file(files, IMPORT, scan)
+
+
+def export_rows(files: DataFrame) -> DataFrame:
+    """The export statements of script files."""
+
+    def scan(path: str, text: str) -> list[tuple]:
+        if SCANNERS.get(posixpath.splitext(path)[1]) is not script_imports:
+            return []
+        return [(path, *row) for row in exports.script_exports(path, extract.uncommented(text), _script_targets)]
+
+    return _per_file(files, exports.STATEMENT, scan)
+
+
+def import_table(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``file_path, local, target, name``: imported names and the first of their candidate files that exists."""
+    return exports.existing(import_rows(files), files if known is None else known, "file_path", "local", "name").select("file_path", "local", "target", "name")
 
 
 def file_imports(files: DataFrame) -> DataFrame:
@@ -229,85 +249,172 @@ def file_imports(files: DataFrame) -> DataFrame:
     return import_table(files).select(F.col("file_path").alias("importing_file"), F.col("target").alias("imported_file")).filter("importing_file <> imported_file").distinct()
 
 
-def resolved(refs: DataFrame, nodes: DataFrame, imports: DataFrame) -> DataFrame:
-    """Edges of ``refs``; each rule is an equi join, the first that knows a reference counts."""
+def symbols_of(nodes: DataFrame) -> DataFrame:
+    """``file_path, name, target, target_parent``: what a name means in its file, top-level symbols and first lines first."""
+    symbols = nodes.filter("entity_type not in ('chunk', 'export')")
+    first = F.struct(F.col("parent_id").isNotNull(), "start_line", "id")
+    return symbols.groupBy("file_path", "name").agg(F.min_by(F.struct("id", "parent_id"), first).alias("x")).select("file_path", "name", F.col("x.id").alias("target"), F.col("x.parent_id").alias("target_parent"))
+
+
+def resolved(refs: DataFrame, nodes: DataFrame, imports: DataFrame, offered: DataFrame | None = None) -> DataFrame:
+    """Edges of ``refs``; each rule is an equi join, the first that knows a reference counts.
+
+    ``offered`` says what a file's exported name means (:func:`exports.offered`);
+    without it only a file's own symbols can be imported from it.  An
+    imported name that its file hands on gives two edges, one to the entity behind it
+    and one to the export.
+    """
     at = F.struct("start_line", "id")
     symbols = nodes.filter("entity_type not in ('chunk', 'export')").select("id", "file_path", "name", "parent_id", "start_line")
-    in_file = cut(symbols.groupBy("file_path", "name").agg(F.min_by("id", F.struct(F.col("parent_id").isNotNull(), at)).alias("target"), F.min_by("parent_id", F.struct(F.col("parent_id").isNotNull(), at)).alias("target_parent")), "symbols")
+    in_file = cut(symbols_of(nodes), "symbols")
     members = symbols.filter("parent_id is not null").groupBy(F.col("parent_id").alias("owner"), F.col("name").alias("token")).agg(F.min_by("id", at).alias("target"))
     sole = symbols.filter("parent_id is not null").groupBy(F.col("name").alias("token")).agg(F.min("id").alias("target"), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
-    far = in_file.select(F.col("file_path").alias("to_file"), F.col("name").alias("to_name"), "target")
+    far = (in_file if offered is None else offered).select(F.col("file_path").alias("to_file"), F.col("name").alias("to_name"), "target")
     imp = imports.select("file_path", "local", F.col("target").alias("to_file"), F.col("name").alias("imported"))
     own = refs.filter("qualifier in ('self', 'this', 'cls')").join(members, ["owner", "token"]).withColumn("rule", F.lit(0))
     spaces = imp.filter("imported is null").select("file_path", F.col("local").alias("qualifier"), "to_file")
-    by_module = refs.join(spaces, ["file_path", "qualifier"]).join(far.withColumnRenamed("to_name", "token"), ["to_file", "token"]).withColumn("rule", F.lit(1))
+    in_module = refs.join(spaces, ["file_path", "qualifier"])
+    by_module = in_module.join(far.withColumnRenamed("to_name", "token"), ["to_file", "token"]).withColumn("rule", F.lit(1))
     names = imp.filter("imported is not null").select("file_path", F.col("local").alias("token"), "to_file", F.col("imported").alias("to_name"))
+    meant = names.join(far, ["to_file", "to_name"]).groupBy("file_path", "token").agg(F.min_by("target", F.struct(F.col("to_name") != "default", "target")).alias("target"))
+    meant = cut(meant, "meant")
     here_types = in_file.select("file_path", F.col("name").alias("type_name"), F.col("target").alias("type_id"), F.lit(0).alias("via"))
-    far_types = names.join(far, ["to_file", "to_name"]).select("file_path", F.col("token").alias("type_name"), F.col("target").alias("type_id"), F.lit(1).alias("via"))
+    far_types = meant.select("file_path", F.col("token").alias("type_name"), F.col("target").alias("type_id"), F.lit(1).alias("via"))
     type_ids = here_types.union(far_types).groupBy("file_path", "type_name").agg(F.min_by("type_id", F.struct("via", "type_id")).alias("type_id"))
     of_type = members.select(F.col("owner").alias("type_id"), "token", "target")
     by_type = refs.filter("type_name is not null").join(type_ids, ["file_path", "type_name"]).join(of_type, ["type_id", "token"]).withColumn("rule", F.lit(2))
-    by_name = refs.filter("qualifier is null").join(names, ["file_path", "token"]).join(far, ["to_file", "to_name"]).withColumn("rule", F.lit(3))
+    by_name = refs.filter("qualifier is null").join(meant, ["file_path", "token"]).withColumn("rule", F.lit(3))
     here = refs.filter("qualifier is null").join(in_file.withColumnRenamed("name", "token"), ["file_path", "token"])
     here = here.filter(~F.col("target").eqNullSafe(F.col("owner")) & ~F.col("target_parent").eqNullSafe(F.col("from_entity"))).withColumn("rule", F.lit(4))
     methods = refs.filter("qualifier is not null and qualifier not in ('self', 'this', 'cls') and ref_type = 'calls' and file_path rlike '[.](py|rb)$'")
     known = imp.select("file_path", F.col("local").alias("qualifier")).distinct()
     unique = methods.join(known, ["file_path", "qualifier"], "left_anti").join(sole, "token").withColumn("rule", F.lit(5))
+    handed = nodes.filter("entity_type = 'export'").groupBy(F.col("file_path").alias("to_file"), F.col("name").alias("to_name")).agg(F.min("id").alias("target"))
+    handed_names = refs.filter("qualifier is null").join(names, ["file_path", "token"]).join(handed, ["to_file", "to_name"])
+    handed_spaces = in_module.join(handed.withColumnRenamed("to_name", "token"), ["to_file", "token"])
+    parts = [own, by_module, by_type, by_name, here, unique, *[x.withColumns({"ref_type": F.lit("imports"), "rule": F.lit(6)}) for x in (handed_names, handed_spaces)]]
     found = None
-    for part in (own, by_module, by_type, by_name, here, unique):
+    for part in parts:
         part = part.select("from_entity", F.col("target").alias("to_entity"), "ref_type", "rule")
         found = part if found is None else found.union(part)
     found = found.filter("from_entity <> to_entity").withColumn("seq", G.rank(F.col("ref_type")))
     return G.deduplicated(found, "rule", "seq")
 
 
-def export_edges(nodes: DataFrame, imports: DataFrame) -> DataFrame:
-    """Edges from re-export entities to what they hand on."""
-    far = nodes.filter("entity_type <> 'export'").select(F.col("file_path").alias("target"), F.col("name").alias("source"), F.col("id").alias("to_entity"))
-    e = nodes.filter("entity_type = 'export'").select(F.col("id").alias("from_entity"), "file_path", F.col("name").alias("local"))
-    j = e.join(imports, ["file_path", "local"]).withColumnRenamed("name", "source").join(far, ["target", "source"])
-    return j.groupBy("from_entity").agg(F.min("to_entity").alias("to_entity")).withColumn("ref_type", F.lit("imports"))
+def export_edges(nodes: DataFrame, step: DataFrame, offered: DataFrame) -> DataFrame:
+    """Edges from re-export entities to what they hand on: the next file's export of that name, else the entity behind it."""
+    e = nodes.filter("entity_type = 'export'").select(F.col("id").alias("from_entity"), "file_path", "name")
+    own = e.join(step.select("file_path", "name", "to_file", "to_name"), ["file_path", "name"])
+    handed = e.groupBy(F.col("file_path").alias("to_file"), F.col("name").alias("to_name")).agg(F.min("from_entity").alias("next"))
+    ends = offered.select("file_path", "name", "target")
+    j = own.join(handed, ["to_file", "to_name"], "left").join(ends, ["file_path", "name"], "left").withColumn("to_entity", F.coalesce("next", "target"))
+    return j.filter("to_entity is not null and to_entity <> from_entity").groupBy("from_entity").agg(F.min("to_entity").alias("to_entity")).withColumn("ref_type", F.lit("imports"))
+
+
+#: The tables that a project's graph is linked from; each is a file's own and found by reading that file alone.
+FACTS = ("files", "nodes", "references", "imports", "exports")
+#: Buckets of the reference table, by token.
+BUCKETS = 64
+
+
+def bucket_of(token: Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+
+
+def facts(files: DataFrame) -> dict[str, DataFrame]:
+    """What each file says, one pass a table: entities, references by token bucket, imports and exports."""
+    refs = references(files).withColumn("bucket", bucket_of(F.col("token")))
+    return {"files": files.select("file_path"), "nodes": extract.extracted(files), "references": refs, "imports": import_rows(files), "exports": export_rows(files)}
+
+
+def linking(known: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """What is looked up across files: ``imports`` with the files they mean, ``step`` and ``offered`` for exported names."""
+    imports = cut(exports.existing(known["imports"], known["files"], "file_path", "local", "name").select("file_path", "local", "target", "name"), "imports")
+    symbols = cut(symbols_of(known["nodes"]), "symbols")
+    step = exports.pointers(known["exports"], symbols, imports, known["files"])
+    return {"imports": imports, "step": step, "offered": cut(exports.offered(step, symbols), "offered")}
+
+
+def linked(known: dict[str, DataFrame], links: dict[str, DataFrame], only: DataFrame | None = None) -> DataFrame:
+    """The edges of all files, or of those in ``only`` (``file_path``), each with the ``file_path`` of its source."""
+    nodes, refs, exporting = known["nodes"], known["references"], known["nodes"]
+    if only is not None:
+        refs = refs.join(near(only), "file_path", "left_semi")
+    sources = nodes.select(F.col("id").alias("from_entity"), "file_path")
+    edges = resolved(cut(refs, "references"), nodes, links["imports"], links["offered"]).unionByName(export_edges(exporting, links["step"], links["offered"]))
+    edges = edges.join(sources.dropDuplicates(["from_entity"]), "from_entity")
+    return edges if only is None else edges.join(near(only), "file_path", "left_semi")
 
 
 def graph(files: DataFrame, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of ``files`` (``file_path, content``); ``only`` (``id``) leaves the edges of other sources out."""
-    nodes = cut(extract.extracted(files), "nodes")
-    refs = references(files)
+    known = facts(files)
+    known["nodes"] = cut(known["nodes"], "nodes")
     if only is not None:
-        refs = refs.join(only.select(F.col("id").alias("from_entity")), "from_entity", "left_semi")
-    imports = cut(import_table(files), "imports")
-    edges = resolved(cut(refs, "references"), nodes, imports)
-    if only is None:
-        edges = edges.unionByName(export_edges(nodes, imports))
-    return nodes, cut(edges, "edges")
+        known["references"] = known["references"].join(only.select(F.col("id").alias("from_entity")), "from_entity", "left_semi")
+    edges = linked(known, linking(known))
+    if only is not None:
+        edges = edges.join(only.select(F.col("id").alias("from_entity")), "from_entity", "left_semi")
+    return known["nodes"], cut(edges.select(*G.EDGE), "edges")
+
+
+def combined_facts(known: dict[str, DataFrame], new: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """``known`` without the files of ``gone``, and ``new``."""
+    return {t: known[t].join(near(gone), "file_path", "left_anti").unionByName(new[t]) for t in FACTS}
+
+
+def differing(a: DataFrame, b: DataFrame, *columns: str) -> DataFrame:
+    """Rows that only one of two tables has."""
+    x, y = a.select(*columns), b.select(*columns)
+    return x.exceptAll(y).union(y.exceptAll(x))
+
+
+def frontier(known: dict[str, DataFrame], after: dict[str, DataFrame], links: dict[str, DataFrame], now: dict[str, DataFrame], gone: DataFrame) -> DataFrame:
+    """``file_path`` of all files whose edges may differ after a change: one rule for every kind of edge.
+
+    An edge follows from its file's own facts and from what these are looked up in.
+    So a file is read again if it changed, if an import of it means another file
+    than before, if it imports from or hands on names of a file whose exported names mean
+    something else, or if it holds a name whose entities changed anywhere.
+    The last is looked up in the token buckets of those names alone.
+    """
+    old = known["nodes"].join(near(gone), "file_path", "left_semi")
+    new = after["nodes"].join(near(gone), "file_path", "left_semi")
+    names = cut(differing(old, new, "name", "id", "file_path", "entity_type", "parent_id", "start_line").select("name").distinct(), "names")
+    buckets = [r[0] for r in names.select(bucket_of(F.col("name"))).distinct().collect()]
+    mention = after["references"].filter(F.col("bucket").isin(buckets)).join(near(names.select(F.col("name").alias("token"))), "token", "left_semi").select("file_path")
+    moved = differing(links["imports"], now["imports"], "file_path", "local", "target", "name").select("file_path")
+    meaning = cut(differing(links["offered"], now["offered"], "file_path", "name", "target").union(differing(links["step"], now["step"], "file_path", "name", "to_file")).select("file_path").distinct(), "meaning")
+    to = lambda d, c: d.join(near(meaning.select(F.col("file_path").alias(c))), c, "left_semi").select("file_path")
+    own_exports = differing(old.filter("entity_type = 'export'"), new.filter("entity_type = 'export'"), "id", "file_path", "name").select("file_path").distinct()
+    handing = now["imports"].join(near(own_exports.select(F.col("file_path").alias("target"))), "target", "left_semi").select("file_path")
+    passing = now["step"].join(near(own_exports.select(F.col("file_path").alias("to_file"))), "to_file", "left_semi").select("file_path")
+    return gone.union(mention).union(moved).union(meaning).union(to(now["imports"], "target")).union(to(now["step"], "to_file")).union(handing).union(passing).distinct()
+
+
+def relinked(known: dict[str, DataFrame], links: dict[str, DataFrame], edges: DataFrame, new: dict[str, DataFrame], gone: DataFrame) -> tuple[dict[str, DataFrame], dict[str, DataFrame], DataFrame]:
+    """Facts, links and edges after the files of ``gone`` were replaced by those of ``new``; equal to linking all facts anew."""
+    after = combined_facts(known, new, gone)
+    after["nodes"] = cut(after["nodes"], "nodes")
+    now = linking(after)
+    dirty = cut(frontier(known, after, links, now, gone), "dirty")
+    return after, now, cut(edges.join(near(dirty), "file_path", "left_anti").unionByName(linked(after, now, dirty)), "edges")
 
 
 def refreshed(files: DataFrame, changed: DataFrame, nodes: DataFrame, edges: DataFrame, deleted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The graph after ``changed`` files (and without ``deleted`` ones), from the former one.
 
-    Only files that changed, point into changed ones, import them or hold a name
-    that came or went are read for references again; other edges stay.
+    The result is that of a full build.  Only the new files are read for entities, and only
+    edges of the :func:`frontier` are resolved again; names, imports and exports of the others are scanned, which
+    :class:`lamella.project.Project` keeps in tables instead.
     """
     gone = changed.select("file_path") if deleted is None else changed.select("file_path").union(deleted.select("file_path"))
     gone = cut(gone.distinct(), "stale")
-    now = cut(files.join(near(gone), "file_path", "left_anti").select("file_path", "content").union(changed.select("file_path", "content")), "files")
-    new = cut(extract.extracted(changed), "new")
-    kept = nodes.join(near(gone), "file_path", "left_anti")
-    old = nodes.join(near(gone), "file_path", "left_semi")
-    after = cut(kept.unionByName(new), "nodes")
-    into = edges.join(old.select(F.col("id").alias("to_entity")), "to_entity", "left_semi").select(F.col("from_entity").alias("id"))
-    pointing = nodes.join(into.distinct(), "id", "left_semi").select("file_path")
-    names = old.select("name").union(new.select("name")).distinct()
-    words = now.select("file_path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"[A-Za-z_]\w*"), 0))).alias("name"))
-    mention = words.join(names, "name", "left_semi").select("file_path")
-    imports = cut(import_table(now), "imports")
-    importers = imports.join(gone.select(F.col("file_path").alias("target")), "target", "left_semi").select("file_path")
-    dirty = cut(gone.union(pointing).union(mention).union(importers).distinct(), "dirty")
-    refs = references(now.join(near(dirty), "file_path", "left_semi"))
-    fresh = resolved(cut(refs, "references"), after, imports)
-    still = edges.join(nodes.join(near(dirty), "file_path", "left_anti").select(F.col("id").alias("from_entity")), "from_entity", "left_semi")
-    still = still.join(after.select(F.col("id").alias("to_entity")), "to_entity", "left_semi").select("from_entity", "to_entity", "ref_type")
-    return after, cut(still.unionByName(fresh), "edges")
+    known = facts(files) | {"nodes": nodes}
+    known = {t: cut(d, t) for t, d in known.items()}
+    with_file = edges.select(*G.EDGE).join(nodes.select(F.col("id").alias("from_entity"), "file_path").dropDuplicates(["from_entity"]), "from_entity")
+    after, _, out = relinked(known, linking(known), with_file, facts(changed.select("file_path", "content")), gone)
+    return after["nodes"], out.select(*G.EDGE)
 
 
 def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:

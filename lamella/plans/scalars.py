@@ -131,7 +131,7 @@ def watched_paths(spark, sf_dir):
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), pieces.manifest_file(path).alias("manifest"), pieces.noise_path(path, P.default_excluded(path)).alias("noise"))
 
 
-@query("SELECT DISTINCT w AS word FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS w FROM benchmark) WHERE regexp_full_match(w, '[A-Za-z_][A-Za-z0-9_]*') AND length(w) >= CASE WHEN lower(w) = w THEN 3 ELSE 2 END AND w NOT IN ('the', 'and')")
+@query("SELECT DISTINCT w AS word FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS w FROM benchmark) WHERE regexp_full_match(w, '[A-Za-z_][A-Za-z0-9_]*') AND length(w) >= CASE WHEN regexp_matches(w, '^[a-z]') THEN 3 ELSE 2 END AND w NOT IN ('the', 'and')")
 def reference_words(spark, sf_dir):
     words = table(spark, sf_dir, "benchmark").select(F.explode(T.identifiers(F.col("text"))).alias("word")).distinct()
     return words.filter(pieces.reference_word(F.col("word"), ("the", "and")))
