@@ -28,12 +28,12 @@ from ._store import materialize, small_batches
 from ._tokens import default_path, encoder
 
 CAPACITY = 4096
-#: Documents in a bin, which binds where they have under 8 tokens on average, and squared tokens, which a full piece uses up.
-DOCUMENTS = 512
+#: Pieces in a bin, and squared tokens.  Neither closes a bin that still has room for tokens: an option may set less.
+DOCUMENTS = CAPACITY
 ATTENTION = 4096**2
 WEIGHTS = (1.0, 0.25, 0.25)
 GROUP_TOKENS = 16 << 20
-GROUP_PIECES = 100_000
+GROUP_PIECES = 1_000_000
 END_ID = 1
 
 

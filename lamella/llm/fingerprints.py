@@ -7,7 +7,7 @@ its kept hashes that the other also holds.  ``likeness`` is the containment of
 the smaller sketch in the larger, made for very unequal texts.
 
 A text with words of which no hash lies below the threshold (odds ``(1 -
-1/SCALE) ** n`` for ``n`` different shingles: 1/16 for four, 1/256 for eight)
+1/SCALE) ** n`` for ``n`` different shingles)
 has its smallest hash for a sketch, which is above the threshold.  It tells equal texts apart from others and is never compared with kept hashes, of
 which it knows nothing: its likeness to another sketch is 0 unless they are the
 same.
@@ -38,7 +38,8 @@ from ._store import small_batches
 from ._words import shingles
 
 K = 5
-SCALE = 2
+#: One hash in so many is kept; the README has the size and error of other values.
+SCALE = 4
 RANGE_ROWS = 500_000
 
 

@@ -258,7 +258,8 @@ def entries_of(rows: DataFrame, prof: DataFrame, hot: dict[int, int], percent: i
     them in that order, never all.
     """
     dealt = frozenset(hot)
-    of_hot = F.pmod(F.col("digest"), F.coalesce(F.element_at(F.create_map(*[F.lit(x) for h, n in hot.items() for x in (h, n)]), F.col("h")), F.lit(1))).cast("int") if hot else F.lit(0)
+    # At most COMMON_MOST rows of two numbers.
+    hot_parts = F.broadcast(materialize(prof.sparkSession.createDataFrame([(int(h), int(n)) for h, n in hot.items()], "h long, parts long"), "hot")) if hot else None
 
     def shared(part: DataFrame, unused: str) -> DataFrame:
         part = part.repartition("h", "deal").sortWithinPartitions("h", "digest").select("h", "digest")
@@ -269,7 +270,11 @@ def entries_of(rows: DataFrame, prof: DataFrame, hot: dict[int, int], percent: i
     spare = F.floor(F.ceil(F.col("n") * percent / 100) / 20)
     place = F.row_number().over(Window.partitionBy("digest").orderBy(F.desc("size"), "h"))
     kept = blocks.join(sizes, "digest").withColumn("place", place).filter(F.col("place") > spare)
-    out = shared(kept.select("h", of_hot.alias("deal"), "digest"), "size")
+    if hot:
+        kept = kept.join(hot_parts, "h", "left").withColumn("deal", F.pmod("digest", F.coalesce("parts", F.lit(1))).cast("int"))
+    else:
+        kept = kept.withColumn("deal", F.lit(0))
+    out = shared(kept.select("h", "deal", "digest"), "size")
     discard(blocks)
     return out
 

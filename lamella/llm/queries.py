@@ -72,8 +72,8 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every document and its edit."""
-    return fingerprints.with_next(table(spark, sf_dir, "documents")).drop("next_doc_id")
+    """Fingerprints of every document and its edit, of a quarter of all hashes."""
+    return fingerprints.with_next(table(spark, sf_dir, "documents"), scale=fingerprints.SCALE).drop("next_doc_id")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

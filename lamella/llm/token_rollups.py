@@ -6,7 +6,15 @@ away) or a revise (adds new minus old tokens).  Changes are summed to one row a
 to the ledger under the batch's name.  A batch of a name already committed is
 left alone, so a retried batch counts once; the write appears by one rename, so
 a failed one counts not at all.  Totals are sums over the committed batches,
-and :meth:`Ledger.compact` folds them into one batch that keeps their names.
+and :meth:`Ledger.compact` folds them into one that keeps their names.  The folded
+one appears by one rename too, and readers leave out what it names, so totals
+and names are right at every moment, also after a compaction that was cut off:
+what it left behind counts no more, and the next one removes it.  A reader whose
+folders go while it reads fails and has to ask again.
+
+Both hold where a rename of a folder is atomic and fails or nests if the target exists,
+as in HDFS and local file systems.  On object stores without such a rename two writers of
+one batch at the same time could both win; they need a committer of their own.
 
 Defined cases: null sources, languages and versions are groups of their own;
 null counts are 0; unknown changes raise when the batch runs; groups whose
@@ -66,20 +74,43 @@ class Ledger:
     def _path(self, name: str):
         return self._hadoop.Path(f"{self.path}/{name}" if name else self.path)
 
-    def batches(self) -> list[str]:
-        """Names of the committed batches, folded ones too."""
-        if not self._fs.exists(self._path("")):
-            return []
-        found = [s.getPath().getName() for s in self._fs.listStatus(self._path(""))]
-        names = [unquote(x[6:]) for x in found if x.startswith("batch-")]
-        for x in found:
-            if x.startswith("folded-"):
-                names += [r[0] for r in self.spark.read.text(f"{self.path}/{x}/names").collect()]
-        return sorted(set(names))
+    def _listed(self) -> list[str]:
+        return [s.getPath().getName() for s in self._fs.listStatus(self._path(""))] if self._fs.exists(self._path("")) else []
+
+    def _folded(self) -> list[str]:
+        """The folded batches that no other has taken in; more than one while a compaction was cut off."""
+        found = [x for x in self._listed() if x.startswith("folded-")]
+        taken = {r[0] for r in self.spark.read.parquet(*[f"{self.path}/{x}/took" for x in found]).collect()} if found else set()
+        return [x for x in found if x not in taken]
+
+    def _names(self, folded: list[str]) -> DataFrame:
+        return self.spark.read.schema("name string").parquet(*[f"{self.path}/{x}/names" for x in folded])
+
+    def _open(self, folded: list[str]) -> list[str]:
+        """Folders of the batches that stand for themselves."""
+        found = [x for x in self._listed() if x.startswith("batch-")]
+        if not folded or not found:
+            return found
+        listed = self.spark.createDataFrame([(unquote(x[6:]),) for x in found], "name string")
+        known = {r[0] for r in listed.join(self._names(folded), "name", "left_semi").collect()}
+        return [x for x in found if unquote(x[6:]) not in known]
+
+    def batches(self) -> DataFrame:
+        """``name`` of every committed batch, folded ones too."""
+        folded = self._folded()
+        own = self.spark.createDataFrame([(unquote(x[6:]),) for x in self._open(folded)], "name string")
+        return own.union(self._names(folded)).distinct() if folded else own
+
+    def committed(self, batch: str) -> bool:
+        # A folded batch appears before the folders that it took in go, so in this order none is overlooked.
+        if self._fs.exists(self._path("batch-" + quote(batch, safe=""))):
+            return True
+        folded = self._folded()
+        return bool(folded) and not self._names(folded).filter(F.col("name") == batch).isEmpty()
 
     def commit(self, batch: str, sums: DataFrame) -> bool:
         """Commit :func:`deltas` under ``batch``; whether it was new."""
-        if batch in self.batches():
+        if self.committed(batch):
             return False
         staged = f"staged-{uuid.uuid4().hex}"
         sums.select(*KEYS, "docs", "tokens").coalesce(1).write.parquet(f"{self.path}/{staged}")
@@ -93,8 +124,8 @@ class Ledger:
         return True
 
     def _stored(self) -> DataFrame:
-        found = [s.getPath().getName() for s in self._fs.listStatus(self._path(""))] if self._fs.exists(self._path("")) else []
-        paths = [f"{self.path}/{x}" for x in found if x.startswith("batch-")] + [f"{self.path}/{x}/sums" for x in found if x.startswith("folded-")]
+        folded = self._folded()
+        paths = [f"{self.path}/{x}" for x in self._open(folded)] + [f"{self.path}/{x}/sums" for x in folded]
         read = self.spark.read.schema(SCHEMA)
         return read.parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
 
@@ -104,14 +135,27 @@ class Ledger:
         return g.filter("docs <> 0 or tokens <> 0")
 
     def compact(self) -> None:
-        """Fold all committed batches into one; for a single maintainer at a time."""
-        names, old = self.batches(), [s.getPath() for s in self._fs.listStatus(self._path("")) if s.getPath().getName().startswith(("batch-", "folded-"))]
+        """Fold all committed batches into one; for a single maintainer at a time, who may stop or fail at any point."""
+        old, folded = self._listed(), self._folded()
+        own = self._open(folded)
         staged = f"staged-{uuid.uuid4().hex}"
-        self._stored().groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).coalesce(1).write.parquet(f"{self.path}/{staged}/sums")
-        self.spark.createDataFrame([(n,) for n in names], "name string").coalesce(1).write.text(f"{self.path}/{staged}/names")
-        trash = self._path(f"old-{uuid.uuid4().hex}")
-        self._fs.mkdirs(trash)
-        for p in old:
-            self._fs.rename(p, trash)
+        if own or len(folded) > 1:
+            names = self.spark.createDataFrame([(unquote(x[6:]),) for x in own], "name string")
+            paths = [f"{self.path}/{x}" for x in own] + [f"{self.path}/{x}/sums" for x in folded]
+            sums = self.spark.read.schema(SCHEMA).parquet(*paths)
+            sums.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).coalesce(1).write.parquet(f"{self.path}/{staged}/sums")
+            (names.union(self._names(folded)) if folded else names).write.parquet(f"{self.path}/{staged}/names")
+            self.spark.createDataFrame([(x,) for x in folded], "name string").write.parquet(f"{self.path}/{staged}/took")
+            self._publish(staged)
+        self._clear(old)
+
+    def _publish(self, staged: str) -> None:
         self._fs.rename(self._path(staged), self._path("folded-" + staged[7:]))
-        self._fs.delete(trash, True)
+
+    def _clear(self, old: list[str]) -> None:
+        """Remove of the folders ``old`` what counts no more."""
+        folded = self._folded()
+        live = {*folded, *self._open(folded)}
+        for x in old:
+            if x.startswith(("batch-", "folded-")) and x not in live:
+                self._fs.delete(self._path(x), True)
