@@ -9,8 +9,8 @@ entities that lost their place in their file are reordered.
 
 Where one side offers several partners the choice is greedy along a total order
 of the candidate pairs.  It is made in rounds of DataFrame steps: a pair that is
-the first one of both its entities is taken, pairs of taken entities leave, and
-so on until none is left, which gives what going through the order would.
+the first one of both its entities is taken and pairs of taken entities leave;
+what is left after a few rounds is gone through by components, one in a task.
 
 Defined cases: of rows that repeat an id the last by (file, line, content) counts;
 null hashes match nothing; null contents count as empty; null parents, names and
@@ -30,34 +30,60 @@ from pyspark.sql import functions as F
 from lamella.functions import text as T
 from lamella.operators import similarity
 from lamella.operators.diff import COMPOUND, longest_non_decreasing
-from lamella.storage import cut
+from lamella.storage import cut, drop
 
 FIELDS = ("id", "file_path", "entity_type", "name", "parent_id", "content", "content_hash", "structural_hash", "start_line", "end_line")
 SAME_FILE_LEAST = 0.3
 FUZZY_PERCENT = 80
 #: Kinds of entities that hold others.
 CONTAINERS = ("impl", "trait", "module", "class", "interface", "protocol", "mixin", "extension", "namespace", "export", "package", "field", "variable", "svelte_instance_script", "svelte_module_script", "object")
-#: Steps from an entity to its outermost ancestor, at most; a chain that goes on is a cycle and stops there.
-ANCESTORS = 64
+
+
+def _open_chains(entities: DataFrame) -> DataFrame:
+    """``id, names, next, at``: an entity's parent as the begin of its chain; ``at`` is null where the chain ends."""
+    e = entities.select("id", "parent_id", "name")
+    known = e.select(F.col("id").alias("up"), F.col("name").alias("up_name"), F.col("parent_id").alias("next"))
+    has = F.col("up").isNotNull()
+    return e.join(known, F.col("parent_id") == F.col("up"), "left").select("id", F.when(F.coalesce("up_name", F.lit("")) != "", F.array("up_name")).otherwise(F.array().cast("array<string>")).alias("names"), F.when(has, F.col("next")).alias("next"), F.when(has, F.col("up")).alias("at"))
+
+
+def circles(entities: DataFrame) -> DataFrame:
+    """``id`` of the entities that are their own ancestors.
+
+    Whoever stands where an entity's chain is after as many steps as there are entities
+    is in a circle, and every one in a circle stands there for another.
+    """
+    n, steps = entities.count(), 1
+    at = cut(entities.select("id", F.col("parent_id").alias("at")).filter("at is not null"), "circles")
+    while steps < n:
+        far = at.select(F.col("id").alias("at"), F.col("at").alias("beyond"))
+        grown = cut(at.join(far, "at").select("id", F.col("beyond").alias("at")), "circles")
+        drop(at)
+        at, steps = grown, steps * 2
+        if at.isEmpty():
+            break
+    return at.select(F.col("at").alias("id")).distinct()
 
 
 def parent_chains(entities: DataFrame) -> DataFrame:
     """``id, parent_name``: the names of the ancestors, outermost first, joined by ``::``; null without ancestors.
 
     Chains grow by doubling: each round joins every open chain with the chain of
-    the ancestor that it ends at.
+    the ancestor that it ends at.  Entities in a circle count as outermost; circles are looked for when chains
+    are longer than nested texts make them.
     """
-    e = entities.select("id", "parent_id", "name")
-    known = e.select(F.col("id").alias("up"), F.col("name").alias("up_name"), F.col("parent_id").alias("next"))
-    chain = e.join(known, F.col("parent_id") == F.col("up"), "left").select("id", F.when(F.coalesce("up_name", F.lit("")) != "", F.array("up_name")).otherwise(F.array().cast("array<string>")).alias("names"), F.when(F.col("up").isNotNull(), F.col("next")).alias("next"), F.when(F.col("up").isNotNull(), F.col("up")).alias("at"))
-    done, steps = False, 1
-    chain = cut(chain, "chains")
-    while not done and steps < ANCESTORS:
+    chain, steps = cut(_open_chains(entities), "chains"), 1
+    while not chain.filter("at is not null").isEmpty():
+        if steps == 64:
+            loops = cut(circles(entities), "circles")
+            if not loops.isEmpty():
+                cut_off = entities.select("id", "parent_id", "name").join(loops.withColumn("loop", F.lit(True)), "id", "left")
+                return parent_chains(cut(cut_off.select("id", F.when(F.col("loop").isNull(), F.col("parent_id")).alias("parent_id"), "name"), "entities"))
         far = chain.select(F.col("id").alias("far"), F.col("names").alias("more"), F.col("next").alias("beyond"), F.col("at").alias("far_at"))
         grown = chain.join(far, F.col("at") == F.col("far"), "left")
-        chain = cut(grown.select("id", F.concat(F.coalesce("more", F.array().cast("array<string>")), "names").alias("names"), F.col("beyond").alias("next"), F.col("far_at").alias("at")), "chains")
-        steps *= 2
-        done = chain.filter("at is not null").isEmpty()
+        grown = cut(grown.select("id", F.concat(F.coalesce("more", F.array().cast("array<string>")), "names").alias("names"), F.col("beyond").alias("next"), F.col("far_at").alias("at")), "chains")
+        drop(chain)
+        chain, steps = grown, steps * 2
     return chain.select("id", F.when(F.size("names") > 0, F.array_join("names", "::")).alias("parent_name"))
 
 
@@ -78,22 +104,98 @@ def _side(entities: DataFrame, x: str) -> DataFrame:
     return e.select("id", F.struct(*FIELDS).alias(x), F.struct("file_path", "start_line", "id").alias(f"{x}_at"), F.col("parent_name").alias(f"{x}_up"))
 
 
+#: Rounds that take whatever is first for both sides, before what is left is put together by components.
+ROUNDS = 3
+#: Pairs of a component that one task goes through in order.
+COMPONENT = 500_000
+
+
 def greedy(pairs: DataFrame, order: list[Column]) -> DataFrame:
-    """The pairs (``a_id, b_id``, ...) that going through them in ``order`` would take, each id once."""
-    left = cut(pairs.withColumn("rank", F.struct(*[o.alias(f"r{i}") for i, o in enumerate(order)], "a_id", "b_id")), "pairs")
-    taken = None
+    """The pairs (``a_id, b_id``, ...) that going through them in ``order`` would take, each id once.
+
+    A round takes pairs that are the first of both their ids, which settles short
+    chains; a chain of pairs may take as many rounds as it is long.  So after a few rounds the
+    components of what is left are found, and one task goes through a
+    component's pairs in order.  Components over :data:`COMPONENT` pairs go on in rounds.
+    """
+    ranked = pairs.select("a_id", "b_id", F.struct(*[o.alias(f"r{i}") for i, o in enumerate(order)], "a_id", "b_id").alias("rank"))
+    left, taken, rounds = cut(ranked, "pairs"), [], 0
     while not left.isEmpty():
+        if rounds == ROUNDS:
+            whole = cut(_components(left), "components")
+            small = whole.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= COMPONENT).select("component")
+            own = whole.join(small, "component", "left_semi")
+            kinds = {f.name: f.dataType.simpleString() for f in left.schema}
+            taken.append(cut(own.groupBy("component").applyInPandas(_in_order, f"a_id {kinds['a_id']}, b_id {kinds['b_id']}"), "won"))
+            rest = cut(whole.join(small, "component", "left_anti").select("a_id", "b_id", "rank"), "pairs")
+            drop(left, whole)
+            left, rounds = rest, rounds + 1
+            continue
         firsts = left.withColumn("fa", F.min("rank").over(W.partitionBy("a_id"))).withColumn("fb", F.min("rank").over(W.partitionBy("b_id")))
         won = cut(firsts.filter((F.col("rank") == F.col("fa")) & (F.col("rank") == F.col("fb"))).select("a_id", "b_id"), "won")
-        taken = won if taken is None else taken.union(won)
-        left = cut(left.join(won.select("a_id"), "a_id", "left_anti").join(won.select("b_id"), "b_id", "left_anti"), "pairs")
-    return pairs.select("a_id", "b_id").limit(0) if taken is None else taken
+        rest = cut(left.join(won.select("a_id"), "a_id", "left_anti").join(won.select("b_id"), "b_id", "left_anti"), "pairs")
+        drop(left)
+        taken, left, rounds = [*taken, won], rest, rounds + 1
+    if not taken:
+        return pairs.select("a_id", "b_id").limit(0)
+    out = taken[0]
+    for won in taken[1:]:
+        out = out.union(won)
+    out = cut(out, "taken")
+    drop(*taken)
+    return out
+
+
+def _in_order(pdf: pd.DataFrame) -> pd.DataFrame:
+    order = sorted(range(len(pdf)), key=lambda i: _sortable(pdf["rank"].iat[i]))
+    a_used, b_used, out = set(), set(), []
+    for a, b, i in zip(pdf["a_id"].iloc[order], pdf["b_id"].iloc[order], order):
+        if a not in a_used and b not in b_used:
+            a_used.add(a)
+            b_used.add(b)
+            out.append(i)
+    return pdf.iloc[out][["a_id", "b_id"]]
+
+
+def _sortable(x):
+    """A rank's parts in Spark's order: nulls first."""
+    if isinstance(x, dict):
+        x = list(x.values())
+    if isinstance(x, (tuple, list)):
+        return tuple(_sortable(y) for y in x)
+    return (x is not None and x == x, x if x is not None and x == x else 0)
+
+
+def _components(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with their ``component``, the least of its ids.
+
+    In a round each id takes the least label next to it, hands that on to the id that its
+    former label names, and follows its new label one step, which halves ways.
+    """
+    one = lambda side, c: F.struct(F.lit(side).alias("side"), F.col(c).cast("string").alias("id"))
+    both = cut(pairs.select("a_id", "b_id", "rank", one(0, "a_id").alias("u"), one(1, "b_id").alias("v")), "ends")
+    edges = both.select("u", "v").union(both.select(F.col("v"), F.col("u")))
+    labels = cut(edges.select("u", F.col("u").alias("label")).distinct(), "labels")
+    while True:
+        beside = edges.join(labels.select(F.col("u").alias("v"), F.col("label").alias("other")), "v").groupBy("u").agg(F.min("other").alias("other"))
+        least = cut(labels.join(beside, "u").select("u", "label", F.least("label", "other").alias("least")), "labels")
+        told = least.groupBy(F.col("label").alias("u")).agg(F.min("least").alias("told"))
+        known = cut(least.join(told, "u", "left").select("u", "label", F.least("least", F.coalesce("told", "least")).alias("next")), "labels")
+        ahead = known.select(F.col("u").alias("next"), F.col("next").alias("then"))
+        grown = cut(known.join(ahead, "next").select("u", F.col("label").alias("was"), F.col("then").alias("label")), "labels")
+        settled = grown.filter("was <> label").isEmpty()
+        drop(labels, least, known)
+        labels = grown
+        if settled:
+            break
+    return both.join(labels.select("u", "label"), "u").select("a_id", "b_id", "rank", F.col("label").alias("component"))
 
 
 def matched(before: DataFrame, after: DataFrame, score: Callable[[Column, Column], Column] = T.similarity) -> DataFrame:
     """``phase, b, a, b_up, a_up`` of every pair (phases 1 to 5), and of what has no partner (phase 0, ``b`` or ``a`` null).
 
-    ``score`` gives the similarity of two contents, from 0 to 1.
+    ``score`` gives the similarity of two contents, from 0 to 1.  In phase 5 it judges the
+    pairs whose words are alike.
     """
     b, a = cut(_side(before, "b"), "before"), cut(_side(after, "a"), "after")
     out = b.join(a, "id").select("b", "a", "b_up", "a_up", F.lit(1).alias("phase"))
@@ -133,6 +235,10 @@ def matched(before: DataFrame, after: DataFrame, score: Callable[[Column, Column
         close = similarity.candidates(words, "k", "content", "entity_type", FUZZY_PERCENT, side="s")
         close = close.select(F.col("a.id").alias("b_id"), F.col("b.id").alias("a_id"), (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("score"))
         close = close.join(b.select(F.col("id").alias("b_id"), "b_at"), "b_id").join(a.select(F.col("id").alias("a_id"), "a_at"), "a_id")
+        if score is not T.similarity:
+            bodies = lambda d, x: d.select(F.col("id").alias(f"{x}_id"), F.coalesce(F.col(f"{x}.content"), F.lit("")).alias(f"{x}_body"))
+            close = close.drop("score").join(bodies(b, "b"), "b_id").join(bodies(a, "a"), "a_id").withColumn("score", score(F.col("b_body"), F.col("a_body"))).drop("b_body", "a_body")
+            close = close.filter(F.col("score") >= FUZZY_PERCENT / 100)
         take(greedy(close, by_after), 5)
     pairs = found[0]
     for more in found[1:]:
