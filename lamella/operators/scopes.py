@@ -389,13 +389,13 @@ def typed(graph: dict[str, DataFrame], nodes: DataFrame) -> tuple[DataFrame, Dat
         # New types at receivers bring new calls, attributes read and attributes set.
         met = fresh.join(g["sites"].select("site", "node", "method"), "node").join(members, ["type", "method"]).select("site", "type", "target").distinct()
         met = cut(met if called is None else met.join(called, ["site", "type", "target"], "left_anti"), "met")
-        called = met if called is None else cut(called.union(met), "called")
+        called = met if called is None else called.union(met)
         read = fresh.join(g["gets"], "node").select(attribute_of(F.col("type"), F.col("attr")).alias("node"), F.col("site").alias("to"))
         write = fresh.join(g["puts"], "node").select(F.col("source").alias("node"), attribute_of(F.col("type"), F.col("attr")).alias("to"))
         opened = passed(met.select("site", F.col("target").alias("function"))).union(read).union(write).distinct()
         opened = cut(opened.join(flows, ["node", "to"], "left_anti"), "opened")
         moved = fresh.join(flows, "node").select(F.col("to").alias("node"), "type").union(facts.join(opened, "node").select(F.col("to").alias("node"), "type"))
-        flows = cut(flows.union(opened), "flows")
+        flows = flows.union(opened)
         facts, fresh = _fewest(facts, moved)
     return facts, called if called is not None else g["sites"].limit(0).select("site", F.lit("").alias("type"), F.lit("").alias("target"))
 

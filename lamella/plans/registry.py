@@ -415,3 +415,4 @@ from lamella.plans import snapshots as _snapshots  # noqa: E402, F401  (adds its
 from lamella.plans import structure as _structure  # noqa: E402, F401
 from lamella.plans import scalars as _scalars  # noqa: E402, F401
 from lamella.plans import feeds as _feeds  # noqa: E402, F401
+from lamella.plans import projects as _projects  # noqa: E402, F401
