@@ -47,6 +47,7 @@ def reach(edges: DataFrame, start: DataFrame, reverse: bool = True, depth: int =
     """
     near_end, far = ("to_entity", "from_entity") if reverse else ("from_entity", "to_entity")
     e = edges.select(F.col(near_end).alias("id"), F.col(far).alias("next")).filter("id <> next")
+    e = e if depth == 1 else cut(e, "links")
     seen = cut(start.select("id", F.lit(0).alias("depth")).filter("id is not null").distinct(), "front")
     front, step, found = seen, 0, 0
     while not depth or step < depth:
@@ -63,6 +64,40 @@ def reach(edges: DataFrame, start: DataFrame, reverse: bool = True, depth: int =
     return out.orderBy("depth", "id").limit(most) if most else out
 
 
+def reach_many(edges: DataFrame, starts: DataFrame, reverse: bool = True, depth: int = 0) -> DataFrame:
+    """``start, id, depth`` of all nodes within ``depth`` steps of each of ``starts`` (column ``id``), from one traversal.
+
+    Starts are bits of 64-bit words: a node holds a word for each 64 starts that some of
+    reach it, a step hands the words on and joins what meets at a node by OR, before the
+    shuffle already, and only bits that a node did not have go on.  A step costs one pass over
+    the links, however many starts there are.  ``depth`` 0 means no limit.  Null ends and loops are left out;
+    unknown starts reach nothing; a start's own circle is not a row; repeated edges and starts count once.
+    """
+    near_end, far = ("to_entity", "from_entity") if reverse else ("from_entity", "to_entity")
+    e = cut(edges.select(F.col(near_end).alias("id"), F.col(far).alias("next")).filter("id <> next").distinct(), "links")
+    own = cut(starts.select("id").filter("id is not null").distinct(), "starts")
+    own = cut(own.withColumn("n", F.monotonically_increasing_id()).select("id", F.expr("shiftright(n, 6)").alias("block"), (F.col("n") % 64).cast("int").alias("bit")), "starts")
+    front = cut(own.select("id", "block", F.expr("shiftleft(1L, bit)").alias("bits"), F.lit(0).alias("depth")), "front")
+    seen, found, step = front, [], 0
+    while not depth or step < depth:
+        step += 1
+        links = e.join(near(front.select("id", "block", "bits")), "id").groupBy(F.col("next").alias("id"), "block").agg(F.bit_or("bits").alias("bits"))
+        had = seen.groupBy("id", "block").agg(F.bit_or("bits").alias("had"))
+        new = links.join(had, ["id", "block"], "left").withColumn("bits", F.expr("bits & ~coalesce(had, 0L)"))
+        front = cut(new.filter("bits <> 0").select("id", "block", "bits", F.lit(step).alias("depth")), "front")
+        if front.isEmpty():
+            break
+        found.append(front)
+        seen = seen.union(front)
+    if not found:
+        return own.select(F.col("id").alias("start"), "id", F.lit(0).alias("depth")).limit(0)
+    rows = found[0]
+    for more in found[1:]:
+        rows = rows.union(more)
+    bits = rows.select("id", "block", "depth", F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.expr("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), b)) != 0)).alias("bit"))
+    return bits.join(own.withColumnRenamed("id", "start"), ["block", "bit"]).select("start", "id", "depth")
+
+
 def symbol_table(nodes: DataFrame) -> DataFrame:
     """Each name's entities ordered by file, start, end and id."""
     g = nodes.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("file_path", "start_line", "end_line", "id"))).alias("_t"))

@@ -445,11 +445,17 @@ def tests_of(nodes: DataFrame, edges: DataFrame, node: str, most: int = 10_000)
     found = cut(G.reach(edges, start, most=most).join(nodes, "id").filter(is_test()).select("id"), "tests")
     if not found.isEmpty():
         return found
-    name = nodes.filter(F.col("id") == node).select(F.col("name").alias("_name"))
+    name = nodes.filter(F.col("id") == node).select(F.col("name").alias("_name")).limit(1)
     hit = nodes.filter(is_test() & (F.col("id") != node)).crossJoin(F.broadcast(name))
     return hit.filter(F.array_contains(F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(r"[A-Za-z_]\w*"), 0), F.col("_name"))).select("id")
 
 
+def tests_of_many(nodes: DataFrame, edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """``start, id``: the tests that reach each of ``starts`` (``id``), from one traversal; what to run after a whole diff."""
+    tests = nodes.filter(is_test()).select("id").distinct()
+    return G.reach_many(edges, starts).join(tests, "id", "left_semi").select("start", "id")
+
+
 def relations(changed: DataFrame, edges: DataFrame, most: int = 6) -> DataFrame:
     """``entity_id, direction, id, in_diff``: of each changed entity (``entity_id``) the first callers and callees by id."""
     from pyspark.sql import Window as W

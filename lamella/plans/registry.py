@@ -227,6 +227,15 @@ def test_impact(spark, sf_dir):
     return hit.join(tests, "id", "left_semi").select("id")
 
 
+@query(f"""WITH RECURSIVE {_EDGES}, n AS (SELECT f AS id FROM e UNION SELECT t FROM e), s AS (SELECT id FROM n WHERE CAST(split_part(id, ':', 2) AS BIGINT) % 100 = 0),
+r AS (SELECT id AS start, id, 0 AS depth FROM s UNION SELECT r.start, e.f, r.depth + 1 FROM r JOIN e ON e.t = r.id WHERE r.depth < 9)
+SELECT start, id, min(depth) AS depth FROM r WHERE depth > 0 GROUP BY start, id""")
+def impact_of_many(spark, sf_dir):
+    e = key_edges(spark, sf_dir)
+    ids = e.select(F.explode(F.array("from_entity", "to_entity")).alias("id")).distinct()
+    return graph.reach_many(e, ids.filter(F.substring_index("id", ":", -1).cast("long") % 100 == 0))
+
+
 @query("SELECT p_brand AS name, string_agg(CAST(p_partkey AS VARCHAR), ' ' ORDER BY p_type, p_size, p_partkey) AS ids FROM part GROUP BY p_brand")
 def symbol_table(spark, sf_dir):
     n = table(spark, sf_dir, "part").select(F.col("p_brand").alias("name"), F.col("p_type").alias("file_path"), F.col("p_size").alias("start_line"), F.col("p_size").alias("end_line"), F.col("p_partkey").alias("id"))

@@ -144,3 +144,23 @@ def test_nested_headings(spark):
     d = spark.createDataFrame([("m", text), ("n", None), ("o", "plain")], "p string, t string")
     got = rows(entities.headings(d, "p", "t").select("name", "start_line", "end_line", "parent_name"), "start_line")
     assert got == [("A", 1, 5, None), ("B", 2, 2, "A"), ("C", 3, 4, "A"), ("D", 4, 4, "C"), ("E", 5, 5, "A"), ("F", 6, 6, None)]
+
+
+@pytest.mark.parametrize("depth", [0, 2])
+def test_reach_of_many_starts(spark, depth):
+    import random
+
+    rng = random.Random(4)
+    pairs = [(rng.randrange(150), rng.randrange(150)) for _ in range(260)] + [(3, 3), (None, 4), (5, None)]
+    edges = spark.createDataFrame([(a, b, "calls") for a, b in pairs], "from_entity long, to_entity long, ref_type string")
+    starts = spark.createDataFrame([(i,) for i in [*range(140), 7, 999, None]], "id long")
+    out = {}
+    for s in range(140):
+        at, seen, step = {s}, {s}, 0
+        while at and (not depth or step < depth):
+            step += 1
+            at = {a for a, b in pairs if b in at and a is not None} - seen
+            seen |= at
+            out |= {(s, x): step for x in at}
+    got = graph.reach_many(edges, starts, depth=depth).collect()
+    assert {(r["start"], r["id"]): r["depth"] for r in got} == out and len(got) == len(out)
