@@ -27,88 +27,97 @@ ROLES = ("target", "direct_dependency", "direct_dependent", "transitive_dependen
 TRANSITIVE, VISITED = 25, 10_000
 
 
-def candidates(nodes: DataFrame, edges: DataFrame, target: str, hops: int = 0) -> DataFrame:
-    """``id, role, depth`` of the target and what it reaches in either direction, each id under its first role."""
-    start = edges.sparkSession.range(1).select(F.lit(target).alias("id"))
-    rows = start.select("id", F.lit(0).alias("role"), F.lit(0).alias("depth"))
-    for shift, reverse in ((1, False), (2, True)):
-        reach = G.reach(edges, start, reverse=reverse, depth=hops, most=VISITED)
-        rows = rows.union(reach.select("id", F.when(F.col("depth") == 1, shift).otherwise(shift + 2).alias("role"), "depth"))
-    first = F.row_number().over(W.partitionBy("id").orderBy("role", "depth"))
-    return rows.withColumn("k", first).filter("k = 1").drop("k")
-
+def candidates(edges: DataFrame, targets: DataFrame, hops: int = 0) -> DataFrame:
+    """``target, id, role, depth`` of each of ``targets`` (``id``) and what it reaches in either direction, each id under its first role.
 
-def packed(nodes: DataFrame, edges: DataFrame, target: str, budget: int = 8000, hops: int = 0) -> dict[str, DataFrame]:
-    """``entries`` (``place, entity_id, role, form, tokens, content``) and ``omitted`` (``role, entities, tests``).
-
-    The scan over the candidates needs their order and token counts alone; these
-    come to the driver, at most 20,000 rows of numbers, bounded by ``VISITED``.
+    Both directions are one traversal each, however many targets there are.
+    """
+    own = targets.select("id").filter("id is not null").distinct()
+    rows = own.select(F.col("id").alias("target"), "id", F.lit(0).alias("role"), F.lit(0).alias("depth"))
+    for shift, reverse in ((1, False), (2, True)):
+        reach = G.reach_many(edges, own, reverse, hops).filter("start <> id")
+        nearest = reach.withColumn("k", F.row_number().over(W.partitionBy("start").orderBy("depth", "id"))).filter(F.col("k") <= VISITED)
+        rows = rows.union(nearest.select(F.col("start").alias("target"), "id", F.when(F.col("depth") == 1, shift).otherwise(shift + 2), "depth"))
+    first = rows.groupBy("target", "id").agg(F.min(F.struct("role", "depth")).alias("x"))
+    return first.select("target", "id", "x.*")
+
+
+#: What becomes of a candidate.
+HEAD, FULL, SIGNATURE, NONE, OMITTED, OMITTED_TEST = 3, 2, 1, 0, -1, -2
+
+
+def _forms(xs, budget: int):
+    """The form of each of a target's sorted candidates: one pass over them that knows what is used up."""
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("cap"), F.lit(False).alias("of_test"), F.lit(False).alias("begun"), F.lit(0).alias("below"), F.lit(0).alias("above"), F.array().cast("array<int>").alias("forms"))
+
+    def step(acc, x):
+        first = x["role"] == 0
+        own = F.when(x["full"] <= budget, FULL).when(x["head"].isNotNull(), HEAD).when(x["brief"] <= budget, SIGNATURE).otherwise(NONE)
+        test = x["test"] & ~acc["of_test"]
+        far, many = x["role"] > 2, F.when(x["role"] == 3, acc["below"]).otherwise(acc["above"]) >= TRANSITIVE
+        other = (
+            F.when(~acc["begun"], NONE)
+            .when(test, OMITTED_TEST)
+            .when(far & (many | x["stub"]), OMITTED)
+            .when(~far & (x["full"] <= acc["cap"]) & (acc["used"] + x["full"] <= budget), FULL)
+            .when(acc["used"] + x["brief"] <= budget, SIGNATURE)
+            .otherwise(NONE)
+        )
+        form = F.when(first, own).otherwise(other)
+        cost = F.when(form == FULL, x["full"]).when(form == HEAD, x["head"]).when(form == SIGNATURE, x["brief"]).otherwise(F.lit(0)).cast("long")
+        used = acc["used"] + cost
+        shown = lambda role, n: n + F.when((x["role"] == role) & (form == SIGNATURE), 1).otherwise(0)
+        return F.struct(
+            used.alias("used"),
+            F.when(first, F.greatest(used, F.lit(budget // 10).cast("long"))).otherwise(acc["cap"]).alias("cap"),
+            F.when(first, x["test"]).otherwise(acc["of_test"]).alias("of_test"),
+            F.when(first, form != NONE).otherwise(acc["begun"]).alias("begun"),
+            shown(3, acc["below"]).alias("below"),
+            shown(4, acc["above"]).alias("above"),
+            F.concat(acc["forms"], F.array(form)).alias("forms"),
+        )
+
+    return F.aggregate(xs, start, step)["forms"]
+
+
+def packed_many(nodes: DataFrame, edges: DataFrame, targets: DataFrame, budget: int = 8000, hops: int = 0) -> dict[str, DataFrame]:
+    """For each of ``targets`` (``id``): ``entries`` (``target, place, entity_id, role, form, tokens, content``) and ``omitted`` (``target, role, entities, tests``).
+
+    A target's candidates, at most two times :data:`VISITED` rows of numbers and ids, are folded in
+    their own row; contents join what was chosen afterwards.
     """
-    spark = edges.sparkSession
     if hops < 0 or budget < 0:
         raise ValueError("hops and budget must not be negative; 0 hops means no limit")
     body = F.coalesce("content", F.lit(""))
     n = nodes.select("id", "name", "file_path", body.alias("content"))
-    test = pieces.packer_test(F.col("name"), F.col("file_path"), F.col("content"))
-    c = candidates(nodes, edges, target, hops).join(n, "id")
-    c = cut(c.select("id", "role", "depth", test.alias("test"), pieces.stub_signature(F.col("content")).alias("stub"), T.token_estimate(F.col("content")).alias("full"), T.token_estimate(T.signature(F.col("content"))).alias("brief")), "context")
-    rows = c.orderBy("role", "depth", "id").collect()
-    entries: list[tuple] = []
-    tails: dict[int, list[int]] = {}
-    used, cap, of_test, own_head = 0, 0, False, None
-    count = {3: 0, 4: 0}
-    for r in rows:
-        role = r["role"]
-        if role == 0:
-            of_test = r["test"]
-            if r["full"] <= budget:
-                form, cost = "full", r["full"]
-            else:
-                most = max(budget * 7 // 10, r["brief"])
-                own_head = n.filter(F.col("id") == target).select(pieces.head(F.col("content"), most)).first()[0]
-                if own_head is not None:
-                    form, cost = "head", _estimate(own_head)
-                elif r["brief"] <= budget:
-                    form, cost = "signature", r["brief"]
-                else:
-                    return _tables(spark, n, [], {}, None)
-            entries.append((r["id"], 0, form, cost))
-            used = cost
-            cap = max(used, budget // 10)
-            continue
-        if not entries:
-            break
-        skip_test = r["test"] and not of_test
-        if skip_test or (role > 2 and (count[role] >= TRANSITIVE or r["stub"])):
-            tail = tails.setdefault(role, [0, 0])
-            tail[0] += 1
-            tail[1] += bool(skip_test)
-            continue
-        if role <= 2 and r["full"] <= cap and used + r["full"] <= budget:
-            entries.append((r["id"], role, "full", r["full"]))
-            used += r["full"]
-        elif used + r["brief"] <= budget:
-            entries.append((r["id"], role, "signature", r["brief"]))
-            used += r["brief"]
-            if role > 2:
-                count[role] += 1
-    return _tables(spark, n, entries, tails, own_head)
-
-
-def _estimate(text: str) -> int:
-    return max(len(text.split()) * 13 // 10, len(text) // 4)
-
-
-def _tables(spark, n: DataFrame, entries: list[tuple], tails: dict, own_head: str | None) -> dict[str, DataFrame]:
-    rows = [(i, e, ROLES[role], form, cost) for i, (e, role, form, cost) in enumerate(entries)]
-    e = spark.createDataFrame(rows, "place int, entity_id string, role string, form string, tokens long")
-    shown = F.when(F.col("form") == "full", F.col("content")).when(F.col("form") == "head", F.lit(own_head)).otherwise(T.signature(F.col("content")))
-    e = F.broadcast(e).join(n.select(F.col("id").alias("entity_id"), "content"), "entity_id").select("place", "entity_id", "role", "form", "tokens", shown.alias("content"))
-    omitted = spark.createDataFrame([(ROLES[r], a, b) for r, (a, b) in sorted(tails.items())], "role string, entities long, tests long")
-    return {"entries": e.orderBy("place"), "omitted": omitted}
+    told = n.select("id", pieces.packer_test(F.col("name"), F.col("file_path"), F.col("content")).alias("test"), pieces.stub_signature(F.col("content")).alias("stub"), T.token_estimate(F.col("content")).alias("full"), T.token_estimate(T.signature(F.col("content"))).alias("brief"))
+    most = F.greatest(F.lit(budget * 7 // 10), "brief")
+    heads = n.join(targets.select("id").distinct(), "id").join(told.select("id", "full", "brief"), "id").filter(F.col("full") > budget)
+    heads = cut(heads.select("id", pieces.head(F.col("content"), most).alias("own_head")), "heads")
+    c = candidates(edges, targets, hops).join(told, "id")
+    c = c.join(heads.select(F.col("id").alias("target"), T.token_estimate(F.col("own_head")).alias("head")), "target", "left")
+    x = F.struct("role", "depth", "id", F.coalesce("test", F.lit(False)).alias("test"), "stub", "full", "brief", "head")
+    rows = c.groupBy("target").agg(F.array_sort(F.collect_list(x)).alias("xs")).withColumn("forms", _forms(F.col("xs"), budget))
+    rows = cut(rows.select("target", F.arrays_zip(F.col("xs").alias("x"), F.col("forms").alias("form")).alias("zs")), "context")
+    role = lambda r: F.element_at(F.array(*map(F.lit, ROLES)), r + 1)
+    shown = rows.select("target", F.posexplode(F.filter("zs", lambda z: z["form"] > 0)).alias("place", "z")).select("target", "place", F.col("z.x.id").alias("entity_id"), "z.x.role", "z.form", F.when(F.col("z.form") == FULL, F.col("z.x.full")).when(F.col("z.form") == HEAD, F.col("z.x.head")).otherwise(F.col("z.x.brief")).alias("tokens"))
+    named = F.when(F.col("form") == FULL, "full").when(F.col("form") == HEAD, "head").otherwise("signature")
+    shown = shown.join(n.select(F.col("id").alias("entity_id"), "content"), "entity_id").join(heads.withColumnRenamed("id", "entity_id"), "entity_id", "left")
+    text = F.when(F.col("form") == FULL, F.col("content")).when(F.col("form") == HEAD, F.col("own_head")).otherwise(T.signature(F.col("content")))
+    entries = shown.select("target", "place", "entity_id", role(F.col("role")).alias("role"), named.alias("form"), "tokens", text.alias("content"))
+    tails = rows.select("target", F.inline(F.filter("zs", lambda z: z["form"] < 0))).groupBy("target", "x.role").agg(F.count(F.lit(1)).alias("entities"), F.count_if(F.col("form") == OMITTED_TEST).alias("tests"))
+    return {"entries": entries, "omitted": tails.select("target", role(F.col("role")).alias("role"), "entities", "tests")}
+
+
+def packed(nodes: DataFrame, edges: DataFrame, target: str, budget: int = 8000, hops: int = 0) -> dict[str, DataFrame]:
+    """:func:`packed_many` of one target, its entries in their order."""
+    one = edges.sparkSession.range(1).select(F.lit(target).alias("id"))
+    got = packed_many(nodes, edges, one, budget, hops)
+    return {"entries": got["entries"].drop("target").orderBy("place"), "omitted": got["omitted"].drop("target")}
 
 
 def as_text(entries: DataFrame) -> DataFrame:
-    """``text``: the entries one after the other under a line that names them."""
+    """``text`` (and ``target``, if ``entries`` has it): the entries one after the other under a line that names them."""
+    keys = ["target"] if "target" in entries.columns else []
     one = F.struct("place", F.concat(F.lit("## "), "entity_id", F.lit(" ("), F.replace("role", F.lit("_"), F.lit(" ")), F.lit(")\n"), "content").alias("t"))
-    return entries.agg(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["t"]), "\n\n").alias("text"))
+    return entries.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["t"]), "\n\n").alias("text"))

@@ -142,12 +142,14 @@ def impact_text(spark, sf_dir):
     return sinks.impact_line("m1/util.py::function::inner", graph_build.impact(nodes, edges, "m1/util.py::function::inner", depth=0))
 
 
-@query("SELECT p AS path, s AS suffix, d AS language FROM (VALUES ('a/b.test.TS', 'ts', 'TypeScript'), ('x.py', 'py', 'Python'), ('Makefile', '', ''), ('y.zz', 'zz', 'zz')) AS v(p, s, d)")
+@query("SELECT o_orderkey AS k, CASE o_orderkey % 5 WHEN 0 THEN 'ts' WHEN 1 THEN 'py' WHEN 2 THEN '' WHEN 3 THEN 'zz' ELSE 'rs' END AS suffix, CASE o_orderkey % 5 WHEN 0 THEN 'TypeScript' WHEN 1 THEN 'Python' WHEN 2 THEN '' WHEN 3 THEN 'zz' ELSE 'Rust' END AS language FROM orders")
 def language_by_suffix(spark, sf_dir):
     from lamella.functions import text as T
 
-    paths = spark.range(1).select(F.explode(F.array(*map(F.lit, ("a/b.test.TS", "x.py", "Makefile", "y.zz")))).alias("path"))
-    return paths.select("path", T.extension(F.col("path")).alias("suffix"), pieces.display_language(T.extension(F.col("path"))).alias("language"))
+    k = F.col("o_orderkey")
+    ends = F.when(k % 5 == 0, "/b.test.TS").when(k % 5 == 1, ".py").when(k % 5 == 2, "/Makefile").when(k % 5 == 3, ".d/y.zz").otherwise(".py.Rs")
+    paths = table(spark, sf_dir, "orders").select(k.alias("k"), F.concat(F.lit("a"), k.cast("string"), ends).alias("path"))
+    return paths.select("k", T.extension(F.col("path")).alias("suffix"), pieces.display_language(T.extension(F.col("path"))).alias("language"))
 
 
 @query("SELECT n_nationkey AS k, CASE n_nationkey % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.js' WHEN 2 THEN '.go' END AS suffix FROM nation")

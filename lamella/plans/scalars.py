@@ -114,14 +114,20 @@ def binary_contents(spark, sf_dir):
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), pieces.binary_content(raw).alias("binary_content"))
 
 
-_TESTED = (("test_a", "src/a.py", "x", True), ("a", "src/a.rs", "  #[test]\nfn a()", True), ("a", "pkg/tests/a.rs", "x", True), ("a", "src/a_test.go", "x", True), ("a", "src/a.rs", "fn a()", False), ("latest", "src/contest.py", "x", False), ("a", "src/test_b.c", "x", True), ("tests", "a.rs", None, True))
+_MARKED = (
+    "SELECT o_orderkey AS k, o_orderkey % 2 = 1 OR o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 OR o_orderkey % 11 IN (0, 1) AS is_test, "
+    "o_orderkey % 7 = 0 OR o_orderkey % 13 = 0 AS stub FROM orders"
+)
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {str(x[3]).lower()}, {str(i == 1).lower()})" for i, x in enumerate(_TESTED)) + ") AS v(k, is_test, stub)")
+@query(_MARKED)
 def packer_tests(spark, sf_dir):
-    rows = F.array(*[F.struct(F.lit(i).alias("k"), F.lit(a).alias("n"), F.lit(b).alias("p"), F.lit(c).cast("string").alias("c")) for i, (a, b, c, _) in enumerate(_TESTED)])
-    d = spark.range(1).select(F.inline(rows))
-    return d.select("k", pieces.packer_test(F.col("n"), F.col("p"), F.col("c")).alias("is_test"), (pieces.stub_signature(F.col("c")) & F.col("c").isNotNull()).alias("stub"))
+    """Names, paths and texts by the order's key: a name, a folder, an attribute or a file's ending marks a test."""
+    k = F.col("o_orderkey")
+    name = F.concat(F.when(k % 2 == 1, "test_").otherwise("latest_"), k.cast("string"))
+    path = F.concat(F.when(k % 5 == 0, "pkg/tests/").otherwise("src/contests/"), F.lit("a"), k.cast("string"), F.when(k % 11 == 0, "_test.go").when(k % 11 == 1, ".spec.ts").otherwise(".rs"))
+    text = F.when(k % 7 == 0, F.lit("  #[test]\nfn a()")).when(k % 13 == 0, F.lit("// a\nfn a()")).otherwise(F.lit("fn a() // #[test]"))
+    return table(spark, sf_dir, "orders").select(k.alias("k"), pieces.packer_test(name, path, text).alias("is_test"), pieces.stub_signature(text).alias("stub"))
 
 
 @query("SELECT n_nationkey AS k, n_nationkey % 4 = 0 AS manifest, n_nationkey % 4 IN (1, 2) AS noise FROM nation")
@@ -199,13 +205,12 @@ def text_hits_first50(spark, sf_dir):
     return search.first_hits(table(spark, sf_dir, "documents"), "doc_id", "text", "License", 50)
 
 
-@query("SELECT url_path AS path, CAST(row_number() OVER (ORDER BY CASE WHEN url_path LIKE '%.ts' THEN 0 WHEN url_path LIKE '%.js' THEN 1 ELSE 2 END, url_path) AS INTEGER) AS place FROM (SELECT 'p' || page_id || CASE page_id % 3 WHEN 0 THEN '.js' WHEN 1 THEN '.ts' ELSE '.md' END AS url_path FROM pages WHERE page_id < 30)")
+@query("SELECT 'p' || page_id || CASE page_id % 3 WHEN 0 THEN '.js' WHEN 1 THEN '.ts' ELSE '.md' END AS path, CASE page_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE 2 END AS rank FROM pages")
 def extension_order(spark, sf_dir):
-    from pyspark.sql import Window as W
-
+    """All pages as files, sorted by the place of their extension, then by path; a test looks at the order itself."""
     k = F.col("page_id")
-    d = table(spark, sf_dir, "pages").filter("page_id < 30").select(F.concat(F.lit("p"), k.cast("string"), F.when(k % 3 == 0, ".js").when(k % 3 == 1, ".ts").otherwise(".md")).alias("path"))
-    return d.select("path", F.row_number().over(W.orderBy(pieces.extension_rank(F.col("path"), [".ts", ".js"]), "path")).alias("place"))
+    d = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), k.cast("string"), F.when(k % 3 == 0, ".js").when(k % 3 == 1, ".ts").otherwise(".md")).alias("path"))
+    return d.withColumn("rank", pieces.extension_rank(F.col("path"), [".ts", ".js"])).orderBy("rank", "path")
 
 
 @query("SELECT lang, language, count(*) AS n FROM (SELECT lang, CASE lang WHEN 'en' THEN 'Python' WHEN 'fr' THEN 'Rust' ELSE lang END AS language FROM documents) GROUP BY ALL")
@@ -259,36 +264,50 @@ _NODES = (
 _LINKS = (("t", "d1"), ("t", "d2"), ("u1", "t"), ("test_u", "t"), ("d1", "far"), ("d1", "stub"), ("up", "u1"))
 
 
-def small_graph(spark):
-    n = F.array(*[F.struct(F.lit(a).alias("id"), F.lit(a).alias("name"), F.lit(b).alias("file_path"), F.lit(c).alias("content")) for a, b, c in _NODES])
-    e = F.array(*[F.struct(F.lit(a).alias("from_entity"), F.lit(b).alias("to_entity"), F.lit("calls").alias("ref_type")) for a, b in _LINKS])
-    return spark.range(1).select(F.inline(n)), spark.range(1).select(F.inline(e))
+def small_graphs(spark, sf_dir):
+    """The graph above for every customer, its ids and names ending with the key, and of every third the target's text longer by 40 words."""
+    k = F.col("c_custkey").cast("string")
+    c = table(spark, sf_dir, "customer").select("c_custkey")
+    name = lambda x: F.concat(F.lit(x), k)
+    more = F.when(F.col("c_custkey") % 3 == 0, F.lit("\n" + "  and so on\n" * 13)).otherwise(F.lit(""))
+    n = F.array(*[F.struct(name(a).alias("id"), name(a).alias("name"), F.lit(b).alias("file_path"), (F.concat(F.lit(t), more) if a == "t" else F.lit(t)).alias("content")) for a, b, t in _NODES])
+    e = F.array(*[F.struct(name(a).alias("from_entity"), name(b).alias("to_entity"), F.lit("calls").alias("ref_type")) for a, b in _LINKS])
+    return c.select(F.inline(n)), c.select(F.inline(e)), c.select(name("t").alias("id"))
+
+
+def _context(spark, sf_dir, budget, hops=0):
+    return context.packed_many(*small_graphs(spark, sf_dir), budget, hops)
+
+
+_PLACES = "SELECT 't' || c_custkey AS target, CAST(p AS INTEGER) AS place, e || c_custkey AS entity_id, role, form FROM customer, (VALUES {}) AS v(p, e, role, form, third) WHERE third IS NULL OR third = (c_custkey % 3 = 0)"
 
 
-@query("SELECT * FROM (VALUES (0, 't', 'target', 'full'), (1, 'd1', 'direct_dependency', 'full'), (2, 'd2', 'direct_dependency', 'signature'), (3, 'u1', 'direct_dependent', 'full'), (4, 'far', 'transitive_dependency', 'signature'), (5, 'up', 'transitive_dependent', 'signature')) AS v(place, entity_id, role, form)")
+@query(_PLACES.format("(0, 't', 'target', 'full', NULL), (1, 'd1', 'direct_dependency', 'full', NULL), (2, 'd2', 'direct_dependency', 'signature', NULL), (3, 'u1', 'direct_dependent', 'full', NULL), (4, 'far', 'transitive_dependency', 'signature', NULL), (5, 'up', 'transitive_dependent', 'signature', NULL)"))
 def context_entries(spark, sf_dir):
-    return context.packed(*small_graph(spark), "t", 100)["entries"].select("place", "entity_id", "role", "form")
+    return _context(spark, sf_dir, 100)["entries"].select("target", "place", "entity_id", "role", "form")
 
 
-@query("SELECT * FROM (VALUES ('direct_dependent', 1, 1), ('transitive_dependency', 1, 0)) AS v(role, entities, tests)")
+@query("SELECT 't' || c_custkey AS target, role, CAST(n AS BIGINT) AS entities, CAST(t AS BIGINT) AS tests FROM customer, (VALUES ('direct_dependent', 1, 1), ('transitive_dependency', 1, 0)) AS v(role, n, t)")
 def context_omitted(spark, sf_dir):
-    return context.packed(*small_graph(spark), "t", 100)["omitted"]
+    return _context(spark, sf_dir, 100)["omitted"]
 
 
-@query("SELECT * FROM (VALUES (0, 't', 'target', 'signature'), (1, 'd1', 'direct_dependency', 'signature'), (2, 'd2', 'direct_dependency', 'signature')) AS v(place, entity_id, role, form)")
+@query(_PLACES.format("(0, 't', 'target', 'signature', NULL), (1, 'd1', 'direct_dependency', 'signature', NULL), (2, 'd2', 'direct_dependency', 'signature', NULL)"))
 def context_tight(spark, sf_dir):
-    return context.packed(*small_graph(spark), "t", 6, hops=1)["entries"].select("place", "entity_id", "role", "form")
+    return _context(spark, sf_dir, 6, hops=1)["entries"].select("target", "place", "entity_id", "role", "form")
 
 
-@query("SELECT 0 AS n")
+@query("SELECT 0 AS n, count(*) AS targets FROM customer")
 def context_without_room(spark, sf_dir):
-    return context.packed(*small_graph(spark), "t", 1)["entries"].agg(F.count(F.lit(1)).cast("int").alias("n"))
+    targets = small_graphs(spark, sf_dir)[2]
+    n = _context(spark, sf_dir, 1)["entries"].agg(F.count(F.lit(1)).cast("int").alias("n"))
+    return n.crossJoin(targets.agg(F.count(F.lit(1)).alias("targets")))
 
 
-@query("SELECT '## t (target)' AS first_line, 6 AS parts")
+@query("SELECT 't' || c_custkey AS target, '## t' || c_custkey || ' (target)' AS first_line, 6 AS parts FROM customer")
 def context_text(spark, sf_dir):
-    text = context.as_text(context.packed(*small_graph(spark), "t", 100)["entries"])
-    return text.select(F.substring_index("text", "\n", 1).alias("first_line"), F.size(F.filter(F.split("text", "\n"), lambda x: x.startswith("## "))).alias("parts"))
+    text = context.as_text(_context(spark, sf_dir, 100)["entries"])
+    return text.select("target", F.substring_index("text", "\n", 1).alias("first_line"), F.size(F.filter(F.split("text", "\n"), lambda x: x.startswith("## "))).alias("parts"))
 
 
 @query("SELECT n_nationkey AS file_path, '### ' || n_nationkey || chr(10) || chr(10) || '- ~ `f` (function)' || chr(10) || CASE WHEN n_nationkey % 2 = 0 THEN '````' ELSE '```' END || 'diff' || chr(10) || '-old' || chr(10) || '+new' || CASE WHEN n_nationkey % 2 = 0 THEN ' ```' ELSE '' END || chr(10) || CASE WHEN n_nationkey % 2 = 0 THEN '````' ELSE '```' END AS markdown FROM nation")

@@ -164,3 +164,23 @@ def test_reach_of_many_starts(spark, depth):
             out |= {(s, x): step for x in at}
     got = graph.reach_many(edges, starts, depth=depth).collect()
     assert {(r["start"], r["id"]): r["depth"] for r in got} == out and len(got) == len(out)
+
+
+def test_extension_order_is_an_order(spark, sf_dir):
+    from lamella.plans import registry
+
+    got = [tuple(r) for r in registry.queries()["extension_order"](spark, sf_dir).select("rank", "path").collect()]
+    assert got == sorted(got) and len(got) > 30
+
+
+def test_context_of_a_target_too_large(spark):
+    from lamella.operators import context
+
+    nodes = spark.createDataFrame([("big", "big", "a.py", "def big():\n" + "\n".join(f"  line {i} of many" for i in range(60))), ("d", "d", "a.py", "def d(): pass"), ("lost", "lost", "b.py", None)], "id string, name string, file_path string, content string")
+    edges = spark.createDataFrame([("big", "d", "calls"), ("lost", "big", "calls")], "from_entity string, to_entity string, ref_type string")
+    got = context.packed(nodes, edges, "big", 100)["entries"].collect()
+    assert [(r["entity_id"], r["form"]) for r in got] == [("big", "head"), ("d", "full"), ("lost", "full")]
+    assert "truncated" in got[0]["content"] and got[0]["tokens"] <= 70
+    assert context.packed(nodes, edges, "unknown", 100)["entries"].count() == 0
+    many = context.packed_many(nodes, edges, spark.createDataFrame([("big",), ("d",), ("unknown",)], "id string"), 100)
+    assert {r["target"] for r in many["entries"].collect()} == {"big", "d"}
