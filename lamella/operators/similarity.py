@@ -3,8 +3,12 @@
 Null texts count as empty and, like texts without words, pair with nothing; rows
 of equal keys pair with each other's partners; ties have no part, as pairs don't
 depend on any order; columns may have any names.  Words are compared by their
-64-bit hashes.  Pairs are all that exist by definition: a group of m texts alike
-gives m (m - 1) / 2 of them.
+64-bit hashes.
+
+Rows with the same words are one class: :func:`classes` gives each row the first
+key of its class, and :func:`class_pairs` the pairs between those, so copies cost no
+pairs.  :func:`candidates` gives the pairs of the rows themselves, m (m - 1) / 2 for m
+texts alike.
 """
 
 from __future__ import annotations
@@ -78,3 +82,33 @@ def candidates(rows: DataFrame, key: str, content: str, block: str, percent: int
         wa, wb = wa.filter(F.col("sidea") == F.lit(low)), wb.filter(F.col("sideb") != F.lit(low))
     both = pairs.join(wa, "a").join(wb, "b").select("a", "b", F.size(F.array_intersect("wa", "wb")).alias("both"), F.size("wa").alias("na"), F.size("wb").alias("nb"))
     return both.filter(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both")))
+
+
+#: Classes of more rows than the others by this much of the table are broadcast; so few exist.
+HEAVY = 10_000
+
+
+def classes(rows: DataFrame, key: str, content: str, block: str) -> DataFrame:
+    """``key, representative``: each row with words and the least key of its block with the same words."""
+    col = lambda c: F.col(f"`{c}`")
+    w = word_hashes(col(content))
+    d = rows.select(col(key).alias("k"), col(block).alias("blk"), w.alias("w")).filter(F.size("w") > 0)
+    d = cut(d.select("k", "blk", F.xxhash64("w").alias("h"), F.xxhash64(F.lit(1), "w").alias("h2"), F.size("w").alias("n")), "classes")
+    found = d.groupBy("blk", "h", "h2", "n").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    found = cut(found, "classes")
+    bound = max(1000, d.count() // HEAVY)
+    other = found.select(*[F.col(c).alias(f"_{c}") for c in ("blk", "h", "h2", "n", "rep", "m")])
+    same = F.col("blk").eqNullSafe(F.col("_blk")) & (F.col("h") == F.col("_h")) & (F.col("h2") == F.col("_h2")) & (F.col("n") == F.col("_n"))
+    first = d.join(F.broadcast(other.filter(F.col("_m") > bound)), same, "left").select(*d.columns, F.col("_rep").alias("large"))
+    met = first.filter("large is not null").select("k", F.col("large").alias("rep"))
+    rest = first.filter("large is null").drop("large").join(other.filter(F.col("_m") <= bound), same, "left")
+    other = rest.select("k", F.coalesce("_rep", "k").alias("rep"))
+    return met.union(other).select(F.col("k").alias(key), F.col("rep").alias("representative"))
+
+
+def class_pairs(rows: DataFrame, key: str, content: str, block: str, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """The rows' classes, and :func:`candidates` between their representatives."""
+    members = cut(classes(rows, key, content, block), "members")
+    reps = members.filter(F.col(key) == F.col("representative")).select(F.col(key).alias("_rep"))
+    firsts = rows.join(reps, rows[f"`{key}`"] == reps["_rep"], "left_semi")
+    return members, candidates(firsts, key, content, block, percent)

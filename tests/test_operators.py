@@ -184,3 +184,14 @@ def test_context_of_a_target_too_large(spark):
     assert context.packed(nodes, edges, "unknown", 100)["entries"].count() == 0
     many = context.packed_many(nodes, edges, spark.createDataFrame([("big",), ("d",), ("unknown",)], "id string"), 100)
     assert {r["target"] for r in many["entries"].collect()} == {"big", "d"}
+
+
+def test_similarity_classes(spark):
+    from lamella.operators import similarity
+
+    rows = [(i, "same words here", "x", 1) for i in range(2500)] + [(3000, "here words same same", "x", 1), (3001, "same words here", "y", 1), (3002, "same words here", None, 1), (3003, "here same words", None, 1), (3004, None, "x", 1), (3005, " ", "x", 1), (3006, "same words here now", "x", 1), (3007, "now here words same", "x", 1)]
+    d = spark.createDataFrame(rows, "k long, t string, b string, rep int")
+    got = {r["k"]: r["representative"] for r in similarity.classes(d, "k", "t", "b").collect()}
+    assert got == {**{i: 0 for i in range(2500)}, 3000: 0, 3001: 3001, 3002: 3002, 3003: 3002, 3006: 3006, 3007: 3006}
+    members, pairs = similarity.class_pairs(d, "k", "t", "b", 75)
+    assert [(r["a"], r["b"], r["both"]) for r in pairs.collect()] == [(0, 3006, 3)] and members.count() == len(got)
