@@ -195,3 +195,23 @@ def test_similarity_classes(spark):
     assert got == {**{i: 0 for i in range(2500)}, 3000: 0, 3001: 3001, 3002: 3002, 3003: 3002, 3006: 3006, 3007: 3006}
     members, pairs = similarity.class_pairs(d, "k", "t", "b", 75)
     assert [(r["a"], r["b"], r["both"]) for r in pairs.collect()] == [(0, 3006, 3)] and members.count() == len(got)
+
+
+def test_commit_keys_are_folded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(incremental, "FOLDERS", 3)
+    index = lambda: incremental.KeyIndex(spark, f"file://{tmp_path}/keys", "sha", "string")
+    rows = lambda *keys: spark.createDataFrame([(k, 1) for k in keys], "sha string, n int")
+    seen = set()
+    for batch in range(9):
+        keys = [f"k{batch}", f"k{batch // 2}", None]
+        new = index().unknown(rows(*keys), batch)
+        got = {r["sha"] for r in new.collect()}
+        assert got == set(keys) - seen
+        seen |= got
+        index().add(rows(*got), batch)
+        assert {r["sha"] for r in index().unknown(rows(*keys), batch).collect()} == got  # the batch again
+        index().fold(batch)
+    folded, batches = index()._listed()
+    assert folded >= 5 and len(batches) <= 3
+    monkeypatch.setattr(incremental, "LISTED", 0)
+    assert index().unknown(rows("k1", "k8", "new", None), 9).collect() == rows("new").collect()
