@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamella.functions import text as T
-from lamella.operators import context, extract, graph, graph_build, history, matching, orphans, search
+from lamella.operators import context, extract, graph, graph_build, history, lineage, matching, orphans, scopes, search
+from lamella.project import Project
 from lamella.storage import cut
 
 CHANGE_TYPES = ("added", "modified", "deleted", "moved", "renamed", "reordered")
@@ -44,11 +45,28 @@ def diff_files(changes: DataFrame, **options) -> DataFrame:
 
 
 diff = matching.diff
-build_graph = graph_build.graph
 pack_context = context.packed
+pack_contexts = context.packed_many
 cross_deps = graph.cross_repository
 lifetime_stats = history.lifetime
 trace = history.trace
+lines_of_history = lineage.histories
+line_of = lineage.history_of
+tests_of_diff = graph_build.tests_of_many
+
+
+def build_graph(files: DataFrame, only: DataFrame | None = None, types: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of ``files``; ``types`` adds calls in Python files that scopes and the flow of types decide."""
+    if types and only is not None:
+        raise ValueError("types flow through all files: only and types exclude each other")
+    nodes, edges = graph_build.graph(files, only)
+    if not types:
+        return nodes, edges
+    known = graph_build.facts(files) | {"nodes": nodes}
+    links = graph_build.linking(known)
+    more = scopes.calls(files, nodes, links["imports"], links["offered"])
+    more = more.join(edges, ["from_entity", "to_entity"], "left_anti").withColumn("ref_type", F.lit("calls"))
+    return nodes, cut(edges.unionByName(more), "edges")
 
 
 def impact(nodes: DataFrame, edges: DataFrame, node: str, mode: str = "all", depth: int = 2) -> DataFrame | dict[str, DataFrame]:
@@ -109,4 +127,4 @@ class Warm:
         return text_search(self.files, needle, limit)
 
 
-__all__ = ["CHANGE_TYPES", "T", "Warm", "blame", "build_graph", "cross_deps", "diff", "diff_files", "entities", "history_of", "impact", "lifetime_stats", "pack_context", "text_search", "trace"]
+__all__ = ["CHANGE_TYPES", "Project", "T", "Warm", "blame", "build_graph", "cross_deps", "diff", "diff_files", "entities", "history_of", "impact", "lifetime_stats", "line_of", "lines_of_history", "pack_context", "pack_contexts", "tests_of_diff", "text_search", "trace"]

@@ -5,7 +5,7 @@ comments, strings and children left out) and its imports in one pass each;
 everything that looks across files is a join.  A reference is resolved by the
 first rule that knows it: a member of its own class, an imported module's
 symbol, a member of the type that its variable or attribute was constructed from
-or annotated with, an imported name, a symbol of its file, a method of a name
+or annotated with, an imported name, a symbol of its file or, in Go, of its package, a method of a name
 that one class alone has.  Its local names hide all of these.
 
 Defined cases: null texts have no entities; names that several symbols of a file
@@ -200,8 +200,20 @@ def rust_imports(path: str, text: str) -> list[tuple]:
     return out
 
 
+def go_imports(path: str, text: str) -> list[tuple]:
+    """Imported packages under their alias, or the path's last part but for a version; candidates are the folders that end the import's path."""
+    out = []
+    for block in re.findall(r"^import\s*(\([^)]*\)|[^\n(]+)", text, re.M):
+        for m in re.finditer(r"(?:([\w.]+)[ \t]+)?\"([^\"\n]+)\"", block):
+            parts = m[2].strip("/").split("/")
+            named = parts[:-1] if len(parts) > 1 and re.fullmatch(r"v\d+", parts[-1]) else parts
+            if m[1] not in ("_", "."):
+                out.append((m[1] or named[-1], ["/".join(parts[i:]) + "/" for i in range(len(parts))], None))
+    return out
+
+
 #: Import scanners by suffix; add to it for other languages.
-SCANNERS: dict[str, Callable[[str, str], list[tuple]]] = {".py": python_imports, ".pyi": python_imports, ".rs": rust_imports, **{x: script_imports for x in (*TRIED, ".mts", ".cts", ".vue", ".svelte")}}
+SCANNERS: dict[str, Callable[[str, str], list[tuple]]] = {".go": go_imports, ".py": python_imports, ".pyi": python_imports, ".rs": rust_imports, **{x: script_imports for x in (*TRIED, ".mts", ".cts", ".vue", ".svelte")}}
 
 
 def _per_file(files: DataFrame, schema: str, rows: Callable[[str, str], list[tuple]]) -> DataFrame:
@@ -286,13 +298,16 @@ def resolved(refs: DataFrame, nodes: DataFrame, imports: DataFrame, offered: Dat
     by_name = refs.filter("qualifier is null").join(meant, ["file_path", "token"]).withColumn("rule", F.lit(3))
     here = refs.filter("qualifier is null").join(in_file.withColumnRenamed("name", "token"), ["file_path", "token"])
     here = here.filter(~F.col("target").eqNullSafe(F.col("owner")) & ~F.col("target_parent").eqNullSafe(F.col("from_entity"))).withColumn("rule", F.lit(4))
+    beside = refs.filter("qualifier is null and file_path like '%.go'").withColumn("to_file", F.concat(F.lit("package:"), folder_of(F.col("file_path"))))
+    beside = beside.join(in_file.select("file_path", F.col("name").alias("token")), ["file_path", "token"], "left_anti")
+    beside = beside.join(far.withColumnRenamed("to_name", "token"), ["to_file", "token"]).filter(~F.col("target").eqNullSafe(F.col("owner"))).withColumn("rule", F.lit(4))
     methods = refs.filter("qualifier is not null and qualifier not in ('self', 'this', 'cls') and ref_type = 'calls' and file_path rlike '[.](py|rb)$'")
     known = imp.select("file_path", F.col("local").alias("qualifier")).distinct()
     unique = methods.join(known, ["file_path", "qualifier"], "left_anti").join(sole, "token").withColumn("rule", F.lit(5))
     handed = nodes.filter("entity_type = 'export'").groupBy(F.col("file_path").alias("to_file"), F.col("name").alias("to_name")).agg(F.min("id").alias("target"))
     handed_names = refs.filter("qualifier is null").join(names, ["file_path", "token"]).join(handed, ["to_file", "to_name"])
     handed_spaces = in_module.join(handed.withColumnRenamed("to_name", "token"), ["to_file", "token"])
-    parts = [own, by_module, by_type, by_name, here, unique, *[x.withColumns({"ref_type": F.lit("imports"), "rule": F.lit(6)}) for x in (handed_names, handed_spaces)]]
+    parts = [own, by_module, by_type, by_name, here, beside, unique, *[x.withColumns({"ref_type": F.lit("imports"), "rule": F.lit(6)}) for x in (handed_names, handed_spaces)]]
     found = None
     for part in parts:
         part = part.select("from_entity", F.col("target").alias("to_entity"), "ref_type", "rule")
@@ -327,12 +342,27 @@ def facts(files: DataFrame) -> dict[str, DataFrame]:
     return {"files": files.select("file_path"), "nodes": extract.extracted(files), "references": refs, "imports": import_rows(files), "exports": export_rows(files)}
 
 
+def folder_of(path: Column) -> Column:
+    """A file's folder with its last slash; empty for files that have none."""
+    return F.regexp_replace(path, "[^/]*$", "")
+
+
+def packages(nodes: DataFrame) -> DataFrame:
+    """``file_path, name, target`` of Go packages as if their folders were files: what others can name under the folder, all names under ``package:`` and it."""
+    go = nodes.filter("file_path like '%.go' and parent_id is null and entity_type not in ('chunk', 'export')")
+    first = go.groupBy(folder_of(F.col("file_path")).alias("at"), "name").agg(F.min_by("id", F.struct("file_path", "start_line", "id")).alias("target"))
+    shared = first.filter("at <> '' and name rlike '^[A-Z]'").select(F.col("at").alias("file_path"), "name", "target")
+    return shared.union(first.select(F.concat(F.lit("package:"), "at"), "name", "target"))
+
+
 def linking(known: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """What is looked up across files: ``imports`` with the files they mean, ``step`` and ``offered`` for exported names."""
-    imports = cut(exports.existing(known["imports"], known["files"], "file_path", "local", "name").select("file_path", "local", "target", "name"), "imports")
+    folders = known["files"].filter("file_path like '%/%.go'").select(folder_of(F.col("file_path")).alias("file_path"))
+    places = known["files"].select("file_path").union(folders)
+    imports = cut(exports.existing(known["imports"], places, "file_path", "local", "name").select("file_path", "local", "target", "name"), "imports")
     symbols = cut(symbols_of(known["nodes"]), "symbols")
     step = exports.pointers(known["exports"], symbols, imports, known["files"])
-    return {"imports": imports, "step": step, "offered": cut(exports.offered(step, symbols), "offered")}
+    return {"imports": imports, "step": step, "offered": cut(exports.offered(step, symbols).union(packages(known["nodes"])), "offered")}
 
 
 def linked(known: dict[str, DataFrame], links: dict[str, DataFrame], only: DataFrame | None = None) -> DataFrame:

@@ -140,3 +140,22 @@ def test_export_edge_stays_after_a_comment(spark):
     changed = spark.createDataFrame([("app.ts", "// note\n" + before["app.ts"])], "file_path string, content string")
     _, after = graph_build.refreshed(files, changed, nodes, edges)
     assert [tuple(r)[:2] for r in after.collect()] == [("app.ts::export::assist", "lib/util.ts::function::help")]
+
+
+def test_go_packages(spark):
+    files = {
+        "cmd/main.go": 'package main\n\nimport (\n\t"fmt"\n\tu "example.com/proj/internal/util"\n\t"example.com/proj/store/v2"\n)\n\nfunc Run() {\n\tu.Help()\n\tu.hidden()\n\tstore.Open()\n\tfmt.Println(local())\n}\n',
+        "cmd/other.go": "package main\n\nfunc local() int {\n\treturn 1\n}\n",
+        "internal/util/a.go": "package util\n\nfunc Help() {\n\thidden()\n}\n",
+        "internal/util/b.go": "package util\n\nfunc hidden() {\n}\n",
+        "util/c.go": "package util\n\nfunc Help() {\n}\n",
+        "store/v2/s.go": "package store\n\nfunc Open() {\n}\n",
+    }
+    want = {("cmd/main.go::function::Run", x, "calls") for x in ("internal/util/a.go::function::Help", "store/v2/s.go::function::Open", "cmd/other.go::function::local")} | {("internal/util/a.go::function::Help", "internal/util/b.go::function::hidden", "calls")}
+    assert edges_of(spark, files) == want
+    d = spark.createDataFrame(sorted(files.items()), "file_path string, content string")
+    nodes, edges = graph_build.graph(d)
+    changed = spark.createDataFrame([("proj/internal/util/d.go", "package util\n\nfunc Help() {\n}\n"), ("cmd/other.go", "package main\n")], "file_path string, content string")
+    after = graph_build.refreshed(d, changed, nodes, edges)[1]
+    full = {**files, "proj/internal/util/d.go": "package util\n\nfunc Help() {\n}\n", "cmd/other.go": "package main\n"}
+    assert {tuple(r) for r in after.collect()} == edges_of(spark, full)
