@@ -39,6 +39,8 @@ from ._tokens import default_path, encoder, id_type
 
 MAGIC = b"LRANS001"
 SCALE_BITS = 20
+#: Blocks that a task decodes.
+SPAN = 64
 BLOCK = 1 << 18
 LANES = 4096
 LOW = np.uint64(1 << 31)
@@ -207,19 +209,34 @@ class FileReader:
             raise ValueError(f"block {i} checksum")
         return ids
 
-    def parts(self) -> Iterator[tuple[int, np.ndarray, bool]]:
-        """(document's place in the index, some of its ids, whether they end it), a block in memory at a time."""
-        doc, left = 0, self.docs[0][1] if self.docs else 0
-        for i in range(len(self.checkpoints)):
-            ids, at = self.block(i), 0
-            while at < len(ids):
-                n = min(left, len(ids) - at)
-                left -= n
-                yield doc, ids[at : at + n], not left
+    def parts(self, first: int = 0, last: int | None = None) -> Iterator[tuple[int, np.ndarray, bool]]:
+        """(document's place in the index, some of its ids, whether they end it) of the documents that begin in blocks ``first`` to before ``last``.
+
+        Decoding begins at the first block's checkpoint; what ends an earlier document there is passed over,
+        and the last document is followed into the blocks after.  A block is in memory at a time.
+        """
+        lengths = np.array([n for _, n in self.docs], dtype=np.int64)
+        starts = np.cumsum(lengths) - lengths
+        places = [c[1] for c in self.checkpoints]
+        end = len(places) if last is None else min(last, len(places))
+        if first >= end:
+            return
+        doc = int(np.searchsorted(starts, places[first]))
+        stop = len(starts) if end == len(places) else int(np.searchsorted(starts, places[end]))
+        done = 0
+        for i in range(first, len(places)):
+            if doc >= stop:
+                return
+            if not done and starts[doc] >= places[i] + self.checkpoints[i][2]:
+                continue  # inside a document of an earlier block
+            ids, at = self.block(i), int(max(0, starts[doc] + done - places[i]))
+            while doc < stop and at < len(ids):
+                n = min(int(lengths[doc]) - done, len(ids) - at)
+                done += n
+                yield doc, ids[at : at + n], done == lengths[doc]
                 at += n
-                if not left:
-                    doc += 1
-                    left = self.docs[doc][1] if doc < len(self.docs) else 0
+                if done == lengths[doc]:
+                    doc, done = doc + 1, 0
 
 
 def token_rows(docs: DataFrame, id_col: str, text: str, path: str) -> DataFrame:
@@ -259,7 +276,7 @@ def frequency_table(tokens: DataFrame, dtype: str) -> Table:
 
 
 def write_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str = "text", path: str | None = None) -> tuple[DataFrame, Table]:
-    """Write ``docs`` to ``folder``; a manifest (``range, file, n_docs, n_tokens``, one row a file) and the table."""
+    """Write ``docs`` to ``folder``; a manifest (``range, file, n_docs, n_tokens, n_blocks``, one row a file) and the table."""
     spark = docs.sparkSession
     small_batches(spark)
     path = path or default_path()
@@ -277,7 +294,7 @@ def write_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str
         def finish():
             n = writer.close()
             held.__exit__(None)
-            done.append((now, uri, writer.n_docs, n))
+            done.append((now, uri, writer.n_docs, n, writer.n_blocks))
 
         for b in batches:
             for rng, doc, ids in zip(*(c.to_pylist() for c in b.columns)):
@@ -290,48 +307,52 @@ def write_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str
                 writer.add(doc, np.frombuffer(ids, dtype=dtype).astype("<u4"))
         if writer:
             finish()
-        cols = list(zip(*done)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["range", "file", "n_docs", "n_tokens"])
+        cols = list(zip(*done)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["range", "file", "n_docs", "n_tokens", "n_blocks"])
 
     rows = tokens.select(range_udf(cuts)("key").alias("range"), "key", "doc_id", "ids").repartitionById(len(cuts) + 1, "range")
     rows = rows.sortWithinPartitions("range", "key", "ids").select(F.col("range").cast("long"), "doc_id", "ids")
-    manifest = materialize(rows.mapInArrow(emit, "range long, file string, n_docs long, n_tokens long"), "manifest")
+    manifest = materialize(rows.mapInArrow(emit, "range long, file string, n_docs long, n_tokens long, n_blocks long"), "manifest")
     discard(tokens)
     return manifest, table
 
 
-def read_files(manifest: DataFrame, table: Table) -> DataFrame:
+def read_files(manifest: DataFrame, table: Table, span: int = SPAN) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, decoded from the files.
 
-    One manifest row a file reaches the driver, for the running total of ids.
+    A task decodes the documents that begin in ``span`` blocks of a file, from the checkpoint of
+    the first one.  One manifest row a file reaches the driver, for the running total of ids.
     """
     spark: SparkSession = manifest.sparkSession
     files, start = [], 0
-    for _, uri, _, n in sorted(map(tuple, manifest.collect())):
-        files.append((uri, start))
+    for _, uri, _, n, blocks in sorted(map(tuple, manifest.collect())):
+        files.append((uri, start, blocks))
         start += n
     freq = spark.sparkContext.broadcast(table.freq)
 
     def emit(batches):
         own = Table(freq.value)
         for b in batches:
-            for uri, at in zip(*(c.to_pylist() for c in b.columns)):
+            for uri, begin, first in zip(*(c.to_pylist() for c in b.columns)):
                 with opened(uri) as stream:
                     reader = FileReader(stream, own)
+                    starts = np.cumsum([0, *[n for _, n in reader.docs]])
                     rows, crc = [], 0
-                    for doc, ids, ends in reader.parts():
+                    for doc, ids, ends in reader.parts(first, first + span):
                         crc = zlib.crc32(ids.astype("<u4").tobytes(), crc)
                         if ends:
                             doc_id, n = reader.docs[doc]
-                            rows.append((doc_id, at, n, crc))
-                            at, crc = at + n, 0
+                            rows.append((doc_id, begin + int(starts[doc]), n, crc))
+                            crc = 0
                             if len(rows) == 10_000:
                                 yield _batch(rows)
                                 rows = []
                     yield _batch(rows)
 
-    rows = spark.createDataFrame(files, "file string, start long").repartition(max(1, len(files)))
-    return rows.mapInArrow(emit, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    listed = spark.createDataFrame(files, "file string, start long, blocks long")
+    spans = listed.select("file", "start", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.col("blocks") - 1), F.lit(span).cast("long"))).alias("first"))
+    tasks = sum(max(1, -(-n // span)) for _, _, n in files)
+    return spans.repartition(max(1, tasks)).mapInArrow(emit, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _batch(rows):

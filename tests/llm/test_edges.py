@@ -212,6 +212,19 @@ def test_rans_blocks():
         assert r.docs == [(None, n // 2), (7, n - n // 2)]
         assert np.array_equal(np.concatenate([p for _, p, _ in r.parts()]), ids)
         assert zlib.crc32(r.block(len(r.checkpoints) - 1).tobytes()) == r.checkpoints[-1][5]
+        w = rans.FileWriter(many := io.BytesIO(), t)
+        cuts = sorted({0, n, *rng.integers(0, n, 9).tolist()})
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            w.add(k, ids[a:b])
+        w.close()
+        for span in (1, 2, 100):
+            r, got = rans.FileReader(io.BytesIO(many.getvalue()), t), {}
+            for first in range(0, len(r.checkpoints), span):
+                for doc, part, ends in r.parts(first, first + span):
+                    got.setdefault(doc, []).append((part, ends))
+            assert sorted(got) == list(range(len(cuts) - 1))
+            for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                assert np.array_equal(np.concatenate([p for p, _ in got[k]]), ids[a:b]) and [e for _, e in got[k]] == [False] * (len(got[k]) - 1) + [True]
         broken = bytearray(out.getvalue())
         broken[40] ^= 1
         with pytest.raises(ValueError):
