@@ -205,6 +205,27 @@ def prompt_names(c: Column, most: int = 2) -> Column:
     return F.slice(kept, 1, most)
 
 
+#: Interpreters by the begin of their names, and editors' names of languages, with the suffix whose parser fits.
+SHEBANGS = (("python", ".py"), ("node", ".js"), ("deno", ".ts"), ("ruby", ".rb"), ("bash", ".sh"), ("sh", ".sh"), ("zsh", ".sh"))
+MODES = {"python": ".py", "javascript": ".js", "typescript": ".ts", "ruby": ".rb", "sh": ".sh", "bash": ".sh", "go": ".go", "rust": ".rs", "java": ".java", "yaml": ".yaml", "json": ".json", "toml": ".toml", "markdown": ".md"}
+_TELLING = ((".py", r"(?m)^(?:def \w+\(.*\).*:|import \w+$|from \w+ import )"), (".go", r"(?m)^(?:package \w+$|func )"), (".rs", r"(?m)^(?:fn |use \w+::|impl )"), (".js", r"(?m)^(?:const \w+ = |function \w+\(|module\.exports)"), (".java", r"(?m)^(?:public class |import java\.)"), (".json", r"\A\s*[\[{]\s*[\"\[{]"))
+
+
+def language_of_content(c: Column) -> Column:
+    """The suffix whose parser fits a whole text: by its first line's interpreter, an editor's mode line, or the most of telling declarations, two at least; else null."""
+    text = F.coalesce(c, F.lit(""))
+    shebang = r"^#!\s*(\S+)(?:[ \t]+(\S+))?"
+    first, second = F.regexp_extract(text, shebang, 1), F.regexp_extract(text, shebang, 2)
+    tool = F.substring_index(F.when(first.endswith("/env") & (second != ""), second).otherwise(first), "/", -1)
+    by_tool = F.coalesce(*[F.when(tool.startswith(name), suffix) for name, suffix in SHEBANGS])
+    mode = F.lower(F.regexp_extract(text, r"(?:vim?|ex):.*?\b(?:ft|filetype|syntax)=(\w+)", 1))
+    by_mode = F.coalesce(*[F.when(mode == name, suffix) for name, suffix in MODES.items()])
+    scores = [(suffix, F.regexp_count(text, F.lit(rule))) for suffix, rule in _TELLING]
+    best = F.greatest(*[n for _, n in scores])
+    told = F.coalesce(*[F.when((n == best) & (n >= (1 if suffix == ".json" else 2)), suffix) for suffix, n in scores])
+    return F.coalesce(by_tool, F.when(mode != "", by_mode).otherwise(told))
+
+
 def display_language(suffix: Column) -> Column:
     """A suffix's language as shown to readers; unknown ones as they are."""
     names = {"py": "Python", "ts": "TypeScript", "tsx": "TSX", "js": "JavaScript", "rs": "Rust", "go": "Go", "rb": "Ruby", "java": "Java", "md": "Markdown", "json": "JSON", "yaml": "YAML", "toml": "TOML", "html": "HTML", "c": "C", "cpp": "C++"}

@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lamella.functions.pieces import MODES
+
 SCHEMA = "id string, file_path string, entity_type string, name string, parent_id string, content string, content_hash string, structural_hash string, start_line long, end_line long, metadata map<string,string>"
 CHUNK = 20
 
@@ -688,32 +690,12 @@ def applied(edits: list[tuple[int, int, str]], lines: list[str]) -> str:
 
 # Languages ---------------------------------------------------------------------
 
-_SHEBANGS = (("python", ".py"), ("node", ".js"), ("deno", ".ts"), ("ruby", ".rb"), ("bash", ".sh"), ("sh", ".sh"), ("zsh", ".sh"))
-_MODES = {"python": ".py", "javascript": ".js", "typescript": ".ts", "ruby": ".rb", "sh": ".sh", "bash": ".sh", "go": ".go", "rust": ".rs", "java": ".java", "yaml": ".yaml", "json": ".json", "toml": ".toml", "markdown": ".md"}
-
-
-def language_by_content(text: str) -> str | None:
-    """The suffix whose parser fits a text: by its first line's interpreter, an editor's mode line, or telling declarations."""
-    head = text[:4096]
-    if m := re.match(r"#!\s*(\S+)(?:[ \t]+(\S+))?", head):
-        tool = (m[2] if m[1].endswith("/env") and m[2] else m[1]).rsplit("/", 1)[-1]
-        for name, suffix in _SHEBANGS:
-            if tool.startswith(name):
-                return suffix
-    if m := re.search(r"(?:vim?|ex):.*?\b(?:ft|filetype|syntax)=(\w+)", head + text[-1024:]):
-        return _MODES.get(m[1].lower())
-    tries = {".py": r"^(?:def \w+\(.*\).*:|import \w+$|from \w+ import )", ".go": r"^(?:package \w+$|func )", ".rs": r"^(?:fn |use \w+::|impl )", ".js": r"^(?:const \w+ = |function \w+\(|module\.exports)", ".java": r"^(?:public class |import java\.)", ".json": r"\A\s*[\[{]\s*[\"\[{]"}
-    score = {s: len(re.findall(rule, head, re.M)) for s, rule in tries.items()}
-    best = max(score, key=lambda s: score[s])
-    return best if score[best] >= (1 if best == ".json" else 2) else None
-
-
 def custom_suffixes(text: str) -> dict[str, str]:
     """Lines ``.ext = .known`` or attributes ``*.ext linguist-language=Name`` as a map of suffixes."""
     out = {}
     for line in lines_of(text):
         if m := re.match(r"\s*(\.[\w.]+)\s*=\s*(\.?[\w.]+)\s*$", line):
-            out[m[1].lower()] = m[2].lower() if m[2].startswith(".") else _MODES.get(m[2].lower(), m[2].lower())
-        elif (m := re.match(r"\s*\*(\.[\w.]+)\s.*linguist-language=(\w+)", line)) and m[2].lower() in _MODES:
-            out[m[1].lower()] = _MODES[m[2].lower()]
+            out[m[1].lower()] = m[2].lower() if m[2].startswith(".") else MODES.get(m[2].lower(), m[2].lower())
+        elif (m := re.match(r"\s*\*(\.[\w.]+)\s.*linguist-language=(\w+)", line)) and m[2].lower() in MODES:
+            out[m[1].lower()] = MODES[m[2].lower()]
     return out

@@ -152,12 +152,21 @@ def language_by_suffix(spark, sf_dir):
     return paths.select("k", T.extension(F.col("path")).alias("suffix"), pieces.display_language(T.extension(F.col("path"))).alias("language"))
 
 
-@query("SELECT n_nationkey AS k, CASE n_nationkey % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.js' WHEN 2 THEN '.go' END AS suffix FROM nation")
+@query("SELECT o_orderkey AS k, CASE o_orderkey % 8 WHEN 0 THEN '.py' WHEN 1 THEN '.js' WHEN 2 THEN '.go' WHEN 3 THEN '.sh' WHEN 4 THEN '.json' WHEN 5 THEN '.rs' END AS suffix FROM orders")
 def language_by_content(spark, sf_dir):
-    k = F.col("n_nationkey") % 4
-    text = F.when(k == 0, "#!/usr/bin/env python3\nx").when(k == 1, "// vim: ft=javascript\n").when(k == 2, "package m\nfunc a() {}\n").otherwise("plain words")
-    found = F.udf(extract.language_by_content, "string")
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), found(text).alias("suffix"))
+    k = F.col("o_orderkey")
+    key, kind = k.cast("string"), k % 8
+    text = (
+        F.when(kind == 0, F.concat(F.lit("#!/usr/bin/env python3\nx = "), key))
+        .when(kind == 1, F.concat(F.lit("a = "), key, F.lit("\n// vim: set ft=javascript :\n")))
+        .when(kind == 2, F.concat(F.lit("package m\n\nfunc f"), key, F.lit("() {}\n")))
+        .when(kind == 3, F.concat(F.lit("#!/bin/bash -e\necho "), key))
+        .when(kind == 4, F.concat(F.lit(' {"k'), key, F.lit('": [1]}')))
+        .when(kind == 5, F.concat(F.lit("fn a"), key, F.lit("() {}\nfn b() {}\nconst x = 1")))
+        .when(kind == 6, F.concat(F.lit("fn lonely"), key))
+        .otherwise(F.concat(F.lit("# vim: ft=unheard"), key))
+    )
+    return table(spark, sf_dir, "orders").select(k.alias("k"), pieces.language_of_content(text).alias("suffix"))
 
 
 @query("SELECT o_orderkey % 50 AS g, 1 AS n FROM orders GROUP BY 1")

@@ -102,7 +102,7 @@ def test_refreshed_equals_full_build(spark):
     whole = lambda: [(k, p, t) for k, (_, files) in projects.items() for p, t in files.items()]
     files = table(whole())
     nodes, edges = graph_build.graph(files)
-    for _ in range(4):
+    for _ in range(3):
         changed, deleted = [], []
         for k, (kind, own) in projects.items():
             make = script if kind == "ts" else module

@@ -215,3 +215,14 @@ def test_commit_keys_are_folded(spark, tmp_path, monkeypatch):
     assert folded >= 5 and len(batches) <= 3
     monkeypatch.setattr(incremental, "LISTED", 0)
     assert index().unknown(rows("k1", "k8", "new", None), 9).collect() == rows("new").collect()
+
+
+def test_language_of_content(spark):
+    from pyspark.sql import functions as F
+
+    from lamella.functions import pieces
+
+    cases = [("#!/usr/bin/env node\n", ".js"), ("#!/opt/python3.12 -u\nfunc a\nfunc b", ".py"), ("#!/bin/odd\nimport a\nimport b\n", ".py"), ("x\n/* vim: set ft=Go: */", ".go"), ("# vim: ft=odd\nimport a\nimport b", None), ("import a", None), ("  [ {", ".json"), ("", None), (None, None), ("fn a() {}\nuse b::c;\nconst x = 1\nconst y = 2\n", ".rs")]
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    got = {r["i"]: r["x"] for r in d.select("i", pieces.language_of_content(F.col("t")).alias("x")).collect()}
+    assert got == {i: x for i, (_, x) in enumerate(cases)}

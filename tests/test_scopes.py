@@ -51,3 +51,11 @@ def test_defined_cases(spark):
     assert calls(spark, {"bad.py": "def (", "r.py": "def f(x):\n  return f(f(x)).g()\n\ndef a():\n  return b()\n\ndef b():\n  return a()\n", "t.txt": "x"}) == {("r.py::function::a", "r.py::function::b"), ("r.py::function::b", "r.py::function::a")}
     d = spark.createDataFrame([("n.py", None)], "file_path string, content string")
     assert scopes.scope_facts(d).count() == 0
+
+
+def test_typed_graph_has_both_kinds_of_edges(spark):
+    from lamella import api
+
+    files = spark.createDataFrame([("s.py", TWO), ("u.py", "from s import A\n\ndef make():\n  return A()\n\ndef run():\n  x = make()\n  return x.save()\n")], "file_path string, content string")
+    plain, typed = ({tuple(r) for r in api.build_graph(files, types=t)[1].collect()} for t in (False, True))
+    assert typed - plain == {("u.py::function::run", "s.py::class::A::save", "calls")} and plain < typed
