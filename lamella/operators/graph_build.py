@@ -31,7 +31,7 @@ from lamella.functions import pieces
 from lamella.functions import predicates as P
 from lamella.operators import exports, extract
 from lamella.operators import graph as G
-from lamella.storage import cut, near
+from lamella.storage import cut, dealt, near
 
 _KEYWORDS = {*keyword.kwlist, "self", "this", "cls", "let", "const", "var", "function", "new", "return", "typeof", "void", "null", "undefined", "true", "false", "func", "package", "struct", "interface", "type", "impl", "trait", "enum", "pub", "mut", "use", "mod", "crate", "match", "switch", "case", "throw", "public", "private", "protected", "static", "final", "extends", "implements", "string", "int", "bool", "end", "module", "require", "export", "default", "instanceof"}
 _NAME = re.compile(r"(?:\b(\w+)\s*(?:\.|::|->)\s*)?\b([A-Za-z_]\w*)\b(\s*\()?")
@@ -337,9 +337,15 @@ def bucket_of(token: Column) -> Column:
 
 
 def facts(files: DataFrame) -> dict[str, DataFrame]:
-    """What each file says, one pass a table: entities, references by token bucket, imports and exports."""
+    """What each file says: entities, references by token bucket, imports and exports.
+
+    Files are dealt over all tasks by their path, then read in one pass a table, whose rows are kept:
+    whatever looks at them later reads no file again.
+    """
+    files = cut(dealt(cut(files.select("file_path", "content"), "texts"), "file_path"), "files")
     refs = references(files).withColumn("bucket", bucket_of(F.col("token")))
-    return {"files": files.select("file_path"), "nodes": extract.extracted(files), "references": refs, "imports": import_rows(files), "exports": export_rows(files)}
+    rows = {"nodes": extract.extracted(files), "references": refs, "imports": import_rows(files), "exports": export_rows(files)}
+    return {"files": files.select("file_path")} | {t: cut(d, t) for t, d in rows.items()}
 
 
 def folder_of(path: Column) -> Column:
@@ -379,7 +385,6 @@ def linked(known: dict[str, DataFrame], links: dict[str, DataFrame], only: DataF
 def graph(files: DataFrame, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of ``files`` (``file_path, content``); ``only`` (``id``) leaves the edges of other sources out."""
     known = facts(files)
-    known["nodes"] = cut(known["nodes"], "nodes")
     if only is not None:
         known["references"] = known["references"].join(only.select(F.col("id").alias("from_entity")), "from_entity", "left_semi")
     edges = linked(known, linking(known))
@@ -440,8 +445,7 @@ def refreshed(files: DataFrame, changed: DataFrame, nodes: DataFrame, edges: Dat
     """
     gone = changed.select("file_path") if deleted is None else changed.select("file_path").union(deleted.select("file_path"))
     gone = cut(gone.distinct(), "stale")
-    known = facts(files) | {"nodes": nodes}
-    known = {t: cut(d, t) for t, d in known.items()}
+    known = facts(files) | {"nodes": cut(nodes, "nodes")}
     with_file = edges.select(*G.EDGE).join(nodes.select(F.col("id").alias("from_entity"), "file_path").dropDuplicates(["from_entity"]), "from_entity")
     after, _, out = relinked(known, linking(known), with_file, facts(changed.select("file_path", "content")), gone)
     return after["nodes"], out.select(*G.EDGE)

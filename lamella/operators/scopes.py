@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamella.operators import extract
-from lamella.storage import cut
+from lamella.storage import cut, dealt
 
 FACT = "file_path string, fact string, scope string, name string, base string, extra string, place int"
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
@@ -271,7 +271,7 @@ def scope_facts(files: DataFrame) -> DataFrame:
             rows = [r for p, t in pdf.itertuples(index=False) if t and p.endswith((".py", ".pyi")) for r in facts_of(p, t)]
             yield pd.DataFrame(rows, columns=names, dtype=object).astype({"place": "Int32"})
 
-    return files.select("file_path", "content").mapInPandas(work, FACT)
+    return dealt(cut(files.select("file_path", "content"), "texts"), "file_path").mapInPandas(work, FACT)
 
 
 def around(scope: Column) -> Column:
@@ -363,7 +363,7 @@ def type_graph(facts: DataFrame, nodes: DataFrame, imports: DataFrame, offered:
     returns = owners.filter("kind <> 'class'").select(F.col("entity").alias("function"), node_of(F.col("file_path"), F.col("scope"), F.lit("$return")).alias("node"))
     gets = site(at(of("get").select("file_path", "scope", F.col("name").alias("site_name"), "base", F.col("extra").alias("attr")), "base", "node")).select("site", "node", "attr")
     puts = at(at(of("put").select("file_path", "scope", F.col("name").alias("source"), "base", F.col("extra").alias("attr")), "base", "node"), "source", "from").select("node", "attr", F.col("from").alias("source"))
-    return {"known": known, "flows": copies.union(fields), "sites": sites, "gets": gets, "puts": puts, "direct": direct, "args": args, "params": cut(params, "params"), "returns": cut(returns, "returns"), "owners": owners.select("file_path", "scope", "entity")}
+    return {"known": known, "flows": copies.union(fields), "sites": sites, "gets": cut(gets, "gets"), "puts": cut(puts, "puts"), "direct": direct, "args": args, "params": cut(params, "params"), "returns": cut(returns, "returns"), "owners": owners.select("file_path", "scope", "entity")}
 
 
 def typed(graph: dict[str, DataFrame], nodes: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -43,6 +43,20 @@ def cut(df: DataFrame, label: str = "step") -> DataFrame:
     return out
 
 
+#: Rows for which a task of :func:`dealt` is worth starting.
+TASK_ROWS = 200
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """A table of :func:`cut`, dealt by ``keys`` over as many tasks as shuffles have, for work that costs more than its rows are large.
+
+    A table of short rows is one block, or few, so what reads it runs in one task however
+    long a row takes; a number that is stated is not folded by adaptive execution.
+    """
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(1, min(most, df.count() // TASK_ROWS)), *keys)
+
+
 def drop(*tables: DataFrame) -> None:
     """Remove tables of :func:`cut` that nothing reads any more."""
     for t in tables:

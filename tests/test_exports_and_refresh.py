@@ -159,3 +159,13 @@ def test_go_packages(spark):
     after = graph_build.refreshed(d, changed, nodes, edges)[1]
     full = {**files, "proj/internal/util/d.go": "package util\n\nfunc Help() {\n}\n", "cmd/other.go": "package main\n"}
     assert {tuple(r) for r in after.collect()} == edges_of(spark, full)
+
+
+def test_files_are_dealt_and_read_once(spark, tmp_path):
+    """One block of many small files is read in several tasks; what is kept of it reads no file again."""
+    spark.range(2000).selectExpr("concat('d', id, '.py') file_path", "'def run():\n  return load()\n' content").coalesce(1).write.parquet(str(tmp_path / "in"))
+    known = graph_build.facts(spark.read.parquet(str(tmp_path / "in")))
+    assert known["nodes"].selectExpr("input_file_name() f").distinct().count() > 4
+    plans = [d._jdf.queryExecution().toString() for d in known.values()]
+    assert not any("InPandas" in p for p in plans)
+    assert known["nodes"].count() == known["references"].count() == 2000
