@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lamella.functions import text as T
+from lamella.storage import cut
 
 
 def hotspots(changes: DataFrame, entity: str = "entity", commit: str = "sha", author: str = "author", order: tuple[str, ...] = ("committed_at", "sha")) -> DataFrame:
@@ -73,6 +74,19 @@ def top(rows: DataFrame, most: int, down: list[str], up: list[str]) -> DataFrame
     return rows.orderBy(*[F.desc(c) for c in down], *[F.asc(c) for c in up]).limit(most)
 
 
+def placed(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` with ``place``, from 1, in ``order``: ranges sorted by their tasks, each begun after the counts of those before.
+
+    Ranges are kept before they are counted, so both readings see the same ones.
+    """
+    ranged = rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_range", F.spark_partition_id())
+    ranged = cut(ranged, "ranges")
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    own = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn("_k", own).join(F.broadcast(before), "_range").withColumn("place", F.col("_before") + F.col("_k")).drop("_range", "_k", "_before")
+
+
 def newest(commits: DataFrame, limit: int = 50, order: tuple[str, ...] = ("committed_at", "sha")) -> DataFrame:
     """The newest ``limit`` commits and one before them as a baseline; 0 means all."""
     rows = commits.orderBy(*[F.desc(c) for c in order])

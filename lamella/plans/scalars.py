@@ -205,12 +205,12 @@ def text_hits_first50(spark, sf_dir):
     return search.first_hits(table(spark, sf_dir, "documents"), "doc_id", "text", "License", 50)
 
 
-@query("SELECT 'p' || page_id || CASE page_id % 3 WHEN 0 THEN '.js' WHEN 1 THEN '.ts' ELSE '.md' END AS path, CASE page_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE 2 END AS rank FROM pages")
+@query("SELECT path, rank, row_number() OVER (ORDER BY rank, path) AS place FROM (SELECT 'p' || page_id || CASE page_id % 3 WHEN 0 THEN '.js' WHEN 1 THEN '.ts' ELSE '.md' END AS path, CASE page_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE 2 END AS rank FROM pages)")
 def extension_order(spark, sf_dir):
-    """All pages as files, sorted by the place of their extension, then by path; a test looks at the order itself."""
+    """All pages as files with their place by extension, then by path, in that order."""
     k = F.col("page_id")
     d = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), k.cast("string"), F.when(k % 3 == 0, ".js").when(k % 3 == 1, ".ts").otherwise(".md")).alias("path"))
-    return d.withColumn("rank", pieces.extension_rank(F.col("path"), [".ts", ".js"])).orderBy("rank", "path")
+    return history.placed(d.withColumn("rank", pieces.extension_rank(F.col("path"), [".ts", ".js"])), ["rank", "path"]).orderBy("place")
 
 
 @query("SELECT lang, language, count(*) AS n FROM (SELECT lang, CASE lang WHEN 'en' THEN 'Python' WHEN 'fr' THEN 'Rust' ELSE lang END AS language FROM documents) GROUP BY ALL")
