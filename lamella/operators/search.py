@@ -77,9 +77,12 @@ def matches_query(query: str, name: Column, kind: Column, parent: Column) -> Col
 
 
 def resolved(tokens: DataFrame, symbols: DataFrame, scope: str) -> DataFrame:
-    """Tokens (``scope``, ``token``) to the first symbol of that name in their scope; names of other scopes need an import."""
-    own = symbols.select(F.col(scope), F.col("name").alias("token"), F.col("id").alias("target"))
-    return tokens.join(own.groupBy(scope, "token").agg(F.min("target").alias("target")), [scope, "token"])
+    """Tokens (``scope``, ``token``) to the first symbol of that name in their scope, else to the only one anywhere; ``rule`` says which."""
+    own = symbols.select(F.col(scope), F.col("name").alias("token"), F.col("id").alias("local"))
+    own = own.groupBy(scope, "token").agg(F.min("local").alias("local"))
+    only = symbols.groupBy(F.col("name").alias("token")).agg(F.min("id").alias("only"), F.count_distinct("id").alias("_n")).filter("_n = 1").drop("_n")
+    j = tokens.join(own, [scope, "token"], "left").join(only, "token", "left")
+    return j.withColumn("target", F.coalesce("local", "only")).filter("target is not null").withColumn("rule", F.when(F.col("local").isNotNull(), "scope").otherwise("unique"))
 
 
 def gaps(spans: DataFrame, key: str, start: str, end: str, total: str) -> DataFrame:

@@ -359,12 +359,12 @@ def near_names(spark, sf_dir):
 
 
 @query(r"""WITH t AS (SELECT DISTINCT conv_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS token FROM conversations), s AS (SELECT item_id, item_id % 100 AS conv_id, lower(regexp_extract(text, '[A-Za-z0-9_]+')) AS name FROM benchmark),
-own AS (SELECT conv_id, name, min(item_id) AS target FROM s GROUP BY ALL)
-SELECT t.conv_id, token, target FROM t JOIN own ON own.conv_id = t.conv_id AND own.name = token""")
+own AS (SELECT conv_id, name, min(item_id) AS id FROM s GROUP BY ALL), sole AS (SELECT name, min(item_id) AS id FROM s GROUP BY name HAVING count(DISTINCT item_id) = 1)
+SELECT t.conv_id, token, coalesce(own.id, sole.id) AS target, CASE WHEN own.id IS NOT NULL THEN 'scope' ELSE 'unique' END AS rule FROM t LEFT JOIN own ON own.conv_id = t.conv_id AND own.name = token LEFT JOIN sole ON sole.name = token WHERE coalesce(own.id, sole.id) IS NOT NULL""")
 def reference_resolution(spark, sf_dir):
     tokens = table(spark, sf_dir, "conversations").select("conv_id", F.explode(T.identifiers(F.lower("text"))).alias("token")).distinct()
     symbols = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 100).alias("conv_id"), F.lower(F.regexp_extract("text", "[A-Za-z0-9_]+", 0)).alias("name"), F.col("item_id").alias("id"))
-    return search.resolved(tokens, symbols, "conv_id").select("conv_id", "token", "target")
+    return search.resolved(tokens, symbols, "conv_id").select("conv_id", "token", "target", "rule")
 
 
 _CASES = (("dist/x.js", True, False), ("src/dist/x.js", False, False), ("a/Vendor/b.go", True, False), ("lib/x.min.js", True, False), ("lib/Foo.framework/Foo", False, True), ("deep/down/go.sum", True, False), ("_next/static/chunks/b.js", True, False), ("src/main.rs", False, False), ("img/logo.PNG", False, True), ("vendor.go", False, False), ("a/b.generated.ts", True, False), ("pkg/data.tar.gz", False, True))
