@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from lamella.functions import pieces
 from lamella.functions import text as T
 from lamella.operators import graph as G
-from lamella.storage import cut
+from lamella.storage import cut, near
 
 ROLES = ("target", "direct_dependency", "direct_dependent", "transitive_dependency", "transitive_dependent")
 TRANSITIVE, VISITED = 25, 10_000
@@ -92,17 +92,19 @@ def packed_many(nodes: DataFrame, edges: DataFrame, targets: DataFrame, budget:
     n = nodes.select("id", "name", "file_path", body.alias("content"))
     told = n.select("id", pieces.packer_test(F.col("name"), F.col("file_path"), F.col("content")).alias("test"), pieces.stub_signature(F.col("content")).alias("stub"), T.token_estimate(F.col("content")).alias("full"), T.token_estimate(T.signature(F.col("content"))).alias("brief"))
     most = F.greatest(F.lit(budget * 7 // 10), "brief")
-    heads = n.join(targets.select("id").distinct(), "id").join(told.select("id", "full", "brief"), "id").filter(F.col("full") > budget)
+    own = cut(targets.select("id").distinct(), "targets")
+    large = cut(near(own).join(told.select("id", "full", "brief"), "id").filter(F.col("full") > budget), "large")
+    heads = n.join(near(large), "id")
     heads = cut(heads.select("id", pieces.head(F.col("content"), most).alias("own_head")), "heads")
-    c = candidates(edges, targets, hops).join(told, "id")
-    c = c.join(heads.select(F.col("id").alias("target"), T.token_estimate(F.col("own_head")).alias("head")), "target", "left")
+    c = near(cut(candidates(edges, targets, hops), "candidates")).join(told, "id")
+    c = c.join(near(heads).select(F.col("id").alias("target"), T.token_estimate(F.col("own_head")).alias("head")), "target", "left")
     x = F.struct("role", "depth", "id", F.coalesce("test", F.lit(False)).alias("test"), "stub", "full", "brief", "head")
     rows = c.groupBy("target").agg(F.array_sort(F.collect_list(x)).alias("xs")).withColumn("forms", _forms(F.col("xs"), budget))
     rows = cut(rows.select("target", F.arrays_zip(F.col("xs").alias("x"), F.col("forms").alias("form")).alias("zs")), "context")
     role = lambda r: F.element_at(F.array(*map(F.lit, ROLES)), r + 1)
     shown = rows.select("target", F.posexplode(F.filter("zs", lambda z: z["form"] > 0)).alias("place", "z")).select("target", "place", F.col("z.x.id").alias("entity_id"), "z.x.role", "z.form", F.when(F.col("z.form") == FULL, F.col("z.x.full")).when(F.col("z.form") == HEAD, F.col("z.x.head")).otherwise(F.col("z.x.brief")).alias("tokens"))
     named = F.when(F.col("form") == FULL, "full").when(F.col("form") == HEAD, "head").otherwise("signature")
-    shown = shown.join(n.select(F.col("id").alias("entity_id"), "content"), "entity_id").join(heads.withColumnRenamed("id", "entity_id"), "entity_id", "left")
+    shown = near(cut(shown, "shown")).join(n.select(F.col("id").alias("entity_id"), "content"), "entity_id").join(near(heads).withColumnRenamed("id", "entity_id"), "entity_id", "left")
     text = F.when(F.col("form") == FULL, F.col("content")).when(F.col("form") == HEAD, F.col("own_head")).otherwise(T.signature(F.col("content")))
     entries = shown.select("target", "place", "entity_id", role(F.col("role")).alias("role"), named.alias("form"), "tokens", text.alias("content"))
     tails = rows.select("target", F.inline(F.filter("zs", lambda z: z["form"] < 0))).groupBy("target", "x.role").agg(F.count(F.lit(1)).alias("entities"), F.count_if(F.col("form") == OMITTED_TEST).alias("tests"))

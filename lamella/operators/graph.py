@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lamella.storage import cut, near
+from lamella.storage import cut, near, shuffled
 
 EDGE = ("from_entity", "to_entity", "ref_type")
 
@@ -83,7 +83,7 @@ def reach_many(edges: DataFrame, starts: DataFrame, reverse: bool = True, depth:
         step += 1
         links = e.join(near(front.select("id", "block", "bits")), "id").groupBy(F.col("next").alias("id"), "block").agg(F.bit_or("bits").alias("bits"))
         had = seen.groupBy("id", "block").agg(F.bit_or("bits").alias("had"))
-        new = links.join(had, ["id", "block"], "left").withColumn("bits", F.expr("bits & ~coalesce(had, 0L)"))
+        new = links.join(shuffled(had), ["id", "block"], "left").withColumn("bits", F.expr("bits & ~coalesce(had, 0L)"))
         front = cut(new.filter("bits <> 0").select("id", "block", "bits", F.lit(step).alias("depth")), "front")
         if front.isEmpty():
             break
@@ -95,7 +95,7 @@ def reach_many(edges: DataFrame, starts: DataFrame, reverse: bool = True, depth:
     for more in found[1:]:
         rows = rows.union(more)
     bits = rows.select("id", "block", "depth", F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.expr("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), b)) != 0)).alias("bit"))
-    return bits.join(own.withColumnRenamed("id", "start"), ["block", "bit"]).select("start", "id", "depth")
+    return bits.join(near(own).withColumnRenamed("id", "start"), ["block", "bit"]).select("start", "id", "depth")
 
 
 def symbol_table(nodes: DataFrame) -> DataFrame:

@@ -65,8 +65,17 @@ def drop(*tables: DataFrame) -> None:
 
 
 def near(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """A table of :func:`cut`, hinted for a broadcast if its counted rows are within ``bound``."""
-    return F.broadcast(df) if df.count() <= bound else df
+    """A table of :func:`cut`, hinted for a broadcast if its counted rows are within ``bound``, else against one.
+
+    Sizes of compressed files say little: a million ids in a row take a few megabytes there, and
+    hundreds in the driver's memory once they are broadcast.
+    """
+    return F.broadcast(df) if df.count() <= bound else shuffled(df)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side that grows with the input, joined by a shuffle whatever its files' sizes say."""
+    return df.hint("merge")
 
 
 def _delete(spark: SparkSession, path: str) -> None:
