@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamella.operators import diff
+from lamella.storage import cut
 
 #: Change columns and their names in the document.
 NAMES = {"entity_id": "entityId", "change_type": "changeType", "entity_type": "entityType", "entity_name": "entityName", "entity_line": "entityLine", "start_line": "startLine", "end_line": "endLine", "old_start_line": "oldStartLine", "old_end_line": "oldEndLine", "parent_name": "parentName", "file_path": "filePath", "old_entity_name": "oldEntityName", "old_file_path": "oldFilePath", "old_parent_id": "oldParentId", "before_content": "beforeContent", "after_content": "afterContent", "structural_change": "structuralChange"}
@@ -37,6 +38,25 @@ def diff_json(rows: DataFrame, binaries: DataFrame | None = None) -> DataFrame:
     return s.crossJoin(orphans).crossJoin(extra).crossJoin(body).select(F.to_json(F.struct(summary.alias("summary"), "changes", "binaryChanges"), _KEEP).alias("json"))
 
 
+def diff_json_lines(rows: DataFrame) -> DataFrame:
+    """The document of :func:`diff_json` without binary files as ``part, file_path, entity_line, entity_id, text`` lines, which no task holds as a whole.
+
+    In the order of the first four columns the texts are the document: its summary (part 0), a change a
+    line (part 1; all but the first begin with a comma) and its end (part 2).
+    """
+    rows = rows.withColumn("content_changed", F.coalesce(F.col("before_content") != F.col("after_content"), F.lit(False)))
+    has, at = set(rows.columns), ("file_path", "entity_line", "entity_id")
+    s = diff.summary(rows).crossJoin(rows.agg(F.count_if(F.col("entity_type") == "orphan").alias("orphan"), F.min(F.struct(*at)).alias("first")))
+    s = cut(s, "summary")
+    summary = F.struct(F.col("file_count").alias("fileCount"), "added", "modified", "deleted", "moved", "renamed", "reordered", F.lit(0).alias("binary"), "orphan", "total")
+    head = s.select(F.lit(0).alias("part"), *[F.col(f"first.{c}").alias(c) for c in at], F.concat(F.lit('{"summary":'), F.to_json(summary, _KEEP), F.lit(',"changes":[')).alias("text"))
+    one = F.to_json(F.struct(*[(F.col(c) if c in has else F.lit(None).cast("string")).alias(n) for c, n in NAMES.items()]), _KEEP)
+    comma = F.when(F.struct(*at).eqNullSafe(F.col("first")), F.lit("")).otherwise(F.lit(","))
+    body = rows.crossJoin(F.broadcast(s.select("first"))).select(F.lit(1).alias("part"), *at, F.concat(comma, one).alias("text"))
+    end = s.select(F.lit(2).alias("part"), *[F.col(f"first.{c}").alias(c) for c in at], F.lit('],"binaryChanges":[]}').alias("text"))
+    return head.union(body).union(end)
+
+
 def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``json``: entities by id, edges by (from, to, type), and their counts."""
     n = nodes.agg(F.array_sort(F.collect_list(F.struct("id", "name", F.col("entity_type").alias("type"), F.col("file_path").alias("file"), F.col("start_line").alias("startLine"), F.col("end_line").alias("endLine")))).alias("entities"), F.count(F.lit(1)).alias("entityCount"))

@@ -226,3 +226,36 @@ def test_language_of_content(spark):
     d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
     got = {r["i"]: r["x"] for r in d.select("i", pieces.language_of_content(F.col("t")).alias("x")).collect()}
     assert got == {i: x for i, (_, x) in enumerate(cases)}
+
+
+def test_counted_sides_over_the_bound_are_shuffled(spark):
+    from pyspark.sql import functions as F
+
+    from lamella import storage
+
+    d = storage.cut(spark.range(20).selectExpr("concat('t', id) id"))
+    plan = d.join(storage.near(d.withColumnRenamed("id", "b"), bound=10), F.col("id") == F.col("b"))._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_places_over_ranges(spark):
+    from lamella.operators import history
+
+    rows = [(i * 7919 % 100, i % 3) for i in range(300)]
+    d = spark.createDataFrame([(r, k, i) for i, (r, k) in enumerate(rows)], "a int, b int, i int")
+    got = {tuple(r) for r in history.placed(d, ["b", "a", "i"]).select("b", "a", "i", "place").collect()}
+    assert got == {(*x, n) for n, x in enumerate(sorted((k, r, i) for i, (r, k) in enumerate(rows)), 1)}
+    assert history.placed(d.limit(0), ["a"]).count() == 0
+
+
+def test_diff_lines_are_the_document(spark):
+    import json
+
+    from lamella.sinks import documents
+
+    rows = [("e1", "added", "function", "f", 3, "b.py", None, "x,"), ("e2", "deleted", "function", "g", 1, "a.py", "y", None), ("e3", "modified", "orphan", "h", 9, "a.py", "y", "z")]
+    d = spark.createDataFrame(rows, "entity_id string, change_type string, entity_type string, entity_name string, entity_line int, file_path string, before_content string, after_content string")
+    lines = documents.diff_json_lines(d)
+    text = "".join(r["text"] for r in lines.orderBy(*lines.columns[:4]).collect())
+    assert json.loads(text) == json.loads(documents.diff_json(d).first()["json"])
+    assert json.loads("".join(r["text"] for r in documents.diff_json_lines(d.limit(0)).orderBy("part").collect()))["changes"] == []
