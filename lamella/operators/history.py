@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lamella.functions import text as T
-from lamella.storage import cut
+from lamella.storage import cut, parted, shuffles
 
 
 def hotspots(changes: DataFrame, entity: str = "entity", commit: str = "sha", author: str = "author", order: tuple[str, ...] = ("committed_at", "sha")) -> DataFrame:
@@ -33,14 +33,24 @@ def co_changes(changes: DataFrame, entity: str = "entity", commit: str = "sha",
     """Unordered pairs changed in the same commit at least ``least`` times, with confidence.
 
     Commits of over ``most`` entities are left out, which is part of the
-    measure and bounds the pairs of a commit.
+    measure and bounds the pairs of a commit, which are made in its row.  What a task holds
+    follows the counted rows and pairs.
     """
-    one = changes.select(entity, commit).distinct()
-    small = one.groupBy(commit).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") <= most).select(commit)
-    kept = one.join(small, commit, "left_semi")
-    a, b = (kept.select(commit, F.col(entity).alias(x)) for x in "ab")
-    pairs = a.join(b, commit).filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("together")).filter(F.col("together") >= least)
-    total = kept.groupBy(entity).agg(F.count(F.lit(1)).alias("n"))
+    spark = changes.sparkSession
+    rows = cut(changes.select(entity, commit), "changes")
+    one = parted(rows.filter(F.col(commit).isNotNull()), commit, rows=rows.count()).distinct()
+    few = one.withColumn("_k", F.row_number().over(W.partitionBy(commit).orderBy(entity))).filter(F.col("_k") <= most + 1)
+    sets = few.groupBy(commit).agg(F.array_sort(F.collect_list(entity)).alias("_set"), F.max("_k").alias("_n")).filter(F.col("_n") <= most)
+    sets = cut(sets.select(commit, "_set"), "sets")
+    size = F.size("_set").cast("long")
+    kept, met = sets.agg(F.sum(size), F.sum(F.floor(size * (size - 1) / 2))).first()
+    later = lambda x, i: F.transform(F.slice("_set", i + 2, F.size("_set")), lambda y: F.struct(x.alias("a"), y.alias("b")))
+    pairs = parted(sets, commit, rows=met or 0).select(F.inline(F.flatten(F.transform("_set", later))))
+    with shuffles(spark, met or 0):
+        pairs = cut(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("together")).filter(F.col("together") >= least), "pairs")
+    total = parted(sets, commit, rows=kept or 0).select(F.explode("_set").alias(entity))
+    with shuffles(spark, kept or 0):
+        total = cut(total.groupBy(entity).agg(F.count(F.lit(1)).alias("n")), "totals")
     ta, tb = (total.select(F.col(entity).alias(x), F.col("n").alias(f"commits_{x}")) for x in "ab")
     return pairs.join(ta, "a").join(tb, "b").withColumn("confidence", T.confidence(F.col("together"), F.col("commits_a"), F.col("commits_b"))).select("a", "b", "together", "commits_a", "commits_b", "confidence")
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lamella.functions import predicates as P
 from lamella.functions import text as T
 from lamella.operators import diff, entities, graph, history, search, similarity
+from lamella.storage import parted
 from lamella.streaming import incremental
 
 _found: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -286,7 +287,7 @@ def cross_repo_deps(spark, sf_dir):
 def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sha"), F.col("o_custkey").alias("author"), F.col("o_orderdate").alias("committed_at"))
     line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sha"), F.col("l_partkey").alias("entity"))
-    return line.join(o, "sha")
+    return parted(line, "sha").join(o, "sha")
 
 
 _CHANGES = "c AS (SELECT DISTINCT o_orderkey AS sha, o_custkey AS author, o_orderdate AS ts, l_partkey AS entity FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"

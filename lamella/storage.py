@@ -10,6 +10,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +59,34 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(max(1, min(most, df.count() // TASK_ROWS)), *keys)
 
 
+#: Rows that a task is to hold at once in its sorts and sums.
+HELD_ROWS = 1_000_000
+
+
+def _tasks(spark: SparkSession, rows: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // HELD_ROWS))
+
+
+def parted(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
+    """``df`` dealt by ``keys`` over a task for each :data:`HELD_ROWS` of its (counted) rows, and no fewer than shuffles have.
+
+    With a number of tasks that stays as it is, what a sort or sum holds in one task grows with the input.
+    """
+    return df.repartition(_tasks(df.sparkSession, df.count() if rows is None else rows), *keys)
+
+
+@contextmanager
+def shuffles(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is written inside shuffles to a task for each :data:`HELD_ROWS` of ``rows``, for sums that are partial before they are dealt."""
+    key = "spark.sql.shuffle.partitions"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(_tasks(spark, rows)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def drop(*tables: DataFrame) -> None:
     """Remove tables of :func:`cut` that nothing reads any more."""
     for t in tables:
