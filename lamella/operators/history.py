@@ -23,10 +23,13 @@ def hotspots(changes: DataFrame, entity: str = "entity", commit: str = "sha", au
     partial before its shuffle, so an entity of very many commits needs no large
     group.  A commit's author is its least one; null authors aren't counted.
     """
-    at = F.struct(*order)
-    one = changes.groupBy(entity, commit).agg(F.min(author).alias("_author"), F.max(at).alias("_at"))
+    spark, at = changes.sparkSession, F.struct(*order)
+    rows = cut(changes.select(*dict.fromkeys([entity, commit, author, *order])), "changes")
+    n = rows.count()
+    one = parted(rows, entity, commit, rows=n).groupBy(entity, commit).agg(F.min(author).alias("_author"), F.max(at).alias("_at"))
     by_author = one.groupBy(entity, "_author").agg(F.count(F.lit(1)).alias("_n"), F.max(F.struct("_at", F.col(commit).alias("sha"))).alias("_last"))
-    return by_author.groupBy(entity).agg(F.sum("_n").alias("commits"), F.count("_author").alias("authors"), F.max("_last")["sha"].alias("newest"))
+    with shuffles(spark, n):
+        return cut(by_author.groupBy(entity).agg(F.sum("_n").alias("commits"), F.count("_author").alias("authors"), F.max("_last")["sha"].alias("newest")), "hotspots")
 
 
 def co_changes(changes: DataFrame, entity: str = "entity", commit: str = "sha", most: int = 50, least: int = 2) -> DataFrame:

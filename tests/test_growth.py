@@ -37,3 +37,26 @@ def test_co_changes_dealt_by_rows(spark, monkeypatch):
     assert got == {p: (n, alone[p[0]], alone[p[1]]) for p, n in pairs.items() if n > 1}
     assert seen["sets"] > tasks
     assert spark.conf.get("spark.sql.shuffle.partitions") == str(tasks)
+
+
+def _shuffled(monkeypatch, module) -> dict[str, int]:
+    """Shuffle partitions under which ``module`` writes its tables, by label, when a task is to hold 20 rows."""
+    seen = {}
+
+    def cut(df, label="step"):
+        seen[label] = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return storage.cut(df, label)
+
+    monkeypatch.setattr(storage, "HELD_ROWS", 20)
+    monkeypatch.setattr(module, "cut", cut)
+    return seen
+
+
+def test_hotspots_dealt_by_rows(spark, monkeypatch):
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    d = spark.range(21 * tasks).selectExpr("id % 3 as entity", "id as sha", "id % 5 as author", "id % 7 as committed_at")
+    seen = _shuffled(monkeypatch, history)
+    got = {r["entity"]: (r["commits"], r["authors"], r["newest"]) for r in history.hotspots(d).collect()}
+    assert got == {e: (7 * tasks, 5, max((s % 7, s) for s in range(21 * tasks) if s % 3 == e)[1]) for e in range(3)}
+    assert seen["hotspots"] > tasks
+    assert spark.conf.get("spark.sql.shuffle.partitions") == str(tasks)
