@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lamella.storage import cut, drop
+from lamella.storage import cut, drop, parted, shuffles
 
 FIELDS = ("id", "file_path", "name", "parent_id", "content_hash", "structural_hash", "start_line")
 
@@ -36,15 +36,24 @@ def predecessors(entities: DataFrame, touched: DataFrame) -> DataFrame:
     files = touched.select("version", "file_path").distinct()
     files = cut(files.withColumn("was", F.lag("version").over(W.partitionBy("file_path").orderBy("version"))), "touched")
     at = F.struct("file_path", "start_line")
-    rows = entities.groupBy("version", "id").agg(F.min_by(F.struct(*FIELDS), at).alias("x")).select("version", F.col("x.file_path").alias("file_path"), "x")
+    rows = cut(entities.select("version", *FIELDS), "entities")
+    n = rows.count()
+    rows = parted(rows, "version", "id", rows=n).groupBy("version", "id").agg(F.min_by(F.struct(*FIELDS), at).alias("x"))
+    rows = cut(rows.select("version", F.col("x.file_path").alias("file_path"), "x"), "entities")
+    with shuffles(entities.sparkSession, n):
+        return _predecessors(rows, files)
+
+
+def _predecessors(rows: DataFrame, files: DataFrame) -> DataFrame:
     now = cut(rows.join(files.select("version", "file_path"), ["version", "file_path"], "left_semi").select("version", F.col("x").alias("a")), "now")
     past = files.filter("was is not null").select("version", F.col("was").alias("_was"), "file_path")
     before = rows.withColumnRenamed("version", "_was").join(past, ["_was", "file_path"]).select("version", F.col("_was").alias("was"), F.col("x").alias("b"))
     before = cut(before, "before")
+    n = before.count()
     first = F.struct("b.file_path", "b.start_line", "b.id")
     left, found, made = now, None, []
     for keys in (("file_path", "name"), ("name",), ("file_path", "structural_hash"), ("structural_hash",)):
-        known = before.filter(F.col(f"b.{keys[-1]}").isNotNull())
+        known = parted(before.filter(F.col(f"b.{keys[-1]}").isNotNull()), "version", "b.id", rows=n)
         best = known.groupBy("version", *[F.col(f"b.{k}").alias(k) for k in keys]).agg(F.min_by(F.struct("was", "b"), first).alias("best"))
         with_keys = left.select("version", "a", *[F.col(f"a.{k}").alias(k) for k in keys])
         tried = cut(with_keys.join(best, ["version", *keys], "left").select("version", "best.was", "best.b", "a"), "tried")
@@ -57,11 +66,16 @@ def predecessors(entities: DataFrame, touched: DataFrame) -> DataFrame:
     drop(*made)
     used = rows.filter("b is not null").select("version", "was", F.col("b.id").alias("_id"))
     gone = before.withColumn("_id", F.col("b.id")).join(used, ["version", "was", "_id"], "left_anti").select("version", "was", "b", none.alias("a"))
-    return rows.union(gone)
+    return rows.union(cut(gone, "gone"))
 
 
 def firsts(links: DataFrame) -> DataFrame:
     """``version, id, first_version, first_id`` of every occurrence, from :func:`predecessors`, by doubling."""
+    with shuffles(links.sparkSession, links.count()):
+        return _firsts(links)
+
+
+def _firsts(links: DataFrame) -> DataFrame:
     step = links.filter("a is not null").select("version", F.col("a.id").alias("id"), F.col("was").alias("to_version"), F.col("b.id").alias("to_id"))
     open_ = F.col("to_id").isNotNull()
     step = cut(step.select("version", "id", F.when(open_, F.col("to_version")).otherwise(F.col("version")).alias("to_version"), F.when(open_, F.col("to_id")).otherwise(F.col("id")).alias("to_id"), open_.alias("open")), "lines")
@@ -94,7 +108,8 @@ def histories(entities: DataFrame, touched: DataFrame) -> DataFrame:
     rows = links.select("version", at.alias("_at"), own.alias("id"), F.col("b.id").alias("old_id"), change().alias("change"), (~F.col("a.structural_hash").eqNullSafe(F.col("b.structural_hash"))).alias("_other"))
     rows = rows.filter("change is not null").withColumn("logic", (F.col("change") == "modified") & F.col("_other"))
     known = lines.withColumnRenamed("version", "_at")
-    return rows.join(known, ["_at", "id"]).select("first_version", "first_id", "version", "id", "old_id", "change", "logic")
+    with shuffles(links.sparkSession, links.count()):
+        return cut(rows.join(known, ["_at", "id"]).select("first_version", "first_id", "version", "id", "old_id", "change", "logic"), "changes")
 
 
 def history_of(entities: DataFrame, touched: DataFrame, node: str) -> DataFrame:

@@ -4,7 +4,7 @@ from collections import Counter
 from itertools import combinations
 
 from lamella import storage
-from lamella.operators import history
+from lamella.operators import history, lineage
 
 
 def _kept(monkeypatch, module) -> dict[str, int]:
@@ -60,3 +60,15 @@ def test_hotspots_dealt_by_rows(spark, monkeypatch):
     assert got == {e: (7 * tasks, 5, max((s % 7, s) for s in range(21 * tasks) if s % 3 == e)[1]) for e in range(3)}
     assert seen["hotspots"] > tasks
     assert spark.conf.get("spark.sql.shuffle.partitions") == str(tasks)
+
+
+def test_lines_dealt_by_rows(spark, monkeypatch):
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    k = 11 * tasks
+    rows = [(v, f"f::{i}", "f", f"n{i}", None, f"c{i}{v}", f"s{i}", i) for v in (1, 2) for i in range(k)]
+    entities = spark.createDataFrame(rows, "version long, id string, file_path string, name string, parent_id string, content_hash string, structural_hash string, start_line int")
+    seen = _shuffled(monkeypatch, lineage)
+    got = lineage.histories(entities, entities.select("version", "file_path")).groupBy("first_version", "version", "change").count().collect()
+    assert sorted(map(tuple, got)) == [(1, 1, "added", k), (1, 2, "modified", k)]
+    assert min(seen[x] for x in ("tried", "links", "lines", "changes")) >= tasks
+    assert seen["changes"] > tasks and seen["tried"] > tasks
