@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from lamella.functions import pieces
 from lamella.functions import text as T
 from lamella.operators import graph as G
-from lamella.storage import cut, near
+from lamella.storage import cut, dealt, near
 
 ROLES = ("target", "direct_dependency", "direct_dependent", "transitive_dependency", "transitive_dependent")
 TRANSITIVE, VISITED = 25, 10_000
@@ -89,8 +89,9 @@ def packed_many(nodes: DataFrame, edges: DataFrame, targets: DataFrame, budget:
     if hops < 0 or budget < 0:
         raise ValueError("hops and budget must not be negative; 0 hops means no limit")
     body = F.coalesce("content", F.lit(""))
-    n = nodes.select("id", "name", "file_path", body.alias("content"))
-    told = n.select("id", pieces.packer_test(F.col("name"), F.col("file_path"), F.col("content")).alias("test"), pieces.stub_signature(F.col("content")).alias("stub"), T.token_estimate(F.col("content")).alias("full"), T.token_estimate(T.signature(F.col("content"))).alias("brief"))
+    n = cut(nodes.select("id", "name", "file_path", body.alias("content")), "nodes")
+    told = dealt(n, "id").select("id", pieces.packer_test(F.col("name"), F.col("file_path"), F.col("content")).alias("test"), pieces.stub_signature(F.col("content")).alias("stub"), T.token_estimate(F.col("content")).alias("full"), T.token_estimate(T.signature(F.col("content"))).alias("brief"))
+    told = cut(told, "told")
     most = F.greatest(F.lit(budget * 7 // 10), "brief")
     own = cut(targets.select("id").distinct(), "targets")
     large = cut(near(own).join(told.select("id", "full", "brief"), "id").filter(F.col("full") > budget), "large")

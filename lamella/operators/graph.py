@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lamella.storage import cut, near, shuffled
+from lamella.storage import cut, near, parted, shuffled
 
 EDGE = ("from_entity", "to_entity", "ref_type")
 
@@ -74,7 +74,8 @@ def reach_many(edges: DataFrame, starts: DataFrame, reverse: bool = True, depth:
     unknown starts reach nothing; a start's own circle is not a row; repeated edges and starts count once.
     """
     near_end, far = ("to_entity", "from_entity") if reverse else ("from_entity", "to_entity")
-    e = cut(edges.select(F.col(near_end).alias("id"), F.col(far).alias("next")).filter("id <> next").distinct(), "links")
+    e = cut(edges.select(F.col(near_end).alias("id"), F.col(far).alias("next")).filter("id <> next"), "links")
+    e = cut(parted(e, "id", "next").distinct(), "links")
     own = cut(starts.select("id").filter("id is not null").distinct(), "starts")
     own = cut(own.withColumn("n", F.monotonically_increasing_id()).select("id", F.expr("shiftright(n, 6)").alias("block"), (F.col("n") % 64).cast("int").alias("bit")), "starts")
     front = cut(own.select("id", "block", F.expr("shiftleft(1L, bit)").alias("bits"), F.lit(0).alias("depth")), "front")

@@ -16,8 +16,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a side may have to be broadcast (a few words a row).
-BROADCAST_ROWS = 500_000
+#: Rows, and bytes once they are read, that a side may have to be broadcast: the driver holds them several times over.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32_000_000
 
 _made: list[str] = []
 _local: list[str] = []
@@ -95,12 +95,22 @@ def drop(*tables: DataFrame) -> None:
 
 
 def near(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """A table of :func:`cut`, hinted for a broadcast if its counted rows are within ``bound``, else against one.
+    """A table of :func:`cut`, hinted for a broadcast if its counted rows are within ``bound`` and their bytes within :data:`BROADCAST_BYTES`, else against one.
 
     Sizes of compressed files say little: a million ids in a row take a few megabytes there, and
     hundreds in the driver's memory once they are broadcast.
     """
-    return F.broadcast(df) if df.count() <= bound else shuffled(df)
+    n = df.count()
+    if n > bound or n * _row_bytes(df) > BROADCAST_BYTES:
+        return shuffled(df)
+    long = [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c, t in df.dtypes if t == "string" or "<" in t]
+    texts = df.agg(F.sum(sum(long[1:], long[0]))).first()[0] or 0 if long else 0
+    return F.broadcast(df) if n * _row_bytes(df) + texts <= BROADCAST_BYTES else shuffled(df)
+
+
+def _row_bytes(df: DataFrame) -> int:
+    """Of a row in a broadcast table, without its texts: its head, key and place, and a word or two a column."""
+    return 64 + 16 * len(df.columns)
 
 
 def shuffled(df: DataFrame) -> DataFrame:

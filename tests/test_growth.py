@@ -3,6 +3,8 @@
 from collections import Counter
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from lamella import storage
 from lamella.operators import history, lineage
 
@@ -72,3 +74,11 @@ def test_lines_dealt_by_rows(spark, monkeypatch):
     assert sorted(map(tuple, got)) == [(1, 1, "added", k), (1, 2, "modified", k)]
     assert min(seen[x] for x in ("tried", "links", "lines", "changes")) >= tasks
     assert seen["changes"] > tasks and seen["tried"] > tasks
+
+
+def test_wide_rows_are_not_broadcast(spark):
+    d = spark.range(1000).select("id", F.repeat(F.col("id").cast("string"), 20_000).alias("text"))
+    plan = lambda t: storage.near(t)._jdf.queryExecution().analyzed().toString()
+    t = storage.cut(d)
+    assert "strategy=broadcast" not in plan(t)
+    assert "strategy=broadcast" in plan(t.select("id"))
