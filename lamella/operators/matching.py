@@ -191,14 +191,27 @@ def _components(pairs: DataFrame) -> DataFrame:
     return both.join(labels.select("u", "label"), "u").select("a_id", "b_id", "rank", F.col("label").alias("component"))
 
 
+def _sides(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return cut(_side(before, "b"), "before"), cut(_side(after, "a"), "after")
+
+
+def _same_ids(b: DataFrame, a: DataFrame) -> DataFrame:
+    return b.join(a, "id").select("b", "a", "b_up", "a_up", F.lit(1).alias("phase"))
+
+
+def by_id(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The pairs of the first phase alone, as :func:`matched` has them: all that :func:`reordered_ids` looks at."""
+    return _same_ids(*_sides(before, after))
+
+
 def matched(before: DataFrame, after: DataFrame, score: Callable[[Column, Column], Column] = T.similarity) -> DataFrame:
     """``phase, b, a, b_up, a_up`` of every pair (phases 1 to 5), and of what has no partner (phase 0, ``b`` or ``a`` null).
 
     ``score`` gives the similarity of two contents, from 0 to 1.  In phase 5 it judges the
     pairs whose words are alike.
     """
-    b, a = cut(_side(before, "b"), "before"), cut(_side(after, "a"), "after")
-    out = b.join(a, "id").select("b", "a", "b_up", "a_up", F.lit(1).alias("phase"))
+    b, a = _sides(before, after)
+    out = _same_ids(b, a)
     b_all, a_all = b, a
     b, a = cut(b_all.join(a_all.select("id"), "id", "left_anti")), cut(a_all.join(b_all.select("id"), "id", "left_anti"))
     found = []

@@ -6,7 +6,8 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from lamella import storage
-from lamella.operators import history, lineage
+from lamella.operators import history, lineage, matching
+from lamella.plans import snapshots
 
 
 def _kept(monkeypatch, module) -> dict[str, int]:
@@ -82,3 +83,10 @@ def test_wide_rows_are_not_broadcast(spark):
     t = storage.cut(d)
     assert "strategy=broadcast" not in plan(t)
     assert "strategy=broadcast" in plan(t.select("id"))
+
+
+def test_reordered_needs_the_first_phase_alone(spark, sf_dir):
+    sides = snapshots.scenarios(spark, sf_dir)
+    rows = lambda pairs: sorted(r["id"] for r in matching.reordered_ids(pairs).collect())
+    first = storage.cut(matching.by_id(*sides))
+    assert rows(first) and rows(first) == rows(matching.matched(*sides).filter("phase = 1"))
