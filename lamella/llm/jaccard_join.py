@@ -56,6 +56,8 @@ BITS, WIDE = 512, 2048
 BITS_FOR = 256
 SHARD, SHARD_ITEMS = 512, 1 << 20
 LEAF, FAN = 8, 4
+#: Sets up to which a block's pairs are compared one by one, as trees cost more than they save there.
+FEW = 24
 #: Bytes of bitmaps that a step of a tree walk compares at a time.
 WALK_BYTES = 16 << 20
 #: Size from which blocks count as equally large.
@@ -441,8 +443,30 @@ def with_leader(rows: DataFrame, columns: list[str]) -> DataFrame:
     return r.repartition("g", "i").sortWithinPartitions("g", "i", "j")
 
 
+def _few_forest(rows, percent: int = PERCENT) -> list:
+    """:func:`_plausible_forest` of few rows, by the same bounds."""
+    sets = sorted((n, digest, comp, 8 * len(sig), int.from_bytes(sig, "little")) for digest, n, sig, comp in rows)
+    forest, out = Forest(), []
+    for i, (na, a, ca, wa, va) in enumerate(sets):
+        for nb, b, cb, wb, vb in sets[i + 1 :]:
+            if 100 * na < percent * nb:
+                break
+            if ca == cb:
+                continue
+            x, y, narrow, wide = (va, vb, wa, wb) if wa <= wb else (vb, va, wb, wa)
+            while wide > narrow:
+                wide //= 2
+                y = y >> wide | y & ((1 << wide) - 1)
+            m, n = (na, nb) if wa <= wb else (nb, na)
+            if (x & y).bit_count() + min(m - x.bit_count(), n - y.bit_count()) >= needed(na, nb, percent) and forest.join(ca, cb):
+                out.append((a, b))
+    return out
+
+
 def _plausible_forest(same: bool, left, right, percent: int = PERCENT) -> list:
     """Block work on rows (digest, n, sig, comp)."""
+    if same and len(left) <= FEW:
+        return _few_forest(left, percent)
 
     def levels(part) -> dict[int, tuple]:
         by: dict[int, list] = {}
