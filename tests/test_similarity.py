@@ -7,6 +7,8 @@ import pytest
 
 from lamella import storage
 from lamella.operators import similarity
+from lamella.plans import registry
+from tests.oracle import same_rows
 
 
 def _alike(x: str, y: str, percent: int) -> int:
@@ -67,3 +69,26 @@ def test_words_of_long_texts(monkeypatch):
     whole = similarity.word_set(text).tolist()
     monkeypatch.setattr(similarity, "SLICE", 11)
     assert similarity.word_set(text).tolist() == whole and len(whole) == 501
+
+
+def test_pairs_of_rows_hold_all_copies(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "TILE", 4)
+    texts = _texts(60)
+    texts += [" ".join(reversed(t.split())) for t in texts[:20]] + ["p q r s t u"] * 11 + ["u t s r q p q", "p q r s t"] * 5
+    rows = [(7 * i % 211, "xy"[i % 17 == 0], t) for i, t in enumerate(texts)] + [(900, "x", ""), (901, "x", " \n"), (902, "y", ""), (903, "x", None), (904, None, "p q r s t"), (905, None, ""), (906, None, "")]
+    got = sorted(map(tuple, similarity.row_pairs(spark.createDataFrame(rows, "k long, b string, t string"), "k", "t", "b").collect()))
+    sets = sorted((k, b, set(t.split())) for k, b, t in rows if b is not None and t is not None)
+    want = [(a, b, len(x & y), len(x), len(y)) for (a, p, x), (b, q, y) in combinations(sets, 2) if p == q and 100 * len(x & y) >= 80 * len(x | y)]
+    assert got == want and (900, 901, 0, 0, 0) in got
+
+
+def test_copies_are_pairs_in_the_query(spark, tmp_path):
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(["a b c d e"] * 3 + ["a b c d e f", "", "\t", "z"])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    (file,) = (tmp_path / "documents.parquet").glob("part-*")
+    table = tmp_path / "in"
+    table.mkdir()
+    (table / "documents.parquet").write_bytes(file.read_bytes())
+    found = registry.queries()["fuzzy_match_candidates"](spark, str(table))
+    assert found.count() == 7
+    same_rows(found, registry.oracle_sql()["fuzzy_match_candidates"], str(table))
