@@ -62,9 +62,9 @@ def build_graph(files: DataFrame, only: DataFrame | None = None, types: bool = F
     nodes, edges = graph_build.graph(files, only)
     if not types:
         return nodes, edges
-    known = graph_build.facts(files) | {"nodes": nodes}
+    known = graph_build.facts(files, "imports", "exports", "scopes") | {"nodes": nodes}
     links = graph_build.linking(known)
-    more = scopes.calls(files, nodes, links["imports"], links["offered"])
+    more = scopes.calls(files, nodes, links["imports"], links["offered"], known["scopes"])
     more = more.join(edges, ["from_entity", "to_entity"], "left_anti").withColumn("ref_type", F.lit("calls"))
     return nodes, cut(edges.unionByName(more), "edges")
 

@@ -3,8 +3,8 @@
 An export statement is a pointer from (file, exported name) to another name, in
 its own file or in the one it names.  Pointers are followed by doubling: a round
 replaces each open pointer by its target's pointer, so a chain of ``n`` files
-takes ``log2(n)`` rounds; what is still open when ``2 ** rounds`` exceeds the
-number of pointers runs in a circle and is dropped.  A star export hands on any name, so it is
+takes ``log2(n)`` rounds; what is still open when a round settles none
+runs in a circle and is dropped.  A star export hands on any name, so it is
 followed for the names that somebody asks for alone.
 
 Defined cases: an export statement hides a symbol of its file of the same name,
@@ -112,9 +112,10 @@ def _starred(asked: DataFrame, stars: DataFrame, step: DataFrame, symbols: DataF
 
 def settled(step: DataFrame) -> DataFrame:
     """``file_path, name, target`` of all pointers that end at an entity, from :func:`pointers`."""
-    most = step.count()
-    done, open_, reach = [step.filter("target is not null")], step.filter("target is null"), 1
-    while reach <= most and not open_.isEmpty():
+    done, open_ = [step.filter("target is not null")], step.filter("target is null")
+    left, before = open_.count(), None
+    # On a way that ends there are pointers at every distance, so a round that settles and drops none leaves circles alone.
+    while left and left != before:
         known = open_
         for d in done:
             known = known.union(d)
@@ -122,7 +123,7 @@ def settled(step: DataFrame) -> DataFrame:
         moved = cut(open_.drop("target").join(at, ["to_file", "to_name"]).select("file_path", "name", F.col("_file").alias("to_file"), F.col("_name").alias("to_name"), "target"), "pointers")
         done.append(moved.filter("target is not null"))
         open_ = moved.filter("target is null")
-        reach *= 2
+        left, before = open_.count(), left
     out = done[0]
     for d in done[1:]:
         out = out.union(d)

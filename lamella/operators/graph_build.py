@@ -21,15 +21,16 @@ from __future__ import annotations
 import keyword
 import posixpath
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamella.functions import pieces
 from lamella.functions import predicates as P
-from lamella.operators import exports, extract
+from lamella.operators import exports, extract, scopes
 from lamella.operators import graph as G
 from lamella.storage import cut, dealt, near
 
@@ -69,9 +70,9 @@ def bound_types(plain: str) -> dict[str, str]:
     return {name: kinds.pop() for name, kinds in found.items() if len(kinds) == 1}
 
 
-def references_of(path: str, text: str) -> list[tuple]:
+def references_of(path: str, text: str, entities: list[extract.Entity] | None = None) -> list[tuple]:
     """(entity, file, its class or parent, qualifier, name, reference type, type of the qualifier) of each reference once."""
-    entities = [e for e in extract.entities_of(path, text) if e.entity_type not in ("chunk", "export", "sfc_block")]
+    entities = [e for e in (extract.entities_of(path, text) if entities is None else entities) if e.entity_type not in ("chunk", "export", "sfc_block")]
     kind = "hash" if path.endswith(_HASHED) else "rust" if path.endswith(".rs") else "slash"
     lines = extract.blanked("\n".join(extract.lines_of(text)), kind).split("\n")
     owner: list = [None] * (len(lines) + 1)
@@ -230,25 +231,25 @@ def references(files: DataFrame) -> DataFrame:
     return _per_file(files, REFERENCE, references_of)
 
 
-def import_rows(files: DataFrame) -> DataFrame:
-    """``file_path, local, candidates, name`` of every import."""
+def imports_of(path: str, text: str) -> list[tuple]:
+    suffix = posixpath.splitext(path)[1]
+    return [(path, *row) for row in SCANNERS[suffix](path, text) if row[1]] if suffix in SCANNERS else []
 
-    def scan(path: str, text: str) -> list[tuple]:
-        suffix = posixpath.splitext(path)[1]
-        return [(path, *row) for row in SCANNERS[suffix](path, text) if row[1]] if suffix in SCANNERS else []
 
-    return _per_file(files, IMPORT, scan)
+def exports_of(path: str, text: str) -> list[tuple]:
+    if SCANNERS.get(posixpath.splitext(path)[1]) is not script_imports:
+        return []
+    return [(path, *row) for row in exports.script_exports(path, extract.uncommented(text), _script_targets)]
 
 
-def export_rows(files: DataFrame) -> DataFrame:
-    """The export statements of script files."""
+def import_rows(files: DataFrame) -> DataFrame:
+    """``file_path, local, candidates, name`` of every import."""
+    return _per_file(files, IMPORT, imports_of)
 
-    def scan(path: str, text: str) -> list[tuple]:
-        if SCANNERS.get(posixpath.splitext(path)[1]) is not script_imports:
-            return []
-        return [(path, *row) for row in exports.script_exports(path, extract.uncommented(text), _script_targets)]
 
-    return _per_file(files, exports.STATEMENT, scan)
+def export_rows(files: DataFrame) -> DataFrame:
+    """The export statements of script files."""
+    return _per_file(files, exports.STATEMENT, exports_of)
 
 
 def import_table(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -336,16 +337,54 @@ def bucket_of(token: Column) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
 
 
-def facts(files: DataFrame) -> dict[str, DataFrame]:
-    """What each file says: entities, references by token bucket, imports and exports.
+#: What a file gives by itself: a table's columns, and its rows from path, text and entities.
+_TABLES: dict[str, tuple[str, Callable[[str, str, list[extract.Entity]], Iterable[tuple]]]] = {
+    "nodes": (extract.SCHEMA, lambda p, t, e: extract.entity_rows(p, e)),
+    "references": (REFERENCE, references_of),
+    "imports": (IMPORT, lambda p, t, e: imports_of(p, t)),
+    "exports": (exports.STATEMENT, lambda p, t, e: exports_of(p, t)),
+    "scopes": (scopes.FACT, scopes.facts_of),
+}
+_ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "array<string>": pa.list_(pa.string()), "map<string,string>": pa.map_(pa.string(), pa.string())}
+#: Files whose rows a task holds at a time.
+FILES_HELD = 1000
+
 
-    Files are dealt over all tasks by their path, then read in one pass a table, whose rows are kept:
+def facts(files: DataFrame, *tables: str) -> dict[str, DataFrame]:
+    """What each file says: entities, references by token bucket, imports and exports; or those of ``tables`` (and ``scopes``) alone.
+
+    Files are dealt over all tasks by their path, then read in one pass for all tables, whose rows are kept:
     whatever looks at them later reads no file again.
     """
-    files = cut(dealt(cut(files.select("file_path", "content"), "texts"), "file_path"), "files")
-    refs = references(files).withColumn("bucket", bucket_of(F.col("token")))
-    rows = {"nodes": extract.extracted(files), "references": refs, "imports": import_rows(files), "exports": export_rows(files)}
-    return {"files": files.select("file_path")} | {t: cut(d, t) for t, d in rows.items()}
+    tables = tables or FACTS[1:]
+    files = cut(files.select("file_path", "content"), "texts")
+    columns = {t: dict(c.split(" ") for c in _TABLES[t][0].split(", ")) for t in tables}
+    kinds: dict[str, str] = {}
+    for one in columns.values():
+        kinds |= one
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, FILES_HELD):
+                found: dict[str, list[tuple]] = {t: [] for t in tables}
+                for p, text in zip(*[c.to_pylist() for c in batch.slice(at, FILES_HELD).columns]):
+                    if text:
+                        entities = extract.entities_of(p, text)
+                        for t, rows in found.items():
+                            rows += _TABLES[t][1](p, text, entities)
+                for t, rows in found.items():
+                    if rows:
+                        own = dict(zip(columns[t], zip(*rows)))
+                        own = {c: [list(m.items()) for m in x] if kinds[c].startswith("map") else x for c, x in own.items()}
+                        out = [pa.array(own[c], _ARROW[k]) if c in own else pa.nulls(len(rows), _ARROW[k]) for c, k in kinds.items()]
+                        yield pa.RecordBatch.from_arrays([*out, pa.array([t] * len(rows))], [*kinds, "fact_table"])
+
+    rows = dealt(files, "file_path").mapInArrow(work, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", fact_table string")
+    if "references" in tables:
+        rows = rows.withColumn("bucket", bucket_of(F.col("token"))).select(*kinds, "bucket", "fact_table")
+        columns["references"]["bucket"] = "int"
+    rows = cut(rows, "facts", "fact_table")
+    return {"files": files.select("file_path")} | {t: rows.filter(F.col("fact_table") == t).select(*columns[t]) for t in tables}
 
 
 def folder_of(path: Column) -> Column:
@@ -395,13 +434,14 @@ def graph(files: DataFrame, only: DataFrame | None = None) -> tuple[DataFrame, D
 
 def combined_facts(known: dict[str, DataFrame], new: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
     """``known`` without the files of ``gone``, and ``new``."""
-    return {t: known[t].join(near(gone), "file_path", "left_anti").unionByName(new[t]) for t in FACTS}
+    left = near(gone)
+    return {t: known[t].join(left, "file_path", "left_anti").unionByName(new[t]) for t in FACTS}
 
 
 def differing(a: DataFrame, b: DataFrame, *columns: str) -> DataFrame:
-    """Rows that only one of two tables has."""
-    x, y = a.select(*columns), b.select(*columns)
-    return x.exceptAll(y).union(y.exceptAll(x))
+    """Rows that one of two tables has more often, each once."""
+    both = a.select(*columns, F.lit(1).alias("_n")).union(b.select(*columns, F.lit(-1)))
+    return both.groupBy(*columns).agg(F.sum("_n").alias("_n")).filter("_n <> 0").drop("_n")
 
 
 def frontier(known: dict[str, DataFrame], after: dict[str, DataFrame], links: dict[str, DataFrame], now: dict[str, DataFrame], gone: DataFrame) -> DataFrame:
@@ -413,14 +453,15 @@ def frontier(known: dict[str, DataFrame], after: dict[str, DataFrame], links: di
     something else, or if it holds a name whose entities changed anywhere.
     The last is looked up in the token buckets of those names alone.
     """
-    old = known["nodes"].join(near(gone), "file_path", "left_semi")
-    new = after["nodes"].join(near(gone), "file_path", "left_semi")
+    left = near(gone)
+    old, new = (cut(x["nodes"].join(left, "file_path", "left_semi"), "nodes") for x in (known, after))
     names = cut(differing(old, new, "name", "id", "file_path", "entity_type", "parent_id", "start_line").select("name").distinct(), "names")
     buckets = [r[0] for r in names.select(bucket_of(F.col("name"))).distinct().collect()]
     mention = after["references"].filter(F.col("bucket").isin(buckets)).join(near(names.select(F.col("name").alias("token"))), "token", "left_semi").select("file_path")
     moved = differing(links["imports"], now["imports"], "file_path", "local", "target", "name").select("file_path")
     meaning = cut(differing(links["offered"], now["offered"], "file_path", "name", "target").union(differing(links["step"], now["step"], "file_path", "name", "to_file")).select("file_path").distinct(), "meaning")
-    to = lambda d, c: d.join(near(meaning.select(F.col("file_path").alias(c))), c, "left_semi").select("file_path")
+    close = near(meaning)
+    to = lambda d, c: d.join(close.withColumnRenamed("file_path", c), c, "left_semi").select("file_path")
     own_exports = differing(old.filter("entity_type = 'export'"), new.filter("entity_type = 'export'"), "id", "file_path", "name").select("file_path").distinct()
     handing = now["imports"].join(near(own_exports.select(F.col("file_path").alias("target"))), "target", "left_semi").select("file_path")
     passing = now["step"].join(near(own_exports.select(F.col("file_path").alias("to_file"))), "to_file", "left_semi").select("file_path")
@@ -430,24 +471,35 @@ def frontier(known: dict[str, DataFrame], after: dict[str, DataFrame], links: di
 def relinked(known: dict[str, DataFrame], links: dict[str, DataFrame], edges: DataFrame, new: dict[str, DataFrame], gone: DataFrame) -> tuple[dict[str, DataFrame], dict[str, DataFrame], DataFrame]:
     """Facts, links and edges after the files of ``gone`` were replaced by those of ``new``; equal to linking all facts anew."""
     after = combined_facts(known, new, gone)
-    after["nodes"] = cut(after["nodes"], "nodes")
+    after |= {t: cut(after[t], t) for t in ("nodes", "references", "exports")}
     now = linking(after)
     dirty = cut(frontier(known, after, links, now, gone), "dirty")
     return after, now, cut(edges.join(near(dirty), "file_path", "left_anti").unionByName(linked(after, now, dirty)), "edges")
 
 
+def _gone(changed: DataFrame, deleted: DataFrame | None) -> DataFrame:
+    gone = changed.select("file_path") if deleted is None else changed.select("file_path").union(deleted.select("file_path"))
+    return cut(gone.distinct(), "stale")
+
+
 def refreshed(files: DataFrame, changed: DataFrame, nodes: DataFrame, edges: DataFrame, deleted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The graph after ``changed`` files (and without ``deleted`` ones), from the former one.
 
-    The result is that of a full build.  Only the new files are read for entities, and only
+    The result is that of a full build.  Only the new files are read for entities' tables, and only
     edges of the :func:`frontier` are resolved again; names, imports and exports of the others are scanned, which
-    :class:`lamella.project.Project` keeps in tables instead.
+    :func:`rebuilt` and :class:`lamella.project.Project` keep instead.
     """
-    gone = changed.select("file_path") if deleted is None else changed.select("file_path").union(deleted.select("file_path"))
-    gone = cut(gone.distinct(), "stale")
-    known = facts(files) | {"nodes": cut(nodes, "nodes")}
+    known = facts(files, *FACTS[2:]) | {"nodes": cut(nodes, "nodes")}
     with_file = edges.select(*G.EDGE).join(nodes.select(F.col("id").alias("from_entity"), "file_path").dropDuplicates(["from_entity"]), "from_entity")
-    after, _, out = relinked(known, linking(known), with_file, facts(changed.select("file_path", "content")), gone)
+    after, _, out = relinked(known, linking(known), with_file, facts(changed.select("file_path", "content")), _gone(changed, deleted))
+    return after["nodes"], out.select(*G.EDGE)
+
+
+def rebuilt(files: DataFrame, changed: DataFrame, deleted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """:func:`refreshed` of the graph of ``files``, whose facts and links are kept between the two: no file is read twice."""
+    known = facts(files)
+    links = linking(known)
+    after, _, out = relinked(known, links, cut(linked(known, links), "edges"), facts(changed.select("file_path", "content")), _gone(changed, deleted))
     return after["nodes"], out.select(*G.EDGE)
 
 

@@ -250,12 +250,15 @@ def _type_name(x) -> str | None:
     return x.id if isinstance(x, ast.Name) else None
 
 
-def facts_of(path: str, text: str) -> list[tuple]:
+def facts_of(path: str, text: str, entities: list[extract.Entity] | None = None) -> list[tuple]:
+    """The file's facts; ``entities`` are those of the text, where they are known."""
+    if not path.endswith((".py", ".pyi")):
+        return []
     try:
         tree = ast.parse("\n".join(extract.lines_of(text)) + "\n")
     except (SyntaxError, ValueError, RecursionError):
         return []
-    found = {(e.name, e.start_line): e.id for e in extract.entities_of(path, text)}
+    found = {(e.name, e.start_line): e.id for e in (extract.entities_of(path, text) if entities is None else entities)}
     v = _Facts(found)
     for x in tree.body:
         v.visit(x)
@@ -268,7 +271,7 @@ def scope_facts(files: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [r for p, t in pdf.itertuples(index=False) if t and p.endswith((".py", ".pyi")) for r in facts_of(p, t)]
+            rows = [r for p, t in pdf.itertuples(index=False) if t for r in facts_of(p, t)]
             yield pd.DataFrame(rows, columns=names, dtype=object).astype({"place": "Int32"})
 
     return dealt(cut(files.select("file_path", "content"), "texts"), "file_path").mapInPandas(work, FACT)
@@ -415,9 +418,9 @@ def _fewest(facts: DataFrame | None, moved: DataFrame) -> tuple[DataFrame, DataF
     return out.select("node", "type"), cut(out.filter("new").select("node", "type"), "fresh")
 
 
-def calls(files: DataFrame, nodes: DataFrame, imports: DataFrame, offered: DataFrame) -> DataFrame:
-    """``from_entity, to_entity`` of all calls in Python files that scopes, imports and types decide."""
-    graph = type_graph(scope_facts(files), nodes, imports, offered)
+def calls(files: DataFrame, nodes: DataFrame, imports: DataFrame, offered: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """``from_entity, to_entity`` of all calls in Python files that scopes, imports and types decide; ``facts`` are the files' :func:`scope_facts`, where they are known."""
+    graph = type_graph(scope_facts(files) if facts is None else facts, nodes, imports, offered)
     types, met = typed(graph, nodes)
     sure = types.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("type").alias("type")).filter("n = 1").select("node", "type")
     sites = graph["sites"]

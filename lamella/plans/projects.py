@@ -94,7 +94,7 @@ UNION ALL SELECT 'c' || k || '/app.ts::function::start', 'c' || k || '/util.ts::
 @query(_CHANGED + "SELECT * FROM x")
 def incremental_exports(spark, sf_dir):
     files, changed, gone = _after(spark, sf_dir)
-    return graph_build.refreshed(files, changed, *graph_build.graph(files), gone)[1]
+    return graph_build.rebuilt(files, changed, gone)[1]
 
 
 # Scopes and types ---------------------------------------------------------------
@@ -125,9 +125,9 @@ UNION ALL SELECT p || 'u.py::class::Job::run', p || 's.py::class::A::save' FROM
 UNION ALL SELECT p || 'w.py::function::outer', p || 'w.py::function::g' FROM c WHERE k % 3 <> 0""")
 def scoped_calls(spark, sf_dir):
     files = _modules(spark, sf_dir)
-    known = graph_build.facts(files)
+    known = graph_build.facts(files, "nodes", "imports", "exports", "scopes")
     links = graph_build.linking(known)
-    return scopes.calls(files, known["nodes"], links["imports"], links["offered"]).filter("to_entity like '%::save' or from_entity like '%/w.py%'")
+    return scopes.calls(files, known["nodes"], links["imports"], links["offered"], known["scopes"]).filter("to_entity like '%::save' or from_entity like '%/w.py%'")
 
 
 # History ------------------------------------------------------------------------

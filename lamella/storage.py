@@ -35,11 +35,11 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/") if "://" in base or not base.startswith("/") else "file://" + base.rstrip("/")
 
 
-def cut(df: DataFrame, label: str = "step") -> DataFrame:
-    """``df`` written and read back."""
+def cut(df: DataFrame, label: str = "step", by: str | None = None) -> DataFrame:
+    """``df`` written and read back; with ``by`` in a folder for each value of that column, its last, so a filter on it reads its own alone."""
     path = f"{shared_folder(df.sparkSession)}/lamella-steps/{label}-{uuid.uuid4().hex}"
     _made.append(path)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cut_at = path
     return out

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from lamella import storage
 from lamella.operators import exports, graph_build
 
 
@@ -169,3 +170,35 @@ def test_files_are_dealt_and_read_once(spark, tmp_path):
     plans = [d._jdf.queryExecution().toString() for d in known.values()]
     assert not any("InPandas" in p for p in plans)
     assert known["nodes"].count() == known["references"].count() == 2000
+
+
+def test_circles_cost_no_rounds(spark, monkeypatch):
+    """Many pointers and a circle: rounds follow the longest way, not the number of pointers."""
+    seen = []
+    monkeypatch.setattr(exports, "cut", lambda df, label="step": seen.append(label) or storage.cut(df, label))
+    rows = [(f"f{i}", "n", f"f{i + 1}", "n", None) for i in range(5)] + [("f5", "n", "f5", "m", "f5::m"), ("lost", "n", "f9", "n", None), ("lost2", "n", "lost", "n", None)]
+    rows += [("y1", "n", "y2", "n", None), ("y2", "n", "y1", "n", None), ("in", "n", "y1", "n", None)] + [(f"z{i}", "n", f"z{i}", "m", f"z{i}::m") for i in range(4000)]
+    step = spark.createDataFrame(rows, "file_path string, name string, to_file string, to_name string, target string")
+    got = {r["file_path"]: r["target"] for r in exports.settled(step).collect()}
+    assert got == {f"f{i}": "f5::m" for i in range(6)} | {f"z{i}": f"z{i}::m" for i in range(4000)}
+    assert len(seen) <= 5
+
+
+def test_a_rebuild_reads_each_file_once(spark, monkeypatch, tmp_path):
+    seen = []
+
+    def cut(df, label="step", by=None):
+        out = storage.cut(df, label, by)
+        if label == "texts":
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph_build, "cut", cut)
+    files = {f"c{i}/{x}.py": t for i in range(9) for x, t in (("a", "def help(x):\n  return x\n"), ("b", f"from c{i}.a import help\n\ndef start(y):\n  return help(y)\n"))}
+    new, gone = {"c1/a.py": "def other(x):\n  return x\n", "c2/c.py": "from c3.a import help\n\ndef far(y):\n  return help(y)\n"}, ["c4/a.py", "c5/b.py"]
+    table = lambda d: spark.createDataFrame(sorted(d.items()), "file_path string, content string")
+    nodes, edges = graph_build.rebuilt(table(files), table(new), spark.createDataFrame([(g,) for g in gone], "file_path string"))
+    assert seen == [18, 2]
+    full = {k: v for k, v in (files | new).items() if k not in gone}
+    assert {tuple(r) for r in edges.collect()} == edges_of(spark, full)
+    assert {r["id"] for r in nodes.collect()} == {r["id"] for r in graph_build.facts(table(full))["nodes"].collect()}
