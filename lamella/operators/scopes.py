@@ -10,7 +10,8 @@ the innermost.  Everything else is joins over these facts:
   returns and arguments, by position or name, into parameters and attributes; a call of a
   method leads to the receiver's class, and its result has what that method returns.
 
-Types flow in rounds of a semi-naive fixed point: a round joins only facts that are new.  A
+Types flow in rounds of a semi-naive fixed point: a round looks at facts that are new alone, by joins or, for
+files that few others are connected with by imports, inside a task.  A
 place that meets two types is ambiguous and decides no call; two suffice to know it, so a place holds
 two at most.
 
@@ -24,14 +25,16 @@ further columns are ignored.
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamella.operators import extract
-from lamella.storage import cut, dealt
+from lamella.storage import cut, dealt, near
 
 FACT = "file_path string, fact string, scope string, name string, base string, extra string, place int"
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
@@ -312,8 +315,9 @@ def type_graph(facts: DataFrame, nodes: DataFrame, imports: DataFrame, offered:
     ``known`` (``node, type``), ``flows`` (``node, to``), ``sites`` (``site, node,
     method`` of method calls), ``gets`` (``site, node, attr``), ``puts`` (``node,
     attr, source``), ``direct`` (``site, target`` of calls by name), ``args``
-    (``site, place, keyword, node``), ``params`` (``function, place, name, node``),
-    ``returns`` (``function, node``), ``owners`` (``file_path, scope, entity``).
+    (``site, place, keyword, node``), ``params`` (``function, place, name, to``),
+    ``returns`` (``function, node``), ``owners`` (``file_path, scope, entity``); each has the
+    ``file_path`` whose facts say it.
     """
     facts = cut(facts, "facts")
     of = lambda fact: facts.filter(F.col("fact") == fact)
@@ -348,31 +352,36 @@ def type_graph(facts: DataFrame, nodes: DataFrame, imports: DataFrame, offered:
     direct = cut(by_name.union(by_module).distinct(), "direct")
     sites = cut(site(at(methods, "base", "node")).select("site", "file_path", "scope", "node", F.col("callee").alias("method")), "sites")
 
-    copies = at(at(of("copy").select("file_path", "scope", F.col("base").alias("source"), F.col("name").alias("into")), "source", "node"), "into", "to").select("node", "to")
+    copies = at(at(of("copy").select("file_path", "scope", F.col("base").alias("source"), F.col("name").alias("into")), "source", "node"), "into", "to").select("file_path", "node", "to")
     fields = binds.filter("what = 'local'").join(classes.filter("entity is not null").select("file_path", "scope", "entity"), ["file_path", "scope"])
-    fields = fields.select(node_of(F.col("file_path"), F.col("scope"), F.col("name")).alias("node"), attribute_of(F.col("entity"), F.col("name")).alias("to")).distinct()
-    annotated = at(at(of("type").select("file_path", "scope", "name", F.col("base").alias("type_name")), "type_name", "class_node"), "name", "node").select("node", "class_node")
-    annotated = annotated.join(class_of.withColumnRenamed("node", "class_node"), "class_node").select("node", "type")
-    made = direct.filter("entity_type = 'class'").select(F.col("site").alias("node"), F.col("target").alias("type"))
+    fields = fields.select("file_path", node_of(F.col("file_path"), F.col("scope"), F.col("name")).alias("node"), attribute_of(F.col("entity"), F.col("name")).alias("to")).distinct()
+    annotated = at(at(of("type").select("file_path", "scope", "name", F.col("base").alias("type_name")), "type_name", "class_node"), "name", "node").select("file_path", "node", "class_node")
+    annotated = annotated.join(class_of.withColumnRenamed("node", "class_node"), "class_node").select("file_path", "node", "type")
+    made = direct.filter("entity_type = 'class'").select("file_path", F.col("site").alias("node"), F.col("target").alias("type"))
     receivers = binds.filter("what = 'param' and place = -1").join(scopes.filter("kind = 'method'").select("file_path", "scope"), ["file_path", "scope"])
     outer = scopes.filter("kind = 'class' and entity is not null").select("file_path", F.col("scope").alias("outer"), F.col("entity").alias("type"))
-    receivers = receivers.withColumn("outer", F.regexp_replace("scope", "/[^/]*$", "")).join(outer, ["file_path", "outer"]).select(node_of(F.col("file_path"), F.col("scope"), F.col("name")).alias("node"), "type")
+    receivers = receivers.withColumn("outer", F.regexp_replace("scope", "/[^/]*$", "")).join(outer, ["file_path", "outer"]).select("file_path", node_of(F.col("file_path"), F.col("scope"), F.col("name")).alias("node"), "type")
     known = cut(annotated.union(made).union(receivers).distinct(), "known")
 
     params = binds.filter("what = 'param' and (place is null or place >= 0)").join(scopes.filter("entity is not null").select("file_path", "scope", "entity"), ["file_path", "scope"])
-    params = params.select(F.col("entity").alias("function"), "place", "name", node_of(F.col("file_path"), F.col("scope"), F.col("name")).alias("to"))
+    params = params.select("file_path", F.col("entity").alias("function"), "place", "name", node_of(F.col("file_path"), F.col("scope"), F.col("name")).alias("to"))
     args = of("arg").select("file_path", "scope", F.col("name").alias("site_name"), F.col("base").alias("source"), F.col("extra").alias("keyword"), "place")
-    args = cut(site(at(args, "source", "node")).select("site", "place", "keyword", "node"), "args")
-    returns = owners.filter("kind <> 'class'").select(F.col("entity").alias("function"), node_of(F.col("file_path"), F.col("scope"), F.lit("$return")).alias("node"))
-    gets = site(at(of("get").select("file_path", "scope", F.col("name").alias("site_name"), "base", F.col("extra").alias("attr")), "base", "node")).select("site", "node", "attr")
-    puts = at(at(of("put").select("file_path", "scope", F.col("name").alias("source"), "base", F.col("extra").alias("attr")), "base", "node"), "source", "from").select("node", "attr", F.col("from").alias("source"))
-    return {"known": known, "flows": copies.union(fields), "sites": sites, "gets": cut(gets, "gets"), "puts": cut(puts, "puts"), "direct": direct, "args": args, "params": cut(params, "params"), "returns": cut(returns, "returns"), "owners": owners.select("file_path", "scope", "entity")}
+    args = cut(site(at(args, "source", "node")).select("file_path", "site", "place", "keyword", "node"), "args")
+    returns = owners.filter("kind <> 'class'").select("file_path", F.col("entity").alias("function"), node_of(F.col("file_path"), F.col("scope"), F.lit("$return")).alias("node"))
+    gets = site(at(of("get").select("file_path", "scope", F.col("name").alias("site_name"), "base", F.col("extra").alias("attr")), "base", "node")).select("file_path", "site", "node", "attr")
+    puts = at(at(of("put").select("file_path", "scope", F.col("name").alias("source"), "base", F.col("extra").alias("attr")), "base", "node"), "source", "from").select("file_path", "node", "attr", F.col("from").alias("source"))
+    return {"known": known, "flows": cut(copies.union(fields), "flows"), "sites": sites, "gets": cut(gets, "gets"), "puts": cut(puts, "puts"), "direct": direct, "args": args, "params": cut(params, "params"), "returns": cut(returns, "returns"), "owners": owners.select("file_path", "scope", "entity")}
+
+
+def members_of(nodes: DataFrame) -> DataFrame:
+    """``type, method, file_path, target``: what a class has by a name."""
+    kept = F.min_by(F.struct("id", "file_path"), "id").alias("x")
+    return nodes.filter("parent_id is not null").groupBy(F.col("parent_id").alias("type"), F.col("name").alias("method")).agg(kept).select("type", "method", "x.file_path", F.col("x.id").alias("target"))
 
 
 def typed(graph: dict[str, DataFrame], nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``node, type`` of every place that types reach, two a place at most, and ``site, type, target`` of every method call met."""
-    members = cut(nodes.filter("parent_id is not null").groupBy(F.col("parent_id").alias("type"), F.col("name").alias("method")).agg(F.min("id").alias("target")), "members")
-    g = graph
+    members, g = cut(members_of(nodes), "members"), graph
 
     def passed(calls: DataFrame) -> DataFrame:
         """``node, to`` between the arguments and parameters, and the returns and results, of ``site, function`` rows."""
@@ -384,13 +393,12 @@ def typed(graph: dict[str, DataFrame], nodes: DataFrame) -> tuple[DataFrame, Dat
     makers = named.filter("entity_type = 'class'").join(members.filter("method = '__init__'").select(F.col("type").alias("target"), F.col("target").alias("function")), "target").select("site", "function")
     by_name = named.filter("entity_type <> 'class'").select("site", F.col("target").alias("function"))
     into = makers.join(g["args"], "site").join(g["params"].withColumnRenamed("place", "at"), "function").filter("place = at or keyword = name").select("node", "to")
-    flows = cut(g["flows"].union(passed(by_name)).union(into).distinct(), "flows")
-    facts, fresh = g["known"], g["known"]
-    facts, fresh = _fewest(None, fresh)
+    flows = cut(g["flows"].select("node", "to").union(passed(by_name)).union(into).distinct(), "flows")
+    facts, fresh = _fewest(None, g["known"])
     called = None
     while not fresh.isEmpty():
         # New types at receivers bring new calls, attributes read and attributes set.
-        met = fresh.join(g["sites"].select("site", "node", "method"), "node").join(members, ["type", "method"]).select("site", "type", "target").distinct()
+        met = fresh.join(g["sites"].select("site", "node", "method"), "node").join(members.drop("file_path"), ["type", "method"]).select("site", "type", "target").distinct()
         met = cut(met if called is None else met.join(called, ["site", "type", "target"], "left_anti"), "met")
         called = met if called is None else called.union(met)
         read = fresh.join(g["gets"], "node").select(attribute_of(F.col("type"), F.col("attr")).alias("node"), F.col("site").alias("to"))
@@ -418,14 +426,138 @@ def _fewest(facts: DataFrame | None, moved: DataFrame) -> tuple[DataFrame, DataF
     return out.select("node", "type"), cut(out.filter("new").select("node", "type"), "fresh")
 
 
+#: Facts of files that import each other up to which one task follows their types, and about how many it holds at once.
+GROUP_ROWS, HELD_FACTS = 20_000, 200_000
+
+
+def groups(imports: DataFrame) -> DataFrame:
+    """``file_path, group``: files that imports connect, by the least path among them; files without imports are left out.
+
+    In a round a file takes the least label next to it, hands that on to the file that its
+    former label names, and follows its new label one step, which halves ways.
+    """
+    one = imports.select("file_path", F.col("target").alias("other")).filter("file_path <> other").distinct()
+    edges = cut(one.union(one.select(F.col("other"), F.col("file_path"))), "links")
+    labels = edges.select("file_path", F.col("file_path").alias("label")).distinct()
+    while True:
+        beside = edges.join(labels.select(F.col("file_path").alias("other"), F.col("label").alias("near")), "other").groupBy("file_path").agg(F.min("near").alias("near"))
+        least = cut(labels.join(beside, "file_path").select("file_path", "label", F.least("label", "near").alias("least")), "labels")
+        told = least.groupBy(F.col("label").alias("file_path")).agg(F.min("least").alias("told"))
+        known = cut(least.join(told, "file_path", "left").select("file_path", "label", F.least("least", F.coalesce("told", "least")).alias("next")), "labels")
+        ahead = known.select(F.col("file_path").alias("next"), F.col("next").alias("then"))
+        grown = cut(known.join(ahead, "next").select("file_path", F.col("label").alias("was"), F.col("then").alias("label")), "labels")
+        labels = grown.select("file_path", "label")
+        if grown.filter("was <> label").isEmpty():
+            return labels.withColumnRenamed("label", "group")
+
+
+#: Columns of the fixed point's tables that :func:`followed` takes, after the kind and the file.
+_ROWS = {"known": ("node", "type"), "flows": ("node", "to"), "sites": ("site", "node", "method", "scope"), "gets": ("site", "node", "attr"), "puts": ("node", "attr", "source"), "direct": ("site", "target", "entity_type"), "args": ("site", "node", "keyword"), "params": ("function", "to", "name"), "returns": ("function", "node"), "members": ("type", "method", "target")}
+
+
+def followed(rows: Iterable[tuple]) -> list[tuple[str, str, str]]:
+    """``file_path, scope, target`` of the method calls that types decide, by the rounds of :func:`typed`; rows are (kind, file, four of :data:`_ROWS`, place)."""
+    by: dict[str, dict[str, list]] = {k: defaultdict(list) for k in _ROWS}
+    members: dict[tuple, str] = {}
+    for kind, file, a, b, c, d, place in rows:
+        if kind == "members":
+            members[a, b] = c
+        elif kind in ("sites", "gets"):  # by the node whose types they wait for
+            by[kind][b].append((a, c, d, file))
+        else:
+            by[kind][a].append((b, c, place))
+
+    def passed(site: str, function: str, results: bool = True) -> Iterator[tuple[str, str]]:
+        for node, keyword, at in by["args"][site]:
+            for to, name, place in by["params"][function]:
+                if (place is not None and place == at) or (keyword is not None and keyword == name):
+                    yield node, to
+        if results:
+            for node, _, _ in by["returns"][function]:
+                yield node, site
+
+    flows = {(node, to) for node, outs in by["flows"].items() for to, _, _ in outs}
+    for site, found in list(by["direct"].items()):
+        for target, kind, _ in found:
+            if kind != "class":
+                flows.update(passed(site, target))
+            elif (target, "__init__") in members:
+                flows.update(passed(site, members[target, "__init__"], False))
+    after: dict[str, set[str]] = defaultdict(set)
+    for node, to in flows:
+        after[node].add(to)
+    facts: dict[str, list[str]] = defaultdict(list)
+    called: set[tuple[str, str]] = set()
+
+    def fewest(moved: Iterable[tuple[str, str]]) -> list[tuple[str, str]]:
+        new: dict[str, set[str]] = defaultdict(set)
+        for node, kind in moved:
+            new[node].add(kind)
+        out = []
+        for node, kinds in new.items():
+            for kind in dict.fromkeys((min(kinds), max(kinds))):
+                if len(facts[node]) < 2 and kind not in facts[node]:
+                    facts[node].append(kind)
+                    out.append((node, kind))
+        return out
+
+    fresh = fewest((node, kind) for node, found in by["known"].items() for kind, _, _ in found)
+    while fresh:
+        opened: set[tuple[str, str]] = set()
+        for node, kind in fresh:
+            for site, method, _, _ in by["sites"][node]:
+                if (kind, method) in members and (site, kind) not in called:
+                    called.add((site, kind))
+                    opened.update(passed(site, members[kind, method]))
+            opened.update((f"{kind}.{attr}", site) for site, attr, _, _ in by["gets"][node])
+            opened.update((source, f"{kind}.{attr}") for attr, source, _ in by["puts"][node])
+        moved = [(to, kind) for node, kind in fresh for to in after[node]]
+        for node, to in opened:
+            if to not in after[node]:
+                moved += [(to, kind) for kind in facts[node]]
+        for node, to in opened:
+            after[node].add(to)
+        fresh = fewest(moved)
+    return [(file, scope, members[facts[node][0], method]) for node, found in by["sites"].items() if len(facts[node]) == 1 for _, method, scope, file in found if (facts[node][0], method) in members]
+
+
+def decided(graph: dict[str, DataFrame], nodes: DataFrame, imports: DataFrame) -> DataFrame:
+    """``file_path, scope, target`` of the method calls that types decide.
+
+    Types flow between files that imports connect.  Such a group of at most :data:`GROUP_ROWS` facts is
+    followed in a task, many groups to a task; larger ones by the joins of :func:`typed`.
+    """
+    tables = {t: graph[t] if t != "members" else members_of(nodes) for t in _ROWS}
+    rows = None
+    for t, d in tables.items():
+        own = [F.col(c) for c in _ROWS[t]] + [F.lit(None).cast("string")] * (4 - len(_ROWS[t]))
+        one = d.select(F.lit(t), "file_path", *own, F.col("place") if "place" in d.columns else F.lit(None).cast("int")).toDF("kind", "file_path", "a", "b", "c", "d", "place")
+        rows = one if rows is None else rows.union(one)
+    rows = rows.join(groups(imports), "file_path", "left").withColumn("group", F.coalesce("group", "file_path"))
+    rows = cut(rows, "typed")
+    large = cut(rows.groupBy("group").count().filter(F.col("count") > GROUP_ROWS).select("group"), "large")
+    some = not large.isEmpty()
+    small = rows.join(near(large), "group", "left_anti") if some else rows
+    buckets = max(1, rows.count() // HELD_FACTS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def work(t: pa.Table) -> pa.Table:
+        found = followed(zip(*[t.column(c).to_pylist() for c in ("kind", "file_path", "a", "b", "c", "d", "place")]))
+        return pa.table([pa.array([r[i] for r in found], pa.string()) for i in range(3)], ["file_path", "scope", "target"])
+
+    out = small.withColumn("bucket", F.pmod(F.xxhash64("group"), F.lit(buckets))).groupBy("bucket").applyInArrow(work, "file_path string, scope string, target string")
+    if not some:
+        return out
+    files = cut(rows.join(near(large), "group", "left_semi").select("file_path").distinct(), "large")
+    own = {t: d.join(near(files), "file_path", "left_semi") for t, d in graph.items()}
+    types, met = typed(own, nodes)
+    sure = types.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("type").alias("type")).filter("n = 1").select("node", "type")
+    return out.union(own["sites"].join(sure, "node").join(met, ["site", "type"]).select("file_path", "scope", "target"))
+
+
 def calls(files: DataFrame, nodes: DataFrame, imports: DataFrame, offered: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """``from_entity, to_entity`` of all calls in Python files that scopes, imports and types decide; ``facts`` are the files' :func:`scope_facts`, where they are known."""
     graph = type_graph(scope_facts(files) if facts is None else facts, nodes, imports, offered)
-    types, met = typed(graph, nodes)
-    sure = types.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("type").alias("type")).filter("n = 1").select("node", "type")
-    sites = graph["sites"]
-    by_type = sites.join(sure, "node").join(met, ["site", "type"]).select("file_path", "scope", "target")
-    rows = by_type.union(graph["direct"].select("file_path", "scope", "target")).distinct()
+    rows = decided(graph, nodes, imports).union(graph["direct"].select("file_path", "scope", "target")).distinct()
     owners = graph["owners"].select("file_path", F.col("scope").alias("at"), "entity")
     tried = rows.withColumn("x", F.explode(around(F.col("scope")))).select("file_path", "scope", "target", "x.*").join(owners, ["file_path", "at"])
     edges = tried.groupBy("file_path", "scope", "target").agg(F.max_by("entity", "depth").alias("from_entity"))

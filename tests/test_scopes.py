@@ -60,3 +60,22 @@ def test_typed_graph_has_both_kinds_of_edges(spark):
     plain, typed = ({tuple(r) for r in api.build_graph(files, types=t)[1].collect()} for t in (False, True))
     # Names of one letter are no reference words; scopes know them.
     assert typed - plain == {("u.py::function::run", "s.py::class::A::save", "calls"), ("u.py::function::make", "s.py::class::A", "calls"), ("s.py::class::B::other", "s.py::class::A", "calls")} and plain < typed
+
+
+def test_groups_of_files_in_a_task_and_by_joins(spark, monkeypatch):
+    parts = {
+        "s.py": TWO,
+        "f.py": "from s import A, B\n\ndef make(flag):\n  if flag:\n    return A()\n  return B()\n\ndef one():\n  x = A()\n  return x\n",
+        "job.py": "class Job:\n  def __init__(self, store, spare=None):\n    self.store = store\n    self.spare = spare\n  def run(self):\n    return self.store.save()\n  def again(self):\n    return self.spare.save()\n",
+        "u.py": "from f import make, one\nfrom job import Job\nfrom s import B\n\ndef start():\n  j = Job(one(), spare=B())\n  j.run()\n  return make(1).save()\n\ndef both():\n  return B().other().save()\n",
+        "w.py": "def g():\n  return 1\n\ndef outer():\n  return g()\n",
+    }
+    files = {f"p{i}/{p}": t.replace("from ", f"from p{i}.") for i in range(3) for p, t in parts.items()}
+    rounds = []
+    monkeypatch.setattr(scopes, "typed", lambda g, n, was=scopes.typed: rounds.append(1) or was(g, n))
+    alone = calls(spark, files)
+    assert not rounds and ("p1/job.py::class::Job::again", "p1/s.py::class::B::save") in alone and ("p1/u.py::function::start", "p1/s.py::class::A::save") not in alone
+    monkeypatch.setattr(scopes, "GROUP_ROWS", 20)
+    assert calls(spark, files) == alone and rounds
+    links = spark.createDataFrame([(f"f{i}", f"f{i + 1}") for i in range(9)] + [("x", "a"), ("x", "x")], "file_path string, target string")
+    assert {tuple(r) for r in scopes.groups(links).collect()} == {(f"f{i}", "f0") for i in range(10)} | {("x", "a"), ("a", "a")}
